@@ -2,16 +2,32 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import line_cleaning, mixing, sharding, simhash_dedup
+from ledgerloom.llm import (
+    decontamination,
+    language_id,
+    line_cleaning,
+    mixing,
+    quality_qda,
+    secret_scan,
+    sharding,
+    simhash_dedup,
+    suffix_dedup,
+)
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
+    "op3_secret_scan": secret_scan.op3_secret_scan,
+    "op4_language_mixture": language_id.op4_language_mixture,
     "op5_simhash": simhash_dedup.op5_simhash,
     "op6_mix": mixing.op6_mix,
+    "op7_qda": quality_qda.op7_qda,
     "op8_line_cleaning": line_cleaning.op8_line_cleaning,
+    "op9_decontaminate": decontamination.op9_decontaminate,
     "op10_rendezvous": sharding.op10_rendezvous,
 }
 
 SQL = {
     "op6_mix": mixing.SQL,
     "op8_line_cleaning": line_cleaning.SQL,
+    "op9_decontaminate": decontamination.SQL,
 }

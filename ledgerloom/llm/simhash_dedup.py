@@ -25,6 +25,7 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -156,8 +157,6 @@ def keep_one(docs: DataFrame, **settings) -> DataFrame:
 
 
 def _fingerprint_udf(words: int):
-    import pandas as pd
-
     @F.pandas_udf("long")
     def run(texts: pd.Series) -> pd.Series:
         got = np.fromiter((fingerprint(t, words) for t in texts), np.uint64, len(texts))
