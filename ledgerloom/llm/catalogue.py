@@ -6,6 +6,7 @@ from ledgerloom.llm import (
     decontamination,
     language_id,
     line_cleaning,
+    lm_scoring,
     mixing,
     quality_qda,
     secret_scan,
@@ -16,6 +17,7 @@ from ledgerloom.llm import (
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
+    "op2_ppm": lm_scoring.op2_ppm,
     "op3_secret_scan": secret_scan.op3_secret_scan,
     "op4_language_mixture": language_id.op4_language_mixture,
     "op5_simhash": simhash_dedup.op5_simhash,
