@@ -25,7 +25,6 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -136,33 +135,104 @@ def near_duplicates(
     return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component, one row for each.
+def _mixed(codes: np.ndarray, seed: int) -> np.ndarray:
+    x = (codes + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(29)
+    return x
 
-    Rows with a null doc_id are kept only where a component has no other, one for each component.
+
+def _majority(codes: np.ndarray) -> int:
+    votes = np.zeros(64, np.int64)
+    for at in range(0, len(codes), 8192):
+        bits = np.unpackbits(codes[at : at + 8192].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        votes += np.add.reduce(bits, axis=0, dtype=np.int32)
+    return int(np.packbits(votes * 2 > len(codes), bitorder="little").view("<i8")[0])
+
+
+def slice_keys(text: str | None, words: int = 5, size: int = 6, most: int = 16) -> tuple[int, int, list[int]]:
+    """A 128-bit SimHash over distinct word shingles, as two signed longs, and the keys of its slices.
+
+    Shingles fall in 2 ** k slices by hash, k such that a slice holds ``size``
+    to twice as many; each slice's key stands for its exact set. Two sets whose
+    sizes differ by less than a factor of two share a k among k and k + 1. Of
+    the slices of one k the first ``most`` make keys: the same ones in each text.
+    """
+    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not tokens:
+        return 0, 0, [0]
+    norm, n = b" ".join(tokens), len(tokens)
+    if n <= words:
+        codes = np.array([xxhash.xxh64_intdigest(norm, 42)], np.uint64)
+    else:
+        ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, n) + 1)
+        starts, stops = np.concatenate(([0], ends[: n - words])).tolist(), (ends[words - 1 :] - 1).tolist()
+        digest = xxhash.xxh64_intdigest
+        codes = np.unique(np.array([digest(norm[a:b], 42) for a, b in zip(starts, stops, strict=True)], np.uint64))
+    place, stamp = _mixed(codes, 1), _mixed(codes, 2)
+    level = max(0, (len(codes) // size).bit_length() - 1)
+    keys = []
+    for k in (level, level + 1):
+        of = (place >> np.uint64(64 - k)) if k else np.zeros(len(place), np.uint64)
+        first = of < most
+        groups, which, count = np.unique(of[first], return_inverse=True, return_counts=True)
+        total = np.zeros(len(groups), np.uint64)
+        np.add.at(total, which, stamp[first])
+        fair = (count > 1) | (len(codes) < 2 * size)
+        keys.append(_mixed(total + groups * np.uint64(64) + np.uint64(k), 3)[fair])
+    return _majority(codes), _majority(_mixed(codes, 4)), np.concatenate(keys).view(np.int64).tolist()
+
+
+def similar(docs: DataFrame, words: int = 5, distance: int = 22) -> DataFrame:
+    """``(doc_id, node, component_id)``: components of texts with alike 128-bit fingerprints.
+
+    For similarities near 0.8 the distance is far beyond what blocks of bits can
+    find: copies differ in ten bits of 64. Here the pigeonhole is on the shingles. They
+    are split into slices, edits leave most slices of a close copy whole, and
+    texts that share a slice are compared by Hamming distance. The default
+    accepts a similarity of about 0.75 to 0.8 of five-word shingles. Within a
+    slice the texts are compared with two of them, not with each other, so a
+    large group makes two comparisons a text and slice.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [slice_keys(t.as_py(), words) for t in batch.column(1)]
+            columns = [pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "fp1", "fp2", "keys"])
+
+    read = id_and_text(docs).mapInArrow(run, "doc_id long, fp1 long, fp2 long, keys array<long>")
+    marked = materialize(read.withColumn("node", F.xxhash64("fp1", "fp2")), "slices")
+    # Texts with one fingerprint are one node, whose slices are those of all of them.
+    nodes = marked.select("node", "fp1", "fp2", F.explode("keys").alias("key")).distinct()
+    one = F.struct("node", "fp1", "fp2")
+    ends = nodes.groupBy("key").agg(F.min(one).alias("low"), F.max(one).alias("high")).where("low.node <> high.node")
+    met = nodes.join(ends, "key")
+
+    def near(end: str) -> Column:
+        bits = F.bit_count(F.col("fp1").bitwiseXOR(F.col(f"{end}.fp1"))) + F.bit_count(F.col("fp2").bitwiseXOR(F.col(f"{end}.fp2")))
+        return F.when((bits <= distance) & (F.col("node") != F.col(f"{end}.node")), F.col(f"{end}.node"))
+
+    edges = met.select(F.col("node").alias("a"), F.explode(F.array(near("low"), near("high"))).alias("b")).where("b is not null")
+    roots = materialize(connected_components(edges), "roots")
+    low = marked.groupBy("node").agg(F.min("doc_id").alias("low"))
+    labelled = low.join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
+    component = labelled.groupBy("root").agg(F.min("low").alias("component_id"))
+    by_node = labelled.join(component, "root").select("node", "component_id")
+    return marked.join(by_node, "node").select("doc_id", "node", "component_id")
+
+
+def keep_one(docs: DataFrame, words: int = 5, distance: int = 22) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each component of :func:`similar`, the row with the smallest doc_id.
+
+    Rows that repeat a doc_id count once. A component whose ids are all null keeps none of them apart: those rows
+    stay, once for each distinct text.
     """
-    marked = near_duplicates(docs, **settings)
-    keepers = marked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("_keep_id"), "fp"
-    ).distinct()
-    columns = docs.columns
-    real = keepers.where("_keep_id is not null").select("_keep_id").distinct()
-    kept = docs.join(real, docs["doc_id"] == real["_keep_id"], "left_semi").dropDuplicates(["doc_id"])
-    nameless = docs.where("doc_id is null")
-    lone = keepers.where("_keep_id is null").select(F.col("fp").alias("_fp"))
-    # Null ids are rare: their fingerprints are computed again beside the row.
-    hashed = nameless.withColumn("_fp", _fingerprint_udf(settings.get("words", 4))(F.col("text")))
-    rest = hashed.join(lone, "_fp", "left_semi").dropDuplicates(["_fp"]).select(*columns)
-    return kept.select(*columns).unionByName(rest)
-
-
-def _fingerprint_udf(words: int):
-    @F.pandas_udf("long")
-    def run(texts: pd.Series) -> pd.Series:
-        got = np.fromiter((fingerprint(t, words) for t in texts), np.uint64, len(texts))
-        return pd.Series(got.view(np.int64))
-
-    return run
+    marked = similar(docs, words, distance)
+    keepers = marked.where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
+    kept = docs.join(keepers, docs["doc_id"] == keepers["_keep"], "left_semi").dropDuplicates(["doc_id"])
+    nameless = docs.where("doc_id is null").dropDuplicates(["text"])
+    return kept.unionByName(nameless)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
