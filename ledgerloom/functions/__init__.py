@@ -1 +1 @@
-"""."""
+"""Column expressions: text, identifiers, times, parsing and vectors."""

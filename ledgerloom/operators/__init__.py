@@ -1 +1 @@
-"""."""
+"""Operators over filings, chunks, summaries and vectors."""

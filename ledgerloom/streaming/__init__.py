@@ -1 +1 @@
-"""."""
+"""Structured Streaming over incoming filings."""
