@@ -74,9 +74,10 @@ flatten(zip_with(_sorted, slice(_sorted, 2, size(_sorted)), (a, b) -> if(a.h = b
 
 
 def with_figures(docs: DataFrame, min_line_words: int = 8, max_loud: float = 0.3, max_symbols: float = 0.5) -> DataFrame:
-    """``docs`` with the document's figures and its judged lines (columns that begin with ``_``)."""
+    """Each row of ``docs`` as a struct ``_row``, with the document's figures and its judged lines."""
     rules = {"min_line_words": min_line_words, "max_loud": max_loud, "max_symbols": max_symbols}
-    out = docs.withColumn("_text", F.coalesce("text", F.lit("")))
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("_row")
+    out = docs.select(row, F.coalesce(docs["text"], F.lit("")).alias("_text"))
     out = out.withColumn("_words", F.regexp_extract_all("_text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
     out = out.withColumn("_lines", F.split("_text", "\n"))
     out = out.withColumn("_hashes", F.expr(_HASHES))
@@ -112,14 +113,14 @@ def clean(docs: DataFrame, **settings) -> DataFrame:
     """The documents that pass, with failing lines removed from ``text``."""
     kept = judge(docs, **settings).where("_kept")
     text = F.expr("array_join(transform(filter(_judged, j -> not j.fails), j -> j.line), '\n')")
-    return kept.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    return kept.select(*[text.alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def op8_line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Figures and verdict of every document, over whole texts."""
     judged = judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-    return judged.select("doc_id", *[F.col(f"_{n}").alias(n) for n in names])
+    return judged.select("_row.doc_id", *[F.col(f"_{n}").alias(n) for n in names])
 
 
 SQL = r"""

@@ -73,34 +73,26 @@ def copies(rate: Column, doc_id: Column, seed: str = "mix") -> Column:
 
 
 def plan_mix(docs: DataFrame, seed: str = "mix", **settings) -> DataFrame:
-    """``docs`` with ``_size``, ``_source_size``, ``_target`` and ``_copies`` added."""
-    sized = docs.withColumn("_size", size_of(F.col("text")))
-    sizes = sized.groupBy("source").agg(F.sum("_size").cast("long").alias("source_size"))
-    targets = source_targets(sizes, **settings).select(
-        F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target")
-    )
-    joined = sized.join(targets, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
-    rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(F.lit(0.0))
-    return joined.withColumn("_copies", copies(rate, F.col("doc_id"), seed))
+    """``(row, size, source_size, target, copies)``: each row of ``docs`` as a struct, so none of its names can clash."""
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    sized = docs.select(row, docs["source"].alias("source"), size_of(docs["text"]).alias("size"))
+    sizes = sized.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
+    targets = source_targets(sizes, **settings).withColumnRenamed("source", "from")
+    joined = sized.join(targets, F.col("source").eqNullSafe(F.col("from")), "left")
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    return joined.select("row", "size", "source_size", "target", copies(rate, F.col("row.doc_id"), seed).alias("copies"))
 
 
 def mix(docs: DataFrame, seed: str = "mix", **settings) -> DataFrame:
     """The mixed corpus: every row of ``docs`` as many times as its source's rate says."""
-    planned = plan_mix(docs, seed, **settings).where("_copies > 0")
-    return planned.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    planned = plan_mix(docs, seed, **settings).where("copies > 0")
+    return planned.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes from every document, over the whole table."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    planned = plan_mix(docs)
-    return planned.select(
-        "doc_id",
-        F.col("_size").alias("size"),
-        F.col("_source_size").alias("source_size"),
-        F.col("_target").alias("target"),
-        (F.col("_size") * F.col("_copies")).alias("taken"),
-    )
+    planned = plan_mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return planned.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 SQL = r"""

@@ -42,26 +42,25 @@ def shard_of(key: Column, weights: list[float]) -> Column:
 
 
 def place(docs: DataFrame, weights: list[float], grown: list[float] | None = None) -> DataFrame:
-    """``docs`` with an int column ``shard``, and ``grown_shard`` if a second list of weights is given."""
+    """``docs`` with an int column ``shard``, and ``grown_shard`` if a second list of weights is given; columns of these names are replaced."""
     out = docs.withColumn("shard", shard_of(F.col("doc_id"), weights))
     return out.withColumn("grown_shard", shard_of(F.col("doc_id"), grown)) if grown else out
 
 
 def number_slots(placed: DataFrame, piece_rows: int = 20_000) -> DataFrame:
-    """Add ``slot``: 0, 1, 2 ... within each shard, ordered by piece, doc_id and what else tells rows apart."""
-    columns = placed.columns
+    """``placed`` with ``slot``: 0, 1, 2 ... within each shard, ordered by piece, doc_id and what else tells rows apart."""
     shards = max(1, placed.select("shard").distinct().count())
     pieces = max(1, math.ceil(placed.count() / shards / piece_rows))
-    cut = placed.withColumn("_piece", F.pmod(F.xxhash64("doc_id"), F.lit(pieces)).cast("int"))
-    counts = cut.groupBy("shard", "_piece").agg(F.count("*").alias("_n"))
-    before = W.partitionBy("shard").orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
-    first = counts.select(
-        F.col("shard").alias("_s"), F.col("_piece").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first")
-    )
-    within = W.partitionBy("shard", "_piece").orderBy("doc_id", *[c for c in columns if c not in ("doc_id", "shard")])
-    numbered = cut.withColumn("_at", F.row_number().over(within) - 1)
-    joined = numbered.join(first, (F.col("shard") == F.col("_s")) & (F.col("_piece") == F.col("_p")))
-    return joined.select(*columns, (F.col("_first") + F.col("_at")).cast("long").alias("slot"))
+    piece = F.pmod(F.xxhash64(placed["doc_id"]), F.lit(pieces)).cast("int")
+    row = F.struct(*[placed[c] for c in placed.columns])
+    cut = placed.select(row.alias("row"), placed["shard"].alias("shard"), piece.alias("piece"))
+    counts = cut.groupBy("shard", "piece").agg(F.count("*").alias("n"))
+    before = W.partitionBy("shard").orderBy("piece").rowsBetween(W.unboundedPreceding, -1)
+    first = counts.select("shard", "piece", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    within = W.partitionBy("shard", "piece").orderBy("row.doc_id", "row")
+    numbered = cut.withColumn("at", F.row_number().over(within) - 1)
+    joined = numbered.join(first, ["shard", "piece"])
+    return joined.select("row.*", (F.col("first") + F.col("at")).cast("long").alias("slot"))
 
 
 def op10_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:

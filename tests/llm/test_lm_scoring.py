@@ -1,0 +1,112 @@
+import math
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from ledgerloom.llm import lm_scoring as m
+from ledgerloom.llm.common import materialize
+
+
+def brute(rows, order):
+    """Scores from a plain trie of nested counters."""
+    data = [(t or "").encode().lower() for _, t in rows]
+    taught = [zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2 for i, _ in rows]
+    trie, words = [defaultdict(Counter) for _ in range(order + 1)], Counter()
+    for d, t in zip(data, taught, strict=True):
+        if t:
+            words.update([*d.split(), b""])
+            b = b"\xfe" * order + d + b"\xff"
+            for j in range(order, len(b)):
+                for k in range(order + 1):
+                    trie[k][b[j - k : j]][b[j]] += 1
+    n, v, out = sum(words.values()), len(words), []
+    for d, t in zip(data, taught, strict=True):
+        b, total = b"\xfe" * order + d + b"\xff", 0.0
+        for j in range(order, len(b)):
+            excluded = set()
+            for k in range(order, -1, -1):
+                found = trie[k].get(b[j - k : j])
+                if found is None:
+                    continue
+                left = {s: c for s, c in found.items() if s not in excluded}
+                if b[j] in left:
+                    total += math.log10((2 * left[b[j]] - 1) / (2 * sum(left.values())))
+                    break
+                if left:
+                    total += math.log10(len(left) / (2 * sum(left.values())))
+                excluded |= set(found)
+            else:
+                total += math.log10(1 / (255 - len(excluded)))
+        tokens = [*d.split(), b""]
+        base = sum(math.log10((words.get(w, 0) + 1) / (n + v + 1)) for w in tokens)
+        out.append((not t, len(tokens), sum(w in words for w in tokens), n, base, total))
+    return out
+
+
+def same(got, want):
+    assert got[:4] == want[:4]
+    assert got[4] == pytest.approx(want[4], rel=1e-9)
+    assert got[5] == pytest.approx(want[5], rel=1e-9)
+
+
+@pytest.mark.parametrize("chunk", [1 << 12, 1 << 25])
+def test_brute_force_whatever_the_chunks(spark, documents, chunk):
+    some = documents.where("doc_id < 40").select("doc_id", "text")
+    got = {r["doc_id"]: r for r in m.score(materialize(some, "some"), order=3, chunk=chunk).collect()}
+    rows = [tuple(r) for r in some.collect()]
+    for (i, _), want in zip(rows, brute(rows, 3), strict=True):
+        r = got[i]
+        same((r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score), want)
+
+
+def test_probabilities_sum_to_one():
+    """After any context the symbols' probabilities sum to one."""
+    grams = Counter()
+    for text in (b"abracadabra", b"abba", b"cab"):
+        b = b"\xfe" * 3 + text + b"\xff"
+        grams.update(int.from_bytes(b[i : i + 4]) for i in range(len(b) - 3))
+    pairs = np.bincount([g & 0xFFFF for g in grams.elements()], minlength=1 << 16)
+    for context in (b"bra", b"zab", b"zzb", b"zzz", b"\xfe\xfe\xfe"):
+        asked = {int.from_bytes(context + bytes([s])) for s in [*range(254), 255]}
+        keys = np.array(sorted(asked | grams.keys()))
+        values = m.log_values(keys, np.array([grams[k] for k in keys.tolist()]), pairs, 3)
+        mine = np.isin(keys, list(asked))
+        assert mine.sum() == 255
+        assert (10 ** values[mine]).sum() == pytest.approx(1, abs=1e-9)
+
+
+def test_ranges_merge_in_rounds(spark, documents, monkeypatch):
+    some = documents.where("doc_id < 40").select("doc_id", "text")
+    plain = {r["doc_id"]: r["score"] for r in m.score(materialize(some, "some"), order=3).collect()}
+    monkeypatch.setattr(m, "FAN", 2)
+    got = {r["doc_id"]: r["score"] for r in m.score(materialize(some, "some"), order=3, chunk=1 << 13).collect()}
+    assert got == pytest.approx(plain)
+
+
+def test_odd_rows_and_no_rows(spark, odd, none):
+    got = m.score(materialize(odd, "odd"), order=2).collect()
+    assert len(got) == 11
+    assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in got)
+    assert {r["n_tokens"] for r in got if r["doc_id"] in (3, 4, 5)} == {1}
+    assert m.score(materialize(none, "none"), order=2).count() == 0
+
+
+def test_nothing_taught(spark):
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
+    df = materialize(spark.createDataFrame([(held, "ab")], "doc_id long, text string"), "held")
+    r = m.score(df, order=2).first()
+    assert (r.n_known, r.train_tokens) == (0, 0)
+    assert r.score == pytest.approx(-3 * math.log10(255))
+
+
+def test_query_against_brute_force(spark, documents, saved):
+    from ledgerloom.llm.catalogue import QUERIES
+
+    few = documents.where("length(text) < 900").select("doc_id", "text")
+    got = {r["doc_id"]: r for r in QUERIES["op2_ppm"](spark, saved(documents=few)).collect()}
+    rows = [tuple(r) for r in few.collect()]
+    for (i, _), want in zip(rows, brute(rows, m.ORDER), strict=True):
+        r = got[i]
+        same((r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score), want)
