@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import has_keyword
+from ledgerloom.shipping import ship
+
+ship(__name__)
 
 
 def fixed_chunks(docs: DataFrame, size: int = 2000, overlap: int = 200, text: str = "text") -> DataFrame:

@@ -28,8 +28,7 @@ def explode_recent(submissions: DataFrame) -> DataFrame:
     flag = F.coalesce(F.col("f.x1"), F.col("f.x2"), F.lit(0)) == 1
     return rows.select(
         "cik", "pos", "f.accession_number", "f.form_type", parse_utc(F.col("f.accepted")).alias("acceptance_date"), "f.primary_document",
-        flag.alias("is_xbrl"), F.col("f.filing_date").cast("string"), F.col("f.report_date").cast("string"), F.col("f.act").cast("string"),
-        F.col("f.items").cast("string"), F.col("f.size").cast("long"),
+        flag.alias("is_xbrl"), *[F.col(f"f.{n}").cast("string").alias(n) for n in ("filing_date", "report_date", "act", "items")], F.col("f.size").cast("long").alias("size"),
     )
 
 

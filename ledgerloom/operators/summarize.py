@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.parsing import parse_summary
 from ledgerloom.functions.text import format_prompt
+from ledgerloom.shipping import ship
+
+ship(__name__)
 
 #: A model takes prompts and gives as many answers.
 Model = Callable[[list[str]], list[str]]

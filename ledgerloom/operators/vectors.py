@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import stable_id
 from ledgerloom.functions.vectors import measure
+from ledgerloom.shipping import ship
+
+ship(__name__)
 
 #: An embedder takes texts and gives a matrix with a row for each.
 Embedder = Callable[[list[str]], np.ndarray]
@@ -63,9 +66,9 @@ def _fs(spark: SparkSession, path: str):
 
 def ensure_collection(spark: SparkSession, path: str, size: int | None = None, metric: str = "Cosine", load: Callable[[], Embedder] = hashing_embedder) -> dict:
     """The collection's properties; made from the arguments if it does not exist, else read and left as they are."""
-    where, fs = _fs(spark, f"{path}/_collection.json")
+    where, fs = _fs(spark, f"{path}/collection.json")
     if fs.exists(where):
-        return json.loads(spark.read.text(f"{path}/_collection.json", wholetext=True).first()[0])
+        return json.loads(spark.read.text(f"{path}/collection.json", wholetext=True).first()[0])
     made = {"size": size or dimension(load), "metric": metric if metric in METRICS else "Cosine", "snapshot": None}
     _write(fs, where, made)
     return made
@@ -93,7 +96,7 @@ def upsert(points: DataFrame, path: str, **collection) -> DataFrame:
     number = (old or 0) + 1
     merged = new if old is None else read_collection(spark, path).join(new, "id", "left_anti").unionByName(new, allowMissingColumns=True)
     merged.write.mode("overwrite").parquet(f"{path}/snapshot-{number}")
-    where, fs = _fs(spark, f"{path}/_collection.json")
+    where, fs = _fs(spark, f"{path}/collection.json")
     _write(fs, where, properties | {"snapshot": number})
     return new.select("id")
 

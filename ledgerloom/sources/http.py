@@ -19,6 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ledgerloom.config import check_user_agent
+from ledgerloom.shipping import ship
+
+ship(__name__)
 
 #: A transport takes a URL and headers and gives (status, headers in lower case, body).
 Transport = Callable[[str, dict], tuple[int, dict, bytes]]

@@ -1,0 +1,37 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from ledgerloom.functions import vectors as v
+from ledgerloom.operators import vectors as m
+
+
+def test_metrics(spark):
+    a, b = [1.0, 2.0, 3.0], [2.0, 0.0, -1.0]
+    df = spark.createDataFrame([(a, b, [0.0] * 3)], "a array<float>, b array<float>, z array<float>")
+    x, y = F.col("a"), F.col("b")
+    got = df.select(v.dot(x, y), v.cosine(x, y), v.euclid(x, y), v.cosine(x, F.col("z"))).first()
+    want = (np.dot(a, b), np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b), np.linalg.norm(np.subtract(a, b)))
+    assert tuple(got)[:3] == pytest.approx(want) and got[3] is None
+    assert v.measure("other")[0] is v.cosine
+
+
+def test_embed_is_deterministic(spark):
+    df = spark.createDataFrame([(1, "Net revenue"), (2, "net REVENUE"), (3, None)], "id int, text string")
+    got = {r.id: r.vector for r in m.embed(df).collect()}
+    assert got[1] == got[2] and len(got[1]) == m.dimension() and sum(got[3]) == 0
+
+
+def test_upsert_and_search(spark, tmp_path):
+    path = str(tmp_path / "c")
+    schema = "id string, vector array<float>, text string"
+    assert m.ensure_collection(spark, path, 2, "odd") == {"size": 2, "metric": "Cosine", "snapshot": None}
+    assert m.ensure_collection(spark, path, 9, "Dot")["size"] == 2
+    assert m.upsert(spark.createDataFrame([("a", [1.0, 0.0], "old"), ("b", [0.0, 1.0], "old")], schema), path).count() == 2
+    m.upsert(spark.createDataFrame([("a", [1.0, 1.0], "new")], schema), path)
+    assert m.upsert(spark.createDataFrame([], schema), path).count() == 0
+    points = m.read_collection(spark, path)
+    assert {(r.id, r.text) for r in points.collect()} == {("a", "new"), ("b", "old")}
+    assert [r.id for r in m.search(points, [0.0, 1.0], 2).collect()] == ["b", "a"]
+    assert [r.id for r in m.search(points, [1.0, 1.0], 1, "Euclid").collect()] == ["a"]
+    assert [r.id for r in m.search(points, [1.0, 0.0], 1, "Dot").collect()] == ["a"]
