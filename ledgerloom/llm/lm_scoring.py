@@ -1,22 +1,25 @@
 """LM scoring by prediction by partial matching.
 
-Method: the trie of byte contexts up to ``order`` bytes is kept as tables of
-counted grams, one for each depth. A byte seen in its longest context is coded
+Method: the trie of byte contexts up to ``order`` bytes is kept as counted
+grams, one table for each depth. A byte seen in its longest context is coded
 there; otherwise an escape is coded and the next shorter context is tried, with
 the bytes that the longer one would have coded excluded. Of a context's
 remaining count, each remaining byte gives half a unit to the escape (method D,
 after exclusion); under the empty context all remaining symbols are equally
-likely. The model is
-pretrained on the training rows and frozen; each text ends in a symbol of its
-own, so scores are log10 probabilities of whole texts. A word unigram
-model with add-one smoothing gives the base score.
+likely. The model is pretrained on the training rows and frozen; each text ends
+in a symbol of its own, so scores are log10 probabilities of whole texts. A
+word unigram model with add-one smoothing gives the base score; its words are
+told apart by 64-bit hashes.
 
 Scale: texts are cut into chunks of about ``CHUNK`` bytes by their place in
-their file. Each chunk is reduced to its distinct grams and words before
-anything is shuffled. Log probabilities are worked out once for each distinct gram of
-the corpus by joins between the depth tables, and sent back to the chunks that
-hold it; nothing that grows with the corpus is broadcast or collected. A
-gram or word can have at most one row for each chunk. Texts are shuffled once.
+their file, and each chunk is reduced to its distinct grams and words before
+anything is shuffled. These go, as sorted arrays, to ``RANGES`` ranges: grams by
+the two bytes before their last, so that all longer contexts of a gram are in
+its range, and words by hash. Ranges of at most ``FAN`` chunks are merged at a
+time, in as many rounds as that takes. Each range works out its log
+probabilities, and sends each chunk those of its own grams. Beside the ranges
+only the counts of byte pairs are needed everywhere: 65,536 numbers at most.
+Texts are shuffled once, to meet the values of their chunk.
 
 Nulls and edge cases: a null or empty text has one token, the end, and codes
 one symbol; a null doc_id hashes as the empty text; repeated rows are scored
@@ -33,17 +36,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import crc_of_id, materialize, ship, table
+from ledgerloom.llm.common import crc_of_id, discard, materialize, ship, table
 
 ship(__name__)
 
 ORDER = 5
-CHUNK = 48 << 20
+CHUNK = 24 << 20
+#: Bytes of text that are worked on at once, ranges of grams and of words, and chunks that meet in one task.
+BLOCK, RANGES, FAN = 1 << 21, 128, 64
 #: Bytes that UTF-8 never has mark what precedes a text and its end.
 BEFORE, END = b"\xfe", b"\xff"
 #: Symbols that can follow: bytes 0 to 253 and the end.
@@ -66,7 +70,7 @@ def _gram_codes(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]
     return codes[fits], sizes
 
 
-def _blocks(texts: list[bytes], most: int = 1 << 22) -> Iterator[tuple[int, int]]:
+def _blocks(texts: list[bytes], most: int = BLOCK) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``most`` bytes."""
     start = held = 0
     for i, t in enumerate(texts):
@@ -78,12 +82,41 @@ def _blocks(texts: list[bytes], most: int = 1 << 22) -> Iterator[tuple[int, int]
         yield start, len(texts)
 
 
+def _packed(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences, which compress well."""
+    return np.diff(keys, prepend=np.int64(0)).tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(data, np.int64))
+
+
+def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and their summed counts."""
+    every = np.concatenate([np.zeros(0, np.int64), *keys])
+    distinct, which = np.unique(every, return_inverse=True)
+    return distinct, np.bincount(which, np.concatenate([np.zeros(0, np.int64), *counts]), len(distinct)).astype(np.int64)
+
+
+def _range_of_grams(codes: np.ndarray) -> np.ndarray:
+    """A range for each gram, by the two bytes before its last."""
+    pair = ((codes >> 8) & 0xFFFF).astype(np.uint32)
+    return ((pair * np.uint32(2654435761)) >> np.uint32(16)).astype(np.int64) % RANGES
+
+
+def _word_codes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
+
+
+GRAMS, WORDS, PAIRS = 0, 1, 2
+
+
 class _ChunkCounts:
-    """Distinct grams and words of one chunk with their counts in training rows."""
+    """Distinct grams and words of one chunk, with their counts in training rows."""
 
     def __init__(self, order: int):
         self.order, self.words, self.seen = order, Counter(), set()
-        self.codes, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.codes, self.counts = [], []
         self.waiting: list[tuple[bytes, bool]] = []
         self.held = 0
 
@@ -96,51 +129,123 @@ class _ChunkCounts:
             self.seen.update(tokens)
         self.waiting.append((text, taught))
         self.held += len(text)
-        if self.held >= 1 << 22:
+        if self.held >= BLOCK:
             self.flush()
 
     def flush(self) -> None:
         for wanted in (True, False):
             texts = [t for t, taught in self.waiting if taught is wanted]
-            if texts:
-                which, distinct = pd.factorize(_gram_codes(texts, self.order)[0])
-                n = np.bincount(which, minlength=len(distinct)) if wanted else np.zeros(len(distinct), np.int64)
-                which, self.codes = pd.factorize(np.concatenate((self.codes, distinct)))
-                self.counts = np.bincount(which, np.concatenate((self.counts, n)), len(self.codes)).astype(np.int64)
+            for a, b in _blocks(texts):
+                which, distinct = pd.factorize(_gram_codes(texts[a:b], self.order)[0])
+                self.codes.append(distinct)
+                self.counts.append(np.bincount(which, minlength=len(distinct)) if wanted else np.zeros(len(distinct), np.int64))
+        if len(self.codes) > 8:
+            codes, counts = _merged(self.codes, self.counts)
+            self.codes, self.counts = [codes], [counts]
         self.waiting, self.held = [], 0
 
-
-def _place(docs: DataFrame, chunk: int) -> DataFrame:
-    """``(file, part, doc_id, text, taught)``: rows with their chunk, from a scan of Parquet files.
+    def rows(self) -> Iterator[tuple[int, int, bytes, bytes]]:
+        """``(kind, range, keys, counts)``."""
+        self.flush()
+        codes, counts = _merged(self.codes, self.counts)
+        pairs = np.bincount(codes & 0xFFFF, counts, 1 << 16).astype(np.int64)
+        used = np.flatnonzero(pairs)
+        yield PAIRS, 0, _packed(used), pairs[used].tobytes()
+        yield from self._by_range(GRAMS, codes, counts, _range_of_grams(codes))
+        words = list(self.words) + list(self.seen - self.words.keys())
+        n = np.zeros(len(words), np.int64)
+        n[: len(self.words)] = np.fromiter(self.words.values(), np.int64, len(self.words))
+        codes, counts = _merged([_word_codes(words)], [n])
+        yield from self._by_range(WORDS, codes, counts, codes % RANGES)
+
+    @staticmethod
+    def _by_range(kind: int, codes: np.ndarray, counts: np.ndarray, ranges: np.ndarray) -> Iterator[tuple[int, int, bytes, bytes]]:
+        order = np.argsort(ranges, kind="stable")  # keys stay sorted within a range
+        cuts = np.searchsorted(ranges[order], np.arange(RANGES + 1))
+        for r in range(RANGES):
+            some = order[cuts[r] : cuts[r + 1]]
+            if len(some):
+                yield kind, r, _packed(codes[some]), counts[some].tobytes()
+
+
+def log_values(grams: np.ndarray, counts: np.ndarray, pairs: np.ndarray, order: int) -> np.ndarray:
+    """log10 probability of the last byte of each gram after the others.
+
+    ``grams`` are sorted and, for each context of two bytes that occurs, all there are; ``pairs`` counts all byte pairs.
+    """
+    trained = counts > 0
+    out, done = np.zeros(len(grams)), np.zeros(len(grams), bool)
+    above = None  # the grams of the next longer contexts
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for k in range(order, -1, -1):
+            mask = (1 << 8 * (k + 1)) - 1
+            if k >= 2:
+                table, which = np.unique(grams[trained] & mask, return_inverse=True)
+                n = np.bincount(which, counts[trained], len(table))
+            elif k == 1:
+                table = np.flatnonzero(pairs)
+                n = pairs[table].astype(float)
+            else:
+                ends = pairs.reshape(256, 256).sum(axis=0)
+                table = np.flatnonzero(ends)
+                n = ends[table].astype(float)
+            contexts, of = np.unique(table >> 8, return_inverse=True)
+            total, distinct = np.bincount(of, n, len(contexts)), np.bincount(of, minlength=len(contexts)).astype(float)
+            mine = grams & mask
+            count, found = _look_up(table, n, mine)
+            left, known = _look_up(contexts, total, mine >> 8)
+            kinds, _ = _look_up(contexts, distinct, mine >> 8)
+            if above is not None:  # take out what the longer context has coded
+                lower, _ = _look_up(table, n, above & mask)
+                longer, of = np.unique(above >> 8, return_inverse=True)
+                mass, number = np.bincount(of, lower, len(longer)), np.bincount(of, minlength=len(longer)).astype(float)
+                context = (grams & ((1 << 8 * (k + 2)) - 1)) >> 8
+                left, kinds = left - _look_up(longer, mass, context)[0], kinds - _look_up(longer, number, context)[0]
+            hit = ~done & known & found
+            out[hit] += np.log10((2 * count[hit] - 1) / (2 * left[hit]))
+            escaped = ~done & known & ~found & (kinds > 0)
+            out[escaped] += np.log10(kinds[escaped] / (2 * left[escaped]))
+            done |= hit
+            above = table
+    out[~done] -= np.log10(ALPHABET - len(above))
+    return out
+
+
+def _look_up(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of sorted keys, zero where there is none; whether there is one."""
+    if not len(keys):
+        return np.zeros(len(asked)), np.zeros(len(asked), bool)
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    found = keys[at] == asked
+    return np.where(found, values[at], 0), found
+
+
+def _place(docs: DataFrame, chunk: int) -> tuple[DataFrame, int]:
+    """``(file, part, doc_id, text, taught)``: rows with their chunk, from a scan of Parquet files; about how many chunks.
 
     Row numbers within files do not depend on how a scan is split, so the chunks are the same in each pass.
     """
     size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     rows = max(1, int(chunk / max(1.0, size[1] / max(1, size[0]))))
-    return docs.select(
+    placed = docs.select(
         F.xxhash64("_metadata.file_path").alias("file"),
         F.floor(F.col("_metadata.row_index") / rows).cast("long").alias("part"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("text").cast("string").alias("text"),
         (~held_out()).alias("taught"),
     )
+    return placed, -(-size[0] // rows)
 
 
 def count_chunks(placed: DataFrame, order: int) -> DataFrame:
-    """``(file, part, gram, word, n)``: each chunk's distinct grams and words and their counts in training rows."""
-
-    def rows(key: tuple[int, int], c: _ChunkCounts) -> Iterator[pa.RecordBatch]:
-        c.flush()
-        words = list(c.words.items()) + [(w, 0) for w in c.seen - c.words.keys()]
-        n, m = len(c.codes), len(words)
-        names = ["file", "part", "gram", "word", "n"]
-        for i in range(0, n, 1 << 16):
-            j = min(n, i + (1 << 16))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(j - i, key[0])), pa.array(np.full(j - i, key[1])), pa.array(c.codes[i:j]), pa.nulls(j - i, pa.binary()), pa.array(c.counts[i:j])], names=names)
-        for i in range(0, m, 1 << 16):
-            some = words[i : i + (1 << 16)]
-            k = len(some)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, key[0])), pa.array(np.full(k, key[1])), pa.nulls(k, pa.int64()), pa.array([w for w, _ in some], pa.binary()), pa.array([x for _, x in some], pa.int64())], names=names)
+    """``(file, part, kind, range, keys, counts)``: each chunk's distinct grams, words and byte pairs, by range."""
+    names = ["file", "part", "kind", "range", "keys", "counts"]
+
+    def packed(key: tuple[int, int], held: _ChunkCounts) -> pa.RecordBatch:
+        kinds, ranges, keys, counts = zip(*held.rows(), strict=True)
+        n = len(kinds)
+        columns = [pa.array([key[0]] * n, pa.int64()), pa.array([key[1]] * n, pa.int64()), pa.array(kinds, pa.int32()), pa.array(ranges, pa.int32()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, None
@@ -149,60 +254,80 @@ def count_chunks(placed: DataFrame, order: int) -> DataFrame:
             for key, text, taught in zip(keys, batch.column(2), batch.column(3).to_pylist(), strict=True):
                 if key != at:
                     if held is not None:
-                        yield from rows(at, held)
+                        yield packed(at, held)
                     at, held = key, _ChunkCounts(order)
                 held.add((text.as_py() or "").encode("utf-8", "surrogatepass").lower(), taught)
         if held is not None:
-            yield from rows(at, held)
-
-    return placed.select("file", "part", "text", "taught").mapInArrow(run, "file long, part long, gram long, word binary, n long")
-
-
-def gram_values(totals: DataFrame, order: int) -> DataFrame:
-    """``(gram, value)``: log10 probability of the last byte of every gram after the others, from ``(gram, n)``."""
-    totals = materialize(totals, "totals")
-    mask = [(1 << 8 * (k + 1)) - 1 for k in range(order + 1)]
-    tables = {order: totals.where("n > 0")}
-    for k in range(order - 1, -1, -1):
-        suffix = F.col("gram").bitwiseAND(F.lit(mask[k])).alias("gram")
-        tables[k] = materialize(tables[k + 1].groupBy(suffix).agg(F.sum("n").alias("n")), f"depth{k}")
-    contexts = {}
-    for k in range(order, -1, -1):
-        found = tables[k].select(F.shiftright("gram", 8).alias("ctx"), "gram", "n")
-        if k:  # the mass that this context's bytes have one depth lower
-            lower = tables[k - 1].select(F.col("gram").alias("low"), F.col("n").alias("low_n"))
-            found = found.join(lower, found["gram"].bitwiseAND(F.lit(mask[k - 1])) == lower["low"])
-        else:
-            found = found.withColumn("low_n", F.lit(0).cast("long"))
-        contexts[k] = materialize(found.groupBy("ctx").agg(F.sum("n").alias("t"), F.count("*").alias("d"), F.sum("low_n").alias("s")), f"contexts{k}")
-
-    top = contexts[order]
-    seen = tables[order].join(top, F.shiftright("gram", 8) == F.col("ctx")).select("gram", F.log10((2 * F.col("n") - 1) / (2 * F.col("t"))).alias("value"))
-    zero = F.lit(0).cast("long")
-    new = totals.where("n = 0").select("gram").join(top, F.shiftright("gram", 8) == F.col("ctx"), "left").select(
-        "gram",
-        F.coalesce(F.log10(F.col("d") / (2 * F.col("t"))), F.lit(0.0)).alias("value"),
-        F.lit(False).alias("done"),
-        F.coalesce("s", zero).alias("out_n"),
-        F.coalesce("d", zero).alias("out_d"),
-    )
-    for k in range(order - 1, -1, -1):
-        short = F.col("gram").bitwiseAND(F.lit(mask[k]))
-        counts = tables[k].select(F.col("gram").alias("g"), "n")
-        left_d, left_n = F.col("d") - F.col("out_d"), F.col("t") - F.col("out_n")
-        new = materialize(new.join(contexts[k], F.shiftright(short, 8) == F.col("ctx"), "left").join(counts, short == F.col("g"), "left").select(
-            "gram",
-            F.when(F.col("done") | F.col("d").isNull(), F.col("value"))
-            .when(F.col("n").isNotNull(), F.col("value") + F.log10((2 * F.col("n") - 1) / (2 * left_n)))
-            .when(left_d > 0, F.col("value") + F.log10(left_d / (2 * left_n)))
-            .otherwise(F.col("value"))
-            .alias("value"),
-            (F.col("done") | F.col("n").isNotNull()).alias("done"),
-            F.coalesce("s", "out_n").alias("out_n"),
-            F.coalesce("d", "out_d").alias("out_d"),
-        ), f"unseen{k}")
-    rest = F.when(F.col("done"), F.col("value")).otherwise(F.col("value") - F.log10((F.lit(ALPHABET) - F.col("out_d")).cast("double")))
-    return materialize(seen.unionByName(new.select("gram", rest.alias("value"))), "values")
+            yield packed(at, held)
+
+    return placed.select("file", "part", "text", "taught").mapInArrow(run, "file long, part long, kind int, range int, keys binary, counts binary")
+
+
+def _columns(table: pa.Table, *names: str) -> list[list]:
+    return [table.column(n).to_pylist() for n in names]
+
+
+def merge_ranges(counted: DataFrame, chunks: int) -> DataFrame:
+    """``(kind, range, keys, counts)``, one row for each range: its chunks summed, ``FAN`` at a time."""
+
+    def run(key, table):
+        keys, counts = _columns(table, "keys", "counts")
+        k, n = _merged([_unpacked(x) for x in keys], [np.frombuffer(x, np.int64) for x in counts])
+        at = table.column("at")[0].as_py()
+        return pa.table({"kind": pa.array([key[0].as_py()], pa.int32()), "range": pa.array([key[1].as_py()], pa.int32()), "at": pa.array([at], pa.int64()), "keys": pa.array([_packed(k)], pa.binary()), "counts": pa.array([n.tobytes()], pa.binary())})
+
+    blocks = -(-chunks // FAN)
+    out = counted.select("kind", "range", F.pmod(F.xxhash64("file", "part"), F.lit(blocks)).alias("at"), "keys", "counts")
+    schema = "kind int, range int, at long, keys binary, counts binary"
+    while True:
+        out = materialize(out.groupBy("kind", "range", "at").applyInArrow(run, schema), "ranges")
+        if blocks == 1:
+            return out.drop("at")
+        blocks = -(-blocks // FAN)
+        out = out.withColumn("at", F.pmod(F.col("at"), F.lit(blocks)))
+
+
+def range_values(merged: DataFrame, order: int) -> DataFrame:
+    """``(kind, range, keys, values, tokens, distinct)``: log probabilities of grams, counts of words."""
+    rows = merged.where(F.col("kind") == PAIRS).select("keys", "counts").collect()  # one row, 65,536 numbers at most
+    pairs = np.zeros(1 << 16, np.int64)
+    for r in rows:
+        pairs[_unpacked(r["keys"])] = np.frombuffer(r["counts"], np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], [], []]
+            for kind, keys, counts in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                n = np.frombuffer(counts, np.int64)
+                values = log_values(_unpacked(keys), n, pairs, order) if kind == GRAMS else n.astype(float)
+                for c, v in zip(out, (values.tobytes(), int(n.sum()), int((n > 0).sum())), strict=True):
+                    c.append(v)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out[0], pa.binary()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], names=["kind", "range", "keys", "values", "tokens", "distinct"])
+
+    wanted = merged.where(F.col("kind") != PAIRS).select("kind", "range", "keys", "counts").repartition("kind", "range")
+    return wanted.mapInArrow(run, "kind int, range int, keys binary, values binary, tokens long, distinct long")
+
+
+def chunk_values(counted: DataFrame, valued: DataFrame, chunks: int) -> DataFrame:
+    """``(file, part, kind, keys, values)``: for each chunk the values of its own keys."""
+    blocks = -(-chunks // FAN)
+
+    def run(key, left, right):
+        files, parts, mine = _columns(left, "file", "part", "keys")
+        keys, values = (right.column(n)[0].as_py() for n in ("keys", "values"))
+        keys, values = _unpacked(keys), np.frombuffer(values, float)
+        found = [values[np.searchsorted(keys, _unpacked(m))].tobytes() for m in mine]
+        return pa.table({"file": pa.array(files, pa.int64()), "part": pa.array(parts, pa.int64()), "kind": pa.array([key[0].as_py()] * len(mine), pa.int32()), "keys": pa.array(mine, pa.binary()), "values": pa.array(found, pa.binary())})
+
+    asked = counted.where(F.col("kind") != PAIRS).withColumn("at", F.pmod(F.xxhash64("file", "part"), F.lit(blocks)))
+    given = valued.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("at", F.col("at").cast("long"))
+    both = asked.groupBy("kind", "range", "at").cogroup(given.groupBy("kind", "range", "at"))
+    return both.applyInArrow(lambda k, a, b: run(k, a, b) if a.num_rows else _no_values(), "file long, part long, kind int, keys binary, values binary")
+
+
+def _no_values() -> pa.Table:
+    kinds = {"file": pa.int64(), "part": pa.int64(), "kind": pa.int32(), "keys": pa.binary(), "values": pa.binary()}
+    return pa.table({n: pa.array([], k) for n, k in kinds.items()})
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -211,65 +336,60 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def score(docs: DataFrame, order: int = ORDER, chunk: int = CHUNK) -> DataFrame:
     """Scores of every row of ``docs``, which must be a scan of Parquet files (see :func:`ledgerloom.llm.common.materialize`)."""
-    placed = _place(docs, chunk)
+    placed, chunks = _place(docs, chunk)
+    chunks = max(1, chunks)
     counted = materialize(count_chunks(placed, order), "counted")
-    grams = counted.where("gram is not null").select("file", "part", "gram", "n")
-    words = counted.where("word is not null").select("file", "part", "word", "n")
-    total_words, distinct_words = (
-        words.where("n > 0").groupBy("word").agg(F.sum("n").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    )
-    values = gram_values(grams.groupBy("gram").agg(F.sum("n").alias("n")), order)
-    empty = F.lit(None).cast("binary")
-    for_grams = grams.join(values, "gram").select("file", "part", "gram", empty.alias("word"), "value")
-    everywhere = F.sum("n").over(W.partitionBy("word"))  # one row for each chunk at most
-    # A word whose count is that of its chunk alone is counted there again and needs no row.
-    for_words = words.withColumn("all", everywhere).where("all <> n").select(
-        "file", "part", F.lit(None).cast("long").alias("gram"), "word", F.col("all").cast("double").alias("value")
-    )
+    merged = merge_ranges(counted, chunks)
+    valued = materialize(range_values(merged, order), "valued")
+    total_words, distinct_words = valued.where(F.col("kind") == WORDS).agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+    wanted = materialize(chunk_values(counted, valued, chunks), "wanted")
+    discard(counted, valued)
     spread = math.log10(total_words + distinct_words + 1)
 
-    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, texts = left.column("doc_id"), left.column("text")
+    def gathered(right: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        kinds, keys, values = _columns(right, "kind", "keys", "values")
+        mine = [i for i, k in enumerate(kinds) if k == kind]
+        codes = np.concatenate([np.zeros(0, np.int64), *[_unpacked(keys[i]) for i in mine]])
+        found = np.concatenate([np.zeros(0), *[np.frombuffer(values[i], float) for i in mine]])
+        at = np.argsort(codes)
+        return codes[at], found[at]
+
+    def run(key, left, right):
         taught = left.column("taught").to_pylist()
-        data = [(t.as_py() or "").encode("utf-8", "surrogatepass").lower() for t in texts]
-        of_gram = right.filter(pa.compute.is_valid(right.column("gram")))
-        codes, logs = of_gram.column("gram").to_numpy(), of_gram.column("value").to_numpy()
-        order_of = np.argsort(codes)
-        codes, logs = codes[order_of], logs[order_of]
-        of_word = right.filter(pa.compute.is_valid(right.column("word")))
-        known: Counter = Counter()
-        for text, t in zip(data, taught, strict=True):
-            if t:
-                known.update(text.split())
-                known[b""] += 1
-        for w, v in zip(of_word.column("word").to_pylist(), of_word.column("value").to_pylist(), strict=True):
-            known[w] = int(v)
+        data = [(t.as_py() or "").encode("utf-8", "surrogatepass").lower() for t in left.column("text")]
+        codes, values = gathered(right, WORDS)
+        vocabulary: set[bytes] = {b""}
+        for text in data:
+            vocabulary.update(text.split())
+        words = list(vocabulary)
+        logs = dict(zip(words, np.log10(values[np.searchsorted(codes, _word_codes(words))] + 1).tolist(), strict=True))
         n_tokens, n_known, base = [], [], []
         for text in data:
-            tokens = text.split()
-            tokens.append(b"")
-            found = [known.get(w, 0) for w in tokens]
-            n_tokens.append(len(tokens))
-            n_known.append(len(tokens) - found.count(0))
-            base.append(float(np.log10(np.array(found, float) + 1).sum()) - len(tokens) * spread)
+            found = [logs[w] for w in text.split()]
+            found.append(logs[b""])
+            n_tokens.append(len(found))
+            n_known.append(len(found) - found.count(0.0))
+            base.append(math.fsum(found) - len(found) * spread)
+        del logs, words, vocabulary
+        codes, values = gathered(right, GRAMS)
         scores = []
         for a, b in _blocks(data):
             found, sizes = _gram_codes(data[a:b], order)
             which, distinct = pd.factorize(found)
-            value = logs[np.searchsorted(codes, distinct)][which]
+            value = values[np.searchsorted(codes, distinct)][which]
             scores.append(np.add.reduceat(value, np.concatenate(([0], np.cumsum(sizes)[:-1]))))
         return pa.table(
             {
-                "doc_id": ids,
+                "doc_id": left.column("doc_id"),
                 "held_out": pa.array([not t for t in taught], pa.bool_()),
                 "n_tokens": pa.array(n_tokens, pa.int64()),
                 "n_known": pa.array(n_known, pa.int64()),
                 "base_score": pa.array(base, pa.float64()),
-                "score": pa.array(np.concatenate(scores) if scores else [], pa.float64()),
+                "score": pa.array(np.concatenate([np.zeros(0), *scores]), pa.float64()),
             }
         )
 
-    grouped = placed.groupBy("file", "part").cogroup(for_grams.unionByName(for_words).groupBy("file", "part"))
+    grouped = placed.groupBy("file", "part").cogroup(wanted.groupBy("file", "part"))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     return grouped.applyInArrow(run, schema).withColumn("train_tokens", F.lit(int(total_words)).cast("long"))
 

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import id_and_text, materialize, row_key, ship, table
+from ledgerloom.llm.common import discard, id_and_text, materialize, row_key, ship, table
 
 ship(__name__)
 
@@ -197,36 +197,44 @@ def string_rows(cells: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def repeated_strings(docs: DataFrame, length: int = LENGTH, q: int = Q, cell: int = CELL) -> DataFrame:
-    """``(key1, key2, first, last)``: ranges of offsets at which strings start that also start elsewhere."""
+    """``(key1, key2, ranges)``: for each text, ranges ``(first, last)`` of offsets where strings start that also start elsewhere."""
+    cell = min(cell, length)  # strings of a cell must have bytes in common
     place = ["key1", "key2", "at", "first", "last"]
     one = F.min(F.struct(*place)).alias("one")
 
     rows = materialize(anchor_rows(docs, length, q), "anchors")
     runs = materialize(rows.groupBy("bucket", "run1", "run2").agg(F.count("*").alias("n"), one), "runs")
-    in_full = rows.join(runs.where("n > 1").select("run1", "run2"), ["run1", "run2"]).select("key1", "key2", "first", "last")
+    twice = runs.where("n > 1").select("run1", "run2")
+    in_full = materialize(rows.join(twice, ["run1", "run2"]).select("key1", "key2", "first", "last"), "in_full")
     split = runs.groupBy("bucket").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    doubtful = runs.join(split, "bucket").select("one.*")
+    doubtful = materialize(runs.join(split, "bucket").select("one.*"), "doubtful")
+    discard(rows, runs)
 
     spans = materialize(spans_in_doubt(docs, doubtful, length), "spans")
+    discard(doubtful)
     cells = materialize(cell_rows(spans, length, cell), "cells")
-    wholes = cells.groupBy("core1", "core2", "whole1", "whole2").agg(F.count("*").alias("n"), one)
-    in_cells = cells.join(wholes.where("n > 1").select("whole1", "whole2"), ["whole1", "whole2"]).select("key1", "key2", "first", "last")
+    wholes = materialize(cells.groupBy("core1", "core2", "whole1", "whole2").agg(F.count("*").alias("n"), one), "wholes")
+    twice = wholes.where("n > 1").select("whole1", "whole2")
+    in_cells = materialize(cells.join(twice, ["whole1", "whole2"]).select("key1", "key2", "first", "last"), "in_cells")
     split = wholes.groupBy("core1", "core2").agg(F.count("*").alias("kinds")).where("kinds > 1")
     unsure = wholes.join(split, ["core1", "core2"]).select(
         "one.key1", "one.key2", "one.at", F.col("one.first").alias("low"), F.col("one.last").alias("high")
     )
-
     strings = materialize(string_rows(unsure.join(spans, ["key1", "key2", "at"]), length), "strings")
+    discard(spans, cells, wholes)
+
     twice = strings.groupBy("id1", "id2").agg(F.count("*").alias("n")).where("n > 1").select("id1", "id2")
     singly = strings.join(twice, ["id1", "id2"]).select("key1", "key2", "first", F.col("first").alias("last"))
-    return in_full.unionByName(in_cells).unionByName(singly)
+    ranges = in_full.unionByName(in_cells).unionByName(singly).groupBy("key1", "key2")
+    out = materialize(ranges.agg(F.collect_set(F.struct("first", "last")).alias("ranges")), "ranges")
+    discard(in_full, in_cells, strings)
+    return out
 
 
 def cut(docs: DataFrame, repeated: DataFrame, length: int = LENGTH, with_kept: bool = False) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`` for each row of ``docs``, and ``kept``, the bytes left, if wanted."""
-    ranges = repeated.groupBy("key1", "key2").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
     texts = id_and_text(docs).select("doc_id", "text", *row_key())
-    joined = texts.join(ranges, ["key1", "key2"], "left").select("doc_id", "text", "ranges")
+    joined = texts.join(repeated, ["key1", "key2"], "left").select("doc_id", "text", "ranges")
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_kept
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
