@@ -91,6 +91,21 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(data, np.int64))
 
 
+def _coded(values: np.ndarray) -> bytes:
+    """Values as their distinct ones and the place of each among these: few counts occur, so few values do."""
+    distinct, which = np.unique(values, return_inverse=True)
+    return np.int64(len(distinct)).tobytes() + distinct.tobytes() + which.astype(_place_type(len(distinct))).tobytes()
+
+
+def _decoded(data: bytes) -> np.ndarray:
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    return np.frombuffer(data, float, n, 8)[np.frombuffer(data, _place_type(n), offset=8 + 8 * n)]
+
+
+def _place_type(n: int) -> type:
+    return np.uint8 if n <= 1 << 8 else np.uint16 if n <= 1 << 16 else np.uint32
+
+
 def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys and their summed counts."""
     every = np.concatenate([np.zeros(0, np.int64), *keys])
@@ -300,7 +315,7 @@ def range_values(merged: DataFrame, order: int) -> DataFrame:
             for kind, keys, counts in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 n = np.frombuffer(counts, np.int64)
                 values = log_values(_unpacked(keys), n, pairs, order) if kind == GRAMS else n.astype(float)
-                for c, v in zip(out, (values.tobytes(), int(n.sum()), int((n > 0).sum())), strict=True):
+                for c, v in zip(out, (_coded(values), int(n.sum()), int((n > 0).sum())), strict=True):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out[0], pa.binary()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], names=["kind", "range", "keys", "values", "tokens", "distinct"])
 
@@ -315,8 +330,8 @@ def chunk_values(counted: DataFrame, valued: DataFrame, chunks: int) -> DataFram
     def run(key, left, right):
         files, parts, mine = _columns(left, "file", "part", "keys")
         keys, values = (right.column(n)[0].as_py() for n in ("keys", "values"))
-        keys, values = _unpacked(keys), np.frombuffer(values, float)
-        found = [values[np.searchsorted(keys, _unpacked(m))].tobytes() for m in mine]
+        keys, values = _unpacked(keys), _decoded(values)
+        found = [_coded(values[np.searchsorted(keys, _unpacked(m))]) for m in mine]
         return pa.table({"file": pa.array(files, pa.int64()), "part": pa.array(parts, pa.int64()), "kind": pa.array([key[0].as_py()] * len(mine), pa.int32()), "keys": pa.array(mine, pa.binary()), "values": pa.array(found, pa.binary())})
 
     asked = counted.where(F.col("kind") != PAIRS).withColumn("at", F.pmod(F.xxhash64("file", "part"), F.lit(blocks)))
@@ -350,7 +365,7 @@ def score(docs: DataFrame, order: int = ORDER, chunk: int = CHUNK) -> DataFrame:
         kinds, keys, values = _columns(right, "kind", "keys", "values")
         mine = [i for i, k in enumerate(kinds) if k == kind]
         codes = np.concatenate([np.zeros(0, np.int64), *[_unpacked(keys[i]) for i in mine]])
-        found = np.concatenate([np.zeros(0), *[np.frombuffer(values[i], float) for i in mine]])
+        found = np.concatenate([np.zeros(0), *[_decoded(values[i]) for i in mine]])
         at = np.argsort(codes)
         return codes[at], found[at]
 
