@@ -27,10 +27,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import connected_components, id_and_text, materialize, ship, table
+from ledgerloom.llm.common import connected_components, id_and_text, materialize, row_key, ship, table
 
 ship(__name__)
 
@@ -143,92 +143,144 @@ def _mixed(codes: np.ndarray, seed: int) -> np.ndarray:
     return x
 
 
-def _majority(codes: np.ndarray) -> int:
-    votes = np.zeros(64, np.int64)
-    for at in range(0, len(codes), 8192):
-        bits = np.unpackbits(codes[at : at + 8192].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        votes += np.add.reduce(bits, axis=0, dtype=np.int32)
-    return int(np.packbits(votes * 2 > len(codes), bitorder="little").view("<i8")[0])
+def shingle_codes(text: str | None, words: int = 5) -> np.ndarray:
+    """The 64-bit hashes of a text's distinct word shingles, sorted; a text of fewer words is one shingle, a blank one none."""
+    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not tokens:
+        return np.zeros(0, np.uint64)
+    norm, n = b" ".join(tokens), len(tokens)
+    if n <= words:
+        return np.array([xxhash.xxh64_intdigest(norm, 42)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, n) + 1)
+    starts, stops = np.concatenate(([0], ends[: n - words])).tolist(), (ends[words - 1 :] - 1).tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(norm[a:b], 42) for a, b in zip(starts, stops, strict=True)], np.uint64))
 
 
-def slice_keys(text: str | None, words: int = 5, size: int = 6, most: int = 16) -> tuple[int, int, list[int]]:
-    """A 128-bit SimHash over distinct word shingles, as two signed longs, and the keys of its slices.
+def slice_keys(text: str | None, words: int = 5, common: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[int, int, list[int]]:
+    """128 bits that name a text's set of shingles, as two signed longs, and the set's first shingles in the order of keys.
 
-    Shingles fall in 2 ** k slices by hash, k such that a slice holds ``size``
-    to twice as many; each slice's key stands for its exact set. Two sets whose
-    sizes differ by less than a factor of two share a k among k and k + 1. Of
-    the slices of one k the first ``most`` make keys: the same ones in each text.
+    The order is rare before ``common`` (sorted hashes and their counts), then by
+    mixed hash, the same for all texts. Two sets of a similarity of 0.8 or more share at
+    least 0.8 of either, so the first shingle they share is among the first
+    ``n - ceil(0.8 n) + 1`` of both: no such pair is without a common key.
     """
-    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not tokens:
+    return _keys_of(shingle_codes(text, words), common)
+
+
+def _keys_of(codes: np.ndarray, common: tuple[np.ndarray, np.ndarray] | None) -> tuple[int, int, list[int]]:
+    n = len(codes)
+    if not n:
         return 0, 0, [0]
-    norm, n = b" ".join(tokens), len(tokens)
-    if n <= words:
-        codes = np.array([xxhash.xxh64_intdigest(norm, 42)], np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, n) + 1)
-        starts, stops = np.concatenate(([0], ends[: n - words])).tolist(), (ends[words - 1 :] - 1).tolist()
-        digest = xxhash.xxh64_intdigest
-        codes = np.unique(np.array([digest(norm[a:b], 42) for a, b in zip(starts, stops, strict=True)], np.uint64))
-    place, stamp = _mixed(codes, 1), _mixed(codes, 2)
-    level = max(0, (len(codes) // size).bit_length() - 1)
-    keys = []
-    for k in (level, level + 1):
-        of = (place >> np.uint64(64 - k)) if k else np.zeros(len(place), np.uint64)
-        first = of < most
-        groups, which, count = np.unique(of[first], return_inverse=True, return_counts=True)
-        total = np.zeros(len(groups), np.uint64)
-        np.add.at(total, which, stamp[first])
-        fair = (count > 1) | (len(codes) < 2 * size)
-        keys.append(_mixed(total + groups * np.uint64(64) + np.uint64(k), 3)[fair])
-    return _majority(codes), _majority(_mixed(codes, 4)), np.concatenate(keys).view(np.int64).tolist()
-
-
-def similar(docs: DataFrame, words: int = 5, distance: int = 22) -> DataFrame:
-    """``(doc_id, node, component_id)``: components of texts with alike 128-bit fingerprints.
-
-    For similarities near 0.8 the distance is far beyond what blocks of bits can
-    find: copies differ in ten bits of 64. Here the pigeonhole is on the shingles. They
-    are split into slices, edits leave most slices of a close copy whole, and
-    texts that share a slice are compared by Hamming distance. The default
-    accepts a similarity of about 0.75 to 0.8 of five-word shingles. Within a
-    slice the texts are compared with two of them, not with each other, so a
-    large group makes two comparisons a text and slice.
+    rank = np.zeros(n, np.int64)
+    if common is not None and len(common[0]):
+        at = np.minimum(np.searchsorted(common[0], codes), len(common[0]) - 1)
+        rank = np.where(common[0][at] == codes, common[1][at], 0)
+    order = np.lexsort((_mixed(codes, 1), rank))[: n - (4 * n + 4) // 5 + 1]
+    one, two = (int(np.add.reduce(_mixed(codes, seed)).view(np.int64)) for seed in (2, 4))
+    return one, two, codes[order].view(np.int64).tolist()
+
+
+def _common_codes(docs: DataFrame, words: int, sample: int = 1 << 25, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of shingles that come often in a sample by content, and their counts. They only order keys: any order finds all pairs."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_codes(text.as_py(), words).view(np.int64))], names=["code"])
+
+    some = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(max(1, size // sample))) == 0)
+    got = some.mapInArrow(run, "code long").groupBy("code").count().where("count > 2").orderBy(F.desc("count"), "code").limit(most).collect()
+    codes, counts = np.array([r[0] for r in got], np.int64).view(np.uint64), np.array([r[1] for r in got], np.int64)
+    order = np.argsort(codes)
+    return codes[order], counts[order]
+
+
+def _alike(pairs: DataFrame, docs: DataFrame, marked: DataFrame, words: int) -> DataFrame:
+    """Those of ``pairs`` (nodes a, b) whose shingle sets have a Jaccard similarity of 0.8 or more, by the sets themselves."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    reps = marked.groupBy("node").agg(F.min(F.struct("key1", "key2")).alias("rep")).join(wanted, "node").select("node", "rep.*")
+    reps = materialize(reps, "candidates")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = [shingle_codes(t.as_py(), words).view(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.list_(pa.int64()))], names=["node", "codes"])
+
+    texts = docs.select(*row_key(), "text").join(reps, ["key1", "key2"]).dropDuplicates(["key1", "key2"])
+    sets = materialize(texts.select("node", "text").mapInArrow(run, "node long, codes array<long>"), "sets")
+    left, right = (sets.select(F.col("node").alias(n), F.col("codes").alias(f"{n}_codes")) for n in ("a", "b"))
+    shared, total = F.size(F.array_intersect("a_codes", "b_codes")), F.size("a_codes") + F.size("b_codes")
+    return materialize(pairs.join(left, "a").join(right, "b").where(9 * shared >= 4 * total).select("a", "b"), "alike")
+
+
+def similar(docs: DataFrame, words: int = 5) -> DataFrame:
+    """``(doc_id, key1, key2, node, root, component_id)``: components of texts whose shingle sets have a Jaccard similarity of 0.8 or more.
+
+    Exact and whole: each edge is checked on the sets of both texts, and every
+    pair at 0.8 or more is in one component. Texts with one set are one node.
+    Nodes that share a key (:func:`slice_keys`) and could still reach 0.8 by
+    their sizes and the key's places are candidates. They first meet one
+    node of each key only, the one that holds it earliest, which links a large group of copies with one check
+    a text and key; then the nodes of one key that are in different components
+    meet in pairs. So a group of one component makes no pairs; nodes that share
+    keys, pass by size and place, and yet stay apart make a pair each.
     """
+    docs = id_and_text(docs)
+    common = _common_codes(docs, words)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [slice_keys(t.as_py(), words) for t in batch.column(1)]
-            columns = [pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "fp1", "fp2", "keys"])
-
-    read = id_and_text(docs).mapInArrow(run, "doc_id long, fp1 long, fp2 long, keys array<long>")
-    marked = materialize(read.withColumn("node", F.xxhash64("fp1", "fp2")), "slices")
-    # Texts with one fingerprint are one node, whose slices are those of all of them.
-    nodes = marked.select("node", "fp1", "fp2", F.explode("keys").alias("key")).distinct()
-    one = F.struct("node", "fp1", "fp2")
-    ends = nodes.groupBy("key").agg(F.min(one).alias("low"), F.max(one).alias("high")).where("low.node <> high.node")
-    met = nodes.join(ends, "key")
-
-    def near(end: str) -> Column:
-        bits = F.bit_count(F.col("fp1").bitwiseXOR(F.col(f"{end}.fp1"))) + F.bit_count(F.col("fp2").bitwiseXOR(F.col(f"{end}.fp2")))
-        return F.when((bits <= distance) & (F.col("node") != F.col(f"{end}.node")), F.col(f"{end}.node"))
-
-    edges = met.select(F.col("node").alias("a"), F.explode(F.array(near("low"), near("high"))).alias("b")).where("b is not null")
-    roots = materialize(connected_components(edges), "roots")
+            sets = [shingle_codes(t.as_py(), words) for t in batch.column(3)]
+            got = [_keys_of(c, common) for c in sets]
+            columns = [pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([len(c) for c in sets], pa.int32()), pa.array([g[2] for g in got], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["doc_id", "key1", "key2", "fp1", "fp2", "n", "keys"])
+
+    schema = "doc_id long, key1 long, key2 long, fp1 long, fp2 long, n int, keys array<long>"
+    read = docs.select("doc_id", *row_key(), "text").mapInArrow(run, schema)
+    marked = materialize(read.select("doc_id", "key1", "key2", F.xxhash64("fp1", "fp2").alias("node"), "n", "keys"), "slices")
+    keyed = marked.select("node", "n", F.posexplode("keys").alias("place", "key"))
+    of_key = Window.partitionBy("key")
+    met = keyed.withColumns(
+        {"low": F.min("node").over(of_key), "high": F.max("node").over(of_key), "first": F.min(F.struct("place", "n", "node")).over(of_key)}
+    )
+    met = materialize(met.where("low <> high").select("key", "node", "n", "place", "first").distinct(), "met")
+
+    def reach(n: Column, place: Column, other_n: Column, other_place: Column) -> Column:
+        """Whether a first shared key at these places leaves enough shingles for 0.8."""
+        return 9 * F.least(n - place, other_n - other_place) >= 4 * (n + other_n)
+
+    def ordered(a: Column, b: Column) -> list[Column]:
+        return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+    can = reach(F.col("n"), F.col("place"), F.col("first.n"), F.col("first.place")) & (F.col("node") != F.col("first.node"))
+    pairs = materialize(met.where(can).select(*ordered(F.col("node"), F.col("first.node"))).distinct(), "pairs")
+    roots = materialize(connected_components(_alike(pairs, docs, marked, words)), "roots")
+    apart = met.join(roots, "node", "left").select("key", "node", "n", "place", F.coalesce("root", "node").alias("root"))
+    mixed = apart.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    apart = materialize(apart.join(mixed, "key"), "apart")
+    x, y = apart.alias("x"), apart.alias("y")
+    can = reach(F.col("x.n"), F.col("x.place"), F.col("y.n"), F.col("y.place"))
+    more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & can)
+    more = materialize(more.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "more")
+    if not more.isEmpty():
+        linked = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        roots = materialize(connected_components(linked.unionByName(_alike(more, docs, marked, words))), "roots")
     low = marked.groupBy("node").agg(F.min("doc_id").alias("low"))
     labelled = low.join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     component = labelled.groupBy("root").agg(F.min("low").alias("component_id"))
-    by_node = labelled.join(component, "root").select("node", "component_id")
-    return marked.join(by_node, "node").select("doc_id", "node", "component_id")
+    by_node = labelled.join(component, "root").select("node", "root", "component_id")
+    return marked.join(by_node, "node").select("doc_id", "key1", "key2", "node", "root", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 5, distance: int = 22) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component of :func:`similar`, the row with the smallest doc_id.
 
     Rows that repeat a doc_id count once. A component whose ids are all null keeps none of them apart: those rows
     stay, once for each distinct text.
     """
-    marked = similar(docs, words, distance)
+    marked = similar(docs, words)
     keepers = marked.where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
     kept = docs.join(keepers, docs["doc_id"] == keepers["_keep"], "left_semi").dropDuplicates(["doc_id"])
     nameless = docs.where("doc_id is null").dropDuplicates(["text"])

@@ -113,3 +113,27 @@ def test_slice_keys_of_sets():
     assert a == m.slice_keys("A b c d e f g h i j k l m n o p q r s t u v w x y z")
     assert m.slice_keys(None) == (0, 0, [0])
     assert len(np.unique(a[2])) == len(a[2])
+
+
+def five(text):
+    w = text.split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def alike(a, b):
+    return len(a & b) / len(a | b)
+
+
+def family(rng, share, size=21, words=200):
+    """Texts with one core of ``share`` of their words, the rest their own."""
+    new = lambda n: ["".join(rng.choices("abcdefghij", k=8)) for _ in range(n)]
+    core = new(round(words * share))
+    return [" ".join(core + new(words - len(core))) for _ in range(size)]
+
+
+@pytest.mark.parametrize("share", [0.76, 0.81, 0.84, 0.865])
+def test_a_family_under_the_limit_stays_whole(spark, share):
+    texts = family(random.Random(5), share)
+    got = [alike(five(a), five(b)) for i, a in enumerate(texts) for b in texts[i + 1 :]]
+    assert 0.59 < min(got) <= max(got) < 0.78
+    assert m.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).count() == len(texts)
