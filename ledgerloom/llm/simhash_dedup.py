@@ -275,16 +275,17 @@ def similar(docs: DataFrame, words: int = 5) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each component of :func:`similar`, the row with the smallest doc_id.
+    """The rows of ``docs`` without near-duplicates: of each component of :func:`similar` one row.
 
-    Rows that repeat a doc_id count once. A component whose ids are all null keeps none of them apart: those rows
-    stay, once for each distinct text.
+    It is the row with the smallest doc_id, nulls last, and then the smallest hash of
+    id and text, so two texts of one doc_id that are not alike both stay. Rows that repeat id and text count once.
     """
     marked = similar(docs, words)
-    keepers = marked.where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(keepers, docs["doc_id"] == keepers["_keep"], "left_semi").dropDuplicates(["doc_id"])
-    nameless = docs.where("doc_id is null").dropDuplicates(["text"])
-    return kept.unionByName(nameless)
+    one = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key1", "key2")).alias("one")
+    keepers = marked.groupBy("root").agg(one).select("one.key1", "one.key2")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    kept = rows.select("row", *row_key()).join(keepers, ["key1", "key2"], "left_semi")
+    return kept.dropDuplicates(["key1", "key2"]).select("row.*")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

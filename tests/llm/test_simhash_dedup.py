@@ -137,3 +137,11 @@ def test_a_family_under_the_limit_stays_whole(spark, share):
     got = [alike(five(a), five(b)) for i, a in enumerate(texts) for b in texts[i + 1 :]]
     assert 0.59 < min(got) <= max(got) < 0.78
     assert m.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).count() == len(texts)
+
+
+def test_rows_of_one_id_or_none_go_only_as_near_copies(spark):
+    near, other, third = ("".join(random.Random(i).choices("abcd ", k=900)) for i in (1, 2, 3))
+    rows = [(1, near), (2, near + " end"), (2, other), (None, near + " end"), (None, third), (None, third + " end"), (None, third)]
+    kept = [(r.doc_id, r.text) for r in m.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(kept) == 3 and (1, near) in kept and (2, other) in kept
+    assert {k for k in kept if k[0] is None} <= {(None, third), (None, third + " end")}
