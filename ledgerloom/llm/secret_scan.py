@@ -22,7 +22,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -66,7 +68,8 @@ def base_matches(text: str) -> list[tuple[int, int, int]]:
 
 
 def weak_parts(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """``(start, rank, end)`` of weak parts that overlap no base match and no earlier weak part."""
+    """``(start, rank, end)`` of weak parts: identifiers and secrets that overlap no base match and no earlier one of them,
+    and endpoints that overlap no earlier endpoint and are not inside one of the others. What stands in an endpoint stays."""
     named = ":" in text or "=" in text
     raw = [(m.start(), 4, m.end()) for m in WEAK_ACCESS.finditer(text)]
     if named:
@@ -79,18 +82,26 @@ def weak_parts(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
         token = m[0]
         if any(c.isdigit() for c in token) and any(c.islower() for c in token) and any(c.isupper() for c in token):
             raw.append((m.start(), 3, m.end()))
-    raw += [(m.start(), 5, m.end()) for m in ENDPOINT.finditer(text)]
-    taken = sorted((s, e) for s, _, e in base)
+    starts, ends = _bounds(base)
     out: list[tuple[int, int, int]] = []
-    at = reached = 0
+    reached = 0
     for s, rank, e in sorted(raw):
-        while at < len(taken) and taken[at][0] < e:
-            reached = max(reached, taken[at][1])
-            at += 1
-        if reached <= s:
+        before = bisect_left(starts, e)
+        if reached <= s and not (before and ends[before - 1] > s):
             out.append((s, rank, e))
             reached = e
-    return out
+    starts, ends = _bounds(base + out)
+    for m in ENDPOINT.finditer(text):
+        before = bisect_right(starts, m.start())
+        if not (before and ends[before - 1] >= m.end()):
+            out.append((m.start(), 5, m.end()))
+    return sorted(out)
+
+
+def _bounds(parts: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts in order, and for each the last end up to it."""
+    spans = sorted((s, e) for s, _, e in parts)
+    return [s for s, _ in spans], list(accumulate((e for _, e in spans), max))
 
 
 def written(parts: list[tuple[int, int, int]]) -> str:

@@ -76,3 +76,14 @@ def test_query(spark, odd, none, saved):
     empty = next(r for r in got if r.doc_id == 3)
     assert (empty.spans, empty.base_sha256) == ("", hashlib.sha256(b"").hexdigest())
     assert QUERIES["op3_secret_scan"](spark, saved(documents=none)).count() == 0
+
+
+def test_credentials_inside_an_endpoint(spark):
+    texts = ["see https://h/login?user=bob&pass=tiger99 now", "jdbc:mysql://h/db?user=root&pwd=abc123", "https://h/x?user=bob&password=abcdefghijkl1", "https://h/login?user=bob"]
+    got = rows_of(spark, texts)
+    assert [sorted(k for _, k, _ in g) for g in got] == [["endpoint", "weak_access", "weak_secret"]] * 2 + [["endpoint", "weak_access"], []]
+    assert [texts[0][s:e] for s, _, e in got[0]] == ["https://h/login?user=bob&pass=tiger99", "user=bob", "pass=tiger99"]
+
+
+def test_a_part_rejected_for_a_base_match_hides_no_other():
+    assert m.weak_parts("account=pwd=abc123@xyzw", [(19, 0, 23)]) == [(8, 3, 18)]
