@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import connected_components, id_and_text, materialize, row_key, ship, table
+from ledgerloom.llm.common import connected_components, discard, id_and_text, materialize, row_key, ship, table
 
 ship(__name__)
 
@@ -210,9 +210,12 @@ def _alike(pairs: DataFrame, docs: DataFrame, marked: DataFrame, words: int) ->
 
     texts = docs.select(*row_key(), "text").join(reps, ["key1", "key2"]).dropDuplicates(["key1", "key2"])
     sets = materialize(texts.select("node", "text").mapInArrow(run, "node long, codes array<long>"), "sets")
+    discard(reps)
     left, right = (sets.select(F.col("node").alias(n), F.col("codes").alias(f"{n}_codes")) for n in ("a", "b"))
     shared, total = F.size(F.array_intersect("a_codes", "b_codes")), F.size("a_codes") + F.size("b_codes")
-    return materialize(pairs.join(left, "a").join(right, "b").where(9 * shared >= 4 * total).select("a", "b"), "alike")
+    out = materialize(pairs.join(left, "a").join(right, "b").where(9 * shared >= 4 * total).select("a", "b"), "alike")
+    discard(sets)
+    return out
 
 
 def similar(docs: DataFrame, words: int = 5) -> DataFrame:
@@ -239,13 +242,15 @@ def similar(docs: DataFrame, words: int = 5) -> DataFrame:
 
     schema = "doc_id long, key1 long, key2 long, fp1 long, fp2 long, n int, keys array<long>"
     read = docs.select("doc_id", *row_key(), "text").mapInArrow(run, schema)
-    marked = materialize(read.select("doc_id", "key1", "key2", F.xxhash64("fp1", "fp2").alias("node"), "n", "keys"), "slices")
-    keyed = marked.select("node", "n", F.posexplode("keys").alias("place", "key"))
+    slices = materialize(read.select("doc_id", "key1", "key2", F.xxhash64("fp1", "fp2").alias("node"), "n", "keys"), "slices")
+    marked = materialize(slices.select("doc_id", "key1", "key2", "node"), "marked")
+    keyed = slices.select("node", "n", F.posexplode("keys").alias("place", "key"))
     of_key = Window.partitionBy("key")
     met = keyed.withColumns(
         {"low": F.min("node").over(of_key), "high": F.max("node").over(of_key), "first": F.min(F.struct("place", "n", "node")).over(of_key)}
     )
     met = materialize(met.where("low <> high").select("key", "node", "n", "place", "first").distinct(), "met")
+    discard(slices)
 
     def reach(n: Column, place: Column, other_n: Column, other_place: Column) -> Column:
         """Whether a first shared key at these places leaves enough shingles for 0.8."""
@@ -260,10 +265,12 @@ def similar(docs: DataFrame, words: int = 5) -> DataFrame:
     apart = met.join(roots, "node", "left").select("key", "node", "n", "place", F.coalesce("root", "node").alias("root"))
     mixed = apart.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
     apart = materialize(apart.join(mixed, "key"), "apart")
+    discard(met)
     x, y = apart.alias("x"), apart.alias("y")
     can = reach(F.col("x.n"), F.col("x.place"), F.col("y.n"), F.col("y.place"))
     more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & can)
     more = materialize(more.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "more")
+    discard(apart)
     if not more.isEmpty():
         linked = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
         roots = materialize(connected_components(linked.unionByName(_alike(more, docs, marked, words))), "roots")

@@ -145,3 +145,33 @@ def test_rows_of_one_id_or_none_go_only_as_near_copies(spark):
     kept = [(r.doc_id, r.text) for r in m.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert len(kept) == 3 and (1, near) in kept and (2, other) in kept
     assert {k for k in kept if k[0] is None} <= {(None, third), (None, third + " end")}
+
+
+@pytest.mark.parametrize("copies", [0, 60])
+def test_all_pairs_at_the_limit_are_joined(spark, copies):
+    rng = random.Random(11)
+    new = lambda n: ["".join(rng.choices("abcdefghij", k=8)) for _ in range(n)]
+    texts = []
+    for n in [6, 9, 13, 13, 14, 14, 15, 15, *[rng.randint(20, 760) for _ in range(25)]]:
+        text = new(n)
+        texts.append(text)
+        for at_end in (1, 2, max(1, (n - 4) // 9)):  # about 0.8
+            texts.append(text[:-at_end] + new(at_end))
+        for edits in range(1, max(2, n // 45)):
+            copy = list(text)
+            for i in rng.sample(range(n), edits):
+                copy[i] = new(1)[0]
+            texts.append(copy)
+    original = new(200)
+    for _ in range(copies):  # each at about 0.83 to the original, two of them at about 0.7
+        at = rng.randrange(2, 180)
+        texts.append(original[:at] + new(14) + original[at + 14 :])
+    texts += [original] * bool(copies)
+    rng.shuffle(texts)
+    texts = [" ".join(t) for t in texts]
+    sets = [five(t) for t in texts]
+    near = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if 5 * len(a & b) >= 4 * len(a | b)]
+    assert any(5 * len(sets[i] & sets[j]) == 4 * len(sets[i] | sets[j]) for i, j in near)
+    want = components(near, range(len(texts)))
+    got = m.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
