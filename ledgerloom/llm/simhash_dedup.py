@@ -13,6 +13,11 @@ that emit one value are linked to the smallest of them. Two fingerprints
 within the distance always share such a value, and two that share one are
 within the distance, so this loses and adds nothing and is linear in the group.
 
+The stage for documents (:func:`keep_one`) links by the same blocks first, checks
+each link on the shingle sets, and finds what 64 bits cannot show by blocks of
+the sets themselves (:func:`similar`). Copies count once, keys are counted with
+map-side partial counts before they are joined, and sets are sent by parts of a group, not by pairs.
+
 Nulls and edge cases: a null or blank text has fingerprint zero, which links
 like any other; a null ``doc_id`` takes part in linking but is never the
 smallest id unless its whole component has none; repeated rows share their
@@ -35,24 +40,33 @@ from ledgerloom.llm.common import connected_components, discard, id_and_text, ma
 ship(__name__)
 
 
-def fingerprint(text: str | None, words: int = 4) -> int:
-    """Unsigned 64-bit SimHash over XXH64 (seed 42) of word shingles, repeats included."""
+def majority(hashes: np.ndarray) -> int:
+    """The unsigned 64-bit number whose bits are set where they are set in over half the hashes."""
+    votes = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 8192):  # bounds the memory of very long texts
+        bits = np.unpackbits(hashes[at : at + 8192].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        votes += np.add.reduce(bits, axis=0, dtype=np.int32)
+    return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """XXH64 (seed 42) of each word shingle, repeats included; a text of fewer words is one shingle, a blank one none."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
-        return 0
+        return np.zeros(0, np.uint64)
     norm, size = b" ".join(tokens), len(tokens)
     if size <= words:
-        return xxhash.xxh64_intdigest(norm, 42)
+        return np.array([xxhash.xxh64_intdigest(norm, 42)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, size) + 1)
     starts = np.concatenate(([0], ends[: size - words])).tolist()
     stops = (ends[words - 1 :] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(norm[a:b], 42) for a, b in zip(starts, stops, strict=True)], "<u8")
-    votes = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 8192):  # bounds the memory of very long texts
-        bits = np.unpackbits(hashes[at : at + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        votes += np.add.reduce(bits, axis=0, dtype=np.int32)
-    return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view("<u8")[0])
+    return np.array([digest(norm[a:b], 42) for a, b in zip(starts, stops, strict=True)], np.uint64)
+
+
+def fingerprint(text: str | None, words: int = 4) -> int:
+    """Unsigned 64-bit SimHash over XXH64 (seed 42) of word shingles, repeats included."""
+    return majority(shingle_hashes(text, words))
 
 
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
@@ -144,17 +158,8 @@ def _mixed(codes: np.ndarray, seed: int) -> np.ndarray:
 
 
 def shingle_codes(text: str | None, words: int = 5) -> np.ndarray:
-    """The 64-bit hashes of a text's distinct word shingles, sorted; a text of fewer words is one shingle, a blank one none."""
-    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not tokens:
-        return np.zeros(0, np.uint64)
-    norm, n = b" ".join(tokens), len(tokens)
-    if n <= words:
-        return np.array([xxhash.xxh64_intdigest(norm, 42)], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, n) + 1)
-    starts, stops = np.concatenate(([0], ends[: n - words])).tolist(), (ends[words - 1 :] - 1).tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(norm[a:b], 42) for a, b in zip(starts, stops, strict=True)], np.uint64))
+    """The 64-bit hashes of a text's distinct word shingles, sorted."""
+    return np.unique(shingle_hashes(text, words))
 
 
 def slice_keys(text: str | None, words: int = 5, common: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[int, int, list[int]]:
@@ -197,38 +202,96 @@ def _common_codes(docs: DataFrame, words: int, sample: int = 1 << 25, most: int
     return codes[order], counts[order]
 
 
-def _alike(pairs: DataFrame, docs: DataFrame, marked: DataFrame, words: int) -> DataFrame:
-    """Those of ``pairs`` (nodes a, b) whose shingle sets have a Jaccard similarity of 0.8 or more, by the sets themselves."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    reps = marked.groupBy("node").agg(F.min(F.struct("key1", "key2")).alias("rep")).join(wanted, "node").select("node", "rep.*")
-    reps = materialize(reps, "candidates")
+def _alike(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, together: int = 128, most: int = 8 << 20) -> DataFrame:
+    """Those of ``pairs`` (nodes a, b) whose shingle sets have a Jaccard similarity of 0.8 or more, by the sets themselves.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ``nodes`` has ``node``, ``n`` (shingles) and ``key1, key2`` (a row that has the set). Nodes
+    that meet in many pairs get a home, the least node they meet, and a part of it of about
+    ``together`` nodes. All pairs between two parts are checked in one place, so a set is sent once
+    for each part that its own meets and not once for each pair. Places are bounded by ``most`` bytes of sets.
+    """
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("e"))
+    homes = ends.select("e.*").groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("home"))
+    sizes = homes.groupBy("home").agg(F.count("*").alias("size"))
+    part = F.xxhash64("home", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / together)))
+    homes = materialize(homes.join(sizes, "home").select("node", part.alias("part")).join(nodes, "node"), "homes")
+
+    left, right = (homes.select(F.col("node").alias(n), F.col("part").alias(f"{n}_part")) for n in ("a", "b"))
+    cell = F.xxhash64(F.least("a_part", "b_part"), F.greatest("a_part", "b_part"))
+    cells = materialize(pairs.join(left, "a").join(right, "b").select("a", "b", cell.alias("cell")), "cells")
+    needed = cells.select("cell", F.explode(F.array("a", "b")).alias("node")).distinct()
+    held = needed.join(homes, "node").agg(F.sum("n")).first()[0] or 0
+    places = max(1, -(-8 * held // most), -(-cells.count() // 200_000))
+    at = F.pmod(F.col("cell"), F.lit(places)).alias("at")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             codes = [shingle_codes(t.as_py(), words).view(np.int64) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.list_(pa.int64()))], names=["node", "codes"])
 
-    texts = docs.select(*row_key(), "text").join(reps, ["key1", "key2"]).dropDuplicates(["key1", "key2"])
-    sets = materialize(texts.select("node", "text").mapInArrow(run, "node long, codes array<long>"), "sets")
-    discard(reps)
-    left, right = (sets.select(F.col("node").alias(n), F.col("codes").alias(f"{n}_codes")) for n in ("a", "b"))
-    shared, total = F.size(F.array_intersect("a_codes", "b_codes")), F.size("a_codes") + F.size("b_codes")
-    out = materialize(pairs.join(left, "a").join(right, "b").where(9 * shared >= 4 * total).select("a", "b"), "alike")
-    discard(sets)
+    texts = docs.select(*row_key(), "text").join(homes.select("node", "key1", "key2"), ["key1", "key2"]).dropDuplicates(["node"])
+    sets = texts.select("node", "text").mapInArrow(read, "node long, codes array<long>")
+    sent = needed.select(at, "node").distinct().join(sets, "node")
+
+    def check(key: tuple, met: pa.Table, sets: pa.Table) -> pa.Table:
+        codes = {node: c.values.to_numpy().view(np.uint64) for node, c in zip(sets.column("node").to_pylist(), sets.column("codes"), strict=True)}
+        good = []
+        for x, y in zip(met.column("a").to_pylist(), met.column("b").to_pylist(), strict=True):
+            one, two = codes[x], codes[y]
+            if len(one) > len(two):
+                one, two = two, one
+            shared = int((two[np.minimum(np.searchsorted(two, one), len(two) - 1)] == one).sum()) if len(two) else 0
+            good.append(9 * shared >= 4 * (len(one) + len(two)))
+        return met.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    checked = cells.select(at, "a", "b").groupBy("at").cogroup(sent.groupBy("at")).applyInArrow(check, "a long, b long")
+    out = materialize(checked, "alike")
+    discard(homes, cells)
     return out
 
 
+def _joined(roots: DataFrame | None, more: DataFrame) -> DataFrame:
+    """Components of earlier roots and further edges."""
+    if roots is not None:
+        more = more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    return materialize(connected_components(more), "roots")
+
+
+def _shared_keys(nodes: DataFrame) -> DataFrame:
+    """``(key, node, n, place)`` of the keys that several nodes hold."""
+    keyed = nodes.select("node", "n", F.posexplode("keys").alias("place", "key"))
+    shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
+    return materialize(keyed.join(shared, "key").select("key", "node", "n", "place"), "met")
+
+
+def _reach(x: str, y: str) -> Column:
+    """Whether a first shared key at these places leaves enough shingles for 0.8."""
+    return 9 * F.least(F.col(f"{x}n") - F.col(f"{x}place"), F.col(f"{y}n") - F.col(f"{y}place")) >= 4 * (F.col(f"{x}n") + F.col(f"{y}n"))
+
+
+def _apart(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """``met`` with ``root``, but only keys whose nodes are not all in one component."""
+    rooted = met.join(roots, "node", "left").select("key", "node", "n", "place", F.coalesce("root", "node").alias("root"))
+    hub = F.min(F.struct("root", "node", "n", "place")).alias("hub")
+    mixed = rooted.groupBy("key").agg(hub, F.max("root").alias("high")).where("hub.root <> high").select("key", "hub")
+    return materialize(rooted.join(mixed, "key"), "apart")
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def similar(docs: DataFrame, words: int = 5) -> DataFrame:
     """``(doc_id, key1, key2, node, root, component_id)``: components of texts whose shingle sets have a Jaccard similarity of 0.8 or more.
 
     Exact and whole: each edge is checked on the sets of both texts, and every
     pair at 0.8 or more is in one component. Texts with one set are one node.
-    Nodes that share a key (:func:`slice_keys`) and could still reach 0.8 by
-    their sizes and the key's places are candidates. They first meet one
-    node of each key only, the one that holds it earliest, which links a large group of copies with one check
-    a text and key; then the nodes of one key that are in different components
-    meet in pairs. So a group of one component makes no pairs; nodes that share
-    keys, pass by size and place, and yet stay apart make a pair each.
+
+    Candidates come in three steps, each only between nodes that the steps before have not joined.
+    (1) Nodes whose SimHash fingerprints are at most four bits apart, by :func:`links`. (2) 64 bits
+    cannot tell 0.8, so the shingle set itself is then cut by the pigeonhole principle: two
+    sets at 0.8 share one of their first keys (:func:`slice_keys`). The nodes of a key that could reach 0.8 by size and
+    place meet one of them, its hub. (3) Those of one key that are still in different components meet in pairs.
     """
     docs = id_and_text(docs)
     common = _common_codes(docs, words)
@@ -237,43 +300,43 @@ def similar(docs: DataFrame, words: int = 5) -> DataFrame:
         for batch in batches:
             sets = [shingle_codes(t.as_py(), words) for t in batch.column(3)]
             got = [_keys_of(c, common) for c in sets]
-            columns = [pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([len(c) for c in sets], pa.int32()), pa.array([g[2] for g in got], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["doc_id", "key1", "key2", "fp1", "fp2", "n", "keys"])
+            marks = np.fromiter((majority(c) for c in sets), np.uint64, len(sets)).view(np.int64)
+            columns = [pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array(marks), pa.array([len(c) for c in sets], pa.int32()), pa.array([g[2] for g in got], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["doc_id", "key1", "key2", "set1", "set2", "fp", "n", "keys"])
 
-    schema = "doc_id long, key1 long, key2 long, fp1 long, fp2 long, n int, keys array<long>"
+    schema = "doc_id long, key1 long, key2 long, set1 long, set2 long, fp long, n int, keys array<long>"
     read = docs.select("doc_id", *row_key(), "text").mapInArrow(run, schema)
-    slices = materialize(read.select("doc_id", "key1", "key2", F.xxhash64("fp1", "fp2").alias("node"), "n", "keys"), "slices")
+    slices = materialize(read.select("doc_id", "key1", "key2", F.xxhash64("set1", "set2").alias("node"), "fp", "n", "keys"), "slices")
     marked = materialize(slices.select("doc_id", "key1", "key2", "node"), "marked")
-    keyed = slices.select("node", "n", F.posexplode("keys").alias("place", "key"))
-    of_key = Window.partitionBy("key")
-    met = keyed.withColumns(
-        {"low": F.min("node").over(of_key), "high": F.max("node").over(of_key), "first": F.min(F.struct("place", "n", "node")).over(of_key)}
-    )
-    met = materialize(met.where("low <> high").select("key", "node", "n", "place", "first").distinct(), "met")
+    one = slices.groupBy("node").agg(F.min(F.struct("key1", "key2")).alias("one"), F.any_value("fp").alias("fp"), F.any_value("n").alias("n"))
+    nodes = materialize(one.select("node", "fp", "n", "one.*"), "nodes")
+    met = _shared_keys(slices.join(nodes.select("node", "key1", "key2"), ["node", "key1", "key2"]).dropDuplicates(["node"]))
     discard(slices)
+    names = nodes.select("node", "n", "key1", "key2")
+
+    by_fp = nodes.groupBy("fp").agg(F.min("node").alias("y"))
+    classes = materialize(by_fp, "classes")
+    far = links(classes.select("fp"))
+    far = far.join(classes.select(F.col("fp").alias("a"), F.col("y").alias("x")), "a").join(classes.withColumnRenamed("fp", "b"), "b").select("x", "y")
+    same = nodes.join(classes, "fp").where("node <> y").select(F.col("node").alias("x"), "y")
+    pairs = materialize(_ordered(far.unionByName(same)), "pairs")
+    roots = _joined(None, _alike(pairs, docs, names, words))
+
+    apart = _apart(met, roots)
+    can = (F.col("root") != F.col("hub.root")) & _reach("", "hub.")
+    pairs = materialize(_ordered(apart.where(can).select(F.col("node").alias("x"), F.col("hub.node").alias("y"))), "pairs")
+    discard(apart)
+    roots = _joined(roots, _alike(pairs, docs, names, words))
 
-    def reach(n: Column, place: Column, other_n: Column, other_place: Column) -> Column:
-        """Whether a first shared key at these places leaves enough shingles for 0.8."""
-        return 9 * F.least(n - place, other_n - other_place) >= 4 * (n + other_n)
-
-    def ordered(a: Column, b: Column) -> list[Column]:
-        return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-
-    can = reach(F.col("n"), F.col("place"), F.col("first.n"), F.col("first.place")) & (F.col("node") != F.col("first.node"))
-    pairs = materialize(met.where(can).select(*ordered(F.col("node"), F.col("first.node"))).distinct(), "pairs")
-    roots = materialize(connected_components(_alike(pairs, docs, marked, words)), "roots")
-    apart = met.join(roots, "node", "left").select("key", "node", "n", "place", F.coalesce("root", "node").alias("root"))
-    mixed = apart.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    apart = materialize(apart.join(mixed, "key"), "apart")
+    apart = _apart(met, roots)
     discard(met)
-    x, y = apart.alias("x"), apart.alias("y")
-    can = reach(F.col("x.n"), F.col("x.place"), F.col("y.n"), F.col("y.place"))
-    more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & can)
-    more = materialize(more.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "more")
-    discard(apart)
+    x, y = apart.drop("hub").alias("x"), apart.drop("hub").alias("y")
+    more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _reach("x.", "y."))
+    more = _ordered(more.select(F.col("x.node").alias("x"), F.col("y.node").alias("y")))
+    more = materialize(more.join(pairs, ["a", "b"], "left_anti"), "more")
+    discard(apart, pairs)
     if not more.isEmpty():
-        linked = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        roots = materialize(connected_components(linked.unionByName(_alike(more, docs, marked, words))), "roots")
+        roots = _joined(roots, _alike(more, docs, names, words))
     low = marked.groupBy("node").agg(F.min("doc_id").alias("low"))
     labelled = low.join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     component = labelled.groupBy("root").agg(F.min("low").alias("component_id"))
