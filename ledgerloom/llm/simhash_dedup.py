@@ -202,6 +202,18 @@ def _common_codes(docs: DataFrame, words: int, sample: int = 1 << 25, most: int
     return codes[order], counts[order]
 
 
+def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """``(node, codes)``: the shingle sets of nodes, read from the text of a row that has the set."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = [shingle_codes(t.as_py(), words).view(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.list_(pa.int64()))], names=["node", "codes"])
+
+    texts = docs.select(*row_key(), "text").join(nodes.select("node", "key1", "key2"), ["key1", "key2"]).dropDuplicates(["node"])
+    return texts.select("node", "text").mapInArrow(read, "node long, codes array<long>")
+
+
 def _alike(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, together: int = 128, most: int = 8 << 20) -> DataFrame:
     """Those of ``pairs`` (nodes a, b) whose shingle sets have a Jaccard similarity of 0.8 or more, by the sets themselves.
 
@@ -224,13 +236,7 @@ def _alike(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, toge
     places = max(1, -(-8 * held // most), -(-cells.count() // 200_000))
     at = F.pmod(F.col("cell"), F.lit(places)).alias("at")
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            codes = [shingle_codes(t.as_py(), words).view(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.list_(pa.int64()))], names=["node", "codes"])
-
-    texts = docs.select(*row_key(), "text").join(homes.select("node", "key1", "key2"), ["key1", "key2"]).dropDuplicates(["node"])
-    sets = texts.select("node", "text").mapInArrow(read, "node long, codes array<long>")
+    sets = _sets(docs, homes, words)
     sent = needed.select(at, "node").distinct().join(sets, "node")
 
     def check(key: tuple, met: pa.Table, sets: pa.Table) -> pa.Table:
@@ -250,6 +256,84 @@ def _alike(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, toge
     return out
 
 
+def close_sets(sets: list[np.ndarray], columns: int = 1024, block: int = 256) -> Iterator[tuple[int, np.ndarray]]:
+    """For each set the places of the others that have a Jaccard similarity of 0.8 or more to it.
+
+    Shared elements are counted by a product of matrices for the commonest ones, and through lists of holders for the rest.
+    """
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    start = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
+    held = np.diff(np.append(start, len(flat)))
+    common = np.argsort(-held, kind="stable")[:columns]
+    common = common[held[common] > 32]
+    column = np.full(len(start), -1)
+    column[common] = np.arange(len(common))
+    code = np.repeat(np.arange(len(start)), held)
+    table = np.zeros((len(sets), len(common)), np.float32)
+    often = column[code] >= 0
+    table[owner[often], column[code[often]]] = 1
+    rest = ~often & (held[code] > 1)
+    mine = np.argsort(owner[rest], kind="stable")
+    codes, cuts = code[rest][mine], np.searchsorted(owner[rest][mine], np.arange(len(sets) + 1))
+    for at in range(0, len(sets), block):
+        shared = np.rint(table[at : at + block] @ table.T).astype(np.int64)
+        for i in range(at, min(at + block, len(sets))):
+            row = shared[i - at]
+            some = codes[cuts[i] : cuts[i + 1]]
+            if len(some):
+                row = row + np.bincount(np.concatenate([owner[start[c] : start[c] + held[c]] for c in some]), minlength=len(sets))
+            near = np.flatnonzero(9 * row >= 4 * (sizes[i] + sizes))
+            yield i, near[near != i]
+
+
+def _alike_within(groups: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, most: int = 4 << 20) -> DataFrame:
+    """Edges ``(a, b)`` that join all alike nodes within each of ``groups`` (``group, node, n, root``).
+
+    No pairs are made as rows. A node's home is the least node of its groups; the nodes of a home are cut
+    into parts of about ``most`` bytes of sets. Two parts that meet in a group are sent to one place and compared
+    there, which gives at most one edge a node. So a large group's sets are sent once for each of its parts.
+    """
+    hubs = groups.groupBy("group").agg(F.min("node").alias("hub"))
+    homes = groups.join(hubs, "group").groupBy("node").agg(F.min("hub").alias("home"), F.any_value("n").alias("n"), F.any_value("root").alias("root"))
+    sizes = homes.groupBy("home").agg(F.ceil(F.sum(8 * F.col("n")) / most).alias("parts"))
+    part = F.xxhash64("home", F.pmod(F.xxhash64("node"), F.greatest("parts", F.lit(1)))).alias("part")
+    homes = materialize(homes.join(sizes, "home").select("node", "n", "root", part).join(nodes.drop("n"), "node"), "homes")
+    parts = groups.join(homes.select("node", "part"), "node").select("group", "part").distinct()
+    met = parts.withColumnRenamed("part", "one").join(parts.withColumnRenamed("part", "two"), "group").where("one <= two")
+    cells = materialize(met.select("one", "two").distinct(), "cells")
+    needed = cells.select(F.xxhash64("one", "two").alias("cell"), F.explode(F.array_distinct(F.array("one", "two"))).alias("part"))
+    needed = needed.join(homes.select("part", "node", "n"), "part")
+    places = max(1, -(-8 * (needed.agg(F.sum("n")).first()[0] or 0) // (2 * most)))
+    sent = needed.select(F.pmod("cell", F.lit(places)).alias("at"), "node", "part").distinct()
+    sent = sent.join(_sets(docs, homes, words), "node").join(homes.select("node", "root"), "node")
+
+    def check(key: tuple, met: pa.Table, sets: pa.Table) -> pa.Table:
+        members: dict[int, list[int]] = {}
+        for i, part in enumerate(sets.column("part").to_pylist()):
+            members.setdefault(part, []).append(i)
+        names, roots = (sets.column(n).to_numpy() for n in ("node", "root"))
+        codes = [c.values.to_numpy().view(np.uint64) for c in sets.column("codes")]
+        edges: list[tuple[int, int]] = []
+        for one, two in zip(met.column("one").to_pylist(), met.column("two").to_pylist(), strict=True):
+            here = members[one] + (members[two] if two != one else [])
+            label = np.unique(roots[here], return_inverse=True)[1]
+            for i, near in close_sets([codes[j] for j in here]):
+                for other in np.unique(label[near]).tolist():
+                    if other != label[i]:
+                        edges.append((int(names[here[i]]), int(names[here[int(near[label[near] == other][0])]])))
+                        label[label == other] = label[i]
+        return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
+
+    at = F.pmod(F.xxhash64("one", "two"), F.lit(places)).alias("at")
+    found = cells.select(at, "one", "two").groupBy("at").cogroup(sent.groupBy("at")).applyInArrow(check, "a long, b long")
+    out = materialize(found, "alike")
+    discard(homes, cells)
+    return out
+
+
 def _joined(roots: DataFrame | None, more: DataFrame) -> DataFrame:
     """Components of earlier roots and further edges."""
     if roots is not None:
@@ -277,11 +361,27 @@ def _apart(met: DataFrame, roots: DataFrame) -> DataFrame:
     return materialize(rooted.join(mixed, "key"), "apart")
 
 
+def _groups(apart: DataFrame) -> DataFrame:
+    """``(group, node, n, place, root, size)``: nodes of one key and of sizes near each other, where pairs not met before may reach 0.8.
+
+    Two sets at 0.8 are in one class of sizes or in neighbouring ones, and the smaller of them has their first
+    shared key within its first ninth. A group of two is a node and its hub, which have met.
+    """
+    size_class = F.floor(F.log(F.col("n")) / F.lit(np.log(1.25))).cast("int")
+    rows = apart.where("n > 0").withColumn("class", F.explode(F.array(size_class, size_class + 1)))
+    rows = rows.select(F.xxhash64("key", "class").alias("group"), "node", "n", "place", "root", (F.col("node") == F.col("hub.node")).alias("is_hub"))
+    known = rows.groupBy("group").agg(
+        F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.expr("9 * place - n")).alias("first"), F.max("is_hub").alias("hub")
+    )
+    known = known.where((F.col("low") != F.col("high")) & (F.col("first") <= 0) & (F.col("size") > F.when(F.col("hub"), 2).otherwise(1)))
+    return materialize(rows.drop("is_hub").join(known.select("group", "size"), "group"), "groups")
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def similar(docs: DataFrame, words: int = 5) -> DataFrame:
+def similar(docs: DataFrame, words: int = 5, dense: int = 16) -> DataFrame:
     """``(doc_id, key1, key2, node, root, component_id)``: components of texts whose shingle sets have a Jaccard similarity of 0.8 or more.
 
     Exact and whole: each edge is checked on the sets of both texts, and every
@@ -291,7 +391,8 @@ def similar(docs: DataFrame, words: int = 5) -> DataFrame:
     (1) Nodes whose SimHash fingerprints are at most four bits apart, by :func:`links`. (2) 64 bits
     cannot tell 0.8, so the shingle set itself is then cut by the pigeonhole principle: two
     sets at 0.8 share one of their first keys (:func:`slice_keys`). The nodes of a key that could reach 0.8 by size and
-    place meet one of them, its hub. (3) Those of one key that are still in different components meet in pairs.
+    place meet one of them, its hub. (3) Those of one key and about one size that are still in different
+    components meet in pairs, or, where they are more than ``dense``, in place, without pairs as rows (:func:`_alike_within`).
     """
     docs = id_and_text(docs)
     common = _common_codes(docs, words)
@@ -330,13 +431,15 @@ def similar(docs: DataFrame, words: int = 5) -> DataFrame:
 
     apart = _apart(met, roots)
     discard(met)
-    x, y = apart.drop("hub").alias("x"), apart.drop("hub").alias("y")
-    more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _reach("x.", "y."))
+    groups = _groups(apart)
+    discard(apart)
+    x, y = (groups.where(F.col("size") <= dense).alias(n) for n in ("x", "y"))
+    more = x.join(y, (F.col("x.group") == F.col("y.group")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _reach("x.", "y."))
     more = _ordered(more.select(F.col("x.node").alias("x"), F.col("y.node").alias("y")))
     more = materialize(more.join(pairs, ["a", "b"], "left_anti"), "more")
-    discard(apart, pairs)
-    if not more.isEmpty():
-        roots = _joined(roots, _alike(more, docs, names, words))
+    within = _alike_within(groups.where(F.col("size") > dense), docs, names, words)
+    roots = _joined(roots, _alike(more, docs, names, words).unionByName(within))
+    discard(groups, pairs)
     low = marked.groupBy("node").agg(F.min("doc_id").alias("low"))
     labelled = low.join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     component = labelled.groupBy("root").agg(F.min("low").alias("component_id"))

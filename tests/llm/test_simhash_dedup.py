@@ -147,8 +147,20 @@ def test_rows_of_one_id_or_none_go_only_as_near_copies(spark):
     assert {k for k in kept if k[0] is None} <= {(None, third), (None, third + " end")}
 
 
-@pytest.mark.parametrize("copies", [0, 60])
-def test_all_pairs_at_the_limit_are_joined(spark, copies):
+def test_close_sets_against_pairs():
+    rng = np.random.default_rng(3)
+    core = rng.integers(0, 1 << 62, 120)
+    sets = [np.unique(np.concatenate([rng.permutation(core)[: rng.integers(60, 121)], rng.integers(0, 1 << 62, rng.integers(0, 30))])) for _ in range(90)]
+    sets += [rng.integers(0, 1 << 62, 5), sets[0], sets[3][:-2]]
+    sets = [np.unique(s).astype(np.uint64) for s in sets]
+    want = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j and 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b))}
+    assert len(want) > 150
+    for columns in (0, 40, 1024):
+        assert {(i, int(j)) for i, near in m.close_sets(sets, columns, 16) for j in near} == want
+
+
+@pytest.mark.parametrize(("copies", "dense"), [(0, 16), (60, 2)])
+def test_all_pairs_at_the_limit_are_joined(spark, copies, dense):
     rng = random.Random(11)
     new = lambda n: ["".join(rng.choices("abcdefghij", k=8)) for _ in range(n)]
     texts = []
@@ -173,5 +185,5 @@ def test_all_pairs_at_the_limit_are_joined(spark, copies):
     near = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if 5 * len(a & b) >= 4 * len(a | b)]
     assert any(5 * len(sets[i] & sets[j]) == 4 * len(sets[i] | sets[j]) for i, j in near)
     want = components(near, range(len(texts)))
-    got = m.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = m.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), dense=dense).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == want
