@@ -30,7 +30,7 @@ def _read_env_file(path: str) -> dict[str, str]:
 class Settings:
     """Engine settings. :meth:`load` takes them from the environment, then an env file; other names there are ignored."""
 
-    email: str = "user@example.com"
+    email: str = "ledgerloom user@example.com"
     store_url: str | None = None
     store_host: str = "localhost"
     store_port: int = field(default=6333, metadata={"range": (1, 65535)})
@@ -100,6 +100,9 @@ class RunConfig:
     chunk_overlap: int = 200
     collection_prefix: str | None = "filings"
     dry_run: bool = False
+    template: str | None = None
+    embedding_batch: int = 32
+    distance: str = "Cosine"
 
     def __post_init__(self) -> None:
         form_of(self.mode)

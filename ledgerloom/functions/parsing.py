@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import html_title, size_bytes
@@ -12,42 +12,59 @@ KNOWN_FORMS = ("10-K405", "10-KT", "10-K", "10-QT", "10-Q", "8-K", "6-K", "20-F"
 _FORM = r"[0-9A-Z]+(?:-[0-9A-Z]+)?(?:/A)?"
 
 
+def as_json(c: Column) -> Column:
+    """The content as a variant if it begins as a JSON object or list does and can be read, else null."""
+    return F.when(F.rlike(c, F.lit(r"^\s*[\[{]")), F.try_parse_json(c))
+
+
 def is_json(c: Column) -> Column:
-    return F.try_parse_json(c).isNotNull() & F.rlike(c, F.lit(r"^\s*[\[{]"))
+    return as_json(c).isNotNull()
 
 
-def detect_format(c: Column) -> Column:
-    """``HTML``, ``XML``, ``JSON`` or ``Text``, from how the content begins."""
+def detect_format(c: Column, json: Column | None = None) -> Column:
+    """``HTML``, ``XML``, ``JSON`` or ``Text``, from how the content begins. ``json`` is :func:`as_json` of it where that is known."""
+    json = as_json(c) if json is None else json
     return (
         F.when(F.rlike(c, F.lit(r"(?i)^\s*(<!doctype html|<html)|<html[\s>]")), "HTML")
         .when(F.rlike(c, F.lit(r"^\s*<\?xml")), "XML")
-        .when(is_json(c), "JSON")
+        .when(json.isNotNull(), "JSON")
         .when(F.rlike(c, F.lit(r"^\s*<[a-zA-Z]")), "HTML")
         .when(c.isNotNull(), "Text")
     )
 
 
-def infer_form_type(c: Column) -> Column:
+def infer_form_type(c: Column, json: Column | None = None) -> Column:
     """The stated submission type, a JSON ``submissionType``, ``FORM X``, or a known form standing alone; else null."""
     bare = "|".join(KNOWN_FORMS)
+    json = as_json(c) if json is None else json
     found = [
         F.regexp_extract(c, rf"CONFORMED SUBMISSION TYPE:\s*({_FORM})", 1),
-        F.when(is_json(c), F.try_variant_get(F.try_parse_json(c), "$.submissionType", "string")),
+        F.try_variant_get(json, "$.submissionType", "string"),
         F.regexp_extract(c, rf"(?:FORM|Form)\s+({_FORM})", 1),
         F.regexp_extract(c, rf"(?:^|[^0-9A-Za-z-])((?:{bare})(?:/A)?)(?:[^0-9A-Za-z-]|$)", 1),
     ]
     return F.coalesce(*[F.nullif(f, F.lit("")) for f in found])
 
 
+def with_document(df: DataFrame, content: str) -> DataFrame:
+    """``df`` with ``form_type, format, title, size_bytes, error`` of a content; error is set where a required part is missing.
+
+    In steps, so that the JSON, the format and the form of a row are each worked out once.
+    """
+    c, json, kind, form = F.col(content), F.col("_json"), F.col("format"), F.col("form_type")
+    out = df.withColumn("_json", as_json(c))
+    out = out.withColumns({"format": detect_format(c, json), "form_type": infer_form_type(c, json)})
+    title = F.when(kind == "JSON", F.try_variant_get(json, "$.entityName", "string")).when(kind == "HTML", html_title(c))
+    error = F.when(c.isNull(), "no content").when(F.rlike(c, F.lit(r"^\s*[\[{]")) & json.isNull(), "malformed JSON").when(form.isNull(), "no form type")
+    return out.withColumns({"title": title, "size_bytes": size_bytes(c), "error": error}).drop("_json")
+
+
 def parse_document(c: Column) -> Column:
-    """``struct<form_type, format, title, size_bytes, error>``; error is set where a required part is missing."""
-    kind, form = detect_format(c), infer_form_type(c)
-    title = F.when(kind == "JSON", F.try_variant_get(F.try_parse_json(c), "$.entityName", "string")).when(kind == "HTML", html_title(c))
-    error = (
-        F.when(c.isNull(), "no content")
-        .when(F.rlike(c, F.lit(r"^\s*[\[{]")) & ~is_json(c), "malformed JSON")
-        .when(form.isNull(), "no form type")
-    )
+    """``struct<form_type, format, title, size_bytes, error>`` as one expression; :func:`with_document` does less work over a table."""
+    json = as_json(c)
+    kind, form = detect_format(c, json), infer_form_type(c, json)
+    title = F.when(kind == "JSON", F.try_variant_get(json, "$.entityName", "string")).when(kind == "HTML", html_title(c))
+    error = F.when(c.isNull(), "no content").when(F.rlike(c, F.lit(r"^\s*[\[{]")) & json.isNull(), "malformed JSON").when(form.isNull(), "no form type")
     return F.struct(form.alias("form_type"), kind.alias("format"), title.alias("title"), size_bytes(c).alias("size_bytes"), error.alias("error"))
 
 

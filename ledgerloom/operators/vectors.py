@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import stable_id
@@ -88,19 +88,27 @@ def upsert(points: DataFrame, path: str, **collection) -> DataFrame:
     """Merge points into a collection by id, the new ones winning, and return their ids.
 
     Writes a new snapshot beside the old, then points the collection to it, so readers never see half of it.
+    The snapshot before the old one is deleted then.
     """
     spark = points.sparkSession
     properties = ensure_collection(spark, path, **collection)
-    new = points.dropDuplicates(["id"])
+    new = points.dropDuplicates(["id"])  # of one id any: ids name the text they stand for
     old = properties["snapshot"]
     number = (old or 0) + 1
-    merged = new if old is None else read_collection(spark, path).join(new, "id", "left_anti").unionByName(new, allowMissingColumns=True)
+    merged = new if old is None else merge_points(read_collection(spark, path), new)
     merged.write.mode("overwrite").parquet(f"{path}/snapshot-{number}")
     where, fs = _fs(spark, f"{path}/collection.json")
     _write(fs, where, properties | {"snapshot": number})
+    if number > 2:
+        fs.delete(_fs(spark, f"{path}/snapshot-{number - 2}")[0], True)
     return new.select("id")
 
 
+def merge_points(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The points of both by id; those that come again replace the ones there."""
+    return old.join(new, "id", "left_anti").unionByName(new, allowMissingColumns=True)
+
+
 def read_collection(spark: SparkSession, path: str) -> DataFrame:
     properties = ensure_collection(spark, path)
     return spark.read.parquet(f"{path}/snapshot-{properties['snapshot']}")
@@ -112,3 +120,55 @@ def search(vectors: DataFrame, query: list[float], k: int = 10, metric: str = "C
     q = F.array(*[F.lit(float(x)) for x in query])
     scored = vectors.withColumn("score", score(F.col(vector), q)).where("score is not null")
     return scored.orderBy(F.col("score").asc() if ascending else F.col("score").desc(), key).limit(k)
+
+
+def scores(metric: str, queries: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """A score of each query (rows) and point (columns); NaN where a vector of length zero has no angle."""
+    name = metric.lower()
+    products = queries @ points.T
+    if name == "dot":
+        return products
+    q, p = (np.linalg.norm(x, axis=1) for x in (queries, points))
+    if name == "euclid":
+        # Row by row: differences keep the digits that the products would lose.
+        return np.stack([np.linalg.norm(points - x, axis=1) for x in queries]) if len(queries) else products
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return products / np.outer(q, p)
+
+
+def search_all(
+    vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "Cosine", vector: str = "vector", key: str = "id",
+    query_block: int = 1024, point_block: int = 32_768,
+) -> DataFrame:
+    """``(query, key, score, rank)``: the ``k`` nearest points of every row of ``queries``, which has the columns of ``vectors``.
+
+    Both sides are cut into blocks by key. Each block of queries meets each block of points in one task, which
+    keeps its own k a query; these are then ranked. So no pairs are made as rows, and a task holds two blocks whatever the sizes.
+    Scores are compared to nine digits, and equal ones by key.
+    """
+    name, ascending = metric, measure(metric)[1]
+    blocks = [max(1, -(-df.count() // most)) for df, most in ((queries, query_block), (vectors, point_block))]
+
+    def dealt(df: DataFrame, mine: int, name: str, other: str) -> DataFrame:
+        own = F.pmod(F.xxhash64(key), F.lit(blocks[mine])).alias(name)
+        every = F.explode(F.sequence(F.lit(0), F.lit(blocks[1 - mine] - 1))).alias(other)
+        return df.where(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vector"), own, every.cast("long"))
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"query": [], "key": [], "score": []})
+        names = right["key"].to_numpy()
+        got = np.round(scores(name, np.stack(left["vector"]), np.stack(right["vector"])), 9)
+        out = []
+        for q, row in zip(left["key"], got, strict=True):
+            order = np.lexsort((names, row if ascending else -row))
+            best = order[~np.isnan(row[order])][:k]
+            out.append(pd.DataFrame({"query": q, "key": names[best], "score": row[best]}))
+        return pd.concat(out)
+
+    q, p = dealt(queries, 0, "q", "p"), dealt(vectors, 1, "p", "q")
+    kind = vectors.schema[key].dataType.simpleString()
+    some = q.groupBy("q", "p").cogroup(p.groupBy("q", "p")).applyInPandas(run, f"query {kind}, key {kind}, score double")
+    order = F.col("score").asc() if ascending else F.col("score").desc()
+    ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(order, "key")))
+    return ranked.where(F.col("rank") <= k).withColumnRenamed("key", key)

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ledgerloom.config import RunConfig
 from ledgerloom.functions import parsing, text, times
-from ledgerloom.functions.vectors import measure, norm
+from ledgerloom.functions.vectors import norm
 from ledgerloom.operators import chunking, filings, summarize, vectors
+from ledgerloom.plans import pipeline
 from ledgerloom.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -199,8 +200,8 @@ def _case(i: int) -> str:
 )
 def parse_document(spark, d):
     body = F.expr("case o_orderkey % 6 " + _case(0) + " end")
-    got = _read(spark, d, "orders").select("o_orderkey", parsing.parse_document(body).alias("p"))
-    return got.select("o_orderkey", "p.*")
+    got = parsing.with_document(_read(spark, d, "orders").select("o_orderkey", body.alias("body")), "body")
+    return got.drop("body")
 
 
 @query(
@@ -368,15 +369,14 @@ def micro_batches(spark, d):
 )
 def summary_envelope(spark, d):
     got = chunking.matching_chunks(_read(spark, d, "documents").select("doc_id", "source", "text"), "the")
-    rows = F.array_sort(F.collect_list(F.struct("chunk_pos", "text")))
-    made = got.groupBy(F.col("source").alias("symbol"), "doc_id").agg(F.count("*").alias("n_chunks"), F.transform(rows, lambda r: r["text"]).alias("t"))
-    return made.select("symbol", "doc_id", "n_chunks", F.md5(F.array_join("t", "|")).alias("texts_md5"))
+    made = summarize.envelopes(got.select(F.col("source").alias("symbol"), "doc_id", "chunk_pos", F.col("text").alias("result")), ["symbol", "doc_id"])
+    return made.select("symbol", "doc_id", F.size("summaries").cast("long").alias("n_chunks"), F.md5(F.array_join("summaries", "|")).alias("texts_md5"))
 
 
 @query("stage_counts", f"select source as symbol, count(*) as n_chunks, count(*) filter (contains(lower(text), 'the')) as n_relevant, count(distinct doc_id) as n_docs from ({_CHUNKS}) join (select doc_id, source from documents) using (doc_id) group by 1")
 def stage_counts(spark, d):
     got = chunking.fixed_chunks(_read(spark, d, "documents").select("doc_id", "source", "text"))
-    return got.groupBy(F.col("source").alias("symbol")).agg(F.count("*").alias("n_chunks"), F.count_if(text.has_keyword(F.col("text"), "the")).alias("n_relevant"), F.countDistinct("doc_id").alias("n_docs"))
+    return pipeline.stage_counts(got, "the", "source", "doc_id")
 
 
 @query("page_envelopes", f"""with t as (select page_id, {_text_sql('html', True)} as text from pages),
@@ -386,9 +386,8 @@ def page_envelopes(spark, d):
     """Pages to text, chunks, keyword matches and an envelope: the flagship in small."""
     pages = _read(spark, d, "pages").select("page_id", text.html_text(F.col("html")).alias("text"))
     got = chunking.matching_chunks(pages, "the", size=500, overlap=50)
-    rows = F.array_sort(F.collect_list(F.struct("chunk_pos", "text")))
-    made = got.groupBy("page_id").agg(F.count("*").alias("n_chunks"), F.transform(rows, lambda r: r["text"]).alias("t"))
-    return made.select("page_id", "n_chunks", F.md5(F.array_join("t", "|")).alias("chunks_md5"))
+    made = summarize.envelopes(got.select("page_id", "chunk_pos", F.col("text").alias("result")), ["page_id"])
+    return made.select("page_id", F.size("summaries").cast("long").alias("n_chunks"), F.md5(F.array_join("summaries", "|")).alias("chunks_md5"))
 
 
 @query("recursive_chunks")
@@ -420,10 +419,8 @@ def filing_summaries(spark, d):
 def _search(metric: str):
     def run(spark, d):
         e = _read(spark, d, "embeddings")
-        q = e.where("vec_id = 0").select(F.col("embedding").alias("q"))  # one row: the asked vector
-        score, ascending = measure(metric)
-        scored = e.crossJoin(F.broadcast(q)).select("vec_id", F.round(score(F.col("embedding"), F.col("q")), 6).alias("score"))
-        return scored.orderBy(F.col("score").asc() if ascending else F.col("score").desc(), "vec_id").limit(10)
+        got = vectors.search_all(e, e.where("vec_id % 50 = 0"), 10, metric, "embedding", "vec_id")
+        return got.select("query", "vec_id", F.round("score", 6).alias("score"), "rank")
 
     return run
 
@@ -435,7 +432,9 @@ for _metric, _score, _order in (
     ("euclid", "sqrt(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda x: (x[1]::double - x[2]::double) * (x[1]::double - x[2]::double))))", "asc"),
     ("dot", _DOT, "desc"),
 ):
-    query(f"{_metric}_topk", f"select e.vec_id, round({_score}, 6) as score from embeddings e, (select embedding from embeddings where vec_id = 0) q order by score {_order}, e.vec_id limit 10")(_search(_metric))
+    query(f"{_metric}_topk", f"""with s as (select q.vec_id as query, e.vec_id, round({_score}, 9) as score from embeddings e, embeddings q where q.vec_id % 50 = 0),
+      r as (select *, (row_number() over (partition by query order by score {_order}, vec_id))::int as rank from s)
+      select query, vec_id, round(score, 6) as score, rank from r where rank <= 10""")(_search(_metric))
 
 
 @query("embed_documents")
@@ -449,7 +448,7 @@ def upsert_points(spark, d):
     """Points kept by id: those that come again replace the ones there."""
     docs = _read(spark, d, "documents").select("doc_id").withColumn("id", text.stable_id(F.col("doc_id")))
     old, new = docs.withColumn("origin", F.lit("old")), docs.where("doc_id % 3 = 0").withColumn("origin", F.lit("new"))
-    return old.join(new, "id", "left_anti").unionByName(new).select("doc_id", "origin")
+    return vectors.merge_points(old, new).select("doc_id", "origin")
 
 
 @query("company_facts", "select c_custkey as cik, c_name as entity_name, taxonomy from customer, (values ('us-gaap'), ('dei')) t(taxonomy)")

@@ -11,7 +11,9 @@ from collections.abc import Iterator
 from datetime import date, timedelta
 from pathlib import Path
 
-from ledgerloom.config import MODES, RunConfig
+from ledgerloom.config import MODES, RunConfig, Settings, form_of
+from ledgerloom.operators.summarize import PROMPT, model
+from ledgerloom.sources.files import prompt_template
 
 FORMATS = {"simple": "%(levelname)s %(message)s", "detailed": "%(asctime)s %(name)s %(levelname)s %(message)s", "json": None}
 
@@ -58,40 +60,51 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--batch-size", type=int, default=16)
     for flag in ("--no-require-json", "--fresh", "--no-cleanup", "--verbose", "--dry-run"):
         p.add_argument(flag, action="store_true")
-    p.add_argument("--log-format", choices=[*FORMATS], default="simple")
+    p.add_argument("--log-format", choices=[*FORMATS])
     p.add_argument("--log-file")
+    p.add_argument("--fetch", action="store_true", help="fetch filings accepted between the dates instead of reading the tree under --downloads")
     p.add_argument("--downloads", default="data/downloads")
     p.add_argument("--output", default="data/output")
     return p.parse_args(argv)
 
 
 def prepare(output: str, downloads: str, fresh: bool) -> None:
-    """Make both folders; ``fresh`` empties them first."""
+    """Make both folders. ``fresh`` empties the output and forgets what earlier runs landed; a tree of filings there is input and stays."""
+    if fresh:
+        shutil.rmtree(output, ignore_errors=True)
+        shutil.rmtree(f"{downloads}/landed", ignore_errors=True)
     for folder in (output, downloads):
-        if fresh:
-            shutil.rmtree(folder, ignore_errors=True)
         Path(folder).mkdir(parents=True, exist_ok=True)
 
 
-def main(argv: list[str] | None = None, spark=None) -> list[tuple]:
+def main(argv: list[str] | None = None, spark=None, transport=None) -> list[tuple]:
+    """Run for the given symbols; cleaning up deletes what this run fetched, never other files."""
     a = arguments(argv)
-    set_up_logging("DEBUG" if a.verbose else "INFO", a.log_format, a.log_file)
+    settings = Settings.load()
+    set_up_logging("DEBUG" if a.verbose else settings.log_level, a.log_format or settings.log_format, a.log_file)
     config = RunConfig(
         keyword=a.keyword, mode=a.mode, start_date=a.start_date, end_date=a.end_date, limit=a.limit, max_new_tokens=a.max_new_tokens,
         max_retries=a.max_retries, batch_size=a.batch_size, require_json=not a.no_require_json, dry_run=a.dry_run,
+        collection_prefix=settings.collection_prefix, template=prompt_template(a.prompt_file, PROMPT), embedding_batch=settings.embedding_batch_size, distance=settings.distance,
     )
     from pyspark.sql import SparkSession
 
-    from ledgerloom.operators.summarize import model
-    from ledgerloom.plans.pipeline import run
+    from ledgerloom.plans import downloads
+    from ledgerloom.plans.pipeline import run, run_files
 
     prepare(a.output, a.downloads, a.fresh)
     spark = spark or SparkSession.builder.appName("ledgerloom").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    rows = [tuple(r) for r in run(spark, a.downloads, a.output, a.symbols, config, model(a.model_name)).collect()]  # a row for each symbol
+    if a.fetch:
+        http = {"transport": transport} if transport else {}
+        landed, said = downloads.download_symbols(spark, a.symbols, a.downloads, settings.email, form_of(a.mode), a.start_date, a.end_date, a.limit, **http)
+        done = run_files(spark, downloads.as_files(landed), said, a.output, config, model(a.model_name))
+    else:
+        done = run(spark, a.downloads, a.output, a.symbols, config, model(a.model_name))
+    rows = [tuple(r) for r in done.collect()]  # a row for each symbol
     for r in rows:
         logging.getLogger("ledgerloom").info("%s ok=%s error=%s documents=%s", *r)
-    if not a.no_cleanup:
-        shutil.rmtree(f"{a.downloads}/sec-edgar-filings", ignore_errors=True)
+    if a.fetch and not a.no_cleanup:
+        downloads.discard(landed)
     return rows
 
 

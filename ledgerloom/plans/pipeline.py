@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.config import RunConfig, form_of
-from ledgerloom.functions.text import collection_slug, html_text, safe_name, slugify
+from ledgerloom.functions.text import collection_slug, has_keyword, html_text, safe_name, slugify
 from ledgerloom.operators.chunking import matching_chunks
-from ledgerloom.operators.summarize import Model, envelopes, extractive_model, summarize
+from ledgerloom.operators.summarize import PROMPT, Model, envelopes, extractive_model, summarize
 from ledgerloom.operators.vectors import embed, upsert, with_ids
 from ledgerloom.sources.files import html_files, symbol_status
 
@@ -26,16 +26,16 @@ def matches(files: DataFrame, config: RunConfig, chunker: str = "fixed") -> Data
     return matching_chunks(docs, config.keyword, chunker, config.chunk_size, config.chunk_overlap)
 
 
-def points(found: DataFrame, config: RunConfig, collection: str) -> DataFrame:
+def points(found: DataFrame, config: RunConfig, collection: Column) -> DataFrame:
     """Vector points of the matching chunks, with deterministic ids."""
-    rows = found.select(*KEYS, "chunk_pos", "text", F.col("document").alias("source"), F.lit(config.keyword).alias("keyword"), F.lit(collection).alias("collection"))
-    made = with_ids(embed(rows), "collection", "accession", "document", "chunk_pos", "text")
-    return made.select("id", "vector", "source", "symbol", "keyword", "text")
+    rows = found.select(*KEYS, "chunk_pos", "text", F.col("document").alias("source"), F.lit(config.keyword).alias("keyword"), collection.alias("collection"))
+    made = with_ids(embed(rows, batch=config.embedding_batch), "collection", "accession", "document", "chunk_pos", "text")
+    return made.select("id", "collection", "vector", "source", "symbol", "keyword", "text")
 
 
 def summaries(found: DataFrame, config: RunConfig, ask: Model = extractive_model) -> DataFrame:
     """One envelope for each document with at least one match."""
-    got = summarize(found, KEYS, config.keyword, ask, config.batch_size, config.max_retries, config.require_json, 4 * config.max_new_tokens)
+    got = summarize(found, KEYS, config.keyword, ask, config.batch_size, config.max_retries, config.require_json, 4 * config.max_new_tokens, config.template or PROMPT)
     slug = collection_slug(F.col("symbol"), config.keyword, config.collection_prefix)
     return envelopes(got, KEYS).withColumn("collection", slug)
 
@@ -46,18 +46,28 @@ def output_name(config: RunConfig):
     return F.concat_ws("_", F.lower("symbol"), slugify(F.lit(config.keyword)), safe_name(F.col("accession")), F.concat(stem, F.lit(".summary.json")))
 
 
+def stage_counts(chunks: DataFrame, keyword: str, symbol: str, document: str) -> DataFrame:
+    """``(symbol, n_chunks, n_relevant, n_docs)``: how many chunks there are, how many have the keyword, and of how many documents."""
+    relevant = F.count_if(has_keyword(F.col("text"), keyword)).alias("n_relevant")
+    return chunks.groupBy(F.col(symbol).alias("symbol")).agg(F.count("*").alias("n_chunks"), relevant, F.countDistinct(document).alias("n_docs"))
+
+
 def run(spark: SparkSession, root: str, out: str, symbols: list[str], config: RunConfig, ask: Model = extractive_model) -> DataFrame:
-    """Run for all symbols, write summaries as JSON under ``out`` and points unless dry, and return a status for each symbol."""
+    """:func:`run_files` over the newest files of a tree, for all symbols."""
     status = symbol_status(spark, root, symbols, form_of(config.mode))
-    files = html_files(spark, root, symbols, form_of(config.mode), config.limit)
+    return run_files(spark, html_files(spark, root, symbols, form_of(config.mode), config.limit), status, out, config, ask)
+
+
+def run_files(spark: SparkSession, files: DataFrame, status: DataFrame, out: str, config: RunConfig, ask: Model = extractive_model) -> DataFrame:
+    """Write summaries as JSON under ``out`` and points unless dry, and return ``status`` (a row for each symbol) with documents.
+
+    All symbols' points go in one merge to one table, told apart by ``collection``.
+    """
     found = matches(files, config).persist()  # both sinks read it
     try:
         if not config.dry_run:
-            for symbol in sorted({s.strip().upper() for s in symbols}):
-                name = spark.range(1).select(collection_slug(F.lit(symbol), config.keyword, config.collection_prefix)).first()[0]
-                mine = found.where(F.col("symbol") == symbol)
-                if not mine.isEmpty():
-                    upsert(points(mine, config, name), f"{out}/collections/{name}")
+            name = collection_slug(F.col("symbol"), config.keyword, config.collection_prefix)
+            upsert(points(found, config, name), f"{out}/collections", metric=config.distance)
         made = summaries(found, config, ask).withColumn("output", output_name(config))
         made.write.mode("overwrite").partitionBy("symbol").json(f"{out}/summaries")
     finally:

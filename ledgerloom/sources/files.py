@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from ledgerloom.schemas import SUBMISSIONS
 
 TREE = "sec-edgar-filings"
+#: Paths of chosen files that may pass the driver.
+LISTED = 10_000
 
 
 def _listed(spark: SparkSession, root: str, symbols: list[str] | None, form: str | None) -> tuple[list[str], dict[str, str]]:
@@ -42,7 +44,8 @@ def html_files(spark: SparkSession, root: str, symbols: list[str] | None = None,
     """``(path, symbol, form, accession, document, mtime, html)`` of the newest ``limit`` files of each symbol.
 
     Only the folders of the asked symbols and form are listed. Files are ranked by what their listing says, before
-    a body is read; then the bodies of the winners are.
+    a body is read; then only the files of the winners are. Where these are more than ``LISTED``, so that their
+    paths should not pass the driver, all bodies are read and joined instead.
     """
     paths, _ = _listed(spark, root, symbols, form)
     if not paths:
@@ -52,8 +55,16 @@ def html_files(spark: SparkSession, root: str, symbols: list[str] | None = None,
     if limit:
         rank = F.row_number().over(W.partitionBy("symbol").orderBy(F.col("mtime").desc(), "path"))
         chosen = chosen.withColumn("_rank", rank).where(F.col("_rank") <= limit).drop("_rank")
-    bodies = _reader(spark).format("text").option("wholetext", True).load(paths).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("html"))
-    return chosen.join(bodies, "path")
+    few = [r["path"] for r in chosen.select("path").limit(LISTED + 1).collect()] if limit else []
+    return chosen.join(bodies(spark, paths, few if 0 < len(few) <= LISTED else None), "path")
+
+
+def bodies(spark: SparkSession, paths: list[str], only: list[str] | None = None) -> DataFrame:
+    """``(path, html)`` of the files under ``paths``, or of those in ``only``, which prunes the files that are opened."""
+    read = _reader(spark).format("text").option("wholetext", True).load(paths)
+    if only is not None:
+        read = read.where(F.col("_metadata.file_path").isin(only))
+    return read.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("html"))
 
 
 def symbol_status(spark: SparkSession, root: str, symbols: list[str], form: str | None = None) -> DataFrame:

@@ -117,10 +117,11 @@ def get(url: str, agent: str, transport: Transport, bucket: TokenBucket, domain:
     return with_retries(once, attempts, worth=worth, sleep=sleep)
 
 
-def fetch(urls: DataFrame, agent: str, url: str = "url", transport: Transport = urllib_transport, per_second: float = 10, readers: int = 1, domain: str = "sec.gov") -> DataFrame:
+def fetch(urls: DataFrame, agent: str, url: str = "url", transport: Transport = urllib_transport, per_second: float = 10, readers: int = 1, domain: str = "sec.gov", held: int = 16 << 20) -> DataFrame:
     """``urls`` plus ``body`` (binary), ``text`` (strict UTF-8) and ``error``.
 
     The budget of ``per_second`` requests is split over ``readers`` tasks: no more than that fetch at a time.
+    Rows leave a task by about ``held`` bytes of bodies, however many rows came in together.
     """
     check_user_agent(agent)
     at = urls.columns.index(url)
@@ -128,7 +129,12 @@ def fetch(urls: DataFrame, agent: str, url: str = "url", transport: Transport =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket = TokenBucket(max(1.0, per_second / readers), max(1.0, per_second / readers) / (per_second / readers))
         for batch in batches:
-            bodies, texts, errors = [], [], []
+            start, size, bodies, texts, errors = 0, 0, [], [], []
+
+            def piece(batch: pa.RecordBatch, start: int, bodies: list, texts: list, errors: list) -> pa.RecordBatch:
+                columns = batch.slice(start, len(bodies)).columns
+                return pa.RecordBatch.from_arrays([*columns, pa.array(bodies, pa.binary()), pa.array(texts, pa.string()), pa.array(errors, pa.string())], names=[*batch.schema.names, "body", "text", "error"])
+
             for link in batch.column(at).to_pylist():
                 body = text = error = None
                 try:
@@ -143,7 +149,12 @@ def fetch(urls: DataFrame, agent: str, url: str = "url", transport: Transport =
                 bodies.append(body)
                 texts.append(text)
                 errors.append(error)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bodies, pa.binary()), pa.array(texts, pa.string()), pa.array(errors, pa.string())], names=[*batch.schema.names, "body", "text", "error"])
+                size += len(body or b"")
+                if size >= held:
+                    yield piece(batch, start, bodies, texts, errors)
+                    start, size, bodies, texts, errors = start + len(bodies), 0, [], [], []
+            if bodies:
+                yield piece(batch, start, bodies, texts, errors)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in urls.schema)
     return urls.repartition(readers).mapInArrow(run, f"{schema}, body binary, text string, error string")

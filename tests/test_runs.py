@@ -28,12 +28,23 @@ def tree(tmp_path):
     return str(tmp_path / "in")
 
 
+def files_read(df):
+    """The number of files that a scan without a shuffle opens."""
+    plan = df._jdf.queryExecution().executedPlan()
+    df._jdf.queryExecution().toRdd().count()
+    scan = plan.collectLeaves().head()
+    return scan.metrics().apply("numFiles").value()
+
+
 def test_scan(spark, tree):
     assert files.html_files(spark, tree).count() == 5
     one = files.html_files(spark, tree, [" aapl "], "10-K", 1).collect()
     assert [(r.symbol, r.form, r.accession, r.document) for r in one] == [("AAPL", "10-K", "0002", "primary-document.html")]
     assert "Revenue fell" in one[0].html
     assert files.html_files(spark, tree, ["AAPL"], "10-K", 0).count() == 3
+    few = files.bodies(spark, [f"{tree}/{files.TREE}"], [one[0].path])
+    assert few.count() == 1
+    assert files_read(few) == 1
     assert files.html_files(spark, tree, ["NOPE"]).count() == 0
     status = {r.symbol: (r.ok, r.error) for r in files.symbol_status(spark, tree, ["aapl", "nope", "AAPL"]).collect()}
     assert status == {"AAPL": (True, None), "NOPE": (False, "missing")}
@@ -49,7 +60,7 @@ def test_pipeline(spark, tree, tmp_path):
     rows = [json.loads(x) for p in (tmp_path / "out/summaries/symbol=AAPL").glob("*.json") for x in p.read_text().splitlines()]
     assert {r["accession"]: r["summaries"][0]["summary"] for r in rows} == {"0001": "Revenue rose.", "0002": "Revenue fell."}
     assert {r["output"] for r in rows} == {f"aapl_revenue_{a}_primary-document.summary.json" for a in ("0001", "0002")}
-    ids = lambda: {r.id for r in read_collection(spark, f"{out}/collections/filings_aapl-revenue").collect()}
+    ids = lambda: {r.id for r in read_collection(spark, f"{out}/collections").where("collection = 'filings_aapl-revenue'").collect()}
     first = ids()
     run(spark, tree, out, ["AAPL"], config)
     assert len(first) == 2 and ids() == first
@@ -60,8 +71,8 @@ def test_dry_run_and_cli(spark, tree, tmp_path):
     rows = cli.main(["AAPL", "--dry-run", "--limit", "5", "--keyword", "revenue", "--downloads", tree, "--output", out, "--no-cleanup", "--log-format", "json"], spark)
     assert [(r[0], r[1], r[3]) for r in rows] == [("AAPL", True, 2)]
     assert not os.path.exists(f"{out}/collections") and os.path.exists(f"{tree}/{files.TREE}")
-    cli.main(["AAPL", "--dry-run", "--downloads", tree, "--output", out], spark)
-    assert not os.path.exists(f"{tree}/{files.TREE}")
+    cli.main(["AAPL", "--dry-run", "--fresh", "--downloads", tree, "--output", out], spark)
+    assert files.html_files(spark, tree).count() == 5  # input is never deleted
     a = cli.arguments([])
     assert (a.symbols, a.limit, a.end_date - a.start_date) == (["AAPL"], 1, timedelta(days=365))
 
