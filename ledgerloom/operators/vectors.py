@@ -151,8 +151,8 @@ def search_all(
 
     def dealt(df: DataFrame, mine: int, name: str, other: str) -> DataFrame:
         own = F.pmod(F.xxhash64(key), F.lit(blocks[mine])).alias(name)
-        every = F.explode(F.sequence(F.lit(0), F.lit(blocks[1 - mine] - 1))).alias(other)
-        return df.where(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vector"), own, every.cast("long"))
+        every = F.explode(F.expr(f"sequence(0L, {blocks[1 - mine] - 1}L)")).alias(other)
+        return df.where(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vector"), own, every)
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
