@@ -7,13 +7,14 @@ takes records but moves none between the old ones (law ``key``). The law binds
 single records: equal texts with different ids may part.
 
 Scale: the choice is a row-wise expression. Numbering the rows of a shard does
-not sort a shard in one task: each shard is cut by key hash into pieces of
-about ``piece_rows`` rows, a count per piece gives its first slot, and rows are
-numbered within their piece. Only ids and two numbers are shuffled, not texts.
+not sort a shard in one task: equal rows are counted first, each shard is cut by the hash of
+whole rows into pieces of about ``piece_rows`` rows, a count per piece gives its first slot, and rows are
+numbered within their piece. So an id or a row that holds a third of all is spread like any other.
+Only ids and two numbers are shuffled, not texts.
 
 Nulls and edge cases: a null text has no bytes and the crc32 of the empty
 text; a null doc_id hashes as the empty text; repeated rows fall in one shard
-with different slots; rows of one key that outgrow a piece share it.
+with different slots; a column of the input that has the name of a new one is kept under a name that ends in ``_in``.
 """
 
 from __future__ import annotations
@@ -42,25 +43,34 @@ def shard_of(key: Column, weights: list[float]) -> Column:
 
 
 def place(docs: DataFrame, weights: list[float], grown: list[float] | None = None) -> DataFrame:
-    """``docs`` with an int column ``shard``, and ``grown_shard`` if a second list of weights is given; columns of these names are replaced."""
+    """``docs`` with an int column ``shard``, and ``grown_shard`` if a second list of weights is given."""
+    new = {"shard", "grown_shard"} if grown else {"shard"}
+    names = [c.lower() for c in docs.columns]
+    for c in docs.columns:
+        if c.lower() in new:
+            kept = f"{c}_in"
+            while kept.lower() in names:
+                kept += "_in"
+            docs = docs.withColumnRenamed(c, kept)
     out = docs.withColumn("shard", shard_of(F.col("doc_id"), weights))
     return out.withColumn("grown_shard", shard_of(F.col("doc_id"), grown)) if grown else out
 
 
 def number_slots(placed: DataFrame, piece_rows: int = 20_000) -> DataFrame:
-    """``placed`` with ``slot``: 0, 1, 2 ... within each shard, ordered by piece, doc_id and what else tells rows apart."""
+    """``placed`` with ``slot``: 0, 1, 2 ... within each shard. Its columns must be such that rows can be grouped by them."""
     shards = max(1, placed.select("shard").distinct().count())
     pieces = max(1, math.ceil(placed.count() / shards / piece_rows))
-    piece = F.pmod(F.xxhash64(placed["doc_id"]), F.lit(pieces)).cast("int")
     row = F.struct(*[placed[c] for c in placed.columns])
-    cut = placed.select(row.alias("row"), placed["shard"].alias("shard"), piece.alias("piece"))
-    counts = cut.groupBy("shard", "piece").agg(F.count("*").alias("n"))
+    held = placed.select(row.alias("row")).groupBy("row").agg(F.count("*").alias("n"))
+    piece = F.pmod(F.xxhash64("row"), F.lit(pieces)).cast("int")
+    cut = held.select("row", "n", F.col("row.shard").alias("shard"), piece.alias("piece"))
+    counts = cut.groupBy("shard", "piece").agg(F.sum("n").alias("n"))
     before = W.partitionBy("shard").orderBy("piece").rowsBetween(W.unboundedPreceding, -1)
     first = counts.select("shard", "piece", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    within = W.partitionBy("shard", "piece").orderBy("row.doc_id", "row")
-    numbered = cut.withColumn("at", F.row_number().over(within) - 1)
-    joined = numbered.join(first, ["shard", "piece"])
-    return joined.select("row.*", (F.col("first") + F.col("at")).cast("long").alias("slot"))
+    within = W.partitionBy("shard", "piece").orderBy("row").rowsBetween(W.unboundedPreceding, W.currentRow)
+    numbered = cut.withColumn("at", F.sum("n").over(within) - F.col("n"))
+    joined = numbered.join(first, ["shard", "piece"]).withColumn("copy", F.explode(F.expr("sequence(0L, n - 1L)")))
+    return joined.select("row.*", (F.col("first") + F.col("at") + F.col("copy")).cast("long").alias("slot"))
 
 
 def op10_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:

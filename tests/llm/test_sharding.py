@@ -38,5 +38,17 @@ def test_weights_and_growth(spark):
 
 
 def test_odd_rows_and_no_rows(spark, odd, none):
-    assert m.place(odd.drop("shard"), [1.0] * 24).count() == 11
-    assert m.number_slots(m.place(none.drop("shard"), [1.0] * 24)).count() == 0
+    placed = m.place(odd, [1.0] * 24, [1.0] * 25)
+    assert placed.columns == [c if c != "shard" else "shard_in" for c in odd.columns] + ["shard", "grown_shard"]
+    assert {r.shard_in for r in placed.collect()} == {3} and placed.count() == 11
+    assert m.number_slots(m.place(none, [1.0] * 24)).count() == 0
+
+
+def test_a_hot_id_and_a_hot_row_are_spread(spark):
+    rows = spark.range(3000).selectExpr("cast(null as long) as doc_id", "cast(id % 100 + 1 as string) as text")
+    rows = rows.unionByName(spark.range(2000).selectExpr("cast(7 as long) as doc_id", "'same' as text"))
+    slots = defaultdict(list)
+    for r in m.number_slots(m.place(rows, [1.0] * 3), piece_rows=50).collect():
+        slots[r.shard].append(r.slot)
+    assert sum(map(len, slots.values())) == 5000
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
