@@ -14,8 +14,8 @@ a sketch of a long document says nothing about a short passage in it. It has
 full recall, not a probability of it.
 
 Scale: documents are read once. Executors get one bit map of sketch hashes and
-one of all item shingles, whose sizes are fixed by ``bits`` however many items
-there are; a false positive only costs a row. Documents emit only shingles
+one of all item shingles, whose sizes follow the number of shingles up to 16 MB
+(:func:`bits_for`); a false positive only costs a row. Documents emit only shingles
 that pass, and only if a sketch value passes, so the shuffles carry the leaked
 passages rather than the corpus, and grow in proportion to them.
 
@@ -27,6 +27,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +40,9 @@ from ledgerloom.llm.common import id_and_text, materialize, row_key, ship, table
 
 ship(__name__)
 
-WIDTH, THRESHOLD, BITS = 5, 0.8, 24
+WIDTH, THRESHOLD = 5, 0.8
+#: The least and the largest size of a map, as a power of two of bits: 2 MB to 16 MB.
+BITS, MOST_BITS = 24, 27
 
 
 def _spread(codes: np.ndarray) -> np.ndarray:
@@ -139,9 +142,15 @@ def leaked_shingles(docs: DataFrame, sketch: np.ndarray, every: np.ndarray, widt
     return id_and_text(docs).select("doc_id", "text", *row_key()).mapInArrow(run, "doc_id long, key1 long, key2 long, size long, shingle string")
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, bits: int = BITS) -> DataFrame:
+def bits_for(shingles: int) -> int:
+    """The size of the maps: 32 bits a shingle or more, up to the largest map, where documents send more shingles that no item has."""
+    return min(MOST_BITS, max(BITS, math.ceil(math.log2(32 * max(1, shingles)))))
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, bits: int | None = None) -> DataFrame:
     """``(doc_id, key1, key2, item_id, n_shingles, n_found)`` where a document holds at least ``threshold`` of an item."""
     shingles = materialize(item_shingles(items, width, threshold), "items")
+    bits = bits or bits_for(shingles.count())
     sketch = _bit_map(shingles.where("place < needed").select("hash"), bits)
     every = _bit_map(shingles.select("hash"), bits)
     leaked = materialize(leaked_shingles(docs, sketch, every, width).distinct(), "leaked")
