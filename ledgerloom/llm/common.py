@@ -59,8 +59,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def discard(*tables: DataFrame) -> None:
-    """Delete tables of :func:`materialize` that nothing reads any more, and let go of finished shuffles.
+def discard(*tables: DataFrame, free: bool = True) -> None:
+    """Delete tables of :func:`materialize` that nothing reads any more, and, if ``free``, let go of finished shuffles.
 
     Shuffle files go once the driver's JVM has collected what refers to them; in a
     long run of jobs it may not do so by itself before the disks fill up.
@@ -70,8 +70,9 @@ def discard(*tables: DataFrame) -> None:
     for t in tables:
         path = jvm.org.apache.hadoop.fs.Path(t.scratch_path)
         path.getFileSystem(conf).delete(path, True)
-    gc.collect()
-    jvm.System.gc()
+    if free:
+        gc.collect()
+        jvm.System.gc()
 
 
 def crc_of_id(doc_id: Column | str = "doc_id") -> Column:
@@ -116,8 +117,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
                 F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))
             ).alias("e")
         )
-        edges = materialize(small.select("e.*").where("a <> b").distinct(), "edges")
+        earlier, edges = edges, materialize(small.select("e.*").where("a <> b").distinct(), "edges")
         before, mark = mark, _signature(edges)
+        discard(earlier, free=False)
         if before == mark:
             break
     roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -9,7 +9,8 @@ Scale: texts never leave the first pass. The join runs over *distinct*
 fingerprints, so exact copies, however many, are one row in it. A key that
 more than ``dense`` distinct fingerprints share is not joined pairwise: each
 of those fingerprints emits every value within ``distance // 2`` bits, and all
-that emit one value are linked to the smallest of them. Two fingerprints
+that emit one value are linked to the smallest of them. The number of blocks grows with that of
+distinct fingerprints, so that keys stay longer than these need. Two fingerprints
 within the distance always share such a value, and two that share one are
 within the distance, so this loses and adds nothing and is linear in the group.
 
@@ -26,6 +27,7 @@ component; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -94,6 +96,14 @@ def _block_keys(fp: Column, blocks: int, distance: int) -> tuple[Column, list[in
     return F.array(*keys), signed
 
 
+def blocks_for(fingerprints: int, distance: int = 4) -> int:
+    """How many blocks to split into: more for more distinct fingerprints, so that a key's bits tell most of them apart."""
+    blocks = distance + 3
+    while blocks < distance + 8 and 64 * (blocks - distance) / blocks < math.log2(max(2, fingerprints)) + 3:
+        blocks += 1
+    return blocks
+
+
 def links(fps: DataFrame, distance: int = 4, blocks: int = 7, dense: int = 256) -> DataFrame:
     """Edges ``(a, b)`` between distinct fingerprints at most ``distance`` bits apart.
 
@@ -135,11 +145,12 @@ def links(fps: DataFrame, distance: int = 4, blocks: int = 7, dense: int = 256)
 
 
 def near_duplicates(
-    docs: DataFrame, words: int = 4, distance: int = 4, blocks: int = 7, dense: int = 256
+    docs: DataFrame, words: int = 4, distance: int = 4, blocks: int | None = None, dense: int = 256
 ) -> DataFrame:
-    """``(doc_id, fp, component_id)`` per row; component_id is the smallest doc_id reachable by links."""
+    """``(doc_id, fp, component_id)`` per row; component_id is the smallest doc_id reachable by links. ``blocks`` none: by :func:`blocks_for`."""
     fps = materialize(fingerprints(docs, words), "fingerprints")
     classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "classes")
+    blocks = blocks or blocks_for(classes.count(), distance)
     roots = materialize(connected_components(links(classes.select("fp"), distance, blocks, dense)), "roots")
     labelled = classes.join(roots, classes["fp"] == roots["node"], "left").select(
         "fp", "low", F.coalesce("root", "fp").alias("root")
@@ -417,7 +428,7 @@ def similar(docs: DataFrame, words: int = 5, dense: int = 16) -> DataFrame:
 
     by_fp = nodes.groupBy("fp").agg(F.min("node").alias("y"))
     classes = materialize(by_fp, "classes")
-    far = links(classes.select("fp"))
+    far = links(classes.select("fp"), blocks=blocks_for(classes.count()))
     far = far.join(classes.select(F.col("fp").alias("a"), F.col("y").alias("x")), "a").join(classes.withColumnRenamed("fp", "b"), "b").select("x", "y")
     same = nodes.join(classes, "fp").where("node <> y").select(F.col("node").alias("x"), "y")
     pairs = materialize(_ordered(far.unionByName(same)), "pairs")
