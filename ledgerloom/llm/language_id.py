@@ -77,9 +77,12 @@ def count_trigrams(docs: DataFrame) -> DataFrame:
 class Mixture:
     """Trigram distributions of the learned languages."""
 
-    def __init__(self, langs: list[str], counts: np.ndarray, smooth: float = 0.5):
-        self.langs = langs
-        self.log = np.log((counts + smooth) / (counts.sum(axis=1, keepdims=True) + smooth * BUCKETS)) if langs else counts
+    def __init__(self, langs: list[str], log: np.ndarray):
+        self.langs, self.log = langs, log
+
+    @classmethod
+    def of_counts(cls, langs: list[str], counts: np.ndarray, smooth: float = 0.5) -> Mixture:
+        return cls(langs, np.log((counts + smooth) / (counts.sum(axis=1, keepdims=True) + smooth * BUCKETS)) if langs else counts)
 
     def infer(self, text: str | None, rounds: int = 12, least: float = 0.02) -> tuple[str, float, list[tuple[str, float]]]:
         """The language, its score, and the languages of the chosen set with their proportions."""
@@ -130,15 +133,15 @@ def train(docs: DataFrame, max_languages: int = 256) -> Mixture:
     rows = count_trigrams(known).toPandas()
     if len(rows):
         counts[rows["lang"].map(place).to_numpy(), rows["bucket"].to_numpy()] = rows["n"].to_numpy()
-    return Mixture(langs, counts)
+    return Mixture.of_counts(langs, counts)
 
 
 def predict(docs: DataFrame, model: Mixture) -> DataFrame:
     """``(doc_id, lang_pred, score, n_langs, mixture)`` for each row of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most max_languages * BUCKETS numbers
+    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.log))  # at most max_languages * BUCKETS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixture = shared.value
+        mixture = Mixture(*shared.value)
         for batch in batches:
             got = [mixture.infer(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(

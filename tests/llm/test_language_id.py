@@ -25,7 +25,7 @@ def test_mixture_finds_both_languages(spark):
 def test_em_raises_the_likelihood():
     rng = np.random.default_rng(0)
     counts = rng.integers(0, 50, (3, m.BUCKETS)).astype(float)
-    model = m.Mixture(["a", "b", "c"], counts)
+    model = m.Mixture.of_counts(["a", "b", "c"], counts)
     text = "some words that are long enough to be counted"
     found = np.bincount(m.trigrams(text), minlength=m.BUCKETS)
     p = np.exp(model.log)
