@@ -13,13 +13,17 @@ told apart by 64-bit hashes.
 
 Scale: texts are cut into chunks of about ``CHUNK`` bytes by their place in
 their file, and each chunk is reduced to its distinct grams and words before
-anything is shuffled. These go, as sorted arrays, to ``RANGES`` ranges: grams by
+anything is shuffled. Where a stretch of long texts would make a chunk of more
+than twice that, all texts are cut by their own length as well, so no chunk is larger unless
+it is one text. Grams and words go, as sorted arrays, to ranges: grams by
 the two bytes before their last, so that all longer contexts of a gram are in
-its range, and words by hash. Ranges of at most ``FAN`` chunks are merged at a
-time, in as many rounds as that takes. Each range works out its log
-probabilities, and sends each chunk those of its own grams. Beside the ranges
+its range, and words by hash. There are ``RANGES`` ranges or more, as the number of chunks
+grows (:func:`ranges_for`), and as many chunks as ranges meet in a task, which is about
+``CHUNK`` bytes of grams at any size. Ranges are merged in as many rounds as that takes. Each range works out its log
+probabilities, and sends each chunk those of its own grams; a range is copied once for as many chunks as there are ranges. Beside the ranges
 only the counts of byte pairs are needed everywhere: 65,536 numbers at most.
-Texts are shuffled once, to meet the values of their chunk.
+Texts are shuffled once, to meet the values of their chunk. Every shuffle has as many partitions as its groups need.
+One range is worked out in one task, so the grams after one pair of bytes must fit there.
 
 Nulls and edge cases: a null or empty text has one token, the end, and codes
 one symbol; a null doc_id hashes as the empty text; repeated rows are scored
@@ -46,8 +50,8 @@ ship(__name__)
 
 ORDER = 5
 CHUNK = 24 << 20
-#: Bytes of text that are worked on at once, ranges of grams and of words, and chunks that meet in one task.
-BLOCK, RANGES, FAN = 1 << 21, 128, 64
+#: Bytes of text that are worked on at once, and the least and the largest number of ranges of grams and of words.
+BLOCK, RANGES, MOST_RANGES = 1 << 21, 128, 1 << 14
 #: Bytes that UTF-8 never has mark what precedes a text and its end.
 BEFORE, END = b"\xfe", b"\xff"
 #: Symbols that can follow: bytes 0 to 253 and the end.
@@ -113,10 +117,18 @@ def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return distinct, np.bincount(which, np.concatenate([np.zeros(0, np.int64), *counts]), len(distinct)).astype(np.int64)
 
 
-def _range_of_grams(codes: np.ndarray) -> np.ndarray:
+def ranges_for(chunks: int) -> int:
+    """How many ranges to cut the model into: a power of two, more for more chunks."""
+    ranges = RANGES
+    while ranges < MOST_RANGES and chunks > 8 * ranges:
+        ranges *= 2
+    return ranges
+
+
+def _range_of_grams(codes: np.ndarray, ranges: int) -> np.ndarray:
     """A range for each gram, by the two bytes before its last."""
     pair = ((codes >> 8) & 0xFFFF).astype(np.uint32)
-    return ((pair * np.uint32(2654435761)) >> np.uint32(16)).astype(np.int64) % RANGES
+    return ((pair * np.uint32(2654435761)) >> np.uint32(16)).astype(np.int64) % ranges
 
 
 def _word_codes(words: list[bytes]) -> np.ndarray:
@@ -129,8 +141,8 @@ GRAMS, WORDS, PAIRS = 0, 1, 2
 class _ChunkCounts:
     """Distinct grams and words of one chunk, with their counts in training rows."""
 
-    def __init__(self, order: int):
-        self.order, self.words, self.seen = order, Counter(), set()
+    def __init__(self, order: int, ranges: int):
+        self.order, self.ranges, self.words, self.seen = order, ranges, Counter(), set()
         self.codes, self.counts = [], []
         self.waiting: list[tuple[bytes, bool]] = []
         self.held = 0
@@ -166,18 +178,17 @@ class _ChunkCounts:
         pairs = np.bincount(codes & 0xFFFF, counts, 1 << 16).astype(np.int64)
         used = np.flatnonzero(pairs)
         yield PAIRS, 0, _packed(used), pairs[used].tobytes()
-        yield from self._by_range(GRAMS, codes, counts, _range_of_grams(codes))
+        yield from self._by_range(GRAMS, codes, counts, _range_of_grams(codes, self.ranges))
         words = list(self.words) + list(self.seen - self.words.keys())
         n = np.zeros(len(words), np.int64)
         n[: len(self.words)] = np.fromiter(self.words.values(), np.int64, len(self.words))
         codes, counts = _merged([_word_codes(words)], [n])
-        yield from self._by_range(WORDS, codes, counts, codes % RANGES)
+        yield from self._by_range(WORDS, codes, counts, codes % self.ranges)
 
-    @staticmethod
-    def _by_range(kind: int, codes: np.ndarray, counts: np.ndarray, ranges: np.ndarray) -> Iterator[tuple[int, int, bytes, bytes]]:
+    def _by_range(self, kind: int, codes: np.ndarray, counts: np.ndarray, ranges: np.ndarray) -> Iterator[tuple[int, int, bytes, bytes]]:
         order = np.argsort(ranges, kind="stable")  # keys stay sorted within a range
-        cuts = np.searchsorted(ranges[order], np.arange(RANGES + 1))
-        for r in range(RANGES):
+        cuts = np.searchsorted(ranges[order], np.arange(self.ranges + 1))
+        for r in range(self.ranges):
             some = order[cuts[r] : cuts[r + 1]]
             if len(some):
                 yield kind, r, _packed(codes[some]), counts[some].tobytes()
@@ -238,21 +249,39 @@ def _look_up(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> tuple[n
 def _place(docs: DataFrame, chunk: int) -> tuple[DataFrame, int]:
     """``(file, part, doc_id, text, taught)``: rows with their chunk, from a scan of Parquet files; about how many chunks.
 
-    Row numbers within files do not depend on how a scan is split, so the chunks are the same in each pass.
+    Row numbers within files do not depend on how a scan is split, so the chunks are the same in each pass. A chunk is a
+    number of rows by the mean size of a text. If one came out at over twice ``chunk`` bytes, texts of over twice the mean go to chunks
+    of their own, by powers of four of their length, with fewer rows the longer they are.
     """
-    size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    rows = max(1, int(chunk / max(1.0, size[1] / max(1, size[0]))))
+    length = F.coalesce(F.octet_length("text"), F.lit(0))
+    size = docs.agg(F.count("*"), F.coalesce(F.sum(length), F.lit(0))).first()
+    mean = max(1.0, size[1] / max(1, size[0]))
+    rows = max(1, int(chunk / mean))
+    file, row = F.xxhash64("_metadata.file_path"), F.col("_metadata.row_index")
+    part = F.floor(row / rows).cast("long")
+    made = docs.groupBy(file.alias("file"), part.alias("part")).agg(F.sum(length).alias("size")).agg(F.count("*"), F.max("size")).first()
+    chunks = made[0]
+    if (made[1] or 0) > 2 * chunk:
+        step = F.greatest(F.lit(0), F.ceil(F.log(length / F.lit(2 * mean)) / F.lit(math.log(4))))
+        own = F.greatest(F.lit(1), F.floor(F.lit(rows) / F.pow(F.lit(4.0), step) / 2)).cast("long")
+        part = F.xxhash64(F.coalesce(step, F.lit(0)).cast("int"), F.floor(row / F.coalesce(own, F.lit(rows))).cast("long"))
+        chunks = docs.select(file, part).distinct().count()
     placed = docs.select(
-        F.xxhash64("_metadata.file_path").alias("file"),
-        F.floor(F.col("_metadata.row_index") / rows).cast("long").alias("part"),
+        file.alias("file"),
+        part.alias("part"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("text").cast("string").alias("text"),
         (~held_out()).alias("taught"),
     )
-    return placed, -(-size[0] // rows)
+    return placed, chunks
+
+
+def _partitions(df: DataFrame, least: int) -> int:
+    """How many partitions a shuffle takes whose groups need ``least``."""
+    return max(least, df.sparkSession.sparkContext.defaultParallelism)
 
 
-def count_chunks(placed: DataFrame, order: int) -> DataFrame:
+def count_chunks(placed: DataFrame, order: int, ranges: int) -> DataFrame:
     """``(file, part, kind, range, keys, counts)``: each chunk's distinct grams, words and byte pairs, by range."""
     names = ["file", "part", "kind", "range", "keys", "counts"]
 
@@ -263,17 +292,17 @@ def count_chunks(placed: DataFrame, order: int) -> DataFrame:
         return pa.RecordBatch.from_arrays(columns, names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, None
+        open_chunks: dict[tuple[int, int], _ChunkCounts] = {}
         for batch in batches:
-            keys = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
             for key, text, taught in zip(keys, batch.column(2), batch.column(3).to_pylist(), strict=True):
-                if key != at:
-                    if held is not None:
-                        yield packed(at, held)
-                    at, held = key, _ChunkCounts(order)
-                held.add((text.as_py() or "").encode("utf-8", "surrogatepass").lower(), taught)
-        if held is not None:
-            yield packed(at, held)
+                if key not in open_chunks:
+                    open_chunks[key] = _ChunkCounts(order, ranges)
+                open_chunks[key].add((text.as_py() or "").encode("utf-8", "surrogatepass").lower(), taught)
+            for key in [k for k in open_chunks if k not in set(keys)]:  # a chunk may come in several pieces, which are summed
+                yield packed(key, open_chunks.pop(key))
+        for key, held in open_chunks.items():
+            yield packed(key, held)
 
     return placed.select("file", "part", "text", "taught").mapInArrow(run, "file long, part long, kind int, range int, keys binary, counts binary")
 
@@ -282,8 +311,8 @@ def _columns(table: pa.Table, *names: str) -> list[list]:
     return [table.column(n).to_pylist() for n in names]
 
 
-def merge_ranges(counted: DataFrame, chunks: int) -> DataFrame:
-    """``(kind, range, keys, counts)``, one row for each range: its chunks summed, ``FAN`` at a time."""
+def merge_ranges(counted: DataFrame, chunks: int, ranges: int) -> DataFrame:
+    """``(kind, range, keys, counts)``, one row for each range: its chunks summed, as many as there are ranges at a time."""
 
     def run(key, table):
         keys, counts = _columns(table, "keys", "counts")
@@ -291,14 +320,19 @@ def merge_ranges(counted: DataFrame, chunks: int) -> DataFrame:
         at = table.column("at")[0].as_py()
         return pa.table({"kind": pa.array([key[0].as_py()], pa.int32()), "range": pa.array([key[1].as_py()], pa.int32()), "at": pa.array([at], pa.int64()), "keys": pa.array([_packed(k)], pa.binary()), "counts": pa.array([n.tobytes()], pa.binary())})
 
-    blocks = -(-chunks // FAN)
+    blocks = -(-chunks // ranges)
     out = counted.select("kind", "range", F.pmod(F.xxhash64("file", "part"), F.lit(blocks)).alias("at"), "keys", "counts")
     schema = "kind int, range int, at long, keys binary, counts binary"
+    earlier = None
     while True:
-        out = materialize(out.groupBy("kind", "range", "at").applyInArrow(run, schema), "ranges")
+        dealt = out.repartition(_partitions(counted, min(chunks, blocks * ranges)), "kind", "range", "at")
+        out = materialize(dealt.groupBy("kind", "range", "at").applyInArrow(run, schema), "ranges")
+        if earlier is not None:
+            discard(earlier)
         if blocks == 1:
-            return out.drop("at")
-        blocks = -(-blocks // FAN)
+            return out
+        earlier = out
+        blocks = -(-blocks // ranges)
         out = out.withColumn("at", F.pmod(F.col("at"), F.lit(blocks)))
 
 
@@ -323,9 +357,10 @@ def range_values(merged: DataFrame, order: int) -> DataFrame:
     return wanted.mapInArrow(run, "kind int, range int, keys binary, values binary, tokens long, distinct long")
 
 
-def chunk_values(counted: DataFrame, valued: DataFrame, chunks: int) -> DataFrame:
+def chunk_values(counted: DataFrame, valued: DataFrame, chunks: int, ranges: int) -> DataFrame:
     """``(file, part, kind, keys, values)``: for each chunk the values of its own keys."""
-    blocks = -(-chunks // FAN)
+    blocks = -(-chunks // ranges)
+    dealt = _partitions(counted, min(chunks, blocks * ranges))
 
     def run(key, left, right):
         files, parts, mine = _columns(left, "file", "part", "keys")
@@ -336,6 +371,7 @@ def chunk_values(counted: DataFrame, valued: DataFrame, chunks: int) -> DataFram
 
     asked = counted.where(F.col("kind") != PAIRS).withColumn("at", F.pmod(F.xxhash64("file", "part"), F.lit(blocks)))
     given = valued.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("at", F.col("at").cast("long"))
+    asked, given = (df.repartition(dealt, "kind", "range", "at") for df in (asked, given))
     both = asked.groupBy("kind", "range", "at").cogroup(given.groupBy("kind", "range", "at"))
     return both.applyInArrow(lambda k, a, b: run(k, a, b) if a.num_rows else _no_values(), "file long, part long, kind int, keys binary, values binary")
 
@@ -353,12 +389,13 @@ def score(docs: DataFrame, order: int = ORDER, chunk: int = CHUNK) -> DataFrame:
     """Scores of every row of ``docs``, which must be a scan of Parquet files (see :func:`ledgerloom.llm.common.materialize`)."""
     placed, chunks = _place(docs, chunk)
     chunks = max(1, chunks)
-    counted = materialize(count_chunks(placed, order), "counted")
-    merged = merge_ranges(counted, chunks)
+    ranges = ranges_for(chunks)
+    counted = materialize(count_chunks(placed, order, ranges), "counted")
+    merged = merge_ranges(counted, chunks, ranges)
     valued = materialize(range_values(merged, order), "valued")
     total_words, distinct_words = valued.where(F.col("kind") == WORDS).agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
-    wanted = materialize(chunk_values(counted, valued, chunks), "wanted")
-    discard(counted, valued)
+    wanted = materialize(chunk_values(counted, valued, chunks, ranges), "wanted")
+    discard(counted, merged, valued)
     spread = math.log10(total_words + distinct_words + 1)
 
     def gathered(right: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
@@ -404,6 +441,8 @@ def score(docs: DataFrame, order: int = ORDER, chunk: int = CHUNK) -> DataFrame:
             }
         )
 
+    # Twice as many partitions as chunks, so that few chunks share one.
+    placed, wanted = (df.repartition(_partitions(docs, 2 * chunks), "file", "part") for df in (placed, wanted))
     grouped = placed.groupBy("file", "part").cogroup(wanted.groupBy("file", "part"))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     return grouped.applyInArrow(run, schema).withColumn("train_tokens", F.lit(int(total_words)).cast("long"))

@@ -80,11 +80,25 @@ def test_probabilities_sum_to_one():
 def test_ranges_merge_in_rounds(spark, documents, monkeypatch):
     some = documents.where("doc_id < 40").select("doc_id", "text")
     plain = {r["doc_id"]: r["score"] for r in m.score(materialize(some, "some"), order=3).collect()}
-    monkeypatch.setattr(m, "FAN", 2)
+    monkeypatch.setattr(m, "RANGES", 2)
+    monkeypatch.setattr(m, "MOST_RANGES", 2)
     got = {r["doc_id"]: r["score"] for r in m.score(materialize(some, "some"), order=3, chunk=1 << 13).collect()}
     assert got == pytest.approx(plain)
 
 
+def test_no_chunk_is_over_twice_its_size_unless_one_text(spark):
+    rows = [(i, "ab " * (2000 if 300 <= i < 340 else 20)) for i in range(2000)] + [(2000, "ab " * 90_000)]
+    placed, chunks = m._place(materialize(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), "runs"), 1 << 15)
+    sizes = placed.groupBy("file", "part").agg({"*": "count", "text": "max"}).collect()
+    assert len(sizes) == chunks
+    held = placed.selectExpr("file", "part", "length(text) as size").groupBy("file", "part").agg({"size": "sum", "*": "count"}).collect()
+    assert all(r["sum(size)"] <= 2 << 15 or r["count(1)"] == 1 for r in held)
+
+
+def test_ranges_grow_with_the_chunks():
+    assert [m.ranges_for(n) for n in (1, 1024, 1025, 10**9)] == [128, 128, 256, 1 << 14]
+
+
 def test_odd_rows_and_no_rows(spark, odd, none):
     got = m.score(materialize(odd, "odd"), order=2).collect()
     assert len(got) == 11
