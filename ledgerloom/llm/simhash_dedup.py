@@ -197,16 +197,15 @@ def _keys_of(codes: np.ndarray, common: tuple[np.ndarray, np.ndarray] | None) ->
     return one, two, codes[order].view(np.int64).tolist()
 
 
-def _common_codes(docs: DataFrame, words: int, sample: int = 1 << 25, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of shingles that come often in a sample by content, and their counts. They only order keys: any order finds all pairs."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+def _common_codes(docs: DataFrame, words: int, one_of: int = 16, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the commonest shingles in every ``one_of``-th text by content, and their counts. They only order keys: any order finds all pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text in batch.column(0):
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_codes(text.as_py(), words).view(np.int64))], names=["code"])
 
-    some = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(max(1, size // sample))) == 0)
+    some = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(one_of)) == 0)
     got = some.mapInArrow(run, "code long").groupBy("code").count().where("count > 2").orderBy(F.desc("count"), "code").limit(most).collect()
     codes, counts = np.array([r[0] for r in got], np.int64).view(np.uint64), np.array([r[1] for r in got], np.int64)
     order = np.argsort(codes)
@@ -352,11 +351,21 @@ def _joined(roots: DataFrame | None, more: DataFrame) -> DataFrame:
     return materialize(connected_components(more), "roots")
 
 
-def _shared_keys(nodes: DataFrame) -> DataFrame:
-    """``(key, node, n, place)`` of the keys that several nodes hold."""
-    keyed = nodes.select("node", "n", F.posexplode("keys").alias("place", "key"))
+def _met(nodes: DataFrame) -> DataFrame:
+    """``(group, node, n, place)``: nodes that hold one key and are of sizes near each other, where two sets may reach 0.8.
+
+    Two sets at 0.8 are in one class of sizes or in neighbouring ones, so each key is held in a node's own class and
+    in the next; and the smaller of two sets has their first shared key within its first ninth.
+    """
+    size_class = F.floor(F.log(F.col("n")) / F.lit(math.log(1.25))).cast("int")
+    keyed = nodes.where("n > 0").select("node", "n", F.posexplode("keys").alias("place", "key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
-    return materialize(keyed.join(shared, "key").select("key", "node", "n", "place"), "met")
+    keyed = materialize(keyed.join(shared, "key"), "keyed")
+    both = keyed.withColumn("class", F.explode(F.array(size_class, size_class + 1))).select(F.xxhash64("key", "class").alias("group"), "node", "n", "place")
+    shared = both.groupBy("group").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.min(F.expr("9 * place - n")).alias("first"))
+    out = materialize(both.join(shared.where("low <> high and first <= 0").select("group"), "group"), "met")
+    discard(keyed)
+    return out
 
 
 def _reach(x: str, y: str) -> Column:
@@ -365,27 +374,11 @@ def _reach(x: str, y: str) -> Column:
 
 
 def _apart(met: DataFrame, roots: DataFrame) -> DataFrame:
-    """``met`` with ``root``, but only keys whose nodes are not all in one component."""
-    rooted = met.join(roots, "node", "left").select("key", "node", "n", "place", F.coalesce("root", "node").alias("root"))
-    hub = F.min(F.struct("root", "node", "n", "place")).alias("hub")
-    mixed = rooted.groupBy("key").agg(hub, F.max("root").alias("high")).where("hub.root <> high").select("key", "hub")
-    return materialize(rooted.join(mixed, "key"), "apart")
-
-
-def _groups(apart: DataFrame) -> DataFrame:
-    """``(group, node, n, place, root, size)``: nodes of one key and of sizes near each other, where pairs not met before may reach 0.8.
-
-    Two sets at 0.8 are in one class of sizes or in neighbouring ones, and the smaller of them has their first
-    shared key within its first ninth. A group of two is a node and its hub, which have met.
-    """
-    size_class = F.floor(F.log(F.col("n")) / F.lit(np.log(1.25))).cast("int")
-    rows = apart.where("n > 0").withColumn("class", F.explode(F.array(size_class, size_class + 1)))
-    rows = rows.select(F.xxhash64("key", "class").alias("group"), "node", "n", "place", "root", (F.col("node") == F.col("hub.node")).alias("is_hub"))
-    known = rows.groupBy("group").agg(
-        F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.expr("9 * place - n")).alias("first"), F.max("is_hub").alias("hub")
-    )
-    known = known.where((F.col("low") != F.col("high")) & (F.col("first") <= 0) & (F.col("size") > F.when(F.col("hub"), 2).otherwise(1)))
-    return materialize(rows.drop("is_hub").join(known.select("group", "size"), "group"), "groups")
+    """``met`` with ``root``, the ``hub`` and the ``size`` of the group, but only groups whose nodes are not all in one component."""
+    rooted = materialize(met.join(roots, "node", "left").select("group", "node", "n", "place", F.coalesce("root", "node").alias("root")), "rooted")
+    hub = F.min(F.struct("node", "n", "place", "root")).alias("hub")
+    mixed = rooted.groupBy("group").agg(hub, F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
+    return rooted.join(mixed.where("low <> high").select("group", "hub", "size"), "group")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -422,7 +415,7 @@ def similar(docs: DataFrame, words: int = 5, dense: int = 16) -> DataFrame:
     marked = materialize(slices.select("doc_id", "key1", "key2", "node"), "marked")
     one = slices.groupBy("node").agg(F.min(F.struct("key1", "key2")).alias("one"), F.any_value("fp").alias("fp"), F.any_value("n").alias("n"))
     nodes = materialize(one.select("node", "fp", "n", "one.*"), "nodes")
-    met = _shared_keys(slices.join(nodes.select("node", "key1", "key2"), ["node", "key1", "key2"]).dropDuplicates(["node"]))
+    met = _met(slices.join(nodes.select("node", "key1", "key2"), ["node", "key1", "key2"]).dropDuplicates(["node"]))
     discard(slices)
     names = nodes.select("node", "n", "key1", "key2")
 
@@ -434,16 +427,13 @@ def similar(docs: DataFrame, words: int = 5, dense: int = 16) -> DataFrame:
     pairs = materialize(_ordered(far.unionByName(same)), "pairs")
     roots = _joined(None, _alike(pairs, docs, names, words))
 
-    apart = _apart(met, roots)
     can = (F.col("root") != F.col("hub.root")) & _reach("", "hub.")
-    pairs = materialize(_ordered(apart.where(can).select(F.col("node").alias("x"), F.col("hub.node").alias("y"))), "pairs")
-    discard(apart)
+    pairs = materialize(_ordered(_apart(met, roots).where(can).select(F.col("node").alias("x"), F.col("hub.node").alias("y"))), "pairs")
     roots = _joined(roots, _alike(pairs, docs, names, words))
 
-    apart = _apart(met, roots)
+    groups = _apart(met, roots).where("size > 2").select("group", "node", "n", "place", "root", "size")  # of two, both have met
+    groups = materialize(groups, "groups")
     discard(met)
-    groups = _groups(apart)
-    discard(apart)
     x, y = (groups.where(F.col("size") <= dense).alias(n) for n in ("x", "y"))
     more = x.join(y, (F.col("x.group") == F.col("y.group")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _reach("x.", "y."))
     more = _ordered(more.select(F.col("x.node").alias("x"), F.col("y.node").alias("y")))
