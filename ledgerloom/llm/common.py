@@ -71,8 +71,13 @@ def discard(*tables: DataFrame, free: bool = True) -> None:
         path = jvm.org.apache.hadoop.fs.Path(t.scratch_path)
         path.getFileSystem(conf).delete(path, True)
     if free:
-        gc.collect()
-        jvm.System.gc()
+        release(spark)
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of finished shuffles that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def crc_of_id(doc_id: Column | str = "doc_id") -> Column:

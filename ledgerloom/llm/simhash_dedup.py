@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import connected_components, discard, id_and_text, materialize, row_key, ship, table
+from ledgerloom.llm.common import connected_components, discard, id_and_text, materialize, release, row_key, ship, table
 
 ship(__name__)
 
@@ -197,6 +197,38 @@ def _keys_of(codes: np.ndarray, common: tuple[np.ndarray, np.ndarray] | None) ->
     return one, two, codes[order].view(np.int64).tolist()
 
 
+def sketch(codes: np.ndarray) -> bytes:
+    """How many of a set's shingles fall into each of ``n / 8`` to ``n / 4`` buckets; nothing where a bucket has over 255.
+
+    Buckets are the leading bits of a mixed hash, so two neighbours of a finer sketch make one bucket of a coarser.
+    """
+    bits = max(0, (len(codes) // 4).bit_length() - 1)
+    counts = np.bincount((_mixed(codes, 5) >> np.uint64(1) >> np.uint64(63 - bits)).astype(np.int64), minlength=1 << bits)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def could_be_alike(one: bytes, two: bytes) -> bool:
+    """False only if two sets of these sketches share too few shingles for a Jaccard similarity of 0.8: no bucket shares more than its smaller count."""
+    if not one or not two:
+        return True
+    fine, coarse = sorted((np.frombuffer(b, np.uint8).astype(np.int64) for b in (one, two)), key=len, reverse=True)
+    fine = fine.reshape(len(coarse), -1).sum(axis=1)
+    return bool(9 * np.minimum(fine, coarse).sum() >= 4 * (fine.sum() + coarse.sum()))
+
+
+def _could_be_alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``pairs`` without those that their sketches rule out; a sketch is a thirty-second of its set or less."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [could_be_alike(x.as_py(), y.as_py()) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    left, right = (nodes.select(F.col("node").alias(n), F.col("sketch").alias(f"{n}_sketch")) for n in ("a", "b"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "a_sketch", "b_sketch")
+    return materialize(both.mapInArrow(run, "a long, b long"), "could")
+
+
 def _common_codes(docs: DataFrame, words: int, one_of: int = 16, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the commonest shingles in every ``one_of``-th text by content, and their counts. They only order keys: any order finds all pairs."""
 
@@ -227,16 +259,17 @@ def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
 def _alike(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, together: int = 128, most: int = 8 << 20) -> DataFrame:
     """Those of ``pairs`` (nodes a, b) whose shingle sets have a Jaccard similarity of 0.8 or more, by the sets themselves.
 
-    ``nodes`` has ``node``, ``n`` (shingles) and ``key1, key2`` (a row that has the set). Nodes
-    that meet in many pairs get a home, the least node they meet, and a part of it of about
+    ``nodes`` has ``node``, ``n`` (shingles), ``sketch`` and ``key1, key2`` (a row that has the set). Pairs
+    that sketches rule out are left out first. Nodes that meet in many pairs get a home, the least node they meet, and a part of it of about
     ``together`` nodes. All pairs between two parts are checked in one place, so a set is sent once
     for each part that its own meets and not once for each pair. Places are bounded by ``most`` bytes of sets.
     """
+    pairs = _could_be_alike(pairs, nodes)
     ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("e"))
     homes = ends.select("e.*").groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("home"))
     sizes = homes.groupBy("home").agg(F.count("*").alias("size"))
     part = F.xxhash64("home", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / together)))
-    homes = materialize(homes.join(sizes, "home").select("node", part.alias("part")).join(nodes, "node"), "homes")
+    homes = materialize(homes.join(sizes, "home").select("node", part.alias("part")).join(nodes.drop("sketch"), "node"), "homes")
 
     left, right = (homes.select(F.col("node").alias(n), F.col("part").alias(f"{n}_part")) for n in ("a", "b"))
     cell = F.xxhash64(F.least("a_part", "b_part"), F.greatest("a_part", "b_part"))
@@ -262,7 +295,7 @@ def _alike(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, toge
 
     checked = cells.select(at, "a", "b").groupBy("at").cogroup(sent.groupBy("at")).applyInArrow(check, "a long, b long")
     out = materialize(checked, "alike")
-    discard(homes, cells)
+    discard(pairs, homes, cells)
     return out
 
 
@@ -299,18 +332,18 @@ def close_sets(sets: list[np.ndarray], columns: int = 1024, block: int = 256) ->
             yield i, near[near != i]
 
 
-def _alike_within(groups: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, most: int = 4 << 20) -> DataFrame:
+def _alike_within(groups: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, most: int = 4 << 20, together: int = 4096) -> DataFrame:
     """Edges ``(a, b)`` that join all alike nodes within each of ``groups`` (``group, node, n, root``).
 
     No pairs are made as rows. A node's home is the least node of its groups; the nodes of a home are cut
-    into parts of about ``most`` bytes of sets. Two parts that meet in a group are sent to one place and compared
+    into parts of about ``most`` bytes of sets or ``together`` nodes, whichever is less. Two parts that meet in a group are sent to one place and compared
     there, which gives at most one edge a node. So a large group's sets are sent once for each of its parts.
     """
     hubs = groups.groupBy("group").agg(F.min("node").alias("hub"))
     homes = groups.join(hubs, "group").groupBy("node").agg(F.min("hub").alias("home"), F.any_value("n").alias("n"), F.any_value("root").alias("root"))
-    sizes = homes.groupBy("home").agg(F.ceil(F.sum(8 * F.col("n")) / most).alias("parts"))
+    sizes = homes.groupBy("home").agg(F.greatest(F.ceil(F.sum(8 * F.col("n")) / most), F.ceil(F.count("*") / together)).alias("parts"))
     part = F.xxhash64("home", F.pmod(F.xxhash64("node"), F.greatest("parts", F.lit(1)))).alias("part")
-    homes = materialize(homes.join(sizes, "home").select("node", "n", "root", part).join(nodes.drop("n"), "node"), "homes")
+    homes = materialize(homes.join(sizes, "home").select("node", "n", "root", part).join(nodes.drop("n", "sketch"), "node"), "homes")
     parts = groups.join(homes.select("node", "part"), "node").select("group", "part").distinct()
     met = parts.withColumnRenamed("part", "one").join(parts.withColumnRenamed("part", "two"), "group").where("one <= two")
     cells = materialize(met.select("one", "two").distinct(), "cells")
@@ -359,8 +392,10 @@ def _met(nodes: DataFrame) -> DataFrame:
     """
     size_class = F.floor(F.log(F.col("n")) / F.lit(math.log(1.25))).cast("int")
     keyed = nodes.where("n > 0").select("node", "n", F.posexplode("keys").alias("place", "key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
+    shared = materialize(keyed.groupBy("key").count().where("count > 1").select("key"), "shared")
+    release(nodes.sparkSession)
     keyed = materialize(keyed.join(shared, "key"), "keyed")
+    discard(shared)
     both = keyed.withColumn("class", F.explode(F.array(size_class, size_class + 1))).select(F.xxhash64("key", "class").alias("group"), "node", "n", "place")
     shared = both.groupBy("group").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.min(F.expr("9 * place - n")).alias("first"))
     out = materialize(both.join(shared.where("low <> high and first <= 0").select("group"), "group"), "met")
@@ -406,18 +441,17 @@ def similar(docs: DataFrame, words: int = 5, dense: int = 16) -> DataFrame:
             sets = [shingle_codes(t.as_py(), words) for t in batch.column(3)]
             got = [_keys_of(c, common) for c in sets]
             marks = np.fromiter((majority(c) for c in sets), np.uint64, len(sets)).view(np.int64)
-            columns = [pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array(marks), pa.array([len(c) for c in sets], pa.int32()), pa.array([g[2] for g in got], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["doc_id", "key1", "key2", "set1", "set2", "fp", "n", "keys"])
+            columns = [pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array(marks), pa.array([len(c) for c in sets], pa.int32()), pa.array(map(sketch, sets), pa.binary()), pa.array([g[2] for g in got], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["doc_id", "key1", "key2", "set1", "set2", "fp", "n", "sketch", "keys"])
 
-    schema = "doc_id long, key1 long, key2 long, set1 long, set2 long, fp long, n int, keys array<long>"
+    schema = "doc_id long, key1 long, key2 long, set1 long, set2 long, fp long, n int, sketch binary, keys array<long>"
     read = docs.select("doc_id", *row_key(), "text").mapInArrow(run, schema)
-    slices = materialize(read.select("doc_id", "key1", "key2", F.xxhash64("set1", "set2").alias("node"), "fp", "n", "keys"), "slices")
+    slices = materialize(read.select("doc_id", "key1", "key2", F.xxhash64("set1", "set2").alias("node"), "fp", "n", "sketch", "keys"), "slices")
     marked = materialize(slices.select("doc_id", "key1", "key2", "node"), "marked")
-    one = slices.groupBy("node").agg(F.min(F.struct("key1", "key2")).alias("one"), F.any_value("fp").alias("fp"), F.any_value("n").alias("n"))
-    nodes = materialize(one.select("node", "fp", "n", "one.*"), "nodes")
-    met = _met(slices.join(nodes.select("node", "key1", "key2"), ["node", "key1", "key2"]).dropDuplicates(["node"]))
+    nodes = materialize(slices.drop("doc_id").dropDuplicates(["node"]), "nodes")  # any row that has the set: the rest depends on the set alone
     discard(slices)
-    names = nodes.select("node", "n", "key1", "key2")
+    met = _met(nodes)
+    names = nodes.select("node", "n", "key1", "key2", "sketch")
 
     by_fp = nodes.groupBy("fp").agg(F.min("node").alias("y"))
     classes = materialize(by_fp, "classes")

@@ -187,3 +187,22 @@ def test_all_pairs_at_the_limit_are_joined(spark, copies, dense):
     want = components(near, range(len(texts)))
     got = m.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), dense=dense).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
+def test_sketches_rule_out_no_alike_pair_and_most_others():
+    rng = np.random.default_rng(3)
+    apart = kept = 0
+    for n in list(range(1, 60)) + [100, 300, 1000, 5000] * 20:
+        one = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        for lost in {0, n // 10, n // 9, n // 5, n}:
+            for new in {0, lost // 2, lost}:
+                two = np.unique(np.concatenate([one[lost:], rng.integers(0, 2**63, new).astype(np.uint64)]))
+                shared = len(np.intersect1d(one, two))
+                alike = shared >= 0.8 * (len(one) + len(two) - shared)
+                could = m.could_be_alike(m.sketch(one), m.sketch(two))
+                assert could or not alike
+                if n >= 100 and new == lost == n:
+                    apart, kept = apart + 1, kept + could
+    assert kept < 0.02 * apart
+    assert m.sketch(np.zeros(300, np.uint64)) == b"" and m.could_be_alike(b"", m.sketch(one))
+    assert m.could_be_alike(m.sketch(one[:0]), m.sketch(one[:0]))
