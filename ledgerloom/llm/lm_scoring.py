@@ -20,7 +20,8 @@ the two bytes before their last, so that all longer contexts of a gram are in
 its range, and words by hash. There are ``RANGES`` ranges or more, as the number of chunks
 grows (:func:`ranges_for`), and as many chunks as ranges meet in a task, which is about
 ``CHUNK`` bytes of grams at any size. Ranges are merged in as many rounds as that takes. Each range works out its log
-probabilities, and sends each chunk those of its own grams; a range is copied once for as many chunks as there are ranges. Beside the ranges
+probabilities, and sends each chunk those of its own grams, in the order of the grams and without them, as the chunk finds
+its grams again in its texts; a range is copied once for as many chunks as there are ranges. Beside the ranges
 only the counts of byte pairs are needed everywhere: 65,536 numbers at most.
 Texts are shuffled once, to meet the values of their chunk.
 One range is worked out in one task, so the grams after one pair of bytes must fit there.
@@ -352,27 +353,46 @@ def range_values(merged: DataFrame, order: int) -> DataFrame:
 
 
 def chunk_values(counted: DataFrame, valued: DataFrame, chunks: int, ranges: int) -> DataFrame:
-    """``(file, part, kind, keys, values)``: for each chunk the values of its own keys."""
+    """``(file, part, kind, range, values)``: for each chunk and range the values of the chunk's own keys, in the order of these."""
     blocks = -(-chunks // ranges)
 
     def run(key, left, right):
-        files, parts, mine = _columns(left, "file", "part", "keys")
+        if not left.num_rows:
+            return _no_values()
+        pieces: dict[tuple[int, int], list[np.ndarray]] = {}
+        for file, part, mine in zip(*_columns(left, "file", "part", "keys"), strict=True):
+            pieces.setdefault((file, part), []).append(_unpacked(mine))
         keys, values = (right.column(n)[0].as_py() for n in ("keys", "values"))
         keys, values = _unpacked(keys), _decoded(values)
-        found = [_coded(values[np.searchsorted(keys, _unpacked(m))]) for m in mine]
-        return pa.table({"file": pa.array(files, pa.int64()), "part": pa.array(parts, pa.int64()), "kind": pa.array([key[0].as_py()] * len(mine), pa.int32()), "keys": pa.array(mine, pa.binary()), "values": pa.array(found, pa.binary())})
-
-    asked = counted.where(F.col("kind") != PAIRS).withColumn("at", F.pmod(F.xxhash64("file", "part"), F.lit(blocks)))
-    given = valued.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("at", F.col("at").cast("long"))
+        found = [_coded(values[np.searchsorted(keys, p[0] if len(p) == 1 else np.unique(np.concatenate(p)))]) for p in pieces.values()]
+        n = len(found)
+        columns = [pa.array([f for f, _ in pieces], pa.int64()), pa.array([p for _, p in pieces], pa.int64()), pa.array([key[0].as_py()] * n, pa.int32()), pa.array([key[1].as_py()] * n, pa.int32()), pa.array(found, pa.binary())]
+        return pa.table(columns, names=["file", "part", "kind", "range", "values"])
+
+    at = F.pmod(F.xxhash64("file", "part"), F.lit(blocks)).alias("at")
+    asked = counted.where(F.col("kind") != PAIRS).select("file", "part", "kind", "range", "keys", at)
+    given = valued.select("kind", "range", "keys", "values", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("at")).withColumn("at", F.col("at").cast("long"))
     both = asked.groupBy("kind", "range", "at").cogroup(given.groupBy("kind", "range", "at"))
-    return both.applyInArrow(lambda k, a, b: run(k, a, b) if a.num_rows else _no_values(), "file long, part long, kind int, keys binary, values binary")
+    return both.applyInArrow(run, "file long, part long, kind int, range int, values binary")
 
 
 def _no_values() -> pa.Table:
-    kinds = {"file": pa.int64(), "part": pa.int64(), "kind": pa.int32(), "keys": pa.binary(), "values": pa.binary()}
+    kinds = {"file": pa.int64(), "part": pa.int64(), "kind": pa.int32(), "range": pa.int32(), "values": pa.binary()}
     return pa.table({n: pa.array([], k) for n, k in kinds.items()})
 
 
+def _in_order(given: pa.Table, kind: int, codes: np.ndarray, ranges: np.ndarray) -> np.ndarray:
+    """The values of a chunk's sorted ``codes``, which came by range."""
+    kinds, which, values = _columns(given, "kind", "range", "values")
+    mine = sorted((r, i) for i, (k, r) in enumerate(zip(kinds, which, strict=True)) if k == kind)
+    found = np.concatenate([np.zeros(0), *[_decoded(values[i]) for _, i in mine]])
+    if len(found) != len(codes):
+        raise ValueError(f"{len(found)} values for {len(codes)} keys: the table has changed since it was counted")
+    out = np.empty(len(codes))
+    out[np.argsort(ranges, kind="stable")] = found
+    return out
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     return crc_of_id(doc_id) % 7 == 2
 
@@ -385,28 +405,22 @@ def score(docs: DataFrame, order: int = ORDER, chunk: int = CHUNK) -> DataFrame:
     counted = materialize(count_chunks(placed, order, ranges), "counted")
     merged = merge_ranges(counted, chunks, ranges)
     valued = materialize(range_values(merged, order), "valued")
+    discard(merged)
     total_words, distinct_words = valued.where(F.col("kind") == WORDS).agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     wanted = materialize(chunk_values(counted, valued, chunks, ranges), "wanted")
-    discard(counted, merged, valued)
+    discard(counted, valued)
     spread = math.log10(total_words + distinct_words + 1)
 
-    def gathered(right: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
-        kinds, keys, values = _columns(right, "kind", "keys", "values")
-        mine = [i for i, k in enumerate(kinds) if k == kind]
-        codes = np.concatenate([np.zeros(0, np.int64), *[_unpacked(keys[i]) for i in mine]])
-        found = np.concatenate([np.zeros(0), *[_decoded(values[i]) for i in mine]])
-        at = np.argsort(codes)
-        return codes[at], found[at]
-
     def run(key, left, right):
         taught = left.column("taught").to_pylist()
         data = [(t.as_py() or "").encode("utf-8", "surrogatepass").lower() for t in left.column("text")]
-        codes, values = gathered(right, WORDS)
         vocabulary: set[bytes] = {b""}
         for text in data:
             vocabulary.update(text.split())
         words = list(vocabulary)
-        logs = dict(zip(words, np.log10(values[np.searchsorted(codes, _word_codes(words))] + 1).tolist(), strict=True))
+        codes, which = np.unique(_word_codes(words), return_inverse=True)
+        values = _in_order(right, WORDS, codes, codes % ranges)
+        logs = dict(zip(words, np.log10(values[which] + 1).tolist(), strict=True))
         n_tokens, n_known, base = [], [], []
         for text in data:
             found = [logs[w] for w in text.split()]
@@ -415,7 +429,14 @@ def score(docs: DataFrame, order: int = ORDER, chunk: int = CHUNK) -> DataFrame:
             n_known.append(len(found) - found.count(0.0))
             base.append(math.fsum(found) - len(found) * spread)
         del logs, words, vocabulary
-        codes, values = gathered(right, GRAMS)
+        mine = [np.zeros(0, np.int64)]
+        for a, b in _blocks(data):
+            mine.append(pd.unique(_gram_codes(data[a:b], order)[0]))
+            if len(mine) > 8:
+                mine = [np.unique(np.concatenate(mine))]
+        codes = np.unique(np.concatenate(mine))
+        del mine
+        values = _in_order(right, GRAMS, codes, _range_of_grams(codes, ranges))
         scores = []
         for a, b in _blocks(data):
             found, sizes = _gram_codes(data[a:b], order)
