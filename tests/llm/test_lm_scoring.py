@@ -124,3 +124,22 @@ def test_query_against_brute_force(spark, documents, saved):
     for (i, _), want in zip(rows, brute(rows, m.ORDER), strict=True):
         r = got[i]
         same((r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score), want)
+
+
+def test_chunks_that_several_tasks_read(spark, documents, tmp_path):
+    import pyarrow.parquet as pq
+
+    few = documents.where("doc_id < 60").select("doc_id", "text")
+    pq.write_table(few.toArrow(), tmp_path / "docs.parquet", row_group_size=7)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        table = spark.read.parquet(str(tmp_path / "docs.parquet"))
+        assert table.rdd.getNumPartitions() > 3
+        got = {r["doc_id"]: r for r in m.score(table, order=3, chunk=1 << 15).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    rows = [tuple(r) for r in few.collect()]
+    for (i, _), want in zip(rows, brute(rows, 3), strict=True):
+        r = got[i]
+        same((r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score), want)
