@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from ledgerloom.llm import (
     decontamination,
+    filter_audit,
     language_id,
     line_cleaning,
     lm_scoring,
     mixing,
+    packing,
     quality_qda,
     secret_scan,
     sharding,
     simhash_dedup,
+    source_divergence,
     suffix_dedup,
 )
 
@@ -26,10 +29,15 @@ QUERIES = {
     "op8_line_cleaning": line_cleaning.op8_line_cleaning,
     "op9_decontaminate": decontamination.op9_decontaminate,
     "op10_rendezvous": sharding.op10_rendezvous,
+    "op11_source_divergence": source_divergence.op11_source_divergence,
+    "op12_packing": packing.op12_packing,
+    "op13_filter_audit": filter_audit.op13_filter_audit,
 }
 
 SQL = {
     "op6_mix": mixing.SQL,
     "op8_line_cleaning": line_cleaning.SQL,
     "op9_decontaminate": decontamination.SQL,
+    "op11_source_divergence": source_divergence.SQL,
+    "op13_filter_audit": filter_audit.SQL,
 }
