@@ -14,8 +14,8 @@ from ledgerloom.functions.times import on_or_between, parse_utc
 ARCHIVES = "https://www.sec.gov/Archives/edgar/data"
 
 
-def explode_recent(submissions: DataFrame) -> DataFrame:
-    """One row for each recent filing, by position; shorter arrays give nulls. Keeps the dates, act, items and size."""
+def explode_recent(submissions: DataFrame, *keep: str) -> DataFrame:
+    """One row for each recent filing, by position; shorter arrays give nulls. Keeps the dates, act, items and size, and columns named in ``keep``."""
     r = "filings.recent."
     first = F.col(r + "accessionNumber")
     pad = lambda name: F.coalesce(F.col(r + name), F.expr("array()"))
@@ -24,10 +24,10 @@ def explode_recent(submissions: DataFrame) -> DataFrame:
         pad("isXBRL").alias("x1"), pad("isXRBL").alias("x2"), pad("filingDate").alias("filing_date"), pad("reportDate").alias("report_date"),
         pad("act").alias("act"), pad("items").alias("items"), pad("size").alias("size"),
     )
-    rows = submissions.select("cik", F.posexplode(F.slice(zipped, 1, F.size(first))).alias("pos", "f"))
+    rows = submissions.select("cik", *keep, F.posexplode(F.slice(zipped, 1, F.size(first))).alias("pos", "f"))
     flag = F.coalesce(F.col("f.x1"), F.col("f.x2"), F.lit(0)) == 1
     return rows.select(
-        "cik", "pos", "f.accession_number", "f.form_type", parse_utc(F.col("f.accepted")).alias("acceptance_date"), "f.primary_document",
+        *keep, "cik", "pos", "f.accession_number", "f.form_type", parse_utc(F.col("f.accepted")).alias("acceptance_date"), "f.primary_document",
         flag.alias("is_xbrl"), *[F.col(f"f.{n}").cast("string").alias(n) for n in ("filing_date", "report_date", "act", "items")], F.col("f.size").cast("long").alias("size"),
     )
 

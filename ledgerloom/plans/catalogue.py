@@ -459,6 +459,64 @@ def company_facts(spark, d):
     return files.company_facts(body).select("cik", "entity_name", "taxonomy")
 
 
+def _archive(companies: int):
+    """A transport that answers as an archive of so many companies would, with gaps that follow from a company's number."""
+    import json
+
+    def answer(url: str, headers: dict) -> tuple[int, dict, bytes]:
+        if url.endswith("ticker.txt"):
+            return 200, {}, "".join(f"customer#{k:09d}\t{k}\n" for k in range(1, companies + 1) if k % 10).encode()
+        if url.endswith(".json"):
+            k = int(url[-15:-5])
+            if k % 7 == 3:
+                return 404, {}, b""
+            ids = [f"{k:010d}-23-{i:06d}" for i in range(k % 4)]
+            recent = {"accessionNumber": ids, "form": ["10-K"] * len(ids), "acceptanceDateTime": [f"2023-0{i + 1}-01" for i in range(len(ids))], "primaryDocument": [f"d{k + i}.htm" for i in range(len(ids))]}
+            return 200, {}, b"<html>" if k % 7 == 4 else json.dumps({"cik": str(k), "filings": {"recent": recent}}).encode()
+        number = int(url.rsplit("/d", 1)[1][:-4])
+        return (404, {}, b"") if number % 5 == 0 else (200, {}, f"<html>Revenue {number}</html>".encode())
+
+    return answer
+
+
+def _downloaded(spark: SparkSession, d: str):
+    from ledgerloom.plans.downloads import download_filings
+    from ledgerloom.sources.shared import scratch
+
+    customers = _read(spark, d, "customer")
+    asked = customers.select(F.upper("c_name").alias("symbol"))
+    most = customers.agg(F.coalesce(F.max("c_custkey"), F.lit(0))).first()[0]
+    return download_filings(asked, scratch(spark, "downloads"), "tests tests@example.com", "10-K", "2023-01-01", "2023-02-28", transport=_archive(most), per_second=1e6)
+
+
+_SAID = """with c as (select upper(c_name) as symbol, c_custkey as k from customer),
+  docs as (select symbol, k, i, k + i as number from c, range(0, 2) t(i) where k % 10 <> 0 and k % 7 not in (3, 4) and i < k % 4)"""
+
+
+@query(
+    "download_status",
+    f"""{_SAID}, failed as (select symbol, min(i) as i from docs where number % 5 = 0 group by 1), said as (
+      select symbol, case when k % 10 = 0 then 'not_found' when k % 7 = 3 then 'submissions: not_found: status 404'
+        when k % 7 = 4 then 'submissions: json: no list of filings' when failed.i is not null then 'document: not_found: status 404' end as error
+      from c left join failed using (symbol))
+    select symbol, error is null as ok, error from said""",
+)
+def download_status(spark, d):
+    """What became of the download of each company's filings, from an archive with gaps."""
+    return _downloaded(spark, d)[2]
+
+
+@query(
+    "fetch_ledger",
+    f"""{_SAID} select null as symbol, 'tickers' as kind, 200 as status, 1 as attempts, null as error
+    union all select symbol, 'submissions', case when k % 7 = 3 then 404 else 200 end, 1, case k % 7 when 3 then 'not_found: status 404' when 4 then 'json: no list of filings' end from c where k % 10 <> 0
+    union all select symbol, 'document', case when number % 5 = 0 then 404 else 200 end, 1, case when number % 5 = 0 then 'not_found: status 404' end from docs""",
+)
+def fetch_ledger(spark, d):
+    """Each request of the same download, once."""
+    return _downloaded(spark, d)[1].drop("url")
+
+
 @query("fetch_errors", "select page_id, 'invalid_url: only https URLs of sec.gov may be fetched' as error from pages")
 def fetch_errors(spark, d):
     """Pages elsewhere are refused before any request, as rows."""
