@@ -1,17 +1,17 @@
 """Audit of how the sources of a language differ in their words.
 
-Method: each task counts its rows' terms in byte tries, one a language, whose
-leaves hold a counter for each source. A trie is walked in UTF-8 order and
+Method: each task counts its rows' terms in a byte trie, whose leaves hold a
+counter for each source of each language. The trie is walked in UTF-8 order and
 leaves as sorted runs; runs are merged by range of the term's prefix, so all
 counters of a term meet in one task, in byte order, and a second walk over the
 merged terms adds up every pair of sources and keeps each source's best terms,
 equal ones in byte order.
 
-Scale: texts are read once, and a task sends each (language, term) once for all
-its sources and rows, whatever source they belong to; a hot source or term is
-so many counters, not so many rows. A trie is sent off when it holds ``most``
-counters, so a task's memory does not grow with its input. Merging streams
-over runs that Spark has sorted and spilled. Sources are numbered and the
+Scale: texts are read once, and a task sends each (source, term) once for all
+its rows; a hot source or term is one counter a task. A trie is sent off when
+it holds ``most`` counters, so a task's memory does not grow with its input.
+Runs are shuffled once. Merging streams over what Spark has sorted and spilled
+and holds a batch and one term's sums. Sources are numbered and the
 numbers sent to all tasks; they are small: the result has a row for every pair
 of them. In the second walk sources meet in blocks of ``block``, so its sums
 are bounded as well; each pair costs one step a kept term, which the exact sum
@@ -27,16 +27,16 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import groupby
-from os.path import commonprefix
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import discard, materialize, ship, table
+from ledgerloom.llm.common import materialize, ship, table
 
 ship(__name__)
 
@@ -50,83 +50,73 @@ def terms_of(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
 
 
+class Bucket(dict):
+    """Counters of a trie's leaf: (term, slot) to occurrences and rows in one number."""
+
+
+#: Rows take the lower bits of a counter.
+ROWS = 1 << 40
+
+
 class RadixTrie:
-    """A byte trie with whole edges. A node is [edge, children by first byte, counters by slot or None]."""
+    """A byte trie. Terms with a common prefix share a bucket, which bursts into a node by their next byte when it holds more than ``burst`` counters."""
 
-    def __init__(self) -> None:
-        self.root: list = [b"", {}, None]
-        self.counters = 0
+    def __init__(self, burst: int = 512) -> None:
+        self.root: dict = {}
+        self.burst, self.counters = burst, 0
 
-    def add(self, key: bytes, slot: int, occurrences: int, rows: int) -> None:
+    def add(self, term: bytes, slot: int, occurrences: int, rows: int) -> None:
         node, at = self.root, 0
-        while at < len(key):
-            child = node[1].get(key[at])
+        while True:
+            byte = term[at : at + 1]  # empty where the term ends
+            child = node.get(byte)
             if child is None:
-                child = node[1][key[at]] = [key[at:], {}, None]
-            edge = child[0]
-            if not key.startswith(edge, at):
-                same = len(commonprefix([edge, key[at:]]))
-                fork = node[1][key[at]] = [edge[:same], {edge[same]: child}, None]
-                child[0] = edge[same:]
-                child, edge = fork, fork[0]
-            node, at = child, at + len(edge)
-        if node[2] is None:
-            node[2] = {}
-        held = node[2].get(slot)
-        if held is None:
-            node[2][slot] = [occurrences, rows]
-            self.counters += 1
-        else:
-            held[0] += occurrences
-            held[1] += rows
-
-    def walk(self) -> Iterator[tuple[bytes, dict[int, list[int]]]]:
-        """``(key, counters)`` in the order of the keys' bytes."""
-        ahead = [(b"", self.root)]
+                child = node[byte] = Bucket()
+            if type(child) is Bucket:
+                break
+            node, at = child, at + 1
+        key, before = (term, slot), len(child)
+        child[key] = child.get(key, 0) + occurrences * ROWS + rows
+        self.counters += len(child) - before
+        if len(child) > self.burst and byte:
+            fork = node[byte] = {}
+            for (t, s), n in child.items():
+                fork.setdefault(t[at + 1 : at + 2], Bucket())[t, s] = n
+
+    def walk(self) -> Iterator[tuple[bytes, int, int, int]]:
+        """``(term, slot, occurrences, rows)`` in the order of the terms' bytes."""
+        ahead = [self.root]
         while ahead:
-            before, node = ahead.pop()
-            key = before + node[0]
-            if node[2] is not None:
-                yield key, node[2]
-            ahead.extend((key, node[1][b]) for b in sorted(node[1], reverse=True))
-
+            node = ahead.pop()
+            if type(node) is Bucket:
+                for (term, slot), n in sorted(node.items()):
+                    yield term, slot, n // ROWS, n % ROWS
+            else:
+                ahead.extend(node[b] for b in sorted(node, reverse=True))
 
-LEAF = "lang int, term string, slots array<int>, counts array<bigint>, n_rows bigint"
 
+LEAF = "term string, slot int, n bigint, n_rows bigint"
+TERM = "lang int, term string, slots array<int>, counts array<bigint>"
 
-def _leaves(rows: list[tuple]) -> pa.RecordBatch:
-    lang, term, slots, counts, n_rows = zip(*rows, strict=True)
-    arrays = [pa.array(lang, pa.int32()), pa.array(term, pa.binary()).cast(pa.string()), pa.array(slots, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int64())), pa.array(n_rows, pa.int64())]
-    return pa.RecordBatch.from_arrays(arrays, names=["lang", "term", "slots", "counts", "n_rows"])
 
-
-def count_terms(docs: DataFrame, slots: dict[tuple[str, str], tuple[int, int]], most: int = 200_000) -> DataFrame:
-    """Sorted runs of ``LEAF`` rows from ``(lang, source, text)``; ``slots`` numbers each group's language and itself."""
+def count_terms(docs: DataFrame, slots: dict[tuple[str, str], int], most: int = 200_000) -> DataFrame:
+    """Sorted runs of ``LEAF`` rows from ``(lang, source, text)``; ``slots`` numbers the groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tries: dict[int, RadixTrie] = {}
-        waiting: dict[tuple[int, int], tuple[Counter, Counter]] = {}
-        held = 0
+        trie, waiting, held = RadixTrie(), {}, 0
 
         def settle() -> None:
-            for (lang, slot), (occurrences, rows) in waiting.items():
-                trie = tries.setdefault(lang, RadixTrie())
+            for slot, (occurrences, rows) in waiting.items():
                 for term, n in occurrences.items():
                     trie.add(term, slot, n, rows[term])
             waiting.clear()
 
         def send() -> Iterator[pa.RecordBatch]:
-            out = []
-            for lang in sorted(tries):
-                for term, counters in tries[lang].walk():
-                    at = sorted(counters)
-                    out.append((lang, term, at, [counters[s][0] for s in at], sum(c[1] for c in counters.values())))
-                    if len(out) == 10_000:
-                        yield _leaves(out)
-                        out = []
-            if out:
-                yield _leaves(out)
-            tries.clear()
+            leaves = trie.walk()
+            while some := list(islice(leaves, 50_000)):
+                term, slot, n, rows = zip(*some, strict=True)
+                arrays = [pa.array(term, pa.binary()).cast(pa.string()), pa.array(slot, pa.int32()), pa.array(n, pa.int64()), pa.array(rows, pa.int64())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["term", "slot", "n", "n_rows"])
 
         for batch in batches:
             for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), strict=True):
@@ -141,36 +131,64 @@ def count_terms(docs: DataFrame, slots: dict[tuple[str, str], tuple[int, int]],
                 if held >= most:
                     settle()
                     held = 0
-                    if sum(t.counters for t in tries.values()) >= most:
+                    if trie.counters >= most:
                         yield from send()
+                        trie = RadixTrie()
         settle()
         yield from send()
 
     return docs.select("lang", "source", "text").mapInArrow(run, LEAF)
 
 
-def merge_runs(leaves: DataFrame, least: int = 10) -> DataFrame:
-    """One ``LEAF`` row for each term of a language that ``least`` of its rows hold. Runs meet by range of the term."""
+def merge_runs(leaves: DataFrame, lang_of: list[int], least: int = 10, prefix: int = 5) -> DataFrame:
+    """One ``TERM`` row for each term of a language that ``least`` of its rows hold. ``lang_of`` has each slot's language.
+
+    Runs meet by the first ``prefix`` characters of their terms, in the order of bytes, a batch at a time; only what
+    is kept is looked at one by one. Of a term that goes on in the next batch, sums by slot are carried over.
+    """
+    of = np.array([*lang_of, 0], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
-        out = []
-        for (lang, term), same in groupby(rows, key=lambda r: r[:2]):
-            total, n_rows = {}, 0
-            for _, _, slots, counts, n in same:
-                n_rows += n
-                for s, c in zip(slots, counts, strict=True):
-                    total[s] = total.get(s, 0) + c
-            if n_rows >= least:
-                at = sorted(total)
-                out.append((lang, term.encode(), at, [total[s] for s in at], n_rows))
-                if len(out) == 10_000:
-                    yield _leaves(out)
-                    out = []
-        if out:
-            yield _leaves(out)
-
-    return leaves.repartitionByRange("lang", "term").sortWithinPartitions("lang", "term").mapInArrow(run, LEAF)
+        term, slot, n, n_rows = pa.array([], pa.string()), *(np.zeros(0, np.int64) for _ in range(3))
+
+        def summed(a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            at, first = np.unique(slot[a:b], return_index=True)  # in order of slots, as rows are
+            return at, np.add.reduceat(n[a:b], first), np.add.reduceat(n_rows[a:b], first)
+
+        def kept(groups: np.ndarray, stops: np.ndarray) -> pa.RecordBatch:
+            parts = [summed(a, b) for a, b in zip(groups, stops, strict=True)]
+            arrays = [
+                pa.array(of[slot[groups]], pa.int32()), term.take(pa.array(groups)),
+                pa.array([p[0] for p in parts], pa.list_(pa.int32())), pa.array([p[1] for p in parts], pa.list_(pa.int64())),
+            ]
+            return pa.RecordBatch.from_arrays(arrays, names=["lang", "term", "slots", "counts"])
+
+        for batch in _then_end(batches):
+            if batch is not None and batch.num_rows:
+                term = pa.concat_arrays([term, batch.column(0).cast(pa.string())])
+                slot, n, n_rows = (np.concatenate([x, c.to_numpy(zero_copy_only=False)]) for x, c in zip((slot, n, n_rows), batch.columns[1:], strict=True))
+            if not len(term):
+                continue
+            other = pc.not_equal(term.slice(1), term.slice(0, len(term) - 1)).to_numpy(zero_copy_only=False).astype(bool)
+            other |= of[slot[1:]] != of[slot[:-1]]
+            starts = np.flatnonzero(np.concatenate([[True], other]))
+            stops = np.append(starts[1:], len(term))
+            whole = len(starts) if batch is None else len(starts) - 1
+            enough = np.flatnonzero(np.add.reduceat(n_rows, starts)[:whole] >= least)
+            if len(enough):
+                yield kept(starts[enough], stops[enough])
+            if batch is not None:
+                a, b = starts[-1], stops[-1]
+                last = term.slice(a, 1)
+                slot, n, n_rows = summed(a, b)
+                term = last.take(pa.array(np.zeros(len(slot), np.int64)))
+
+    return leaves.repartition(F.substring("term", 1, prefix)).sortWithinPartitions("term", "slot").mapInArrow(run, TERM)
+
+
+def _then_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
 
 
 def shares(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
@@ -246,9 +264,8 @@ def audit(docs: DataFrame, least: int = 10, top: int = 10, most: int = 200_000,
     names = {lang: k for k, lang in enumerate(dict.fromkeys(r[2] for r in found))}
     slots = {(lang, source): (names[lang], slot) for slot, (_, _, lang, source) in enumerate(found)}
     langs = [[slot for lang, slot in slots.values() if lang == k] for k in range(len(names))]
-    leaves = materialize(count_terms(docs, slots, most), "leaves")
-    kept = materialize(merge_runs(leaves, least), "terms")
-    discard(leaves, free=False)
+    leaves = count_terms(docs, {group: slot for group, (_, slot) in slots.items()}, most)
+    kept = materialize(merge_runs(leaves, [k for k, _ in slots.values()], least), "terms")
     counted = kept.select(F.explode(F.arrays_zip("slots", "counts")).alias("c")).groupBy("c.slots").agg(F.sum("c.counts").alias("n"))
     sums = {r.slots: int(r.n) for r in counted.collect()}
     sizes = {r.lang: r["count"] for r in kept.groupBy("lang").count().collect()}

@@ -63,15 +63,27 @@ def test_odd_rows(spark, odd, none, saved):
     assert read(m.audit(df)) == plain(ties)
 
 
-@given(st.dictionaries(st.binary(min_size=1, max_size=6), st.dictionaries(st.integers(0, 3), st.integers(1, 9), min_size=1), max_size=40), st.randoms())
-@settings(max_examples=100, deadline=None)
-def test_trie_walks_in_byte_order(leaves, order):
-    trie, added = m.RadixTrie(), [(k, s, n) for k, c in leaves.items() for s, n in c.items() for n in (n, 1)]
+@given(st.dictionaries(st.tuples(st.binary(min_size=1, max_size=6), st.integers(0, 3)), st.integers(1, 9), max_size=80), st.integers(1, 9), st.randoms())
+@settings(max_examples=200, deadline=None)
+def test_trie_walks_in_byte_order(leaves, burst, order):
+    trie, added = m.RadixTrie(burst), [(*k, x) for k, n in leaves.items() for x in (n, 1)]
     order.shuffle(added)
-    for key, slot, n in added:
-        trie.add(key, slot, n, 1)
-    assert [(k, {s: c for s, c in counters.items()}) for k, counters in trie.walk()] == [(k, {s: [n + 1, 2] for s, n in leaves[k].items()}) for k in sorted(leaves)]
-    assert trie.counters == sum(map(len, leaves.values()))
+    for term, slot, n in added:
+        trie.add(term, slot, n, 1)
+    assert list(trie.walk()) == [(*k, leaves[k] + 1, 2) for k in sorted(leaves)]
+    assert trie.counters == len(leaves)
+
+
+def test_a_term_over_many_batches(spark):
+    """Counters of one term fill several batches, and their order within a slot does not matter."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = [(t, i % 5, 1 + i % 3, 1) for t in ("aa", "ab", "b") for i in range(40)]
+        got = m.merge_runs(spark.createDataFrame(rows, m.LEAF).repartition(6), [0, 0, 0, 1, 1], least=17).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {(t, lang): [sum(n for x, s, n, _ in rows if x == t and s == k) for k in slots] for t in ("aa", "ab", "b") for lang, slots in ((0, (0, 1, 2)),)}
+    assert {(r.term, r.lang): r.counts for r in got} == want and all(r.slots == [0, 1, 2] for r in got)
 
 
 @given(st.text(max_size=50))
