@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import json
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import stable_id
@@ -19,7 +18,6 @@ ship(__name__)
 
 #: An embedder takes texts and gives a matrix with a row for each.
 Embedder = Callable[[list[str]], np.ndarray]
-METRICS = ("Cosine", "Euclid", "Dot")
 
 
 def hashing_embedder(size: int = 64) -> Embedder:
@@ -58,62 +56,15 @@ def dimension(load: Callable[[], Embedder] = hashing_embedder) -> int:
     return len(load()(["probe"])[0])
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def ensure_collection(spark: SparkSession, path: str, size: int | None = None, metric: str = "Cosine", load: Callable[[], Embedder] = hashing_embedder) -> dict:
-    """The collection's properties; made from the arguments if it does not exist, else read and left as they are."""
-    where, fs = _fs(spark, f"{path}/collection.json")
-    if fs.exists(where):
-        return json.loads(spark.read.text(f"{path}/collection.json", wholetext=True).first()[0])
-    made = {"size": size or dimension(load), "metric": metric if metric in METRICS else "Cosine", "snapshot": None}
-    _write(fs, where, made)
-    return made
-
-
-def _write(fs, where, properties: dict) -> None:
-    out = fs.create(where, True)
-    out.write(json.dumps(properties).encode())
-    out.close()
-
-
 def with_ids(points: DataFrame, *parts: str) -> DataFrame:
     return points.withColumn("id", stable_id(*[F.col(p) for p in parts]))
 
 
-def upsert(points: DataFrame, path: str, **collection) -> DataFrame:
-    """Merge points into a collection by id, the new ones winning, and return their ids.
-
-    Writes a new snapshot beside the old, then points the collection to it, so readers never see half of it.
-    The snapshot before the old one is deleted then.
-    """
-    spark = points.sparkSession
-    properties = ensure_collection(spark, path, **collection)
-    new = points.dropDuplicates(["id"])  # of one id any: ids name the text they stand for
-    old = properties["snapshot"]
-    number = (old or 0) + 1
-    merged = new if old is None else merge_points(read_collection(spark, path), new)
-    merged.write.mode("overwrite").parquet(f"{path}/snapshot-{number}")
-    where, fs = _fs(spark, f"{path}/collection.json")
-    _write(fs, where, properties | {"snapshot": number})
-    if number > 2:
-        fs.delete(_fs(spark, f"{path}/snapshot-{number - 2}")[0], True)
-    return new.select("id")
-
-
 def merge_points(old: DataFrame, new: DataFrame) -> DataFrame:
     """The points of both by id; those that come again replace the ones there."""
     return old.join(new, "id", "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def read_collection(spark: SparkSession, path: str) -> DataFrame:
-    properties = ensure_collection(spark, path)
-    return spark.read.parquet(f"{path}/snapshot-{properties['snapshot']}")
-
-
 def search(vectors: DataFrame, query: list[float], k: int = 10, metric: str = "Cosine", vector: str = "vector", key: str = "id") -> DataFrame:
     """The ``k`` nearest points with their ``score``; each task keeps only its own k before they meet."""
     score, ascending = measure(metric)

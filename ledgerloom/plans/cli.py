@@ -102,7 +102,7 @@ def main(argv: list[str] | None = None, spark=None, transport=None) -> list[tupl
         done = run(spark, a.downloads, a.output, a.symbols, config, model(a.model_name))
     rows = [tuple(r) for r in done.collect()]  # a row for each symbol
     for r in rows:
-        logging.getLogger("ledgerloom").info("%s ok=%s error=%s documents=%s", *r)
+        logging.getLogger("ledgerloom").info("%s ok=%s error=%s documents=%s matches=%s points=%s", *r)
     if a.fetch and not a.no_cleanup:
         downloads.discard(landed)
     return rows

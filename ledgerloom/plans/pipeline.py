@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerloom.config import RunConfig, form_of
 from ledgerloom.functions.text import collection_slug, has_keyword, html_text, safe_name, slugify
 from ledgerloom.operators.chunking import matching_chunks
 from ledgerloom.operators.summarize import PROMPT, Model, envelopes, extractive_model, summarize
-from ledgerloom.operators.vectors import embed, upsert, with_ids
+from ledgerloom.operators.collection import upsert
+from ledgerloom.operators.vectors import embed, with_ids
 from ledgerloom.sources.files import html_files, symbol_status
+from ledgerloom.sources.named import register
 
 KEYS = ["symbol", "form", "accession", "document"]
 
@@ -58,19 +61,33 @@ def run(spark: SparkSession, root: str, out: str, symbols: list[str], config: Ru
     return run_files(spark, html_files(spark, root, symbols, form_of(config.mode), config.limit), status, out, config, ask)
 
 
+def named(made: DataFrame, config: RunConfig) -> DataFrame:
+    """``(name, content)``: the envelopes as JSON with their output names. Documents whose names would be the same get a hash of their keys."""
+    name = output_name(config)
+    mark = F.substring(F.sha2(F.to_json(F.struct(*KEYS)), 256), 1, 8)
+    several = F.count("*").over(W.partitionBy("name")) > 1
+    apart = F.regexp_replace("name", r"\.summary\.json$", F.concat(F.lit("_"), mark, F.lit(".summary.json")))
+    content = F.to_json(F.struct("symbol", "form", "accession", "document", "collection", "summaries"), {"pretty": "true", "ignoreNullFields": "false"})
+    return made.withColumn("name", name).select(F.when(several, apart).otherwise(F.col("name")).alias("name"), content.alias("content"))
+
+
 def run_files(spark: SparkSession, files: DataFrame, status: DataFrame, out: str, config: RunConfig, ask: Model = extractive_model) -> DataFrame:
-    """Write summaries as JSON under ``out`` and points unless dry, and return ``status`` (a row for each symbol) with documents.
+    """Write each document's summaries as a JSON file of its name under ``out`` and points unless dry.
 
-    All symbols' points go in one merge to one table, told apart by ``collection``.
+    Returns ``status`` (a row for each symbol) with the numbers of its documents written, chunks that match and points kept.
+    A run replaces the files of the names it makes and no others. All symbols' points go in one upsert to one collection,
+    told apart by ``collection``.
     """
-    found = matches(files, config).persist()  # both sinks read it
+    register(spark)
+    found = matches(files, config).persist()  # both sinks and the counts read it
     try:
         if not config.dry_run:
             name = collection_slug(F.col("symbol"), config.keyword, config.collection_prefix)
             upsert(points(found, config, name), f"{out}/collections", metric=config.distance)
-        made = summaries(found, config, ask).withColumn("output", output_name(config))
-        made.write.mode("overwrite").partitionBy("symbol").json(f"{out}/summaries")
+        named(summaries(found, config, ask), config).write.format("ledgerloom_files").mode("append").option("path", f"{out}/summaries").save()
+        kept = F.count("*") if not config.dry_run else F.lit(0).cast("long")
+        per = found.groupBy("symbol").agg(F.countDistinct(F.struct(*KEYS)).alias("documents"), F.count("*").alias("matches"), kept.alias("points"))
+        done = status.join(spark.createDataFrame(per.collect(), per.schema), "symbol", "left")  # a row for each symbol
     finally:
         found.unpersist()
-    written = spark.read.schema(made.schema).json(f"{out}/summaries").groupBy("symbol").agg(F.count("*").alias("documents"))
-    return status.join(written, "symbol", "left").fillna(0, ["documents"])
+    return done.fillna(0, ["documents", "matches", "points"])

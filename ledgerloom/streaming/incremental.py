@@ -1,4 +1,4 @@
-"""Summaries of filings as their files arrive."""
+"""Summaries and vectors of filings as their files arrive."""
 
 from __future__ import annotations
 
@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerloom.config import RunConfig
+from ledgerloom.functions.text import collection_slug
+from ledgerloom.operators.collection import upsert
 from ledgerloom.operators.summarize import Model, extractive_model
-from ledgerloom.plans.pipeline import matches, summaries
+from ledgerloom.plans.pipeline import matches, points, summaries
 from ledgerloom.sources.files import TREE
 
 
@@ -24,9 +26,20 @@ def incoming(spark: SparkSession, root: str, files_per_batch: int = 1000) -> Dat
 
 
 def summarize_stream(spark: SparkSession, root: str, out: str, checkpoint: str, config: RunConfig, ask: Model = extractive_model) -> StreamingQuery:
-    """Append the envelopes of each batch of new files under its own batch folder, so that a batch done twice is written once."""
+    """Envelopes and, unless dry, points of each batch of new files.
+
+    A batch that is done again after a failure counts once: its envelopes go to a folder of its own, which is written
+    anew, and its points are refused by the collection if their commit was the one before the failure.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        summaries(matches(batch, config), config, ask).write.mode("overwrite").json(f"{out}/batch={number}")
+        found = matches(batch, config).persist()
+        try:
+            if not config.dry_run:
+                name = collection_slug(F.col("symbol"), config.keyword, config.collection_prefix)
+                upsert(points(found, config, name), f"{out}/collections", (checkpoint, number), metric=config.distance)
+            summaries(found, config, ask).write.mode("overwrite").json(f"{out}/summaries/batch={number}")
+        finally:
+            found.unpersist()
 
     return incoming(spark, root).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

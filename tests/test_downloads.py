@@ -71,6 +71,6 @@ def test_command_line_fetches_by_date_and_uses_the_prompt(spark, tmp_path):
     args = ["AAPL", "NOPE", "--fetch", "--limit", "5", "--start_date", "2023-01-01", "--end_date", "2023-12-31", "--prompt_file", str(prompt), "--downloads", str(tmp_path / "in"), "--output", str(tmp_path / "out")]
     rows = cli.main(args, spark, transport)
     assert sorted((r[0], r[1], r[3]) for r in rows) == [("AAPL", True, 1), ("NOPE", False, 0)]
-    made = [json.loads(x) for p in (tmp_path / "out/summaries/symbol=AAPL").glob("*.json") for x in p.read_text().splitlines()]
+    made = [json.loads(p.read_text()) for p in (tmp_path / "out/summaries").glob("aapl*.json")]
     assert [m["summaries"][0]["summary"] for m in made] == ["Revenue by prompt."]
     assert keep.exists() and not os.listdir(tmp_path / "in" / "landed")

@@ -3,9 +3,10 @@ import os
 from datetime import date, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.config import RunConfig, Settings, check_user_agent, form_of
-from ledgerloom.operators.vectors import read_collection
+from ledgerloom.operators.collection import manifest, read_collection, upsert
 from ledgerloom.plans import cli
 from ledgerloom.plans.pipeline import run
 from ledgerloom.sources import files
@@ -55,11 +56,11 @@ def test_scan(spark, tree):
 def test_pipeline(spark, tree, tmp_path):
     out = str(tmp_path / "out")
     config = RunConfig(keyword="Revenue")
-    got = {r.symbol: (r.ok, r.documents) for r in run(spark, tree, out, ["AAPL", "MSFT", "NOPE"], config).collect()}
-    assert got == {"AAPL": (True, 2), "MSFT": (True, 0), "NOPE": (False, 0)}
-    rows = [json.loads(x) for p in (tmp_path / "out/summaries/symbol=AAPL").glob("*.json") for x in p.read_text().splitlines()]
-    assert {r["accession"]: r["summaries"][0]["summary"] for r in rows} == {"0001": "Revenue rose.", "0002": "Revenue fell."}
-    assert {r["output"] for r in rows} == {f"aapl_revenue_{a}_primary-document.summary.json" for a in ("0001", "0002")}
+    got = {r.symbol: (r.ok, r.documents, r.matches, r.points) for r in run(spark, tree, out, ["AAPL", "MSFT", "NOPE"], config).collect()}
+    assert got == {"AAPL": (True, 2, 2, 2), "MSFT": (True, 0, 0, 0), "NOPE": (False, 0, 0, 0)}
+    rows = {p.name: json.loads(p.read_text()) for p in (tmp_path / "out/summaries").glob("*.json")}
+    assert {n: r["summaries"][0]["summary"] for n, r in rows.items()} == {f"aapl_revenue_{a}_primary-document.summary.json": s for a, s in (("0001", "Revenue rose."), ("0002", "Revenue fell."))}
+    assert {(r["symbol"], r["document"], r["collection"]) for r in rows.values()} == {("AAPL", "primary-document.html", "filings_aapl-revenue")}
     ids = lambda: {r.id for r in read_collection(spark, f"{out}/collections").where("collection = 'filings_aapl-revenue'").collect()}
     first = ids()
     run(spark, tree, out, ["AAPL"], config)
@@ -77,11 +78,33 @@ def test_dry_run_and_cli(spark, tree, tmp_path):
     assert (a.symbols, a.limit, a.end_date - a.start_date) == (["AAPL"], 1, timedelta(days=365))
 
 
+def test_runs_keep_the_outputs_of_others(spark, tree, tmp_path):
+    out = tmp_path / "out"
+    names = lambda: {p.name.split("_0")[0] for p in (out / "summaries").glob("*.json")}
+    run(spark, tree, str(out), ["AAPL"], RunConfig(keyword="revenue"))
+    run(spark, tree, str(out), ["MSFT"], RunConfig(keyword="word"))
+    assert names() == {"aapl_revenue", "msft_word"}
+    before = {p: p.stat().st_mtime_ns for p in (out / "summaries").glob("aapl*")}
+    run(spark, tree, str(out), ["AAPL", "MSFT"], RunConfig(keyword="such"))
+    assert names() == {"aapl_revenue", "msft_word", "msft_such"}
+    assert before == {p: p.stat().st_mtime_ns for p in before}
+    assert not list((out / "summaries/_staging").iterdir())
+
+
 def test_stream(spark, tree, tmp_path):
+    """Both branches; the second time there is nothing new, and a batch that is done again adds nothing."""
     out, state = str(tmp_path / "s"), str(tmp_path / "state")
-    for _ in range(2):  # the second time there is nothing new
+    for _ in range(2):
         summarize_stream(spark, tree, out, state, RunConfig(keyword="revenue")).awaitTermination(120)
-    assert spark.read.json(out).count() == 3
+        assert spark.read.json(f"{out}/summaries").count() == 3
+        points, at = read_collection(spark, f"{out}/collections"), manifest(spark, f"{out}/collections")
+        assert points.count() == 3 and at["version"] == 1 and at["batches"] == {state: 0}
+    upsert(points.limit(1).withColumn("id", F.lit("other")), f"{out}/collections", (state, 0))
+    assert read_collection(spark, f"{out}/collections").count() == 3
+    os.unlink(f"{state}/commits/0")  # as if it had failed after its sinks: Spark repeats the batch
+    (tmp_path / "state/commits/.0.crc").unlink(missing_ok=True)
+    summarize_stream(spark, tree, out, state, RunConfig(keyword="revenue")).awaitTermination(120)
+    assert manifest(spark, f"{out}/collections")["version"] == 1 and spark.read.json(f"{out}/summaries").count() == 3
 
 
 def test_config():

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import vectors as v
+from ledgerloom.operators import collection as c
 from ledgerloom.operators import vectors as m
 
 
@@ -25,12 +26,12 @@ def test_embed_is_deterministic(spark):
 def test_upsert_and_search(spark, tmp_path):
     path = str(tmp_path / "c")
     schema = "id string, vector array<float>, text string"
-    assert m.ensure_collection(spark, path, 2, "odd") == {"size": 2, "metric": "Cosine", "snapshot": None}
-    assert m.ensure_collection(spark, path, 9, "Dot")["size"] == 2
-    assert m.upsert(spark.createDataFrame([("a", [1.0, 0.0], "old"), ("b", [0.0, 1.0], "old")], schema), path).count() == 2
-    m.upsert(spark.createDataFrame([("a", [1.0, 1.0], "new")], schema), path)
-    assert m.upsert(spark.createDataFrame([], schema), path).count() == 0
-    points = m.read_collection(spark, path)
+    assert c.ensure_collection(spark, path, 2, "odd") == {"size": 2, "metric": "Cosine", "buckets": c.BUCKETS}
+    assert c.ensure_collection(spark, path, 9, "Dot")["size"] == 2
+    assert c.upsert(spark.createDataFrame([("a", [1.0, 0.0], "old"), ("b", [0.0, 1.0], "old")], schema), path).count() == 2
+    c.upsert(spark.createDataFrame([("a", [1.0, 1.0], "new")], schema), path)
+    assert c.upsert(spark.createDataFrame([], schema), path).count() == 0
+    points = c.read_collection(spark, path)
     assert {(r.id, r.text) for r in points.collect()} == {("a", "new"), ("b", "old")}
     assert [r.id for r in m.search(points, [0.0, 1.0], 2).collect()] == ["b", "a"]
     assert [r.id for r in m.search(points, [1.0, 1.0], 1, "Euclid").collect()] == ["a"]
