@@ -17,7 +17,8 @@ carried from shard to shard. The index, the windows and a batch of results are
 all that a task holds.
 
 Tokenizing: a token never spans white space, so the ids of a text are those of
-its words, one after another; each task remembers the ids of words it has met.
+its words, one after another; each task remembers the ids of words it has met,
+``REMEMBERED`` at most.
 
 Nulls and edge cases: a null text is empty and has the end id only; repeated
 rows are packed each; rows with a null id are packed under it; an empty table
@@ -27,8 +28,8 @@ as its input is sorted by all that it reads.
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -42,19 +43,52 @@ ship(__name__)
 
 END = 2
 WINDOW = 4096
+#: Marks that may follow a word's letters, and the code point below which letters have been settled for long.
+MARKS, SETTLED = ".,;:!?#*$%&-()", "\u0500"
+#: Byte-level models name each byte by a character: printable ones by themselves, the others by those from 256 on, in order.
+_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_NAMES = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 #: Words longer than this are tokenized anew each time; words remembered before all are forgotten.
 LONG_WORD, REMEMBERED = 64, 500_000
 
 
 class Words(dict):
-    """Ids of words, as little-endian bytes, worked out when first asked for."""
+    """Ids of words, as little-endian bytes, worked out when first asked for.
+
+    Most words are letters and marks after them. The tokenizer takes such a word apart at that place and gives each
+    part, in lower case, to its model; so does :meth:`plain`, without the tokenizer's work on whole texts. It is for
+    letters whose class and case are beyond doubt; the tokenizer itself takes all other words.
+    """
 
     def __init__(self, tokenizer, kind: str):
         super().__init__()
-        self.tokenizer, self.kind = tokenizer, kind
+        self.tokenizer, self.model, self.kind = tokenizer, tokenizer.model, kind
+        self.parts: dict[str, bytes] = {}
+        self.named = [np.array([i], kind).tobytes() for i in range(tokenizer.get_vocab_size())]
+        self.is_known = [pre_tokenizer_text(tokenizer, x) for x in ("Ab", "é.")] == [["ab"], ["Ã©", "."]]
+
+    def part(self, text: str) -> bytes:
+        found = self.parts.get(text)
+        if found is None:
+            shown = text if text.isascii() else text.encode("utf-8").decode("latin-1").translate(BYTE_NAMES)
+            found = b"".join([self.named[t.id] for t in self.model.tokenize(shown)])
+            if len(self.parts) >= REMEMBERED:
+                self.parts.clear()
+            self.parts[text] = found
+        return found
+
+    def plain(self, text: str) -> bytes | None:
+        letters = text.lower()
+        core = letters.rstrip(MARKS)
+        if not core.isalpha() or not (text.isascii() or (max(core) < SETTLED and "Σ" not in text and is_normalized("NFC", text))):
+            return None
+        return self.part(core) if core == letters else self.part(core) + self.part(letters[len(core) :])
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.tokenizer.encode(word.decode("utf-8"), add_special_tokens=False).ids, self.kind).tobytes()
+        text = word.decode("utf-8")
+        ids = self.plain(text) if self.is_known and len(word) <= LONG_WORD else None
+        if ids is None:
+            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
         if len(word) <= LONG_WORD:
             if len(self) >= REMEMBERED:
                 self.clear()
@@ -65,6 +99,13 @@ class Words(dict):
         return b"".join(map(self.__getitem__, text.split()))
 
 
+def pre_tokenizer_text(tokenizer, text: str) -> list[str]:
+    """The parts that a tokenizer hands to its model."""
+    if tokenizer.normalizer is not None:
+        text = tokenizer.normalizer.normalize_str(text)
+    return [x for x, _ in tokenizer.pre_tokenizer.pre_tokenize_str(text)] if tokenizer.pre_tokenizer is not None else [text]
+
+
 def wording(ids: np.ndarray) -> int:
     """The smallest hash of two neighbouring ids; texts with common wording often share it."""
     pairs = ids[:-1].astype(np.uint64) << np.uint64(32) | ids[1:] if len(ids) > 1 else ids.astype(np.uint64)

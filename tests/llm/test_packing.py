@@ -13,13 +13,37 @@ PATH = m.default_tokenizer()
 TOKENIZER = Tokenizer.from_file(PATH)
 
 
-@given(st.text(st.one_of(st.sampled_from(" \t\n\r\x0b\x0c\x1c\x85  'sS<|>endoftext.,9éΣσIİ́̈ﬁ漢🙂"), st.characters(exclude_categories=["Cs"])), max_size=60))
+@given(st.text(st.one_of(st.sampled_from(" \t\n\r\x0b\x0c\x1c\x85  'sS<|>endoftext.,;:!?-9éÉßΣσςIİǅ́̈ﬁ漢🙂Ժñ"), st.characters(exclude_categories=["Cs"])), max_size=60))
 @settings(max_examples=400, deadline=None)
 def test_words_have_the_ids_of_the_whole_text(text):
     got = np.frombuffer(m.Words(TOKENIZER, "<u2").ids(text.encode()), "<u2").tolist()
     assert got == TOKENIZER.encode(text, add_special_tokens=False).ids
 
 
+@given(st.lists(st.tuples(st.text(st.sampled_from("aeékÉßñЖłœIİΣ̈'"), max_size=8), st.text(st.sampled_from(".,;:!?-'"), max_size=3)), max_size=8))
+@settings(max_examples=400, deadline=None)
+def test_letters_and_marks(words):
+    text = " ".join(a + b for a, b in words)
+    got = np.frombuffer(m.Words(TOKENIZER, "<u2").ids(text.encode()), "<u2").tolist()
+    assert got == TOKENIZER.encode(text, add_special_tokens=False).ids
+
+
+def test_all_words_of_real_rows(documents):
+    words, texts = m.Words(TOKENIZER, "<u2"), [r.text for r in documents.collect() if r.text]
+    for text in texts:
+        assert np.frombuffer(words.ids(text.encode()), "<u2").tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
+    assert words.parts and not [w for w in words if words.plain(w.decode()) not in (None, words[w])]
+
+
+def test_other_tokenizers_take_the_long_way():
+    from tokenizers import models, pre_tokenizers
+
+    other = Tokenizer(models.BPE({"a": 0, "b": 1, "ab": 2, "A": 3}, [("a", "b")]))
+    other.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    words = m.Words(other, "<u2")
+    assert not words.is_known and np.frombuffer(words.ids(b"ab A b"), "<u2").tolist() == [2, 3, 1]
+
+
 def held(rows, window=m.WINDOW):
     """Pieces by document, after checking that sequences are gapless and are full or of a power of two."""
     sequences, docs = {}, {}
