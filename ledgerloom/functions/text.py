@@ -2,11 +2,31 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# HTML entities that are decoded, ampersand last.
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
+# The grammar of HTML's markup, as far as it decides what is text. Loops are possessive, so no input makes a match recurse.
+_WS = r"[ \t\n\f\r]"
+_VALUE = r""""[^"]*+(?:"|\z)|'[^']*+(?:'|\z)|[^ \t\n\f\r"'>][^ \t\n\f\r>]*+"""
+_ATTRIBUTES = rf"(?:[ \t\n\f\r/]++|(?:=[^ \t\n\f\r/>=]*+|[^ \t\n\f\r/>=]++)(?:{_WS}*+={_WS}*+(?:{_VALUE})?+)?+)*+(?:>|\z)"
+_HIDDEN = r"(?=[ \t\n\f\r/>]|\z)"
+MARKUP = "(?is)" + "|".join(
+    (
+        r"<!--(?:-?>|.*?(?:--!?>|\z))",  # comments, closed or not
+        rf"<(script|style){_HIDDEN}{_ATTRIBUTES}.*?(?:</\1{_HIDDEN}{_ATTRIBUTES}|\z)",  # elements whose content is no text
+        rf"</?[a-z][^ \t\n\f\r/>]*+{_ATTRIBUTES}",  # tags: a quoted value may hold anything
+        r"<[!?][^>]*+(?:>|\z)|</>|</[^a-z>][^>]*+(?:>|\z)",  # declarations, and what browsers take for comments
+    )
+)
+
+#: Named character references, with the semicolon, and those that count without it too; a no-break space is a blank here.
+NAMED = {name: text.replace("\xa0", " ") for name, text in html5.items()}
+_BARE = "|".join(sorted((n for n in NAMED if n[-1] != ";"), key=lambda n: (-len(n), n)))
+#: Numbers from 0x80 to 0x9F mean what Windows-1252 has there.
+_C1 = [(chr(n), bytes([n]).decode("cp1252")) for n in range(0x80, 0xA0) if n not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)]
+_PAIR, _KEY = "\x01", "\x02"
 
 
 def trim_all(c: Column) -> Column:
@@ -54,13 +74,42 @@ def html_title(c: Column) -> Column:
 
 
 def html_text(c: Column, decode: bool = True) -> Column:
-    """Visible text: script, style and comments dropped, tags a blank each, entities decoded, white space collapsed."""
-    out = F.regexp_replace(c, r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->", " ")
-    out = F.regexp_replace(out, r"(?s)<[^>]*>", " ")
-    if decode:
-        for name, char in ENTITIES:
-            out = F.replace(out, F.lit(name), F.lit(char))
-    return collapse_whitespace(out)
+    """Visible text: script, style and comments dropped, tags a blank each, references decoded, white space collapsed. Native.
+
+    Markup that never ends, as an open comment, script or quoted value, hides the rest, as it does in a browser. Elements
+    other than script and style whose content browsers read as plain text (title, textarea) are read like any.
+    """
+    out = F.regexp_replace(c, MARKUP, " ")
+    return collapse_whitespace(decode_references(out) if decode else out)
+
+
+def _character(number: Column) -> Column:
+    """The text of a code point; the replacement character for those that are none."""
+    wrong = (number == 0) | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF)
+    char = F.decode(F.unhex(F.lpad(F.hex(number), 8, F.lit("0"))), "UTF-32")
+    return F.when(wrong, F.lit("\ufffd")).otherwise(F.translate(char, "".join(a for a, _ in _C1) + "\xa0", "".join(b for _, b in _C1) + " "))
+
+
+def decode_references(c: Column) -> Column:
+    """Numeric and named character references as the characters they stand for, each once: what they make is not read again."""
+    names = F.str_to_map(F.lit(_PAIR.join(f"{k}{_KEY}{v}" for k, v in NAMED.items())), F.lit(_PAIR), F.lit(_KEY))
+
+    def one(piece: Column) -> Column:
+        digits, hexes = (F.regexp_extract(piece, p, 1) for p in ("^#0*([0-9]+);?", "^#[xX]0*([0-9a-fA-F]+);?"))
+        code = F.when(digits != "", F.when(F.length(digits) <= 7, digits.cast("int")).otherwise(0x110000)).otherwise(F.when(F.length(hexes) <= 6, F.conv(hexes, 16, 10).cast("int")).otherwise(0x110000))
+        name, bare = F.regexp_extract(piece, "^[a-zA-Z][a-zA-Z0-9]*;", 0), F.regexp_extract(piece, f"^(?:{_BARE})", 0)
+        rest = lambda found: F.substring(piece, F.length(found) + 1, F.length(piece))
+        number = F.regexp_extract(piece, "^#(?:[0-9]+|[xX][0-9a-fA-F]+);?", 0)
+        return (
+            F.when(number != "", F.concat(_character(code), rest(number)))
+            .when(F.try_element_at(names, name).isNotNull(), F.concat(F.try_element_at(names, name), rest(name)))
+            .when(bare != "", F.concat(F.try_element_at(names, bare), rest(bare)))
+            .otherwise(F.concat(F.lit("&"), piece))
+        )
+
+    pieces = F.split(c, "&", -1)
+    whole = F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), one), ""))
+    return F.when(F.contains(c, F.lit("&")), whole).otherwise(c)
 
 
 def has_keyword(text: Column, keyword: str) -> Column:

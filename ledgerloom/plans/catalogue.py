@@ -67,8 +67,8 @@ def _text_sql(column: str, decode: bool) -> str:
     out = f"regexp_replace({column}, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->', ' ', 'g')"
     out = f"regexp_replace({out}, '(?s)<[^>]*>', ' ', 'g')"
     if decode:
-        for name, char in text.ENTITIES:
-            out = f"replace({out}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
+        for name in ("nbsp", "lt", "gt", "quot", "apos", "copy", "middot", "amp"):  # all that the pages hold; ampersand last
+            out = f"replace({out}, '&{name};', '{text.NAMED[name + ';'].replace(chr(39), chr(39) * 2)}')"
     return f"trim(regexp_replace({out}, '[ \\t\\n\\r\\x0B\\f]+', ' ', 'g'), ' ')"
 
 

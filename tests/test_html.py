@@ -1,0 +1,166 @@
+"""HTML to text, held against a parser that goes character by character through the states of the HTML standard."""
+
+import random
+from html.entities import html5
+
+import pytest
+from pyspark.sql import functions as F
+
+from ledgerloom.functions.text import html_text
+
+WS = " \t\n\f\r"
+
+
+def visible(html):
+    """Text with a blank for each piece of markup."""
+    out, i, n = [], 0, len(html)
+
+    def attributes(i):
+        """Where a tag ends whose name ends at i."""
+        state = "before name"
+        while i < n:
+            c = html[i]
+            if state in ("double", "single"):
+                if c == ('"' if state == "double" else "'"):
+                    state = "before name"
+            elif c == ">" :
+                return i + 1
+            elif state == "before name":
+                if c not in WS + "/":
+                    state = "name"  # even if it is an equals sign
+            elif state == "name":
+                state = "after name" if c in WS else "before name" if c == "/" else "before value" if c == "=" else state
+            elif state == "after name":
+                if c not in WS:
+                    state = "before name" if c == "/" else "before value" if c == "=" else "name"
+            elif state == "before value":
+                if c not in WS:
+                    state = "double" if c == '"' else "single" if c == "'" else "unquoted"
+            elif state == "unquoted" and c in WS:
+                state = "before name"
+            i += 1
+        return n
+
+    def name_end(i):
+        while i < n and html[i] not in WS + "/>":
+            i += 1
+        return i
+
+    def after(mark, i):
+        at = html.find(mark, i)
+        return n if at < 0 else at + len(mark)
+
+    while i < n:
+        if html[i] != "<":
+            out.append(html[i])
+            i += 1
+        elif html.startswith("<!--", i):
+            j = i + 4
+            i = j + 1 if html.startswith(">", j) else j + 2 if html.startswith("->", j) else min(after("-->", j), after("--!>", j))
+            out.append(" ")
+        elif html[i + 1 : i + 2] in ("!", "?") and i + 1 < n:
+            i = after(">", i)
+            out.append(" ")
+        elif html.startswith("</", i) and i + 2 < n and not (html[i + 2].isascii() and html[i + 2].isalpha()):
+            i = after(">", i)
+            out.append(" ")
+        else:
+            start = i + 2 if html.startswith("</", i) else i + 1
+            if not (start < n and html[start].isascii() and html[start].isalpha()):
+                out.append(html[i])
+                i += 1
+                continue
+            end = name_end(start)
+            name = html[start:end].translate({c: c + 32 for c in range(65, 91)})
+            open_tag = start == i + 1
+            i = attributes(end)
+            out.append(" ")
+            while open_tag and name in ("script", "style") and i < n:
+                if html.startswith("</", i):
+                    end = name_end(i + 2)
+                    if html[i + 2 : end].translate({c: c + 32 for c in range(65, 91)}) == name:
+                        i = attributes(end)
+                        break
+                i += 1
+    return "".join(out)
+
+
+def decoded(text):
+    out, i = [], 0
+    while i < len(text):
+        j = i + 1
+        if text[i] != "&":
+            out.append(text[i])
+        elif text.startswith("&#", i):
+            base, digits = (16, "0123456789abcdefABCDEF") if text[i + 2 : i + 3] in ("x", "X") and i + 2 < len(text) else (10, "0123456789")
+            k = j = i + (3 if base == 16 else 2)
+            while j < len(text) and text[j] in digits:
+                j += 1
+            if j == k:
+                out.append("&")
+                j = i + 1
+            else:
+                code = int(text[k:j], base)
+                j += text[j : j + 1] == ";"
+                if code == 0 or code > 0x10FFFF or 0xD800 <= code <= 0xDFFF:
+                    out.append("�")
+                elif 0x80 <= code <= 0x9F:
+                    out.append(bytes([code]).decode("cp1252", "ignore") or chr(code))
+                else:
+                    out.append(chr(code).replace("\xa0", " "))
+        else:
+            name = max((k for k in range(1, 33) if text[i + 1 : i + 1 + k] in html5 and i + 1 + k <= len(text)), default=0)
+            out.append(html5[text[i + 1 : i + 1 + name]].replace("\xa0", " ") if name else "&")
+            j = i + 1 + name
+        i = j
+    return "".join(out)
+
+
+def plain(html):
+    out = decoded(visible(html))
+    for c in "\t\n\r\x0b\f":
+        out = out.replace(c, " ")
+    return " ".join(x for x in out.split(" ") if x)
+
+
+def agree(spark, pages):
+    df = spark.createDataFrame(list(enumerate(pages)), "i int, html string")
+    got = dict(df.select("i", html_text(F.col("html"))).collect())
+    wrong = [(p, got[i], plain(p)) for i, p in enumerate(pages) if got[i] != plain(p)]
+    assert not wrong, wrong[0]
+
+
+CASES = [
+    '<p title="a>b">It&#8217;s 5&#160;% &mdash; R&amp;D</p><script>var a=1;', "<!-- never closed <p>x</p>", "a<!-->b<!--->c<!-- d --!>e", "<p a='>' b=\">\" c=d>x",
+    "x < y <3 </ a > </> </3>z<", "<style/>hidden</STYLE foo='>'>shown", "<script>'</scriptx>' </script\n>on", "<a =\">\">t", '<a b = ">" c>t', "<a b=c=\"d>e\">t", '<a "b>c">t',
+    "&amp;lt; &lt &ltx; &notit; &notin; &copy2 &nbsp;| &#x80; &#150; &#0; &#xD800; &#1114112; &#99999999999999999999; &#x000000000041 &#; &#x; &;& &&amp;", "<!DOCTYPE html PUBLIC \"a>b\">t", "<?xml a='>'?>t",
+    "<![CDATA[x>y]]>z", "", " \n ", "<p", '<p a="', "</p", "&CounterClockwiseContourIntegral;&NotEqualTilde;&NewLine;x", "<scripty>seen</scripty>", "<script", "<script>", "é<É>ß</É>",
+]
+
+
+def test_known_cases(spark):
+    agree(spark, CASES)
+    first = spark.createDataFrame([(CASES[0],), (None,)], "html string").select(html_text(F.col("html")).alias("t")).collect()
+    assert first[0].t == "It’s 5 % — R&D" and first[1].t is None
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_pages_and_mutated_pages(spark, sf, seed):
+    pages = [r.html for r in spark.read.parquet(f"{sf}/pages.parquet").select("html").orderBy("page_id").collect()]
+    made, bits = random.Random(seed), [*"<>\"'=&;#/!-? x", "<!--", "-->", "<script>", "</script>", "<a b='", "&#x41", "&copy", "&lt;", "</", "<style ", "--!>", 'c="d>']
+    out = pages if seed == 0 else []
+    for _ in range(250):
+        page = made.choice(pages)
+        a = made.randrange(len(page))
+        page = page[a : a + made.choice([40, 400, 4000])]
+        for _ in range(made.randrange(1, 12)):
+            at = made.randrange(len(page) + 1)
+            page = page[:at] + made.choice([made.choice(bits), made.choice(bits) + made.choice(bits), ""]) + page[at + made.choice([0, 0, 1, 3]) :]
+        out.append(page)
+    out += ["".join(made.choices(bits, k=made.randrange(1, 30))) for _ in range(400)]
+    agree(spark, out)
+
+
+def test_long_markup_does_not_recurse(spark):
+    n = 200_000
+    agree(spark, ["<a " + "b='c' " * n + ">x", "<a " + '"' * n, "<!--" + "-" * n, "<script>" + "<" * n, "&amp;" * 20_000, "<" * n, "<a" + "=" * n + ">y"])
