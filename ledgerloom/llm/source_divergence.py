@@ -1,15 +1,15 @@
 """Audit of how the sources of a language differ in their words.
 
-Method: each task counts its rows' terms in a byte trie, whose leaves hold a
-counter for each source of each language. The trie is walked in UTF-8 order and
-leaves as sorted runs; runs are merged by range of the term's prefix, so all
-counters of a term meet in one task, in byte order, and a second walk over the
-merged terms adds up every pair of sources and keeps each source's best terms,
-equal ones in byte order.
+Method: each task counts its rows' terms in byte tries, whose leaves hold
+counters for each source of each language. A trie is walked by prefix, in UTF-8
+order, and leaves as sorted runs; runs are merged by range of the term's prefix,
+so all counters of a term meet in one task, in byte order, and a second walk
+over the merged terms adds up every pair of sources and keeps each source's best
+terms, equal ones in byte order.
 
 Scale: texts are read once, and a task sends each (source, term) once for all
-its rows; a hot source or term is one counter a task. A trie is sent off when
-it holds ``most`` counters, so a task's memory does not grow with its input.
+its rows; a hot source or term is one counter a task. A trie is made and
+sent off when ``most`` counters are held, so a task's memory does not grow with its input.
 Runs are shuffled once. Merging streams over what Spark has sorted and spilled
 and holds a batch and one term's sums. Sources are numbered and the
 numbers sent to all tasks; they are small: the result has a row for every pair
@@ -25,9 +25,12 @@ read. All arithmetic is on whole numbers.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
-from itertools import groupby, islice
+from collections.abc import Iterable, Iterator
+from itertools import chain, groupby
+from os.path import commonprefix
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -50,73 +53,94 @@ def terms_of(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
 
 
-class Bucket(dict):
-    """Counters of a trie's leaf: (term, slot) to occurrences and rows in one number."""
+class Run(NamedTuple):
+    """Counters of a source, by term in the order of bytes."""
 
+    slot: int
+    terms: list[bytes]
+    counts: list[int]
+    rows: list[int]
 
-#: Rows take the lower bits of a counter.
-ROWS = 1 << 40
+    def part(self, a: int, b: int) -> Run:
+        return Run(self.slot, self.terms[a:b], self.counts[a:b], self.rows[a:b])
 
 
 class RadixTrie:
-    """A byte trie. Terms with a common prefix share a bucket, which bursts into a node by their next byte when it holds more than ``burst`` counters."""
-
-    def __init__(self, burst: int = 512) -> None:
-        self.root: dict = {}
-        self.burst, self.counters = burst, 0
-
-    def add(self, term: bytes, slot: int, occurrences: int, rows: int) -> None:
-        node, at = self.root, 0
-        while True:
-            byte = term[at : at + 1]  # empty where the term ends
-            child = node.get(byte)
-            if child is None:
-                child = node[byte] = Bucket()
-            if type(child) is Bucket:
-                break
-            node, at = child, at + 1
-        key, before = (term, slot), len(child)
-        child[key] = child.get(key, 0) + occurrences * ROWS + rows
-        self.counters += len(child) - before
-        if len(child) > self.burst and byte:
-            fork = node[byte] = {}
-            for (t, s), n in child.items():
-                fork.setdefault(t[at + 1 : at + 2], Bucket())[t, s] = n
-
-    def walk(self) -> Iterator[tuple[bytes, int, int, int]]:
-        """``(term, slot, occurrences, rows)`` in the order of the terms' bytes."""
-        ahead = [self.root]
+    """A byte trie over the terms of several sources.
+
+    A node has the prefix of all terms below it and either children, by the byte after the prefix (none where a term
+    ends), or, where ``burst`` counters or fewer are below it, the counters of each source as a run.
+    """
+
+    def __init__(self, runs: Iterable[Run], burst: int = 4096) -> None:
+        self.prefix, self.children, self.runs = b"", {}, [r for r in runs if r.terms]
+        ahead = [self]
+        while ahead:
+            node = ahead.pop()
+            if sum(len(r.terms) for r in node.runs) > burst:
+                ahead.extend(node._fork())
+
+    def _fork(self) -> list[RadixTrie]:
+        """Deal the runs to children; those that may have to fork as well."""
+        ends = min(r.terms[0] for r in self.runs), max(r.terms[-1] for r in self.runs)
+        self.prefix = commonprefix(ends)
+        if ends[0] == ends[1]:
+            return []  # one term of many sources
+        at, dealt = len(self.prefix), {}
+        for run in self.runs:
+            a = 0
+            while a < len(run.terms):
+                byte = run.terms[a][at : at + 1]
+                b = a + 1 if not byte else len(run.terms) if byte == b"\xff" else bisect_left(run.terms, self.prefix + bytes([byte[0] + 1]), a)
+                dealt.setdefault(byte, []).append(run.part(a, b))
+                a = b
+        self.runs = []
+        for byte in sorted(dealt):
+            child = self.children[byte] = RadixTrie(())
+            child.prefix, child.runs = self.prefix + byte, dealt[byte]
+        return list(self.children.values())
+
+    def walk(self) -> Iterator[Run]:
+        """The runs of each leaf, leaves in the order of their prefixes."""
+        ahead = [self]
         while ahead:
             node = ahead.pop()
-            if type(node) is Bucket:
-                for (term, slot), n in sorted(node.items()):
-                    yield term, slot, n // ROWS, n % ROWS
-            else:
-                ahead.extend(node[b] for b in sorted(node, reverse=True))
+            yield from node.runs
+            ahead.extend(reversed(node.children.values()))
 
 
 LEAF = "term string, slot int, n bigint, n_rows bigint"
 TERM = "lang int, term string, slots array<int>, counts array<bigint>"
 
 
-def count_terms(docs: DataFrame, slots: dict[tuple[str, str], int], most: int = 200_000) -> DataFrame:
-    """Sorted runs of ``LEAF`` rows from ``(lang, source, text)``; ``slots`` numbers the groups."""
+def count_terms(docs: DataFrame, slots: dict[tuple[str, str], int], most: int = 600_000, piece: int = 50_000) -> DataFrame:
+    """``LEAF`` rows, by prefix, from ``(lang, source, text)``; ``slots`` numbers the groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, waiting, held = RadixTrie(), {}, 0
+        waiting: dict[int, tuple[Counter, Counter]] = {}
+        held = 0
 
-        def settle() -> None:
+        def send() -> Iterator[pa.RecordBatch]:
+            runs = []
             for slot, (occurrences, rows) in waiting.items():
-                for term, n in occurrences.items():
-                    trie.add(term, slot, n, rows[term])
+                terms = sorted(occurrences)
+                runs.append(Run(slot, terms, [*map(occurrences.__getitem__, terms)], [*map(rows.__getitem__, terms)]))
             waiting.clear()
-
-        def send() -> Iterator[pa.RecordBatch]:
-            leaves = trie.walk()
-            while some := list(islice(leaves, 50_000)):
-                term, slot, n, rows = zip(*some, strict=True)
-                arrays = [pa.array(term, pa.binary()).cast(pa.string()), pa.array(slot, pa.int32()), pa.array(n, pa.int64()), pa.array(rows, pa.int64())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["term", "slot", "n", "n_rows"])
+            some, size = [], 0
+            for leaf in RadixTrie(runs).walk():
+                some.append(leaf)
+                size += len(leaf.terms)
+                if size >= piece:
+                    yield leaves(some)
+                    some, size = [], 0
+            if some:
+                yield leaves(some)
+
+        def leaves(runs: list[Run]) -> pa.RecordBatch:
+            slot = np.repeat(np.array([r.slot for r in runs], np.int32), [len(r.terms) for r in runs])
+            term, n, rows = (list(chain.from_iterable(c)) for c in zip(*[r[1:] for r in runs], strict=True))
+            arrays = [pa.array(term, pa.binary()).cast(pa.string()), pa.array(slot), pa.array(n, pa.int64()), pa.array(rows, pa.int64())]
+            return pa.RecordBatch.from_arrays(arrays, names=["term", "slot", "n", "n_rows"])
 
         for batch in batches:
             for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), strict=True):
@@ -129,12 +153,8 @@ def count_terms(docs: DataFrame, slots: dict[tuple[str, str], int], most: int =
                 rows.update(set(words))
                 held += len(occurrences)
                 if held >= most:
-                    settle()
+                    yield from send()
                     held = 0
-                    if trie.counters >= most:
-                        yield from send()
-                        trie = RadixTrie()
-        settle()
         yield from send()
 
     return docs.select("lang", "source", "text").mapInArrow(run, LEAF)
@@ -255,7 +275,7 @@ def compare(kept: DataFrame, langs: list[list[int]], sums: dict[int, int], sizes
     return sent.mapInArrow(run, "a int, b int, term string, value bigint")
 
 
-def audit(docs: DataFrame, least: int = 10, top: int = 10, most: int = 200_000, block: int = 256) -> DataFrame:
+def audit(docs: DataFrame, least: int = 10, top: int = 10, most: int = 600_000, block: int = 256) -> DataFrame:
     """``(lang, source, part, item, value, rank)``: every pair of a language's sources, and each source's most typical terms."""
     spark = docs.sparkSession
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)

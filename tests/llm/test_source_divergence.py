@@ -63,15 +63,35 @@ def test_odd_rows(spark, odd, none, saved):
     assert read(m.audit(df)) == plain(ties)
 
 
-@given(st.dictionaries(st.tuples(st.binary(min_size=1, max_size=6), st.integers(0, 3)), st.integers(1, 9), max_size=80), st.integers(1, 9), st.randoms())
+@given(st.dictionaries(st.tuples(st.binary(min_size=1, max_size=6), st.integers(0, 3)), st.integers(1, 9), max_size=80), st.integers(1, 9))
 @settings(max_examples=200, deadline=None)
-def test_trie_walks_in_byte_order(leaves, burst, order):
-    trie, added = m.RadixTrie(burst), [(*k, x) for k, n in leaves.items() for x in (n, 1)]
-    order.shuffle(added)
-    for term, slot, n in added:
-        trie.add(term, slot, n, 1)
-    assert list(trie.walk()) == [(*k, leaves[k] + 1, 2) for k in sorted(leaves)]
-    assert trie.counters == len(leaves)
+def test_trie_walks_by_prefix(counters, burst):
+    runs = []
+    for slot in range(4):
+        terms = sorted(t for t, s in counters if s == slot)
+        runs.append(m.Run(slot, terms, [counters[t, slot] for t in terms], [1] * len(terms)))
+    trie = m.RadixTrie(runs, burst)
+    walked = list(trie.walk())
+    assert {(t, r.slot): n for r in walked for t, n in zip(r.terms, r.counts, strict=True)} == counters
+    assert sum(len(r.terms) for r in walked) == len(counters) and all(r.terms == sorted(r.terms) for r in walked)
+
+    def leaves(node):
+        for byte, child in node.children.items():
+            assert child.prefix.startswith(node.prefix + byte) and (byte or len(child.children) == 0)
+            yield from leaves(child)
+        if not node.children:
+            terms = [t for r in node.runs for t in r.terms]
+            assert len(terms) <= burst or len(set(terms)) == 1
+            assert all(t.startswith(node.prefix) for t in terms)
+            yield terms
+
+    ends = [(min(x), max(x)) for x in leaves(trie) if x]
+    assert all(a[1] < b[0] for a, b in zip(ends, ends[1:], strict=False))  # in the order of bytes
+
+
+def test_nested_terms_do_not_recurse():
+    terms = [b"a" * n for n in range(1, 6000)]
+    assert len([*m.RadixTrie([m.Run(0, terms, [1] * len(terms), [1] * len(terms))], 2).walk()]) >= 3000
 
 
 def test_a_term_over_many_batches(spark):
