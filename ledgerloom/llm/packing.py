@@ -17,7 +17,7 @@ carried from shard to shard. The index, the windows and a batch of results are
 all that a task holds.
 
 Tokenizing: a token never spans white space, so the ids of a text are those of
-its words, one after another; each task remembers the ids of words it has met,
+its words, one after another; each worker remembers the ids of words it has met,
 ``REMEMBERED`` at most.
 
 Nulls and edge cases: a null text is empty and has the end id only; repeated
@@ -68,21 +68,27 @@ class Words(dict):
         self.is_known = [pre_tokenizer_text(tokenizer, x) for x in ("Ab", "é.")] == [["ab"], ["Ã©", "."]]
 
     def part(self, text: str) -> bytes:
-        found = self.parts.get(text)
-        if found is None:
-            shown = text if text.isascii() else text.encode("utf-8").decode("latin-1").translate(BYTE_NAMES)
-            found = b"".join([self.named[t.id] for t in self.model.tokenize(shown)])
-            if len(self.parts) >= REMEMBERED:
-                self.parts.clear()
-            self.parts[text] = found
+        shown = text if text.isascii() else text.encode("utf-8").decode("latin-1").translate(BYTE_NAMES)
+        found = b"".join([self.named[t.id] for t in self.model.tokenize(shown)])
+        if len(self.parts) >= REMEMBERED:
+            self.parts.clear()
+        self.parts[text] = found
         return found
 
     def plain(self, text: str) -> bytes | None:
         letters = text.lower()
-        core = letters.rstrip(MARKS)
-        if not core.isalpha() or not (text.isascii() or (max(core) < SETTLED and "Σ" not in text and is_normalized("NFC", text))):
+        if "Σ" in text:  # the one letter whose lower case depends on its place
             return None
-        return self.part(core) if core == letters else self.part(core) + self.part(letters[len(core) :])
+        core = letters.rstrip(MARKS)
+        ids = self.parts.get(core)
+        if ids is None:
+            if not core.isalpha() or not (text.isascii() or (max(core) < SETTLED and is_normalized("NFC", text))):
+                return None
+            ids = self.part(core)
+        if core == letters:
+            return ids
+        marks = letters[len(core) :]
+        return ids + (self.parts.get(marks) or self.part(marks))
 
     def __missing__(self, word: bytes) -> bytes:
         text = word.decode("utf-8")
@@ -99,6 +105,23 @@ class Words(dict):
         return b"".join(map(self.__getitem__, text.split()))
 
 
+class Vocabulary:
+    """A tokenizer's file, sent to the workers; each makes the tokenizer and its memory of words once, for all its tasks."""
+
+    def __init__(self, said: str, kind: str):
+        self.said, self.kind, self.made = said, kind, None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"made": None}
+
+    def words(self) -> Words:
+        if self.made is None:
+            from tokenizers import Tokenizer
+
+            self.made = Words(Tokenizer.from_str(self.said), self.kind)
+        return self.made
+
+
 def pre_tokenizer_text(tokenizer, text: str) -> list[str]:
     """The parts that a tokenizer hands to its model."""
     if tokenizer.normalizer is not None:
@@ -123,12 +146,11 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end: int = END) -> DataFrame
     with open(tokenizer_path, encoding="utf-8") as f:
         said = f.read()
     size = max(Tokenizer.from_str(said).get_vocab_size(), end + 1)
-    kind, sent = id_kind(size), docs.sparkSession.sparkContext.broadcast(said)
+    kind = id_kind(size)
+    sent = docs.sparkSession.sparkContext.broadcast(Vocabulary(said, kind))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        words, last = Words(Tokenizer.from_str(sent.value), kind), np.array([end], kind).tobytes()
+        words, last = sent.value.words(), np.array([end], kind).tobytes()
         for batch in batches:
             ids = [words.ids(text.as_py() or b"") + last for text in batch.column(1).cast(pa.binary())]
             near = [wording(np.frombuffer(x, kind)) for x in ids]
