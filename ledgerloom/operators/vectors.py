@@ -87,6 +87,20 @@ def scores(metric: str, queries: np.ndarray, points: np.ndarray) -> np.ndarray:
         return products / np.outer(q, p)
 
 
+def nearest_in_block(left: pd.DataFrame, right: pd.DataFrame, k: int, metric: str) -> pd.DataFrame:
+    """``(query, key, score)``: the ``k`` best rows of ``right`` for each of ``left``; both have ``key`` and ``vector``."""
+    if not len(left) or not len(right):
+        return pd.DataFrame({"query": [], "key": [], "score": []})
+    ascending, names = measure(metric)[1], right["key"].to_numpy()
+    got = np.round(scores(metric, np.stack(left["vector"]), np.stack(right["vector"])), 9)
+    out = []
+    for q, row in zip(left["key"], got, strict=True):
+        order = np.lexsort((names, row if ascending else -row))
+        best = order[~np.isnan(row[order])][:k]
+        out.append(pd.DataFrame({"query": q, "key": names[best], "score": row[best]}))
+    return pd.concat(out)
+
+
 def search_all(
     vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "Cosine", vector: str = "vector", key: str = "id",
     query_block: int = 1024, point_block: int = 32_768,
@@ -106,16 +120,7 @@ def search_all(
         return df.where(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vector"), own, every)
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query": [], "key": [], "score": []})
-        names = right["key"].to_numpy()
-        got = np.round(scores(name, np.stack(left["vector"]), np.stack(right["vector"])), 9)
-        out = []
-        for q, row in zip(left["key"], got, strict=True):
-            order = np.lexsort((names, row if ascending else -row))
-            best = order[~np.isnan(row[order])][:k]
-            out.append(pd.DataFrame({"query": q, "key": names[best], "score": row[best]}))
-        return pd.concat(out)
+        return nearest_in_block(left, right, k, name)
 
     q, p = dealt(queries, 0, "q", "p"), dealt(vectors, 1, "p", "q")
     kind = vectors.schema[key].dataType.simpleString()

@@ -437,18 +437,63 @@ for _metric, _score, _order in (
       select query, vec_id, round(score, 6) as score, rank from r where rank <= 10""")(_search(_metric))
 
 
+def _filed(metric: str, exact: bool):
+    def run(spark, d):
+        from ledgerloom.operators import ivf
+        from ledgerloom.sources.shared import scratch
+
+        e = _read(spark, d, "embeddings")
+        index = ivf.build(e, scratch(spark, "ivf"), "embedding", "vec_id", metric)
+        got = ivf.search(index, e.where("vec_id % 50 = 0"), 10, exact=exact, vector="embedding")
+        return got.select("query", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+    return run
+
+
+query("ivf_cosine_topk", SQL["cosine_topk"])(_filed("Cosine", True))
+query("ivf_euclid_topk", SQL["euclid_topk"])(_filed("Euclid", True))
+query("ivf_probes_topk")(_filed("Cosine", False))  # approximate: tests measure its recall
+
+
 @query("embed_documents")
 def embed_documents(spark, d):
     got = vectors.embed(_read(spark, d, "documents").select("doc_id", "text"))
     return got.select("doc_id", F.size("vector").alias("size"), F.round(norm(F.col("vector")), 4).alias("length"))
 
 
-@query("upsert_points", "select doc_id, case when doc_id % 3 = 0 then 'new' else 'old' end as origin from documents")
+@query("upsert_points", "select doc_id, case when doc_id % 7 = 1 then 'third' when doc_id % 3 = 0 then 'second' else 'first' end as origin, source from documents")
 def upsert_points(spark, d):
-    """Points kept by id: those that come again replace the ones there."""
-    docs = _read(spark, d, "documents").select("doc_id").withColumn("id", text.stable_id(F.col("doc_id")))
-    old, new = docs.withColumn("origin", F.lit("old")), docs.where("doc_id % 3 = 0").withColumn("origin", F.lit("new"))
-    return vectors.merge_points(old, new).select("doc_id", "origin")
+    """A collection after three upserts: points that come again replace the ones there."""
+    from ledgerloom.operators.collection import read_collection, upsert
+    from ledgerloom.sources.shared import scratch
+
+    docs, path = _read(spark, d, "documents").select("doc_id", "source", text.stable_id(F.col("doc_id")).alias("id")), scratch(spark, "collection")
+    for origin, rows in (("first", docs), ("second", docs.where("doc_id % 3 = 0")), ("third", docs.where("doc_id % 7 = 1"))):
+        upsert(rows.withColumn("origin", F.lit(origin)), path, size=1, buckets=8)
+    return read_collection(spark, path).select("doc_id", "origin", "source")
+
+
+@query("named_files", "select doc_id || '_' || lower(coalesce(source, 'none')) || '.json' as name, length(text)::bigint as n_chars, md5(text) as text_md5 from documents")
+def named_files(spark, d):
+    """Each document as a JSON file of its name, read back from the files."""
+    from ledgerloom.sources.named import register
+    from ledgerloom.sources.shared import scratch
+
+    register(spark)
+    path, docs = scratch(spark, "named"), _read(spark, d, "documents")
+    name = F.concat(F.col("doc_id").cast("string"), F.lit("_"), F.lower(F.coalesce("source", F.lit("none"))), F.lit(".json"))
+    rows = docs.select(name.alias("name"), F.to_json(F.struct("doc_id", "text"), {"pretty": "true"}).alias("content"))
+    rows.write.format("ledgerloom_files").mode("append").option("path", path).save()
+    back = spark.read.schema("doc_id long, text string").option("multiLine", True).json(path)
+    return back.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("name"), F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+@query("html_references", """select page_id, url || ' “' || chr((8000 + page_id % 500)::int) || '” é&lt;' || chr((page_id % 26 + 65)::int) || ' ©x ¬it; &nosuch; €' as text from pages""")
+def html_references(spark, d):
+    """Quoted marks in attributes, numeric and named references, and a script without an end."""
+    number, letter = (F.col("page_id") % 500 + 8000).cast("string"), F.lower(F.hex(F.col("page_id") % 26 + 65))
+    html = F.concat(F.lit('<p title="a>b" data-x=\'">\'>'), F.col("url"), F.lit(" &ldquo;&#"), number, F.lit(";&#8221 &eacute;&amp;lt;&#x"), letter, F.lit("; &copyx &notit; &nosuch; &#128;<!-- --!><script>if (a > b) '</p>"))
+    return _read(spark, d, "pages").select("page_id", text.html_text(html).alias("text"))
 
 
 @query("company_facts", "select c_custkey as cik, c_name as entity_name, taxonomy from customer, (values ('us-gaap'), ('dei')) t(taxonomy)")
