@@ -28,7 +28,10 @@ as its input is sorted by all that it reads.
 
 from __future__ import annotations
 
+import hashlib
+import sys
 from collections.abc import Iterator
+from types import ModuleType
 from unicodedata import is_normalized
 
 import numpy as np
@@ -50,6 +53,7 @@ _SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTE_NAMES = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 #: Words longer than this are tokenized anew each time; words remembered before all are forgotten.
 LONG_WORD, REMEMBERED = 64, 500_000
+MEMORY = "ledgerloom_words_of_worker"
 
 
 class Words(dict):
@@ -105,21 +109,19 @@ class Words(dict):
         return b"".join(map(self.__getitem__, text.split()))
 
 
-class Vocabulary:
-    """A tokenizer's file, sent to the workers; each makes the tokenizer and its memory of words once, for all its tasks."""
+def words_of(said: str, kind: str) -> Words:
+    """The words of a tokenizer's file, one such memory a worker process: it outlives a task, and another tokenizer takes its place.
 
-    def __init__(self, said: str, kind: str):
-        self.said, self.kind, self.made = said, kind, None
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"made": None}
-
-    def words(self) -> Words:
-        if self.made is None:
-            from tokenizers import Tokenizer
+    Code that travels with a job has no module in the worker to keep things in, so one is made for it.
+    """
+    kept = sys.modules.setdefault(MEMORY, ModuleType(MEMORY)).__dict__
+    name = (kind, len(said), hashlib.sha256(said.encode()).digest())
+    if kept.get("name") != name:
+        from tokenizers import Tokenizer
 
-            self.made = Words(Tokenizer.from_str(self.said), self.kind)
-        return self.made
+        kept.clear()
+        kept.update(name=name, words=Words(Tokenizer.from_str(said), kind))
+    return kept["words"]
 
 
 def pre_tokenizer_text(tokenizer, text: str) -> list[str]:
@@ -147,10 +149,10 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end: int = END) -> DataFrame
         said = f.read()
     size = max(Tokenizer.from_str(said).get_vocab_size(), end + 1)
     kind = id_kind(size)
-    sent = docs.sparkSession.sparkContext.broadcast(Vocabulary(said, kind))
+    sent = docs.sparkSession.sparkContext.broadcast(said)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, last = sent.value.words(), np.array([end], kind).tobytes()
+        words, last = words_of(sent.value, kind), np.array([end], kind).tobytes()
         for batch in batches:
             ids = [words.ids(text.as_py() or b"") + last for text in batch.column(1).cast(pa.binary())]
             near = [wording(np.frombuffer(x, kind)) for x in ids]
