@@ -93,28 +93,38 @@ def is_allowed_url(url: Column, domain: str = "sec.gov") -> Column:
     return F.coalesce(F.startswith(url, F.lit("https://")) & ((host == domain) | F.endswith(host, F.lit(f".{domain}"))), F.lit(False))
 
 
-SUMMARY = "struct<summary:string,points:array<string>,confidence:double,error:string,raw_output:string>"
+_FIELDS = (("summary", "string"), ("points", "array<string>"), ("confidence", "double"), ("error", "string"), ("raw_output", "string"))
+
+
+def _taken(v: Column) -> Column:
+    """What a summary record is judged by: the kinds of the whole and of each field, and the fields."""
+    part = lambda name: F.try_variant_get(v, f"$.{name}", "variant")
+    kinds = [F.coalesce(F.schema_of_variant(part(n)), F.lit("VOID")).alias(f"{n}_kind") for n, _ in _FIELDS]
+    return F.struct(F.schema_of_variant(v).alias("kind"), *kinds, *[F.try_variant_get(v, f"$.{n}", t).alias(n) for n, t in _FIELDS])
+
+
+def _record(found: Column, raw: Column) -> Column:
+    kind = lambda name: found[f"{name}_kind"]
+    fits = F.coalesce(F.startswith(found["kind"], F.lit("OBJECT")), F.lit(False)) & kind("points").isin("ARRAY<STRING>", "ARRAY<VOID>", "VOID")
+    for name in ("summary", "error", "raw_output"):
+        fits = fits & kind(name).isin("STRING", "VOID")
+    number = F.rlike(kind("confidence"), F.lit("^(BIGINT|DOUBLE|DECIMAL)")) & F.coalesce(found["confidence"].between(0, 1), F.lit(False))
+    error = F.when(found["kind"].isNull(), "not JSON").otherwise("not a summary record").alias("error")
+    wrong = F.struct(*[F.lit(None).cast(t).alias(n) for n, t in _FIELDS[:3]], error, raw.alias("raw_output"))
+    return F.when(fits & ((kind("confidence") == "VOID") | number), F.struct(*[found[n].alias(n) for n, _ in _FIELDS])).otherwise(wrong)
 
 
 def parse_summary(raw: Column) -> Column:
     """The summary record in a model's answer. An answer that is not one gives a record with ``error`` and ``raw_output``.
 
-    JSON types are checked, which ``from_json`` would not do: text, list of text, and a number from 0 to 1.
+    JSON types are checked, which ``from_json`` would not do: text, list of text, and a number from 0 to 1. The answer is
+    parsed once: transforming an array of one names what was worked out.
     """
-    v = F.try_parse_json(raw)
-    kind = lambda path: F.schema_of_variant(F.try_variant_get(v, path, "variant"))
-    text = lambda path: F.coalesce(kind(path).isin("STRING", "VOID"), F.lit(True))
-    points = F.coalesce(kind("$.points").isin("ARRAY<STRING>", "ARRAY<VOID>", "VOID"), F.lit(True))
-    confidence = F.try_variant_get(v, "$.confidence", "double")
-    number = F.coalesce(
-        (kind("$.confidence") == "VOID") | (F.rlike(kind("$.confidence"), F.lit("^(BIGINT|DOUBLE|DECIMAL)")) & confidence.between(0, 1)), F.lit(True)
-    )
-    fits = F.coalesce(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.lit(False)) & text("$.summary") & text("$.error") & text("$.raw_output") & points & number
-    get = lambda path, to: F.when(fits, F.try_variant_get(v, path, to))
-    return F.struct(
-        get("$.summary", "string").alias("summary"),
-        get("$.points", "array<string>").alias("points"),
-        get("$.confidence", "double").alias("confidence"),
-        F.when(fits, F.try_variant_get(v, "$.error", "string")).when(v.isNull(), "not JSON").otherwise("not a summary record").alias("error"),
-        F.when(fits, F.try_variant_get(v, "$.raw_output", "string")).otherwise(raw).alias("raw_output"),
-    )
+    once = lambda c, f: F.get(F.transform(F.array(c), f), F.lit(0))
+    return once(F.try_parse_json(raw), lambda v: once(_taken(v), lambda found: _record(found, raw)))
+
+
+def with_summary(df: DataFrame, raw: str, out: str) -> DataFrame:
+    """``df`` with :func:`parse_summary` of a column, in steps of a plan, which generated code runs."""
+    parsed = df.withColumn("_variant", F.try_parse_json(raw)).withColumn("_found", _taken(F.col("_variant")))
+    return parsed.withColumn(out, _record(F.col("_found"), F.col(raw))).drop("_variant", "_found")

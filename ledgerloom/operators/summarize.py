@@ -4,21 +4,22 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.parsing import parse_summary
+from ledgerloom.functions.parsing import with_summary
 from ledgerloom.functions.text import format_prompt
+from ledgerloom.operators.remote import generation_model, ollama_model
 from ledgerloom.shipping import ship
 
 ship(__name__)
 
-#: A model takes prompts and gives as many answers.
-Model = Callable[[list[str]], list[str]]
+#: A model takes prompts and gives as many answers; an exception in the place of one marks its row only.
+Model = Callable[[list[str]], list[str | Exception]]
 
 PROMPT = """Summarise one part of a company filing.
 
@@ -49,7 +50,7 @@ def extractive_model(prompts: list[str]) -> list[str]:
 
 
 #: Models by name; ``prefix:id`` names are looked up by their prefix and called with the id.
-MODELS: dict[str, Callable[[str], Model]] = {"extractive": lambda _: extractive_model}
+MODELS: dict[str, Callable[[str], Model]] = {"extractive": lambda _: extractive_model, "ollama": ollama_model, "hf": generation_model}
 
 
 def model(name: str) -> Model:
@@ -66,25 +67,31 @@ def micro_batches(chunks: DataFrame, by: list[str], order: list[str], size: int
 
 
 def answers(inputs: DataFrame, ask: Model, batch: list[str], retries: int = 1, max_chars: int | None = None) -> DataFrame:
-    """``inputs`` (with ``prompt``) plus ``answer`` and ``failure``. A batch whose calls all fail marks each of its rows."""
-    names = inputs.columns
-
-    def run(tables: Iterator[pa.Table]) -> Iterator[pa.Table]:
-        for table in tables:
-            got, failure = [None] * table.num_rows, None
-            for _ in range(max(1, retries)):
-                try:
-                    got = [a if max_chars is None or a is None else a[:max_chars] for a in ask(table.column("prompt").to_pylist())]
-                    if len(got) != table.num_rows:
-                        raise ValueError("the model gave another number of answers")
-                    failure = None
-                    break
-                except Exception as error:  # noqa: BLE001  whatever a model raises becomes data
-                    got, failure = [None] * table.num_rows, f"{type(error).__name__}: {error}"
-            yield table.append_column("answer", pa.array(got, pa.string())).append_column("failure", pa.array([failure] * table.num_rows, pa.string()))
+    """``inputs`` (with ``prompt``) plus ``answer`` and ``failure``. A batch whose calls all fail marks each of its rows.
+
+    A model that names ``readers`` is called by so many tasks at a time.
+    """
+    told = lambda error: f"{type(error).__name__}: {error}"
+
+    def run(table: pa.Table) -> pa.Table:
+        prompts = table.column("prompt").to_pylist()
+        for left in range(max(1, retries) - 1, -1, -1):
+            try:
+                got = ask(prompts)
+                if len(got) != len(prompts):
+                    raise ValueError("the model gave another number of answers")
+                break
+            except Exception as error:  # noqa: BLE001  whatever a model raises becomes data
+                if not left:
+                    got = [error] * len(prompts)
+        failures = [told(a) if isinstance(a, Exception) else None for a in got]
+        texts = [None if a is None or isinstance(a, Exception) else a[:max_chars] for a in got]
+        return table.append_column("answer", pa.array(texts, pa.string())).append_column("failure", pa.array(failures, pa.string()))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inputs.schema) + ", answer string, failure string"
-    return inputs.select(*names).groupBy(*batch).applyInArrow(lambda t: next(run(iter([t]))), schema)
+    readers = getattr(ask, "readers", None)
+    dealt = inputs.repartition(readers, *batch) if readers else inputs
+    return dealt.groupBy(*batch).applyInArrow(run, schema)
 
 
 def summarize(
@@ -96,12 +103,12 @@ def summarize(
     keys = list(dict.fromkeys([*by, "symbol", "chunk_pos"]))
     numbered = micro_batches(chunks, by, ["chunk_pos"], batch_size).select(*keys, "batch_no", prompt.alias("prompt"))
     got = answers(numbered, ask, [*by, "batch_no"], retries, max_chars)
-    empty = F.lit(None)
-    parsed = parse_summary(F.col("answer"))
-    plain = F.struct(F.col("answer").alias("summary"), empty.cast("array<string>").alias("points"), empty.cast("double").alias("confidence"), empty.cast("string").alias("error"), F.col("answer").alias("raw_output"))
-    broken = F.struct(empty.cast("string").alias("summary"), empty.cast("array<string>").alias("points"), empty.cast("double").alias("confidence"), F.col("failure").alias("error"), empty.cast("string").alias("raw_output"))
-    read = parsed if require_json else F.when(parsed["error"].isNull(), parsed).otherwise(plain)
-    return got.select(*keys, F.when(F.col("failure").isNotNull(), broken).otherwise(read).alias("result"))
+    read = with_summary(got, "answer", "result")
+    if not require_json:  # a plain answer is the summary
+        plain = F.struct(F.col("answer").alias("summary"), *[F.lit(None).cast(t).alias(n) for n, t in (("points", "array<string>"), ("confidence", "double"), ("error", "string"))], F.col("answer").alias("raw_output"))
+        read = read.withColumn("result", F.when(F.col("result.error").isNull(), F.col("result")).otherwise(plain))
+    broken = F.struct(*[F.lit(None).cast(t).alias(n) for n, t in (("summary", "string"), ("points", "array<string>"), ("confidence", "double"))], F.col("failure").alias("error"), F.lit(None).cast("string").alias("raw_output"))
+    return read.select(*keys, F.when(F.col("failure").isNotNull(), broken).otherwise(F.col("result")).alias("result"))
 
 
 def envelopes(summaries: DataFrame, by: list[str]) -> DataFrame:

@@ -488,6 +488,22 @@ def named_files(spark, d):
     return back.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("name"), F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
+@query(
+    "submission_sections",
+    """select page_id, 1 as sequence, '10-K' as type, 'p' || page_id || '.htm' as filename, strlen(html)::bigint as size_bytes, md5(html) as body_md5, 'HTML' as format from pages
+       union all select page_id, 2, 'EX-' || page_id, null, strlen(url)::bigint, md5(url), 'Text' from pages""",
+)
+def submission_sections(spark, d):
+    """Full submission texts made of pages, cut into their documents."""
+    from ledgerloom.sources.submissions import sections_of
+
+    first = F.concat(F.lit("\n<DOCUMENT>\n<TYPE>10-K\n<SEQUENCE>1\n<FILENAME>p"), F.col("page_id"), F.lit(".htm\n<TEXT>\n"), F.col("html"), F.lit("\n</TEXT>\n</DOCUMENT>"))
+    second = F.concat(F.lit("\n<DOCUMENT>\n<TYPE>EX-"), F.col("page_id"), F.lit("\n<SEQUENCE>2\n<TEXT>\n"), F.col("url"), F.lit("\n</TEXT>\n</DOCUMENT>\n</SEC-DOCUMENT>"))
+    texts = _read(spark, d, "pages").select("page_id", F.concat(F.lit("<SEC-HEADER>CONFORMED SUBMISSION TYPE:\t10-K\n</SEC-HEADER>"), first, second).alias("text"))
+    read = sections_of(texts)
+    return read.select("page_id", "sequence", "type", "filename", text.size_bytes(F.col("body")).alias("size_bytes"), F.md5("body").alias("body_md5"), parsing.detect_format(F.col("body")).alias("format"))
+
+
 @query("html_references", """select page_id, url || ' “' || chr((8000 + page_id % 500)::int) || '” é&lt;' || chr((page_id % 26 + 65)::int) || ' ©x ¬it; &nosuch; €' as text from pages""")
 def html_references(spark, d):
     """Quoted marks in attributes, numeric and named references, and a script without an end."""

@@ -63,6 +63,7 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--log-format", choices=[*FORMATS])
     p.add_argument("--log-file")
     p.add_argument("--fetch", action="store_true", help="fetch filings accepted between the dates instead of reading the tree under --downloads")
+    p.add_argument("--what", choices=("document", "submission"), default="document", help="with --fetch: primary documents, or full submissions and the documents of the form in them")
     p.add_argument("--downloads", default="data/downloads")
     p.add_argument("--output", default="data/output")
     return p.parse_args(argv)
@@ -96,8 +97,9 @@ def main(argv: list[str] | None = None, spark=None, transport=None) -> list[tupl
     spark = spark or SparkSession.builder.appName("ledgerloom").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if a.fetch:
         http = {"transport": transport} if transport else {}
-        landed, said = downloads.download_symbols(spark, a.symbols, a.downloads, settings.email, form_of(a.mode), a.start_date, a.end_date, a.limit, **http)
-        done = run_files(spark, downloads.as_files(landed), said, a.output, config, model(a.model_name))
+        landed, said = downloads.download_symbols(spark, a.symbols, a.downloads, settings.email, form_of(a.mode), a.start_date, a.end_date, a.limit, a.what, **http)
+        files = downloads.as_files(landed) if a.what == "document" else downloads.submission_files(landed)
+        done = run_files(spark, files, said, a.output, config, model(a.model_name))
     else:
         done = run(spark, a.downloads, a.output, a.symbols, config, model(a.model_name))
     rows = [tuple(r) for r in done.collect()]  # a row for each symbol

@@ -21,6 +21,7 @@ from ledgerloom.schemas import SUBMISSIONS
 from ledgerloom.sources.files import company_facts, submissions_from, ticker_rows
 from ledgerloom.sources.http import fetch
 from ledgerloom.sources.shared import delete
+from ledgerloom.sources.submissions import sections_of
 
 # Where the archive keeps what is fetched.
 SUBMISSIONS_URL = "https://data.sec.gov/submissions/CIK{}.json"
@@ -103,6 +104,15 @@ def as_files(landed: DataFrame) -> DataFrame:
     return good.select(F.col("url").alias("path"), symbol.alias("symbol"), F.col("form_type").alias("form"), F.col("accession_number").alias("accession"), F.col("primary_document").alias("document"), F.col("acceptance_date").alias("mtime"), F.col("text").alias("html"))
 
 
+def submission_files(landed: DataFrame) -> DataFrame:
+    """Landed full submissions with the columns of :func:`as_files`: a row for each of their documents that is HTML or text of the filing's form."""
+    symbol = F.col("symbol") if "symbol" in landed.columns else F.col("cik")
+    good = landed.where("error is null and text is not null")
+    rows = good.select(F.col("url").alias("path"), symbol.alias("symbol"), F.col("form_type").alias("form"), F.col("accession_number").alias("accession"), F.col("acceptance_date").alias("mtime"), "text")
+    found = sections_of(rows).where((F.col("type") == F.col("form")) & F.col("body").isNotNull())
+    return found.select("path", "symbol", "form", "accession", F.coalesce("filename", F.concat(F.lit("document-"), F.col("sequence").cast("string"))).alias("document"), "mtime", F.col("body").alias("html"))
+
+
 def _shared(rows: DataFrame) -> DataFrame:
     """Rows that differ in their symbol only, as one with ``symbols``: a company's tickers share its requests."""
     return rows.groupBy(*[c for c in rows.columns if c != "symbol"]).agg(F.array_sort(F.collect_set("symbol")).alias("symbols"))
@@ -168,8 +178,8 @@ def download_filings(asked: DataFrame, root: str, agent: str, form: str | None =
     return landed, ledger, symbol_statuses(asked, known, ledger)
 
 
-def download_symbols(spark: SparkSession, symbols: list[str], root: str, agent: str, form: str, start: date, end: date, limit: int | None = None, **http) -> tuple[DataFrame, DataFrame]:
+def download_symbols(spark: SparkSession, symbols: list[str], root: str, agent: str, form: str, start: date, end: date, limit: int | None = None, what: str = "document", **http) -> tuple[DataFrame, DataFrame]:
     """:func:`download_filings` of a list of symbols: the landed documents and ``(symbol, ok, error)``."""
     asked = spark.createDataFrame([(s,) for s in sorted({s.strip().upper() for s in symbols if s.strip()})], "symbol string")
-    landed, _, said = download_filings(asked, root, agent, form, start, end, limit, **http)
+    landed, _, said = download_filings(asked, root, agent, form, start, end, limit, what, **http)
     return landed, said

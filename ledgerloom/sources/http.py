@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import json
 import math
 import time
 import urllib.error
@@ -16,6 +17,8 @@ import urllib.request
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from threading import Lock
 from typing import BinaryIO, NamedTuple
 from urllib.parse import urlsplit
 
@@ -61,14 +64,17 @@ class TokenBucket:
         self.tokens -= 1
         return True
 
-    def wait(self) -> None:
-        held = self.until - self.clock()
-        if held > 0:
-            self.sleep(held)
+    def reserve(self) -> float:
+        """Take a token, of those to come if there is none; the seconds until it may be used."""
         self._refill()
         self.tokens -= 1
-        if self.tokens < 0:
-            self.sleep(-self.tokens / self.rate)
+        return max(0.0, self.until - self.clock(), -self.tokens / self.rate)
+
+    def wait(self) -> None:
+        while (held := self.until - self.clock()) > 0:  # what an answer said meanwhile counts too
+            self.sleep(held)
+        if (pause := self.reserve()) > 0:
+            self.sleep(pause)
 
     def heed(self, quota: Quota, wall: Callable[[], float] = time.time) -> None:
         """Hold or slow down as the server's quota asks: none until its reset where it runs low, else no faster than it lasts."""
@@ -218,6 +224,56 @@ def get(url: str, agent: str, transport: Transport, bucket: TokenBucket, domain:
     return Request(url, agent, bucket, domain, attempts, sleep).run(transport, lambda headers, body: decoded(body, headers.get("content-encoding")))
 
 
+#: A transport for requests with a body: method, URL, headers and body to (status, headers in lower case, body).
+Sending = Callable[[str, str, dict, bytes], tuple[int, dict, bytes]]
+
+
+def urllib_sending(method: str, url: str, headers: dict, body: bytes) -> tuple[int, dict, bytes]:
+    try:
+        got = urllib.request.urlopen(urllib.request.Request(url, body, headers, method=method), timeout=300)  # noqa: S310
+    except urllib.error.HTTPError as error:
+        got = error
+    with got:
+        return got.status, {k.lower(): v for k, v in got.headers.items()}, got.read()
+
+
+class JsonClient:
+    """JSON requests of one task, several at a time under one budget, with the retries of :class:`Request`."""
+
+    def __init__(self, bucket: TokenBucket, sending: Sending = urllib_sending, in_flight: int = 8, attempts: int = 3, sleep: Callable[[float], None] = time.sleep):
+        self.bucket, self.sending, self.in_flight, self.attempts, self.sleep = bucket, sending, in_flight, attempts, sleep
+        self.lock = Lock()
+
+    def ask(self, method: str, url: str, value: object) -> object:
+        body = json.dumps(value).encode()
+
+        def once() -> object:
+            with self.lock:
+                pause = self.bucket.reserve()
+            if pause > 0:
+                self.sleep(pause)
+            status, headers, got = self.sending(method, url, {"Content-Type": "application/json"}, body)
+            with self.lock:
+                self.bucket.heed(quota_of(headers))
+            if not 200 <= status < 300:
+                raise FetchError({429: "rate_limited", 404: "not_found"}.get(status, "invalid_response"), f"status {status}", status)
+            return json.loads(got or b"null")
+
+        return with_retries(once, self.attempts, worth=lambda e: isinstance(e, OSError) or getattr(e, "status", None) in RETRIED, sleep=self.sleep)
+
+    def ask_all(self, requests: list[tuple[str, str, object]]) -> list[object]:
+        """An answer for each request, in their order; an exception in the place of one that failed."""
+
+        def one(request: tuple[str, str, object]) -> object:
+            try:
+                return self.ask(*request)
+            except Exception as error:  # noqa: BLE001  one failure must not stop the others
+                return error
+
+        with ThreadPoolExecutor(max(1, min(self.in_flight, len(requests) or 1))) as pool:
+            return list(pool.map(one, requests))
+
+
 def shared_bucket(per_second: float, readers: int) -> TokenBucket:
     """A task's part of a budget that ``readers`` tasks share."""
     rate = per_second / readers

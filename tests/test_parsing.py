@@ -54,3 +54,13 @@ def test_responses(spark):
 def test_urls(spark):
     urls = {"https://www.sec.gov/a": True, "https://sec.gov": True, "http://sec.gov/a": False, "https://other.example/?sec.gov": False, "https://notsec.gov/": False, "nonsense": False}
     assert {u: one(spark, parsing.is_allowed_url, u) for u in urls} == urls
+
+
+def test_summaries_are_parsed_once(spark):
+    raws = ['{"summary":"ok","points":["x"],"confidence":0.7}', "no", None, "[]", '{"summary":5}', '{"confidence":2}', '{"points":[]}', '{"points":[1]}', '{"error":"e","raw_output":"r"}', '{"confidence":"1"}', "{}", '{"summary":{"a":1}}']
+    df = spark.createDataFrame([(r,) for r in raws], "raw string")
+    steps, one = parsing.with_summary(df, "raw", "s"), df.withColumn("s", parsing.parse_summary(F.col("raw")))
+    assert steps.collect() == one.collect()
+    assert [r.s.error for r in steps.collect()] == [None, "not JSON", "not JSON", "not a summary record", "not a summary record", "not a summary record", None, "not a summary record", "e", "not a summary record", None, "not a summary record"]
+    for made in (steps, one):
+        assert made._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
