@@ -26,11 +26,19 @@ def _read_env_file(path: str) -> dict[str, str]:
         return {k.strip().lower(): v.strip().strip("'\"") for k, v in pairs}
 
 
+#: The user agent where none is set; good for trying things out only.
+PLACEHOLDER = "ledgerloom user@example.com"
+
+
 @dataclass(frozen=True)
 class Settings:
-    """Engine settings. :meth:`load` takes them from the environment, then an env file; other names there are ignored."""
+    """Engine settings. :meth:`load` takes them from the environment, then an env file; other names there are ignored.
 
-    email: str = "ledgerloom user@example.com"
+    ``store`` says whether points are kept as files only or also sent to the vector store at :attr:`store_location`.
+    """
+
+    email: str = PLACEHOLDER
+    store: str = field(default="files", metadata={"among": ("files", "http")})
     store_url: str | None = None
     store_host: str = "localhost"
     store_port: int = field(default=6333, metadata={"range": (1, 65535)})
@@ -66,6 +74,13 @@ class Settings:
     def is_production(self) -> bool:
         return self.environment == "production"
 
+    @property
+    def agent(self) -> str:
+        """The user agent of requests; in production it must have been set."""
+        if self.is_production and self.email == PLACEHOLDER:
+            raise ValueError("set EMAIL: in production requests must name who makes them")
+        return check_user_agent(self.email)
+
     @property
     def is_development(self) -> bool:
         return self.environment == "development"
@@ -103,6 +118,10 @@ class RunConfig:
     template: str | None = None
     embedding_batch: int = 32
     distance: str = "Cosine"
+    embedding_model: str = "hashing"
+    vector_size: int | None = None
+    store_location: str | None = None
+    store_timeout: int = 60
 
     def __post_init__(self) -> None:
         form_of(self.mode)

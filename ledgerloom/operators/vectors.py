@@ -37,6 +37,21 @@ def hashing_embedder(size: int = 64) -> Embedder:
     return embed
 
 
+#: Embedders by name; ``prefix:rest`` names are looked up by their prefix and called with the rest. Each gives what a worker loads.
+EMBEDDERS: dict[str, Callable[[str, int | None], Callable[[], Embedder]]] = {"hashing": lambda rest, size: lambda: hashing_embedder(size or int(rest or 64))}
+
+
+def embedder(name: str, size: int | None = None) -> Callable[[], Embedder]:
+    """The loader of an embedder; ValueError if there is none of that name, or if its vectors have another ``size`` than asked for."""
+    kind, _, rest = name.partition(":")
+    if kind not in EMBEDDERS:
+        raise ValueError(f"no embedder {kind!r}; register it in EMBEDDERS")
+    load = EMBEDDERS[kind](rest, size)
+    if size is not None and dimension(load) != size:
+        raise ValueError(f"{name} gives vectors of {dimension(load)} numbers, not {size}")
+    return load
+
+
 def embed(df: DataFrame, load: Callable[[], Embedder] = hashing_embedder, text: str = "text", batch: int = 32) -> DataFrame:
     """Adds ``vector``. ``load`` runs once for each worker; texts go to it ``batch`` at a time."""
 

@@ -390,27 +390,46 @@ def page_envelopes(spark, d):
     return made.select("page_id", F.size("summaries").cast("long").alias("n_chunks"), F.md5(F.array_join("summaries", "|")).alias("chunks_md5"))
 
 
-@query("recursive_chunks")
+@query("recursive_chunks")  # no SQL: tests hold it against a splitter written plainly
 def recursive_chunks(spark, d):
     return chunking.recursive_chunks(_read(spark, d, "documents"))
 
 
-@query("summarize_chunks")
+def _sentences(chunk: str, term: str) -> str:
+    """SQL for what the extractive model picks from a chunk: its sentences with the term, each once, shortest first, five at most."""
+    cut = f"string_split(regexp_replace({chunk}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))"
+    trimmed = f"list_transform({cut}, lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)))"
+    found = f"list_distinct(list_filter({trimmed}, lambda x: contains(lower(x), '{term}')))"
+    return f"list_transform(list_sort(list_transform({found}, lambda x: {{'l': length(x), 's': x}}))[1:5], lambda x: x.s)"
+
+
+@query(
+    "summarize_chunks",
+    f"""select doc_id, symbol, chunk_pos, points[1] as summary, array_to_string(points, '|') as points, round(len(points) / 5, 2) as confidence, null as error
+    from (select doc_id, source as symbol, chunk_pos, {_sentences('text', 'the')} as points
+          from ({_CHUNKS}) join (select doc_id, source from documents) using (doc_id) where contains(lower(text), 'the'))""",
+)
 def summarize_chunks(spark, d):
     docs = _read(spark, d, "documents").select("doc_id", F.col("source").alias("symbol"), "text")
     got = summarize.summarize(chunking.matching_chunks(docs, "the"), ["doc_id"], "the")
-    return got.select("doc_id", "symbol", "chunk_pos", "result.summary", "result.points", "result.confidence", "result.error")
+    return got.select("doc_id", "symbol", "chunk_pos", "result.summary", F.array_join("result.points", "|").alias("points"), "result.confidence", "result.error")
 
 
-@query("filing_summaries")
+@query(
+    "filing_summaries",
+    f"""with t as (select page_id, {_text_sql('html', True)} as text from pages),
+    c as (select page_id, i, substr(text, i::int + 1, 2000) as chunk from (select page_id, text, unnest(range(0, greatest(length(text) - 201, 0) + 1, 1800)) as i from t) where length(text) > 0)
+    select lpad(page_id::varchar, 6, '0') as accession, 'filings_acme-the' as collection, 'acme_the_' || lpad(page_id::varchar, 6, '0') || '_primary-document.summary.json' as output,
+      count(*) as n_summaries, md5(string_agg(({_sentences('chunk', 'the')})[1], '|' order by i)) as summaries_md5 from c where contains(lower(chunk), 'the') group by page_id""",
+)
 def filing_summaries(spark, d):
-    """The pipeline's two branches joined: envelopes of pages, read as filings."""
-    from ledgerloom.plans.pipeline import matches, output_name, summaries
-
+    """Envelopes of pages, read as filings, with the names of their outputs."""
     pages = _read(spark, d, "pages")
     made = pages.select(F.lit("ACME").alias("symbol"), F.lit("10-K").alias("form"), F.lpad(F.col("page_id").cast("string"), 6, "0").alias("accession"), F.lit("primary-document.html").alias("document"), "html")
     config = RunConfig(keyword="the", dry_run=True)
-    return summaries(matches(made, config), config).withColumn("output", output_name(config))
+    got = pipeline.summaries(pipeline.matches(made, config), config)
+    said = F.md5(F.array_join(F.transform("summaries", lambda s: s["summary"]), "|")).alias("summaries_md5")
+    return got.select("accession", "collection", pipeline.output_name(config).alias("output"), F.size("summaries").cast("long").alias("n_summaries"), said)
 
 
 # Vectors
@@ -455,10 +474,19 @@ query("ivf_euclid_topk", SQL["euclid_topk"])(_filed("Euclid", True))
 query("ivf_probes_topk")(_filed("Cosine", False))  # approximate: tests measure its recall
 
 
-@query("embed_documents")
+@query(
+    "embed_documents",
+    """with w as (select doc_id, unnest(string_split_regex(trim(lower(text), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '\\s+')) as word from documents),
+    b as (select word, list_transform(range(1, strlen(word) + 1), lambda i: ('0x' || substr(hex(word), (2 * i - 1)::int, 2))::ubigint) as bytes from (select distinct word from w where word <> '')),
+    k as (select word, xor(list_reduce([4294967295::ubigint] || bytes, lambda c, x: list_reduce([xor(c, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, y: xor(a >> 1, 3988292384 * (a & 1)))), 4294967295) as code from b),
+    v as (select doc_id, (code % 64)::int as i, sum(case when code >= 2147483648 then 1 else -1 end) as n from w join k using (word) group by 1, 2),
+    f as (select doc_id, i, coalesce(n, 0) as n from (select doc_id, r.i::int as i from documents, range(0, 64) r(i)) left join v using (doc_id, i))
+    select doc_id, 64 as size, string_agg(case when n > 0 then '+' when n < 0 then '-' else '0' end, '' order by i) as signs, case when bool_or(n <> 0) then 1.0::double else 0.0::double end as length from f group by 1""",
+)
 def embed_documents(spark, d):
     got = vectors.embed(_read(spark, d, "documents").select("doc_id", "text"))
-    return got.select("doc_id", F.size("vector").alias("size"), F.round(norm(F.col("vector")), 4).alias("length"))
+    sign = F.transform("vector", lambda x: F.when(x > 0, "+").when(x < 0, "-").otherwise("0"))
+    return got.select("doc_id", F.size("vector").alias("size"), F.array_join(sign, "").alias("signs"), F.round(norm(F.col("vector")), 4).alias("length"))
 
 
 @query("upsert_points", "select doc_id, case when doc_id % 7 = 1 then 'third' when doc_id % 3 = 0 then 'second' else 'first' end as origin, source from documents")

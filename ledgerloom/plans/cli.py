@@ -87,6 +87,8 @@ def main(argv: list[str] | None = None, spark=None, transport=None) -> list[tupl
         keyword=a.keyword, mode=a.mode, start_date=a.start_date, end_date=a.end_date, limit=a.limit, max_new_tokens=a.max_new_tokens,
         max_retries=a.max_retries, batch_size=a.batch_size, require_json=not a.no_require_json, dry_run=a.dry_run,
         collection_prefix=settings.collection_prefix, template=prompt_template(a.prompt_file, PROMPT), embedding_batch=settings.embedding_batch_size, distance=settings.distance,
+        embedding_model=settings.embedding_model, vector_size=settings.vector_size, store_timeout=settings.store_timeout,
+        store_location=settings.store_location if settings.store == "http" else None,
     )
     from pyspark.sql import SparkSession
 
@@ -95,9 +97,10 @@ def main(argv: list[str] | None = None, spark=None, transport=None) -> list[tupl
 
     prepare(a.output, a.downloads, a.fresh)
     spark = spark or SparkSession.builder.appName("ledgerloom").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    logging.getLogger("ledgerloom").info("%s", downloads.Symbols(a.symbols, a.downloads))
     if a.fetch:
         http = {"transport": transport} if transport else {}
-        landed, said = downloads.download_symbols(spark, a.symbols, a.downloads, settings.email, form_of(a.mode), a.start_date, a.end_date, a.limit, a.what, **http)
+        landed, said = downloads.download_symbols(spark, a.symbols, a.downloads, settings.agent, form_of(a.mode), a.start_date, a.end_date, a.limit, a.what, **http)
         files = downloads.as_files(landed) if a.what == "document" else downloads.submission_files(landed)
         done = run_files(spark, files, said, a.output, config, model(a.model_name))
     else:

@@ -11,6 +11,7 @@ symbol follows. The landed documents can be read as the pipeline's files, and
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -178,8 +179,24 @@ def download_filings(asked: DataFrame, root: str, agent: str, form: str | None =
     return landed, ledger, symbol_statuses(asked, known, ledger)
 
 
+class Symbols:
+    """Symbols to download, each once, in order, and how they are shown."""
+
+    def __init__(self, symbols: Iterable[str], folder: str):
+        self.symbols, self.folder = sorted({s.strip().upper() for s in symbols if s.strip()}), folder
+
+    def __repr__(self) -> str:
+        return f"Symbols([{','.join(self.symbols) or 'none'}], folder={self.folder!r})"
+
+    def __str__(self) -> str:
+        return f"{len(self.symbols)} symbol(s): {','.join(self.symbols) or 'none'}"
+
+
 def download_symbols(spark: SparkSession, symbols: list[str], root: str, agent: str, form: str, start: date, end: date, limit: int | None = None, what: str = "document", **http) -> tuple[DataFrame, DataFrame]:
     """:func:`download_filings` of a list of symbols: the landed documents and ``(symbol, ok, error)``."""
-    asked = spark.createDataFrame([(s,) for s in sorted({s.strip().upper() for s in symbols if s.strip()})], "symbol string")
+    wanted = Symbols(symbols, root).symbols
+    if not wanted:
+        raise ValueError("no symbols given")
+    asked = spark.createDataFrame([(s,) for s in wanted], "symbol string")
     landed, _, said = download_filings(asked, root, agent, form, start, end, limit, what, **http)
     return landed, said

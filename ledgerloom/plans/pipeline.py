@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,8 +13,10 @@ from ledgerloom.functions.text import collection_slug, has_keyword, html_text, s
 from ledgerloom.operators.chunking import matching_chunks
 from ledgerloom.operators.summarize import PROMPT, Model, envelopes, extractive_model, summarize
 from ledgerloom.operators.collection import upsert
-from ledgerloom.operators.vectors import embed, with_ids
+from ledgerloom.operators.vectors import dimension, embed, embedder, with_ids
+from ledgerloom.operators.remote import ensure_remote, push_points
 from ledgerloom.sources.files import html_files, symbol_status
+from ledgerloom.sources.http import Sending, urllib_sending
 from ledgerloom.sources.named import register
 
 KEYS = ["symbol", "form", "accession", "document"]
@@ -32,7 +36,7 @@ def matches(files: DataFrame, config: RunConfig, chunker: str = "fixed") -> Data
 def points(found: DataFrame, config: RunConfig, collection: Column) -> DataFrame:
     """Vector points of the matching chunks, with deterministic ids."""
     rows = found.select(*KEYS, "chunk_pos", "text", F.col("document").alias("source"), F.lit(config.keyword).alias("keyword"), collection.alias("collection"))
-    made = with_ids(embed(rows, batch=config.embedding_batch), "collection", "accession", "document", "chunk_pos", "text")
+    made = with_ids(embed(rows, embedder(config.embedding_model, config.vector_size), batch=config.embedding_batch), "collection", "accession", "document", "chunk_pos", "text")
     return made.select("id", "collection", "vector", "source", "symbol", "keyword", "text")
 
 
@@ -71,7 +75,24 @@ def named(made: DataFrame, config: RunConfig) -> DataFrame:
     return made.withColumn("name", name).select(F.when(several, apart).otherwise(F.col("name")).alias("name"), content.alias("content"))
 
 
-def run_files(spark: SparkSession, files: DataFrame, status: DataFrame, out: str, config: RunConfig, ask: Model = extractive_model) -> DataFrame:
+def keep_points(found: DataFrame, config: RunConfig, out: str, batch: tuple[str, int] | None = None, sending: Sending = urllib_sending) -> None:
+    """Embed matching chunks and put them into the collection under ``out``, and into the vector store if one is set.
+
+    A store request that fails is an error: its points are in the files, and the next run sends them again.
+    """
+    made = points(found, config, collection_slug(F.col("symbol"), config.keyword, config.collection_prefix))
+    size = dimension(embedder(config.embedding_model, config.vector_size))
+    upsert(made, f"{out}/collections", batch, size=size, metric=config.distance)
+    if config.store_location:
+        send = partial(sending, timeout=config.store_timeout) if sending is urllib_sending else sending
+        for row in made.select("collection").distinct().collect():  # one for each symbol
+            ensure_remote(config.store_location, row["collection"], size, config.distance, send)
+        failed = push_points(made, config.store_location, sending=send).where("error is not null").first()
+        if failed:
+            raise RuntimeError(f"the vector store did not take points of {failed['collection']}: {failed['error']}")
+
+
+def run_files(spark: SparkSession, files: DataFrame, status: DataFrame, out: str, config: RunConfig, ask: Model = extractive_model, sending: Sending = urllib_sending) -> DataFrame:
     """Write each document's summaries as a JSON file of its name under ``out`` and points unless dry.
 
     Returns ``status`` (a row for each symbol) with the numbers of its documents written, chunks that match and points kept.
@@ -82,8 +103,7 @@ def run_files(spark: SparkSession, files: DataFrame, status: DataFrame, out: str
     found = matches(files, config).persist()  # both sinks and the counts read it
     try:
         if not config.dry_run:
-            name = collection_slug(F.col("symbol"), config.keyword, config.collection_prefix)
-            upsert(points(found, config, name), f"{out}/collections", metric=config.distance)
+            keep_points(found, config, out, sending=sending)
         named(summaries(found, config, ask), config).write.format("ledgerloom_files").mode("append").option("path", f"{out}/summaries").save()
         kept = F.count("*") if not config.dry_run else F.lit(0).cast("long")
         per = found.groupBy("symbol").agg(F.countDistinct(F.struct(*KEYS)).alias("documents"), F.count("*").alias("matches"), kept.alias("points"))

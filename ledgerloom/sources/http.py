@@ -228,9 +228,9 @@ def get(url: str, agent: str, transport: Transport, bucket: TokenBucket, domain:
 Sending = Callable[[str, str, dict, bytes], tuple[int, dict, bytes]]
 
 
-def urllib_sending(method: str, url: str, headers: dict, body: bytes) -> tuple[int, dict, bytes]:
+def urllib_sending(method: str, url: str, headers: dict, body: bytes, timeout: float = 300) -> tuple[int, dict, bytes]:
     try:
-        got = urllib.request.urlopen(urllib.request.Request(url, body, headers, method=method), timeout=300)  # noqa: S310
+        got = urllib.request.urlopen(urllib.request.Request(url, body, headers, method=method), timeout=timeout)  # noqa: S310
     except urllib.error.HTTPError as error:
         got = error
     with got:

@@ -7,10 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerloom.config import RunConfig
-from ledgerloom.functions.text import collection_slug
-from ledgerloom.operators.collection import upsert
 from ledgerloom.operators.summarize import Model, extractive_model
-from ledgerloom.plans.pipeline import matches, points, summaries
+from ledgerloom.plans.pipeline import keep_points, matches, summaries
 from ledgerloom.sources.files import TREE
 
 
@@ -36,8 +34,7 @@ def summarize_stream(spark: SparkSession, root: str, out: str, checkpoint: str,
         found = matches(batch, config).persist()
         try:
             if not config.dry_run:
-                name = collection_slug(F.col("symbol"), config.keyword, config.collection_prefix)
-                upsert(points(found, config, name), f"{out}/collections", (checkpoint, number), metric=config.distance)
+                keep_points(found, config, out, (checkpoint, number))
             summaries(found, config, ask).write.mode("overwrite").json(f"{out}/summaries/batch={number}")
         finally:
             found.unpersist()

@@ -33,6 +33,47 @@ def test_recursive_pieces(text, size, overlap):
     assert {i for i, c in enumerate(text) if not c.isspace()} <= covered
 
 
+def plain_recursive(text, size, overlap):
+    """The same splitter on lists of strings: parts that keep their separator, then joined while they fit."""
+
+    def parts(text, separators):
+        if len(text) <= size:
+            return [text] if text else []
+        if not separators:
+            return list(text)
+        out = []
+        split = text.split(separators[0])
+        for i, part in enumerate(split):
+            whole = part + (separators[0] if i < len(split) - 1 else "")
+            out += parts(whole, separators[1:]) if len(whole) > size else [whole] * bool(whole)
+        return out
+
+    chunks, held, at = [], [], 0
+    for part in [*parts(text, ("\n\n", "\n", " ")), None]:
+        if held and (part is None or len("".join(held)) + len(part) > size):
+            joined = "".join(held)
+            if joined.strip():
+                chunks.append((at - len(joined) + len(joined) - len(joined.lstrip()), joined.strip()))
+            while part is not None and held and (len("".join(held)) > overlap or len("".join(held)) + len(part) > size):
+                held = held[1:]
+        if part is not None:
+            held, at = [*held, part], at + len(part)
+    return chunks
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab \n", max_size=300), st.integers(5, 40), st.integers(0, 4))
+def test_recursive_pieces_against_plain_splitter(text, size, overlap):
+    assert chunking.recursive_pieces(text, size, overlap) == plain_recursive(text, size, overlap)
+
+
+def test_recursive_query_against_plain_splitter(spark, sf):
+    from ledgerloom.plans import catalogue
+
+    want = {(r.doc_id, k, s, c) for r in spark.read.parquet(f"{sf}/documents.parquet").collect() for k, (s, c) in enumerate(plain_recursive(r.text or "", 2000, 200))}
+    assert {tuple(r) for r in catalogue.QUERIES["recursive_chunks"](spark, sf).collect()} == want
+
+
 def test_recursive_chunks_prefer_paragraphs(spark):
     text = "First part.\n\nSecond part is here.\n\nThird."
     got = chunking.recursive_chunks(docs_of(spark, text, None, ""), 22, 0).orderBy("chunk_pos").collect()

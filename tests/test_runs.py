@@ -134,6 +134,46 @@ def test_settings(tmp_path, monkeypatch):
             Settings(**bad)
 
 
+def test_settings_act(spark, tree, tmp_path, monkeypatch):
+    """The embedding model, the vector size and the store reach a run."""
+    from ledgerloom.config import PLACEHOLDER
+    from ledgerloom.operators import vectors
+    from ledgerloom.plans import downloads
+    from ledgerloom.plans.pipeline import run_files
+    from ledgerloom.sources.files import html_files, symbol_status
+
+    sent = tmp_path / "sent"
+    sent.mkdir()
+
+    def store(method, url, headers, body):
+        if method == "GET" or url.startswith("http://broken"):
+            return 404, {}, b""
+        (sent / f"{os.getpid()}-{len(os.listdir(sent))}").write_text(f"{method} {url}")
+        return 200, {}, b"{}"
+
+    files_, status = html_files(spark, tree, ["AAPL"], "10-K"), symbol_status(spark, tree, ["AAPL"], "10-K")
+    config = RunConfig(keyword="revenue", embedding_model="hashing:16", store_location="http://store:1")
+    run_files(spark, files_, status, str(tmp_path / "out"), config, sending=store)
+    assert {len(r.vector) for r in read_collection(spark, f"{tmp_path}/out/collections").collect()} == {16}
+    asked = {p.read_text() for p in sent.iterdir()}
+    assert asked == {"PUT http://store:1/collections/filings_aapl-revenue", "PUT http://store:1/collections/filings_aapl-revenue/points?wait=true"}
+    with pytest.raises(Exception, match="404"):  # noqa: PT011
+        run_files(spark, files_, status, str(tmp_path / "out"), RunConfig(keyword="revenue", store_location="http://broken"), sending=store)
+    assert vectors.dimension(vectors.embedder("hashing", 8)) == 8 and vectors.dimension(vectors.embedder("hashing:9")) == 9
+    with pytest.raises(ValueError, match="no embedder"):
+        vectors.embedder("other")
+    monkeypatch.setitem(vectors.EMBEDDERS, "fixed", lambda rest, size: lambda: vectors.hashing_embedder(5))
+    with pytest.raises(ValueError, match="5 numbers"):
+        vectors.embedder("fixed", 7)
+    assert Settings(environment="development").agent == PLACEHOLDER and Settings(environment="production", email="a b@c.example").agent == "a b@c.example"
+    with pytest.raises(ValueError, match="EMAIL"):
+        Settings(environment="production").agent  # noqa: B018
+    shown = downloads.Symbols(["msft ", "AAPL", "aapl", " "], "d")
+    assert str(shown) == "2 symbol(s): AAPL,MSFT" and repr(shown) == "Symbols([AAPL,MSFT], folder='d')" and str(downloads.Symbols([], "d")) == "0 symbol(s): none"
+    with pytest.raises(ValueError, match="no symbols"):
+        downloads.download_symbols(spark, [" "], str(tmp_path), "a b@c.example", "10-K", None, None)
+
+
 def test_prompts(tmp_path):
     p = tmp_path / "p.yml"
     p.write_text("template: |\n  For {symbol}\n  on {search_term}:\n  {chunk}\ninput_variables:\n  - symbol\n")
