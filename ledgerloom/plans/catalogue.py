@@ -217,26 +217,38 @@ def response_status(spark, d):
     return rows.select("event_id", "error", F.coalesce("info.remaining", F.lit(-1)).alias("remaining"), parsing.is_rate_limit_low(F.col("info")).alias("low"))
 
 
-@query("allowed_urls", r"""select page_id, k, k = 0 or k = 1 as allowed from pages, range(0, 4) t(k)""")
+_HOSTS = ("www.sec.gov", "SEC.gov", "data.sec.gov", "notsec.gov", "sec.gov.example", "sec.gov@other.example", "other.example")
+
+
+@query(
+    "allowed_urls",
+    f"""select page_id, k, (h in ('www.sec.gov', 'SEC.gov', 'data.sec.gov') and page_id % 5 <> k % 5) as allowed
+        from pages, (select unnest(range(0, {len(_HOSTS)})) as k, unnest({list(_HOSTS)}) as h)""",
+)
 def allowed_urls(spark, d):
-    hosts = ["https://www.sec.gov/a/", "https://SEC.gov/", "http://www.sec.gov/", "https://other.example/?sec.gov/"]
-    links = F.posexplode(F.array(*[F.concat(F.lit(h), F.col("page_id").cast("string")) for h in hosts])).alias("k", "url")
+    """Hosts inside, beside and around the domain, some of them without encryption."""
+    scheme = lambda k: F.when(F.col("page_id") % 5 == k % 5, "http://").otherwise("https://")
+    links = F.posexplode(F.array(*[F.concat(scheme(k), F.lit(f"{h}/a?u=https://www.sec.gov/"), F.col("page_id").cast("string")) for k, h in enumerate(_HOSTS)])).alias("k", "url")
     rows = _read(spark, d, "pages").select("page_id", links)
     return rows.select("page_id", F.col("k").cast("long").alias("k"), parsing.is_allowed_url(F.col("url")).alias("allowed"))
 
 
 @query(
     "parse_summaries",
-    """select event_id,
-         case m when 0 then 'ok' else null end as summary, case m when 0 then 1 else -1 end as n_points, case m when 0 then 0.7 else null end as confidence,
-         case m when 0 then null when 1 then 'not JSON' else 'not a summary record' end as error
-       from (select event_id, event_id % 4 as m from events)""",
+    """select event_id, case when good or m = 5 then event_type || ' "' || event_id || '"' end as summary, case when good then (event_id % 3)::int else -1 end as n_points,
+         case when good then c end as confidence, case when good or m = 5 then null when m in (1, 6) then 'not JSON' else 'not a summary record' end as error
+       from (select event_id, event_type, event_id % 7 as m, (event_id % 13) / 10 as c, event_id % 7 = 0 and event_id % 13 <= 10 as good from events)""",
 )
 def parse_summaries(spark, d):
-    raws = ['{"summary":"ok","points":["x"],"confidence":0.7}', "not json", '{"summary":"ok","confidence":1.5}', '{"summary":5}']
-    raw = F.element_at(F.array(*[F.lit(r) for r in raws]), (F.col("event_id") % 4 + 1).cast("int"))
-    rows = _read(spark, d, "events").select("event_id", parsing.parse_summary(raw).alias("s"))
-    return rows.select("event_id", "s.summary", F.coalesce(F.when(F.col("s.points").isNotNull(), F.size("s.points")), F.lit(-1)).alias("n_points"), "s.confidence", "s.error")
+    """Answers of models: good ones, cut ones, wrong types and numbers out of range, made of the events."""
+    confidence = (F.col("event_id") % 13) / 10
+    text_ = F.concat("event_type", F.lit(' "'), F.col("event_id").cast("string"), F.lit('"'))
+    points = F.transform(F.sequence(F.lit(1), F.col("event_id") % 3 + 1), lambda x: F.concat(F.lit("p"), x.cast("string")))
+    good = F.to_json(F.struct(text_.alias("summary"), F.slice(points, F.lit(1), (F.col("event_id") % 3).cast("int")).alias("points"), confidence.alias("confidence")))
+    cases = [good, F.substring(good, F.lit(1), F.length(good) - 1), F.to_json(F.struct(F.col("event_id").alias("summary"))), F.to_json(F.array("event_type")), F.to_json(F.struct(F.array("event_id").alias("points"))), F.to_json(F.struct(text_.alias("summary"), F.lit("x").alias("other"))), F.col("event_type")]
+    raw = F.get(F.array(*cases), (F.col("event_id") % len(cases)).cast("int"))
+    read = parsing.with_summary(_read(spark, d, "events").select("event_id", raw.alias("raw")), "raw", "s")
+    return read.select("event_id", "s.summary", F.coalesce(F.size("s.points"), F.lit(-1)).alias("n_points"), "s.confidence", "s.error")
 
 
 # Filings
@@ -540,12 +552,20 @@ def html_references(spark, d):
     return _read(spark, d, "pages").select("page_id", text.html_text(html).alias("text"))
 
 
-@query("company_facts", "select c_custkey as cik, c_name as entity_name, taxonomy from customer, (values ('us-gaap'), ('dei')) t(taxonomy)")
+@query(
+    "company_facts",
+    """select c_custkey as cik, c_name as entity_name, case t when 0 then 'us-gaap' else 'dei' end as taxonomy, 'Assets' || (c_custkey % 4) as concept, case t when 0 then c_nationkey else -c_nationkey end::bigint as value
+       from customer, range(0, 2) r(t) where c_custkey % 6 <> 5 and (t = 0 or c_custkey % 3 = 0)""",
+)
 def company_facts(spark, d):
-    one = F.struct(F.struct(F.lit(1).alias("n")).alias("Assets"))
-    facts = F.create_map(F.lit("us-gaap"), one, F.lit("dei"), one)
-    body = _read(spark, d, "customer").select(F.to_json(F.struct(F.col("c_custkey").alias("cik"), F.col("c_name").alias("entityName"), facts.alias("facts"))).alias("body"))
-    return files.company_facts(body).select("cik", "entity_name", "taxonomy")
+    """Facts of companies, some with one taxonomy and some that cannot be read."""
+    c = _read(spark, d, "customer")
+    concept = lambda value: F.create_map(F.concat(F.lit("Assets"), (F.col("c_custkey") % 4).cast("string")), F.struct(value.alias("n")))
+    facts = F.map_filter(F.create_map(F.lit("us-gaap"), concept(F.col("c_nationkey")), F.lit("dei"), concept(-F.col("c_nationkey"))), lambda k, _: (k == "us-gaap") | (F.col("c_custkey") % 3 == 0))
+    body = F.to_json(F.struct(F.col("c_custkey").alias("cik"), F.col("c_name").alias("entityName"), facts.alias("facts")))
+    got = files.company_facts(c.select(F.when(F.col("c_custkey") % 6 == 5, F.substring(body, F.lit(1), F.length(body) - 3)).otherwise(body).alias("body")))
+    each = F.explode(F.try_variant_get("concepts", "$", "map<string,variant>")).alias("concept", "v")
+    return got.select("cik", "entity_name", "taxonomy", "concepts").select("cik", "entity_name", "taxonomy", each).select("cik", "entity_name", "taxonomy", "concept", F.try_variant_get("v", "$.n", "bigint").alias("value"))
 
 
 def _archive(companies: int):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from ledgerloom.schemas import SUBMISSIONS
 
 TREE = "sec-edgar-filings"
-#: Paths of chosen files that may pass the driver.
+#: Paths of chosen files that one scan is given.
 LISTED = 10_000
 
 
@@ -44,19 +46,21 @@ def html_files(spark: SparkSession, root: str, symbols: list[str] | None = None,
     """``(path, symbol, form, accession, document, mtime, html)`` of the newest ``limit`` files of each symbol.
 
     Only the folders of the asked symbols and form are listed. Files are ranked by what their listing says, before
-    a body is read; then only the files of the winners are. Where these are more than ``LISTED``, so that their
-    paths should not pass the driver, all bodies are read and joined instead.
+    a body is read; then only the files of the winners are, by scans of ``LISTED`` paths each. What passes the driver is
+    the winners' paths, ``limit`` of each symbol.
     """
     paths, _ = _listed(spark, root, symbols, form)
     if not paths:
         return spark.createDataFrame([], "path string, symbol string, form string, accession string, document string, mtime timestamp, html string")
     listed = _placed(_reader(spark).format("binaryFile").load(paths).select("_metadata"))
     chosen = listed.select("path", "symbol", "form", "accession", "document", "mtime")
-    if limit:
-        rank = F.row_number().over(W.partitionBy("symbol").orderBy(F.col("mtime").desc(), "path"))
-        chosen = chosen.withColumn("_rank", rank).where(F.col("_rank") <= limit).drop("_rank")
-    few = [r["path"] for r in chosen.select("path").limit(LISTED + 1).collect()] if limit else []
-    return chosen.join(bodies(spark, paths, few if 0 < len(few) <= LISTED else None), "path")
+    if not limit:
+        return chosen.join(bodies(spark, paths), "path")
+    rank = F.row_number().over(W.partitionBy("symbol").orderBy(F.col("mtime").desc(), "path"))
+    chosen = chosen.withColumn("_rank", rank).where(F.col("_rank") <= limit).drop("_rank")
+    winners = [r["path"] for r in chosen.select("path").toLocalIterator()]
+    read = [bodies(spark, paths, winners[i : i + LISTED]) for i in range(0, max(1, len(winners)), LISTED)]
+    return chosen.join(reduce(DataFrame.unionAll, read), "path")
 
 
 def bodies(spark: SparkSession, paths: list[str], only: list[str] | None = None) -> DataFrame:

@@ -274,6 +274,32 @@ class JsonClient:
             return list(pool.map(one, requests))
 
 
+class Client:
+    """Single requests from the driver, for scripts. What is asked wrongly or is not there is a ValueError, all else a RuntimeError."""
+
+    def __init__(self, agent: str, transport: Transport = urllib_transport, per_second: float = 10, domain: str = "sec.gov", attempts: int = 3, sleep: Callable[[float], None] = time.sleep):
+        self.agent, self.transport, self.domain, self.attempts, self.sleep = check_user_agent(agent), transport, domain, attempts, sleep
+        self.bucket = TokenBucket(per_second, 1.0, sleep=sleep)
+
+    def fetch_bytes(self, url: str) -> bytes:
+        try:
+            return get(url, self.agent, self.transport, self.bucket, self.domain, self.attempts, self.sleep)
+        except Exception as error:
+            raise as_exception(error) from error
+
+    def fetch_text(self, url: str) -> str:
+        try:
+            return self.fetch_bytes(url).decode("utf-8")
+        except UnicodeDecodeError as error:
+            raise RuntimeError(f"utf8: {error}") from error
+
+    def fetch_json(self, url: str) -> object:
+        try:
+            return json.loads(self.fetch_text(url))
+        except json.JSONDecodeError as error:
+            raise RuntimeError(f"json: {error}") from error
+
+
 def shared_bucket(per_second: float, readers: int) -> TokenBucket:
     """A task's part of a budget that ``readers`` tasks share."""
     rate = per_second / readers

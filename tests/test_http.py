@@ -213,3 +213,20 @@ def test_download(spark, tmp_path):
     assert open(got["odd"].path, "rb").read() == b"raw" and got["odd"].status == 200
     there = [os.path.join(top, f) for top, _, files in os.walk(root) for f in files if not f.endswith(".crc")]
     assert sorted(there) == sorted([got["large"].path, got["odd"].path])  # nothing that is not whole
+
+
+def test_client():
+    slept = []
+    client = m.Client("tests tests@example.com", fake, sleep=slept.append)
+    assert (client.fetch_text("https://www.sec.gov/a"), client.fetch_json("https://www.sec.gov/true")) == ("a", True)
+    assert client.fetch_bytes("https://www.sec.gov/raw") == b"\xff"
+    for url, kind, said in [("https://x.example/a", ValueError, "invalid_url"), ("https://sec.gov/404", ValueError, "not_found"), ("https://sec.gov/429", RuntimeError, "rate_limited"), ("https://sec.gov/500", RuntimeError, "invalid_response")]:
+        with pytest.raises(kind, match=said):
+            client.fetch_text(url)
+    for call, said in ((client.fetch_text, "utf8"), (client.fetch_json, "utf8")):
+        with pytest.raises(RuntimeError, match=said):
+            call("https://sec.gov/raw")
+    with pytest.raises(RuntimeError, match="json"):
+        client.fetch_json("https://sec.gov/a")
+    with pytest.raises(ValueError, match="user agent"):
+        m.Client("nobody")

@@ -53,6 +53,18 @@ def test_scan(spark, tree):
         files.symbol_status(spark, tree, [" "])
 
 
+def test_winners_are_read_in_parts(spark, tree, monkeypatch):
+    """However many winners there are, files that lost are not opened."""
+    monkeypatch.setattr(files, "LISTED", 1)
+    got = files.html_files(spark, tree, ["AAPL", "MSFT"], "10-K", 2)
+    assert sorted((r.symbol, r.accession) for r in got.collect()) == [("AAPL", "0001"), ("AAPL", "0002"), ("MSFT", "0001")]
+    assert got._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1 + 3  # the listing, and a scan for each part
+    monkeypatch.setattr(files, "LISTED", 100)
+    few = files.bodies(spark, [f"{tree}/{files.TREE}"], [r.path for r in got.collect()])
+    assert files_read(few) == 3
+    assert files.html_files(spark, tree, ["NOPE"], "10-K", 2).count() == 0
+
+
 def test_pipeline(spark, tree, tmp_path):
     out = str(tmp_path / "out")
     config = RunConfig(keyword="Revenue")
