@@ -57,7 +57,10 @@ def place(docs: DataFrame, weights: list[float], grown: list[float] | None = Non
 
 
 def number_slots(placed: DataFrame, piece_rows: int = 20_000) -> DataFrame:
-    """``placed`` with ``slot``: 0, 1, 2 ... within each shard. Its columns must be such that rows can be grouped by them."""
+    """``placed`` with ``slot``: 0, 1, 2 ... within each shard. Its columns must be such that rows can be grouped by them.
+
+    Copies of a row that has more than ``piece_rows`` are made by blocks of so many, which are dealt anew: no task makes them all, or holds their numbers.
+    """
     shards = max(1, placed.select("shard").distinct().count())
     pieces = max(1, math.ceil(placed.count() / shards / piece_rows))
     row = F.struct(*[placed[c] for c in placed.columns])
@@ -69,8 +72,13 @@ def number_slots(placed: DataFrame, piece_rows: int = 20_000) -> DataFrame:
     first = counts.select("shard", "piece", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     within = W.partitionBy("shard", "piece").orderBy("row").rowsBetween(W.unboundedPreceding, W.currentRow)
     numbered = cut.withColumn("at", F.sum("n").over(within) - F.col("n"))
-    joined = numbered.join(first, ["shard", "piece"]).withColumn("copy", F.explode(F.expr("sequence(0L, n - 1L)")))
-    return joined.select("row.*", (F.col("first") + F.col("at") + F.col("copy")).cast("long").alias("slot"))
+    joined = numbered.join(first, ["shard", "piece"]).select("row", "n", (F.col("first") + F.col("at")).cast("long").alias("at"))
+    block, many = F.lit(piece_rows).cast("long"), F.col("n") > piece_rows
+    blocks = joined.where(many).withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, block)))
+    blocks = blocks.repartition(int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")), "row", "from")  # by number: few blocks make many rows
+    copies = F.explode(F.sequence(F.col("from"), F.least(F.col("from") + block, F.col("n")) - 1)).alias("copy")
+    rows = joined.where(~many).withColumn("from", F.lit(0).cast("long")).unionByName(blocks).select("row", "at", copies)
+    return rows.select("row.*", (F.col("at") + F.col("copy")).alias("slot"))
 
 
 def op10_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:

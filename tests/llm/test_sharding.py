@@ -52,3 +52,19 @@ def test_a_hot_id_and_a_hot_row_are_spread(spark):
         slots[r.shard].append(r.slot)
     assert sum(map(len, slots.values())) == 5000
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_a_row_of_millions_of_copies(spark):
+    """Its copies are made by blocks that many tasks share."""
+    from pyspark.sql import functions as F
+
+    n = 3_000_000
+    rows = spark.range(n).selectExpr("cast(7 as long) as doc_id").unionByName(spark.range(100).selectExpr("id as doc_id"))
+    got = m.number_slots(m.place(rows, [1.0] * 2))
+    hot = got.groupBy("shard").agg(F.count("*").alias("n"), F.min("slot").alias("low"), F.max("slot").alias("high"), F.sum("slot").alias("sum"))
+    want = {}
+    for r in hot.collect():
+        want[r.shard] = r.n
+        assert (r.low, r.high, r["sum"]) == (0, r.n - 1, r.n * (r.n - 1) // 2)
+    assert sum(want.values()) == n + 100 and max(want.values()) > n
+    assert got.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < n
