@@ -21,4 +21,4 @@ def test_queries_run_where_executors_lack_the_package(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     got = subprocess.run([sys.executable, "-c", CODE], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=900, check=False)
     assert got.returncode == 0, got.stderr[-2000:]
-    assert got.stdout.count("ran op") == 10
+    assert got.stdout.count("ran op") == 13
