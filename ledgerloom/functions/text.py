@@ -73,14 +73,15 @@ def html_title(c: Column) -> Column:
     return F.nullif(collapse_whitespace(found), F.lit(""))
 
 
-def html_text(c: Column, decode: bool = True) -> Column:
+def html_text(c: Column, decode: bool = True, bare: bool = True) -> Column:
     """Visible text: script, style and comments dropped, tags a blank each, references decoded, white space collapsed. Native.
 
     Markup that never ends, as an open comment, script or quoted value, hides the rest, as it does in a browser. Elements
     other than script and style whose content browsers read as plain text (title, textarea) are read like any.
+    Without ``bare``, references that lack their semicolon, as where a text was cut off, stay as they are.
     """
     out = F.regexp_replace(c, MARKUP, " ")
-    return collapse_whitespace(decode_references(out) if decode else out)
+    return collapse_whitespace(decode_references(out, bare) if decode else out)
 
 
 def _character(number: Column) -> Column:
@@ -90,20 +91,24 @@ def _character(number: Column) -> Column:
     return F.when(wrong, F.lit("\ufffd")).otherwise(F.translate(char, "".join(a for a, _ in _C1) + "\xa0", "".join(b for _, b in _C1) + " "))
 
 
-def decode_references(c: Column) -> Column:
-    """Numeric and named character references as the characters they stand for, each once: what they make is not read again."""
+def decode_references(c: Column, bare: bool = True) -> Column:
+    """Numeric and named character references as the characters they stand for, each once: what they make is not read again.
+
+    With ``bare``, those that browsers read without a semicolon are decoded without it too.
+    """
+    end = ";?" if bare else ";"
     names = F.str_to_map(F.lit(_PAIR.join(f"{k}{_KEY}{v}" for k, v in NAMED.items())), F.lit(_PAIR), F.lit(_KEY))
 
     def one(piece: Column) -> Column:
-        digits, hexes = (F.regexp_extract(piece, p, 1) for p in ("^#0*([0-9]+);?", "^#[xX]0*([0-9a-fA-F]+);?"))
+        digits, hexes = (F.regexp_extract(piece, p, 1) for p in (f"^#0*([0-9]+){end}", f"^#[xX]0*([0-9a-fA-F]+){end}"))
         code = F.when(digits != "", F.when(F.length(digits) <= 7, digits.cast("int")).otherwise(0x110000)).otherwise(F.when(F.length(hexes) <= 6, F.conv(hexes, 16, 10).cast("int")).otherwise(0x110000))
-        name, bare = F.regexp_extract(piece, "^[a-zA-Z][a-zA-Z0-9]*;", 0), F.regexp_extract(piece, f"^(?:{_BARE})", 0)
+        name, short = F.regexp_extract(piece, "^[a-zA-Z][a-zA-Z0-9]*;", 0), F.regexp_extract(piece, f"^(?:{_BARE})", 0) if bare else F.lit("")
         rest = lambda found: F.substring(piece, F.length(found) + 1, F.length(piece))
-        number = F.regexp_extract(piece, "^#(?:[0-9]+|[xX][0-9a-fA-F]+);?", 0)
+        number = F.regexp_extract(piece, f"^#(?:[0-9]+|[xX][0-9a-fA-F]+){end}", 0)
         return (
             F.when(number != "", F.concat(_character(code), rest(number)))
             .when(F.try_element_at(names, name).isNotNull(), F.concat(F.try_element_at(names, name), rest(name)))
-            .when(bare != "", F.concat(F.try_element_at(names, bare), rest(bare)))
+            .when(short != "", F.concat(F.try_element_at(names, short), rest(short)))
             .otherwise(F.concat(F.lit("&"), piece))
         )
 
