@@ -39,7 +39,7 @@ def test_other_queries_give_rows(spark, sf, name):
 CUT_OFF = "<title>of the&amp;&amp</title><p>the rest &quot"  # references whose semicolons were cut off
 
 
-@pytest.mark.parametrize(("name", "html"), [("html_text", CUT_OFF)])
+@pytest.mark.parametrize(("name", "html"), [("html_text", CUT_OFF), ("page_envelopes", CUT_OFF)])
 def test_queries_on_odd_pages_agree_with_sql(spark, tmp_path, name, html):
     spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     con = duckdb.connect()
