@@ -122,6 +122,7 @@ class RunConfig:
     vector_size: int | None = None
     store_location: str | None = None
     store_timeout: int = 60
+    bare_references: bool = True
 
     def __post_init__(self) -> None:
         form_of(self.mode)

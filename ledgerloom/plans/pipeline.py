@@ -24,7 +24,7 @@ KEYS = ["symbol", "form", "accession", "document"]
 
 def matches(files: DataFrame, config: RunConfig, chunker: str = "fixed") -> DataFrame:
     """Chunks of the files' text that have the keyword, with the document's keys."""
-    docs = files.select(*KEYS, html_text(F.col("html")).alias("text"))
+    docs = files.select(*KEYS, html_text(F.col("html"), bare=config.bare_references).alias("text"))
     if chunker == "recursive":
         keyed = docs.withColumn("doc_id", F.to_json(F.struct(*KEYS)))
         cut = matching_chunks(keyed, config.keyword, chunker, config.chunk_size, config.chunk_overlap)
@@ -42,7 +42,8 @@ def points(found: DataFrame, config: RunConfig, collection: Column) -> DataFrame
 
 def summaries(found: DataFrame, config: RunConfig, ask: Model = extractive_model) -> DataFrame:
     """One envelope for each document with at least one match."""
-    got = summarize(found, KEYS, config.keyword, ask, config.batch_size, config.max_retries, config.require_json, 4 * config.max_new_tokens, config.template or PROMPT)
+    most = None if getattr(ask, "whole", False) else 4 * config.max_new_tokens
+    got = summarize(found, KEYS, config.keyword, ask, config.batch_size, config.max_retries, config.require_json, most, config.template or PROMPT)
     slug = collection_slug(F.col("symbol"), config.keyword, config.collection_prefix)
     return envelopes(got, KEYS).withColumn("collection", slug)
 

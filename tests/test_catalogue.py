@@ -37,9 +37,10 @@ def test_other_queries_give_rows(spark, sf, name):
 
 
 CUT_OFF = "<title>of the&amp;&amp</title><p>the rest &quot"  # references whose semicolons were cut off
+LONG = "<p>The " + "ß" * 1980 + ".</p>"  # one sentence as long as a chunk
 
 
-@pytest.mark.parametrize(("name", "html"), [("html_text", CUT_OFF), ("page_envelopes", CUT_OFF)])
+@pytest.mark.parametrize(("name", "html"), [("html_text", CUT_OFF), ("page_envelopes", CUT_OFF), ("filing_summaries", CUT_OFF), ("filing_summaries", LONG)])
 def test_queries_on_odd_pages_agree_with_sql(spark, tmp_path, name, html):
     spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     con = duckdb.connect()
