@@ -19,12 +19,11 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.vectors import nearest_in_block, search_all
+from ledgerloom.operators.vectors import matrix, nearest_in_block, search_all
 from ledgerloom.shipping import ship
 
 ship(__name__)
@@ -35,6 +34,8 @@ RECALL, MEASURED = 0.95, 256
 #: Slack of bounds, above what rounding scores to nine digits can hide.
 SLACK = 1e-4
 METRICS = ("cosine", "euclid")
+#: Distances to centroids that a task holds at once, and rows of ``(query, vector, list)`` in one batch.
+CELLS, PAIRS = 1 << 20, 1 << 13
 
 
 @dataclass
@@ -60,6 +61,14 @@ def _distances(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0))
 
 
+def _parts(batches: Iterator[pa.RecordBatch], lists: int) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches, so few at a time that their distances to all centroids are ``CELLS`` numbers at most."""
+    rows = max(1, CELLS // max(1, lists))
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def fit_centroids(x: np.ndarray, lists: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
     """Lloyd's rounds from distinct rows of the sample; a list that loses all its rows moves to the row farthest from its own."""
     made, x = np.random.default_rng(seed), np.unique(x, axis=0)
@@ -90,11 +99,10 @@ def build(vectors: DataFrame, path: str, vector: str = "vector", key: str = "id"
     centroids = fit_centroids(_placed(np.array([r.vector for r in some]), metric), lists) if some else np.zeros((0, 0))
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                d = _distances(_placed(np.stack(batch.column(1).to_pylist()), metric), centroids)
-                nearest = d.argmin(1)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nearest, pa.int32()), pa.array(d[np.arange(len(d)), nearest])], names=["key", "vector", "list", "away"])
+        for batch in _parts(batches, len(centroids)):
+            d = _distances(_placed(matrix(batch.column(1)), metric), centroids)
+            nearest = d.argmin(1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nearest, pa.int32()), pa.array(d[np.arange(len(d)), nearest])], names=["key", "vector", "list", "away"])
 
     kind = vectors.schema[key].dataType.simpleString()
     filed = rows.mapInArrow(file, f"key {kind}, vector array<double>, list int, away double")
@@ -135,12 +143,13 @@ def _asked(queries: DataFrame, index: Index, lists: Callable) -> DataFrame:
     names, centroids, metric = queries.columns, index.centroids, index.metric
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows and len(centroids):
-                d = _distances(_placed(np.stack(batch.column(1).to_pylist()), metric), centroids)
-                bound = batch.column(2).to_numpy(zero_copy_only=False) if "bound" in names else None
-                at, chosen = np.nonzero(lists(d, bound))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(chosen, pa.int32())], names=["query", "vector", "list"])
+        for batch in _parts(batches, len(centroids)) if len(centroids) else ():
+            d = _distances(_placed(matrix(batch.column(1)), metric), centroids)
+            bound = batch.column(2).to_numpy(zero_copy_only=False) if "bound" in names else None
+            asked = np.nonzero(lists(d, bound))
+            for i in range(0, len(asked[0]), PAIRS):
+                at, chosen = (pa.array(x[i : i + PAIRS], pa.int32()) for x in asked)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), chosen], names=["query", "vector", "list"])
 
     kind = queries.schema["query"].dataType.simpleString()
     return queries.mapInArrow(run, f"query {kind}, vector array<double>, list int")
@@ -168,11 +177,11 @@ def _read_lists(asked: DataFrame, index: Index, k: int, query_block: int, point_
         every = F.explode(F.sequence(F.lit(0), F.col(theirs) - 1)).alias(other)
         return df.join(plan, "list").select("list", F.col(name), "vector", own, every)
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return nearest_in_block(left.rename(columns={"query": "key"}), right, k, metric)
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        return nearest_in_block(left.rename_columns(["key" if c == "query" else c for c in left.column_names]), right, k, metric)
 
     keys = ["list", "q", "p"]
-    return dealt(asked, "query", "qs", "ps", "p").groupBy(*keys).cogroup(dealt(points, "key", "ps", "qs", "q").groupBy(*keys)).applyInPandas(run, out)
+    return dealt(asked, "query", "qs", "ps", "p").groupBy(*keys).cogroup(dealt(points, "key", "ps", "qs", "q").groupBy(*keys)).applyInArrow(run, out)
 
 
 def _ranked(found: DataFrame, k: int, metric: str) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,18 +104,60 @@ def scores(metric: str, queries: np.ndarray, points: np.ndarray) -> np.ndarray:
         return products / np.outer(q, p)
 
 
-def nearest_in_block(left: pd.DataFrame, right: pd.DataFrame, k: int, metric: str) -> pd.DataFrame:
+def matrix(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """A column of vectors as rows of doubles, without an object for each number."""
+    if isinstance(vectors, pa.ChunkedArray):
+        vectors = vectors.combine_chunks()
+    if pc.count_distinct(pc.list_value_length(vectors)).as_py() > 1:
+        raise ValueError("vectors of several lengths")
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(vectors), -1)
+
+
+#: Queries and points whose scores are held at once, whatever the blocks; and what rounding to nine digits can hide.
+QUERY_TILE, POINT_TILE = 256, 4096
+HIDDEN = 1e-8
+
+
+def _slack(cost: np.ndarray) -> np.ndarray:
+    return cost + HIDDEN + 1e-12 * np.abs(cost)
+
+
+def _nearest(queries: np.ndarray, points: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of queries and of points, and scores, of the ``k`` best points of each query; of equal ones the earlier points.
+
+    Points come a tile at a time, and only those within what the k-th so far allows are rounded and sorted.
+    """
+    sign = 1.0 if measure(metric)[1] else -1.0
+    row, at, cost = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    kth = np.full(len(queries), np.inf)
+    for begin in range(0, len(points), POINT_TILE):
+        got = sign * scores(metric, queries, points[begin : begin + POINT_TILE])
+        most = kth
+        if not begin and got.shape[1] > k:
+            most = np.partition(got, k - 1, axis=1)[:, k - 1]  # NaN comes last
+            most = np.where(np.isnan(most), np.inf, most)
+        more_row, more_at = np.nonzero(got <= _slack(most)[:, None])  # never NaN
+        more = np.round(got[more_row, more_at], 9)
+        wins = (more < kth[more_row]) | np.isinf(kth[more_row])
+        row, at, cost = np.concatenate([row, more_row[wins]]), np.concatenate([at, more_at[wins] + begin]), np.concatenate([cost, more[wins]])
+        order = np.lexsort((at, cost, row))
+        row, at, cost = row[order], at[order], cost[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        row, at, cost, place = (x[place < k] for x in (row, at, cost, place))
+        kth[row[place == k - 1]] = cost[place == k - 1]
+    return row, at, sign * cost
+
+
+def nearest_in_block(left: pa.Table, right: pa.Table, k: int, metric: str) -> pa.Table:
     """``(query, key, score)``: the ``k`` best rows of ``right`` for each of ``left``; both have ``key`` and ``vector``."""
-    if not len(left) or not len(right):
-        return pd.DataFrame({"query": [], "key": [], "score": []})
-    ascending, names = measure(metric)[1], right["key"].to_numpy()
-    got = np.round(scores(metric, np.stack(left["vector"]), np.stack(right["vector"])), 9)
-    out = []
-    for q, row in zip(left["key"], got, strict=True):
-        order = np.lexsort((names, row if ascending else -row))
-        best = order[~np.isnan(row[order])][:k]
-        out.append(pd.DataFrame({"query": q, "key": names[best], "score": row[best]}))
-    return pd.concat(out)
+    right = right.take(pc.sort_indices(right["key"])) if len(left) else right[:0]
+    queries, points = (matrix(x["vector"]) if len(right) else np.zeros((0, 0)) for x in (left, right))
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for begin in range(0, len(queries), QUERY_TILE):
+        row, at, score = _nearest(queries[begin : begin + QUERY_TILE], points, k, metric)
+        found.append((row + begin, at, score))
+    row, at, score = (np.concatenate(x) for x in zip(*found, strict=True))
+    return pa.table({"query": left["key"].take(pa.array(row)), "key": right["key"].take(pa.array(at)), "score": score})
 
 
 def search_all(
@@ -123,7 +167,8 @@ def search_all(
     """``(query, key, score, rank)``: the ``k`` nearest points of every row of ``queries``, which has the columns of ``vectors``.
 
     Both sides are cut into blocks by key. Each block of queries meets each block of points in one task, which
-    keeps its own k a query; these are then ranked. So no pairs are made as rows, and a task holds two blocks whatever the sizes.
+    keeps its own k a query; these are then ranked. So no pairs are made as rows, and a task holds two blocks and the scores
+    of a tile whatever the sizes.
     Scores are compared to nine digits, and equal ones by key.
     """
     name, ascending = metric, measure(metric)[1]
@@ -134,12 +179,12 @@ def search_all(
         every = F.explode(F.expr(f"sequence(0L, {blocks[1 - mine] - 1}L)")).alias(other)
         return df.where(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vector"), own, every)
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
         return nearest_in_block(left, right, k, name)
 
     q, p = dealt(queries, 0, "q", "p"), dealt(vectors, 1, "p", "q")
     kind = vectors.schema[key].dataType.simpleString()
-    some = q.groupBy("q", "p").cogroup(p.groupBy("q", "p")).applyInPandas(run, f"query {kind}, key {kind}, score double")
+    some = q.groupBy("q", "p").cogroup(p.groupBy("q", "p")).applyInArrow(run, f"query {kind}, key {kind}, score double")
     order = F.col("score").asc() if ascending else F.col("score").desc()
     ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(order, "key")))
     return ranked.where(F.col("rank") <= k).withColumnRenamed("key", key)

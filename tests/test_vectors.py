@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,3 +39,28 @@ def test_upsert_and_search(spark, tmp_path):
     assert [r.id for r in m.search(points, [0.0, 1.0], 2).collect()] == ["b", "a"]
     assert [r.id for r in m.search(points, [1.0, 1.0], 1, "Euclid").collect()] == ["a"]
     assert [r.id for r in m.search(points, [1.0, 0.0], 1, "Dot").collect()] == ["a"]
+
+
+def peak(work):
+    tracemalloc.start()
+    try:
+        return work(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize("metric", ["Cosine", "Euclid", "Dot"])
+def test_two_blocks_meet_in_little_memory(metric):
+    """Scores of all pairs of a block take 160 MB; copies, zeros and few distinct scores make ties over many tiles."""
+    made = np.random.default_rng(3)
+    points = np.concatenate([made.integers(-2, 3, (19_000, 4)), np.zeros((500, 4)), np.ones((500, 4))]).astype(float)
+    made.shuffle(points)
+    table = lambda x: pa.table({"key": np.arange(len(x))[::-1], "vector": pa.array(list(x), pa.list_(pa.float64()))})
+    left, right = table(points[:1000]), table(points)
+    got, most = peak(lambda: m.nearest_in_block(left, right, 10, metric))
+    assert most < 80e6
+    names, sign, want = right["key"].to_numpy(), 1 if metric == "Euclid" else -1, []
+    for q, row in zip(left["key"].to_pylist(), np.round(m.scores(metric, points[:1000], points), 9), strict=True):
+        order = np.lexsort((names, sign * row))
+        want += [(q, names[i], row[i]) for i in order[~np.isnan(row[order])][:10]]
+    assert list(zip(*(got[c].to_pylist() for c in ("query", "key", "score")), strict=True)) == want
