@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,6 +56,19 @@ def test_only_the_lists_asked_for_are_read(spark, tmp_path):
     assert scans and all("list" in x for x in scans)
 
 
+@pytest.mark.parametrize("metric", ["Cosine", "Euclid"])
+def test_tasks_hold_few_distances_and_pairs(spark, embeddings, tmp_path, monkeypatch, metric):
+    """A batch is cut by the number of lists, and what it asks for by rows."""
+    monkeypatch.setattr(m, "CELLS", 100)
+    monkeypatch.setattr(m, "PAIRS", 7)
+    batch = pa.RecordBatch.from_pydict({"i": list(range(23))})
+    assert [b.num_rows for b in m._parts(iter([batch, batch[:0]]), 22)] == [4] * 5 + [3] and m._parts(iter([batch]), 1000).__next__().num_rows == 1
+    asked = embeddings.where("vec_id % 50 = 0")
+    index = m.build(embeddings, str(tmp_path), "embedding", "vec_id", metric)
+    exact = m.search(index, asked, 10, exact=True, vector="embedding")
+    assert rows(exact, "vec_id") == rows(search_all(embeddings, asked, 10, metric, "embedding", "vec_id"), "vec_id")
+
+
 def test_edges(spark, tmp_path):
     with pytest.raises(ValueError, match="search_all"):
         m.build(spark.range(1).select("id", F.array(F.lit(1.0)).alias("vector")), str(tmp_path / "d"), metric="Dot")
