@@ -6,7 +6,6 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -55,15 +54,16 @@ def embedder(name: str, size: int | None = None) -> Callable[[], Embedder]:
 
 
 def embed(df: DataFrame, load: Callable[[], Embedder] = hashing_embedder, text: str = "text", batch: int = 32) -> DataFrame:
-    """Adds ``vector``. ``load`` runs once for each worker; texts go to it ``batch`` at a time."""
+    """Adds ``vector``. ``load`` runs once for each worker; texts go to it ``batch`` at a time, and only so many are held as strings."""
 
-    @F.pandas_udf("array<float>")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<float>")
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encode = load()
         for part in parts:
-            texts = part.fillna("").tolist()
-            rows = [row for i in range(0, len(texts), batch) for row in encode(texts[i : i + batch])]
-            yield pd.Series(rows, dtype=object)
+            made = [np.asarray(encode([t or "" for t in part[i : i + batch].to_pylist()]), np.float32) for i in range(0, len(part), batch)]
+            rows = np.concatenate(made) if made else np.zeros((0, 1), np.float32)
+            starts = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+            yield pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(rows.ravel()))
 
     return df.withColumn("vector", run(F.col(text)))
 

@@ -64,3 +64,14 @@ def test_two_blocks_meet_in_little_memory(metric):
         order = np.lexsort((names, sign * row))
         want += [(q, names[i], row[i]) for i in order[~np.isnan(row[order])][:10]]
     assert list(zip(*(got[c].to_pylist() for c in ("query", "key", "score")), strict=True)) == want
+
+
+def test_embedding_holds_few_texts_as_strings(spark):
+    """The embedder tells how much Python memory was in use; the texts are 40 MB, which arrive as one batch."""
+
+    def load():
+        tracemalloc.start()
+        return lambda texts: [[tracemalloc.get_traced_memory()[1]] for _ in texts]
+
+    rows = spark.range(0, 2000, numPartitions=1).select(F.repeat(F.lit("word "), 4000).alias("text"))
+    assert m.embed(rows, load).agg(F.max(F.element_at("vector", 1))).first()[0] < 60e6
