@@ -10,17 +10,19 @@ from dataclasses import dataclass
 
 from pyarrow import fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from ledgerloom.shipping import ship
-from ledgerloom.sources.shared import STAGING, opened, put_in_place
+from ledgerloom.sources.shared import STAGING, opened
 
 ship(__name__)
 
 #: Written once all tasks of a run have ended well: from then on the run's files count, whatever happens to the driver.
 MARK = "_committed"
-MOVERS = 16
+MOVERS, AT_ONCE = 16, 256
+TASKS = 16
 
 
 class NamedFiles(DataSource):
@@ -94,13 +96,27 @@ class _Writer(DataSourceWriter):
 def _finish(fs: pafs.FileSystem, top: str, at: str) -> None:
     with fs.open_input_stream(f"{at}/{MARK}") as f:
         folders = json.loads(f.read())
+
+    def place(files: list[pafs.FileInfo]) -> None:
+        for f in files:
+            fs.move(f.path, f"{top}/{f.base_name}")
+
     with ThreadPoolExecutor(MOVERS) as movers:
         for folder in folders:
             files = fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True))
-            list(movers.map(lambda f: put_in_place(fs, [(f.path, f"{top}/{f.base_name}")]), files))
+            list(movers.map(place, (files[i : i + AT_ONCE] for i in range(0, len(files), AT_ONCE))))
     fs.delete_dir(at)
 
 
+def read_files(spark: SparkSession, root: str) -> DataFrame:
+    """``(name, content)`` of the files there, each read once and whole; Spark's readers pass over empty ones.
+
+    Spark deals a task some 32 small files, which are too few for what a task costs; here ``TASKS`` a core share them at most.
+    """
+    back = spark.read.format("binaryFile").load(root).coalesce(TASKS * spark.sparkContext.defaultParallelism)
+    return back.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("content").cast("string").alias("content"))
+
+
 def recover(root: str) -> None:
     """Finish runs that were committed but killed before all their files had their names."""
     fs, top = opened(root)

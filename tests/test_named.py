@@ -63,3 +63,12 @@ def test_names_that_clash_are_told_apart(spark):
     got = sorted(r.name for r in named(spark.createDataFrame(rows, schema), RunConfig(keyword="k")).collect())
     assert len(set(got)) == 5 and "a_k_1_y.summary.json" in got and sum(n.startswith("a_k_1_x_") for n in got) == 2
     assert all(n.endswith(".summary.json") for n in got)
+
+
+def test_many_small_files_are_read_by_few_tasks(save, spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(m, "TASKS", 1)
+    rows = [(f"n {i}.json", f"é\n{i}") for i in range(700)]
+    save(rows, parts=3)
+    back = m.read_files(spark, str(tmp_path / "o"))
+    assert back.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    assert sorted(map(tuple, back.collect())) == sorted(rows) and not os.listdir(tmp_path / "o/_staging")
