@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ledgerloom.shipping import ship
+
+ship(__name__)
+
 
 def _total(c: Column) -> Column:
     return F.aggregate(c, F.lit(0.0), lambda a, x: a + x)

@@ -113,8 +113,8 @@ def matrix(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(vectors), -1)
 
 
-#: Queries and points whose scores are held at once, whatever the blocks; and what rounding to nine digits can hide.
-QUERY_TILE, POINT_TILE = 256, 4096
+#: Queries and points whose scores are held at once, whatever the blocks; pairs whose differences are; and what rounding to nine digits can hide.
+QUERY_TILE, POINT_TILE, DIFFERENCES = 256, 4096, 8192
 HIDDEN = 1e-8
 
 
@@ -122,30 +122,65 @@ def _slack(cost: np.ndarray) -> np.ndarray:
     return cost + HIDDEN + 1e-12 * np.abs(cost)
 
 
-def _nearest(queries: np.ndarray, points: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of queries and of points, and scores, of the ``k`` best points of each query; of equal ones the earlier points.
+def best(row: np.ndarray, at: np.ndarray, cost: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` least costs of each row, in order, of equal ones the earlier places; and which of them are the k-th."""
+    order = np.lexsort((at, cost, row))
+    row, at, cost = row[order], at[order], cost[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    row, at, cost, place = (x[place < k] for x in (row, at, cost, place))
+    return row, at, cost, place == k - 1
 
-    Points come a tile at a time, and only those within what the k-th so far allows are rounded and sorted.
+
+def _within(queries: np.ndarray, points: np.ndarray, k: int, metric: str, kth: np.ndarray, first: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of queries and of points, and costs, of all pairs that ``kth`` allows; in the ``first`` tile, also at most the k-th of its own.
+
+    Squares of Euclidean distances are made by products, less exact than differences by ``lost`` at most. They rule pairs out;
+    the costs of the others are made from differences.
+    """
+    sign, euclid = (1.0 if measure(metric)[1] else -1.0), metric.lower() == "euclid"
+    if not euclid:
+        got, lost = sign * scores(metric, queries, points), 0.0
+    else:
+        with np.errstate(over="ignore", invalid="ignore"):
+            q, p = ((x * x).sum(1) for x in (queries, points))
+            got = queries @ points.T
+            got *= -2
+            got += q[:, None]
+            got += p
+            lost = 4 * (points.shape[1] + 8) * np.finfo(float).eps * (q + p.max())
+    most = kth
+    if first and got.shape[1] > k:
+        most = np.partition(got, k - 1, axis=1)[:, k - 1]  # NaN comes last
+        most = np.sqrt(np.maximum(most + lost, 0)) if euclid else most
+        most = np.minimum(np.where(np.isnan(most), np.inf, most), kth)
+    limit = _slack(most)
+    if not euclid:
+        row, at = np.nonzero(got <= limit[:, None])  # never NaN
+        return row, at, got[row, at]
+    row, at = np.nonzero(~(got > (limit * limit + lost)[:, None]))  # NaN is for the differences to tell
+    parts = [slice(i, i + DIFFERENCES) for i in range(0, len(row), DIFFERENCES)]
+    cost = np.concatenate([np.zeros(0), *(np.linalg.norm(points[at[x]] - queries[row[x]], axis=1) for x in parts)])
+    near = cost <= limit[row]
+    return row[near], at[near], cost[near]
+
+
+def nearest_of(queries: np.ndarray, points: np.ndarray, k: int, metric: str, bound: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of queries and of points, and costs, of the ``k`` best points of each query; of equal ones the earlier points.
+
+    Costs are scores to nine digits, less where nearer. Points come a tile at a time, and only those within what the k-th so far
+    allows are rounded and sorted. Of ``bound`` on costs, those above are left out.
     """
-    sign = 1.0 if measure(metric)[1] else -1.0
     row, at, cost = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    kth = np.full(len(queries), np.inf)
+    kth = np.full(len(queries), np.inf) if bound is None else bound.copy()
+    full = np.zeros(len(queries), bool)  # has k points
     for begin in range(0, len(points), POINT_TILE):
-        got = sign * scores(metric, queries, points[begin : begin + POINT_TILE])
-        most = kth
-        if not begin and got.shape[1] > k:
-            most = np.partition(got, k - 1, axis=1)[:, k - 1]  # NaN comes last
-            most = np.where(np.isnan(most), np.inf, most)
-        more_row, more_at = np.nonzero(got <= _slack(most)[:, None])  # never NaN
-        more = np.round(got[more_row, more_at], 9)
-        wins = (more < kth[more_row]) | np.isinf(kth[more_row])
+        more_row, more_at, more = _within(queries, points[begin : begin + POINT_TILE], k, metric, kth, not begin)
+        more = np.round(more, 9)
+        wins = (more < kth[more_row]) | (~full[more_row] & (more == kth[more_row]))
         row, at, cost = np.concatenate([row, more_row[wins]]), np.concatenate([at, more_at[wins] + begin]), np.concatenate([cost, more[wins]])
-        order = np.lexsort((at, cost, row))
-        row, at, cost = row[order], at[order], cost[order]
-        place = np.arange(len(row)) - np.searchsorted(row, row)
-        row, at, cost, place = (x[place < k] for x in (row, at, cost, place))
-        kth[row[place == k - 1]] = cost[place == k - 1]
-    return row, at, sign * cost
+        row, at, cost, last = best(row, at, cost, k)
+        kth[row[last]], full[row[last]] = cost[last], True
+    return row, at, cost
 
 
 def nearest_in_block(left: pa.Table, right: pa.Table, k: int, metric: str) -> pa.Table:
@@ -154,10 +189,11 @@ def nearest_in_block(left: pa.Table, right: pa.Table, k: int, metric: str) -> pa
     queries, points = (matrix(x["vector"]) if len(right) else np.zeros((0, 0)) for x in (left, right))
     found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
     for begin in range(0, len(queries), QUERY_TILE):
-        row, at, score = _nearest(queries[begin : begin + QUERY_TILE], points, k, metric)
-        found.append((row + begin, at, score))
-    row, at, score = (np.concatenate(x) for x in zip(*found, strict=True))
-    return pa.table({"query": left["key"].take(pa.array(row)), "key": right["key"].take(pa.array(at)), "score": score})
+        row, at, cost = nearest_of(queries[begin : begin + QUERY_TILE], points, k, metric)
+        found.append((row + begin, at, cost))
+    row, at, cost = (np.concatenate(x) for x in zip(*found, strict=True))
+    score = cost if measure(metric)[1] else -cost
+    return pa.table({"query": left["key"].take(pa.array(row)), "key": right["key"].take(pa.array(at)), "score": pa.array(score)})
 
 
 def search_all(

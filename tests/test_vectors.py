@@ -1,8 +1,12 @@
+import os
+import subprocess
+import sys
 import tracemalloc
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import vectors as v
@@ -66,6 +70,44 @@ def test_two_blocks_meet_in_little_memory(metric):
     assert list(zip(*(got[c].to_pylist() for c in ("query", "key", "score")), strict=True)) == want
 
 
+@pytest.mark.parametrize("far", [0.0, 1e6, 1e200])
+def test_euclidean_distances_keep_their_digits(far):
+    """Points that lie close together, far from zero, where products alone tell nothing; copies, and rows that are not finite."""
+    made = np.random.default_rng(4)
+    points = far + np.round(made.normal(size=(5000, 3)), 3)
+    points[::50], points[7], points[8] = points[0], np.inf, np.nan
+    asked = np.concatenate([points[:20], [[1.0, 2.0, 3.0]]])
+    row, at, cost = m.nearest_of(asked, points, 9, "Euclid")
+    with np.errstate(invalid="ignore"):
+        want = np.round(m.scores("euclid", asked, points), 9)
+    for q in range(len(asked)):
+        order = np.lexsort((np.arange(len(points)), want[q]))[:9]
+        order = order[~np.isnan(want[q][order])]
+        assert at[row == q].tolist() == order.tolist() and cost[row == q].tolist() == want[q][order].tolist()
+
+
+@pytest.mark.parametrize("metric", ["Cosine", "Euclid", "Dot"])
+def test_a_bound_leaves_equals_in(metric):
+    made = np.random.default_rng(6)
+    points = made.integers(-1, 2, (6000, 3)).astype(float)
+    row, at, cost = m.nearest_of(points[:40], points, 5, metric)
+    asked = np.unique(row)
+    bound = np.full(40, -np.inf)
+    bound[row] = cost  # the last of a row is its k-th
+    same = m.nearest_of(points[:40][asked], points, 5, metric, bound[asked])
+    assert [x.tolist() for x in same] == [np.searchsorted(asked, row).tolist(), at.tolist(), cost.tolist()]
+    assert not len(m.nearest_of(points[:40][asked], points, 5, metric, bound[asked] - 9)[0])
+
+
+def test_what_tasks_run_needs_no_package(tmp_path):
+    """Executors without a copy of the package unpickle and run the search of a block."""
+    (tmp_path / "f").write_bytes(cloudpickle.dumps(m.nearest_of))
+    code = "import pickle, numpy as np; print(pickle.load(open('f', 'rb'))(np.eye(2), np.eye(2), 1, 'Euclid')[1].tolist())"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    got = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, check=False)
+    assert got.stdout.strip() == "[0, 1]", got.stderr
+
+
 def test_embedding_holds_few_texts_as_strings(spark):
     """The embedder tells how much Python memory was in use; the texts are 40 MB, which arrive as one batch."""
 
