@@ -20,11 +20,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.vectors import matrix, nearest_in_block, search_all
+from ledgerloom.functions.vectors import measure
+from ledgerloom.operators.vectors import QUERY_TILE, best, matrix, nearest_of, search_all
 from ledgerloom.shipping import ship
+from ledgerloom.sources.shared import scratch
 
 ship(__name__)
 
@@ -34,7 +37,7 @@ RECALL, MEASURED = 0.95, 256
 #: Slack of bounds, above what rounding scores to nine digits can hide.
 SLACK = 1e-4
 METRICS = ("cosine", "euclid")
-#: Distances to centroids that a task holds at once, and rows of ``(query, vector, list)`` in one batch.
+#: Distances to centroids that are held at once, and rows of ``(query, vector, bound, lists, shelf)`` in one batch.
 CELLS, PAIRS = 1 << 20, 1 << 13
 
 
@@ -61,12 +64,17 @@ def _distances(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0))
 
 
+def _slices(rows: int, lists: int) -> Iterator[slice]:
+    """So few of the rows at a time that their distances to all centroids are ``CELLS`` numbers at most."""
+    step = max(1, CELLS // max(1, lists))
+    return (slice(i, min(i + step, rows)) for i in range(0, rows, step))
+
+
 def _parts(batches: Iterator[pa.RecordBatch], lists: int) -> Iterator[pa.RecordBatch]:
-    """The rows of the batches, so few at a time that their distances to all centroids are ``CELLS`` numbers at most."""
-    rows = max(1, CELLS // max(1, lists))
+    """The rows of the batches, cut by :func:`_slices`."""
     for batch in batches:
-        for i in range(0, batch.num_rows, rows):
-            yield batch.slice(i, rows)
+        for some in _slices(batch.num_rows, lists):
+            yield batch.slice(some.start, some.stop - some.start)
 
 
 def fit_centroids(x: np.ndarray, lists: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
@@ -74,11 +82,13 @@ def fit_centroids(x: np.ndarray, lists: int, rounds: int = 12, seed: int = 7) ->
     made, x = np.random.default_rng(seed), np.unique(x, axis=0)
     centroids = x[made.choice(len(x), min(lists, len(x)), replace=False)]
     for _ in range(rounds):
-        d = _distances(x, centroids)
-        nearest = d.argmin(1)
+        nearest, away = np.zeros(len(x), np.int64), np.zeros(len(x))
+        for some in _slices(len(x), len(centroids)):
+            d = _distances(x[some], centroids)
+            nearest[some], away[some] = d.argmin(1), d.min(1)
         sums, n = np.zeros_like(centroids), np.bincount(nearest, minlength=len(centroids))
         np.add.at(sums, nearest, x)
-        far = iter(np.argsort(-d.min(1), kind="stable"))
+        far = iter(np.argsort(-away, kind="stable"))
         centroids = np.stack([sums[i] / n[i] if n[i] else x[next(far)] for i in range(len(centroids))])
     return centroids
 
@@ -124,9 +134,11 @@ def _measured(filed: DataFrame, centroids: np.ndarray, metric: str, recall: floa
     rows = found.join(filed.select("key", "list"), "key").join(asked.select(F.col("key").alias("query"), "vector"), "query").select("vector", "list").collect()
     if not rows:
         return 1
-    order = np.argsort(_distances(_placed(np.array([r["vector"] for r in rows]), metric), centroids), axis=1, kind="stable")
-    place = np.sort((order == np.array([r["list"] for r in rows])[:, None]).argmax(1))
-    return int(place[math.ceil(recall * len(place)) - 1]) + 1
+    x, own, place = _placed(np.array([r["vector"] for r in rows]), metric), np.array([r["list"] for r in rows]), np.zeros(len(rows), np.int64)
+    for some in _slices(len(x), len(centroids)):
+        order = np.argsort(_distances(x[some], centroids), axis=1, kind="stable")
+        place[some] = (order == own[some, None]).argmax(1)
+    return int(np.sort(place)[math.ceil(recall * len(place)) - 1]) + 1
 
 
 def load(spark: SparkSession, path: str, metric: str = "cosine", key: str = "id") -> Index:
@@ -138,50 +150,107 @@ def load(spark: SparkSession, path: str, metric: str = "cosine", key: str = "id"
     return Index(path, metric, key, *columns, held[0]["probes"] if held else 1)
 
 
-def _asked(queries: DataFrame, index: Index, lists: Callable) -> DataFrame:
-    """``(query, vector, list)``: the lists that ``lists(distances, extra)`` chooses for each query; ``extra`` is the column ``bound`` if there is one."""
-    names, centroids, metric = queries.columns, index.centroids, index.metric
+def _shelves(sizes: np.ndarray, point_block: int) -> np.ndarray:
+    """The shelf of each list: neighbours by number share one as long as they have ``point_block`` points at most; a larger list has its own."""
+    shelf, at, filled = np.zeros(len(sizes), np.int32), 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if filled and n and filled + n > point_block:
+            at, filled = at + 1, 0
+        shelf[i], filled = at, filled + n
+    return shelf
+
+
+def _asked(queries: DataFrame, index: Index, shelf: np.ndarray, lists: Callable) -> DataFrame:
+    """``(query, vector, bound, lists, shelf)``: a row for each shelf with any of the lists that ``lists(distances, bound)`` chooses for a query of ``(query, vector, bound)``."""
+    centroids, metric = index.centroids, index.metric
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _parts(batches, len(centroids)) if len(centroids) else ():
             d = _distances(_placed(matrix(batch.column(1)), metric), centroids)
-            bound = batch.column(2).to_numpy(zero_copy_only=False) if "bound" in names else None
-            asked = np.nonzero(lists(d, bound))
-            for i in range(0, len(asked[0]), PAIRS):
-                at, chosen = (pa.array(x[i : i + PAIRS], pa.int32()) for x in asked)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), chosen], names=["query", "vector", "list"])
+            row, chosen = (x.astype(np.int32) for x in np.nonzero(lists(d, batch.column(2).to_numpy(zero_copy_only=False))))
+            on = shelf[chosen]
+            starts = np.flatnonzero(np.r_[True, (np.diff(row) != 0) | (np.diff(on) != 0)][: len(row)])
+            ends = np.r_[starts, len(row)].astype(np.int32)
+            for i in range(0, len(starts), PAIRS):
+                at, cut = starts[i : i + PAIRS], ends[i : i + PAIRS + 1]
+                named = pa.ListArray.from_arrays(pa.array(cut - cut[0]), pa.array(chosen[cut[0] : cut[-1]]))
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(row[at])) for c in batch.columns), named, pa.array(on[at])], names=["query", "vector", "bound", "lists", "shelf"])
 
     kind = queries.schema["query"].dataType.simpleString()
-    return queries.mapInArrow(run, f"query {kind}, vector array<double>, list int")
+    return queries.select("query", "vector", "bound").mapInArrow(run, f"query {kind}, vector array<double>, bound double, lists array<int>, shelf int")
 
 
-def _read_lists(asked: DataFrame, index: Index, k: int, query_block: int, point_block: int) -> DataFrame:
-    """``(query, key, score)``: the ``k`` best points of each (query, list) of ``asked``.
+def _nearest_in_lists(left: pa.Table, right: pa.Table, k: int, metric: str) -> pa.Table:
+    """``(query, key, score)``: the ``k`` best rows of ``right`` for each of ``left``, of the lists it names and with costs up to its ``bound``.
 
-    Within a list each block of queries meets each block of points in one task, so neither a list with most points nor
-    one that most queries ask for is one task's work. Only the lists that are asked for are read.
+    A list at a time meets the queries that name it, a tile of them at once. What was found is cut to ``k`` a query whenever it is twice that.
+    """
+    right = right.take(pc.sort_indices(right["key"])) if len(left) else right[:0]
+    queries, points = (matrix(x["vector"]) if len(right) else np.zeros((0, 0)) for x in (left, right))
+    lists = left["lists"].combine_chunks()
+    parent, named = pc.list_parent_indices(lists).to_numpy(), lists.flatten().to_numpy()
+    of, kth = right["list"].to_numpy(), left["bound"].to_numpy().copy()
+    by_list = np.argsort(of, kind="stable")
+    by_name = np.argsort(named, kind="stable")
+    of, parent, named = of[by_list], parent[by_name], named[by_name]
+    nothing = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    held, new, rows = nothing, [], 0
+
+    def cut() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        row, at, cost, last = best(*(np.concatenate(x) for x in zip(held, *new, strict=True)), k)
+        kth[row[last]] = np.minimum(kth[row[last]], cost[last])
+        return row, at, cost
+
+    for one in np.unique(of):
+        mine = by_list[slice(*np.searchsorted(of, [one, one + 1]))]
+        asking = parent[slice(*np.searchsorted(named, [one, one + 1]))]
+        for begin in range(0, len(asking), QUERY_TILE):
+            some = asking[begin : begin + QUERY_TILE]
+            row, at, cost = nearest_of(queries[some], points[mine], k, metric, kth[some])
+            new.append((some[row], mine[at], cost))
+            rows += len(row)
+        if rows > 2 * k * len(left):
+            held, new, rows = cut(), [], 0
+    row, at, cost = cut()
+    score = cost if measure(metric)[1] else -cost
+    return pa.table({"query": left["query"].take(pa.array(row)), "key": right["key"].take(pa.array(at)), "score": pa.array(score)})
+
+
+def _read_lists(queries: DataFrame, index: Index, lists: Callable, k: int, query_block: int, point_block: int) -> DataFrame:
+    """``(query, key, score)``: for each row of ``(query, vector, bound)``, the ``k`` best points of each shelf, of the lists chosen and with costs up to ``bound``.
+
+    Lists stand on shelves of ``point_block`` points, so that a query is sent once for many lists and gives ``k`` rows for them
+    together. On a shelf each block of queries meets each block of points in one task, so neither a list with most points nor
+    one that most queries ask for is one task's work. Only the lists on shelves that are asked for are read.
     """
-    spark, metric = asked.sparkSession, index.metric
-    counts = {r["list"]: r["count"] for r in asked.groupBy("list").count().collect()}  # one row a list
-    blocks = {i: (-(-n // query_block), max(1, -(-int(index.sizes[i]) // point_block))) for i, n in counts.items()}
+    spark, metric = queries.sparkSession, index.metric
+    shelf = _shelves(index.sizes, point_block)
+    asked = _asked(queries, index, shelf, lists)
+    counts = {r["shelf"]: r["count"] for r in asked.groupBy("shelf").count().collect()}  # one row a shelf
     kind = asked.schema["query"].dataType.simpleString()
     out = f"query {kind}, key {kind}, score double"
-    if not blocks:
+    if not counts:
         return spark.createDataFrame([], out)
+    points_on = np.bincount(shelf, weights=index.sizes)
+    blocks = {i: (-(-n // query_block), max(1, -(-int(points_on[i]) // point_block))) for i, n in counts.items()}
+    wanted = [(i, int(s), *blocks[s]) for i, s in enumerate(shelf.tolist()) if s in blocks and index.sizes[i]]
     points = spark.read.schema(f"key {kind}, vector array<double>, away double, list int").parquet(f"{index.path}/lists")
-    points = points.where(F.col("list").isin([int(i) for i in blocks]))
-    plan = F.broadcast(spark.createDataFrame([(i, q, p) for i, (q, p) in blocks.items()], "list int, qs int, ps int"))
+    points = points.where(F.col("list").isin([i for i, *_ in wanted]))
+    by_list = F.broadcast(spark.createDataFrame(wanted, "list int, shelf int, qs int, ps int"))
+    by_shelf = F.broadcast(spark.createDataFrame([(s, *b) for s, b in blocks.items()], "shelf int, qs int, ps int"))
 
-    def dealt(df: DataFrame, name: str, mine: str, theirs: str, other: str) -> DataFrame:
+    def dealt(df: DataFrame, name: str, mine: str, theirs: str, other: str, *columns: str) -> DataFrame:
         own = F.pmod(F.xxhash64(name), F.col(mine)).cast("int").alias(mine[0])
         every = F.explode(F.sequence(F.lit(0), F.col(theirs) - 1)).alias(other)
-        return df.join(plan, "list").select("list", F.col(name), "vector", own, every)
+        return df.select("shelf", name, "vector", *columns, own, every)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        return nearest_in_block(left.rename_columns(["key" if c == "query" else c for c in left.column_names]), right, k, metric)
+        return _nearest_in_lists(left, right, k, metric)
 
-    keys = ["list", "q", "p"]
-    return dealt(asked, "query", "qs", "ps", "p").groupBy(*keys).cogroup(dealt(points, "key", "ps", "qs", "q").groupBy(*keys)).applyInArrow(run, out)
+    keys = ["shelf", "q", "p"]
+    q = dealt(asked.join(by_shelf, "shelf"), "query", "qs", "ps", "p", "bound", "lists")
+    p = dealt(points.join(by_list, "list"), "key", "ps", "qs", "q", "list")
+    return q.groupBy(*keys).cogroup(p.groupBy(*keys)).applyInArrow(run, out)
 
 
 def _ranked(found: DataFrame, k: int, metric: str) -> DataFrame:
@@ -200,7 +269,7 @@ def search(index: Index, queries: DataFrame, k: int = 10, probes: int | None = N
     asked = queries.select(F.col(key or index.key).alias("query"), F.col(vector).cast("array<double>").alias("vector")).where("vector is not null")
     if index.metric == "cosine":
         asked = asked.where(F.exists("vector", lambda x: x != 0))
-    radii, sizes = index.radii, index.sizes
+    radii, sizes, metric = index.radii, index.sizes, index.metric
 
     def nearest(d: np.ndarray, _) -> np.ndarray:
         out = np.zeros(d.shape, bool)
@@ -208,14 +277,20 @@ def search(index: Index, queries: DataFrame, k: int = 10, probes: int | None = N
         return out & (sizes > 0)
 
     def open_still(d: np.ndarray, bound: np.ndarray) -> np.ndarray:
-        return (d - radii <= bound[:, None] + SLACK) & (sizes > 0) & ~nearest(d, None)
+        away = np.sqrt(np.maximum(2 + 2 * bound, 0)) if metric == "cosine" else bound
+        return (d - radii <= away[:, None] + SLACK) & (sizes > 0) & ~nearest(d, None)
 
-    first = _ranked(_read_lists(_asked(asked, index, nearest), index, k, query_block, point_block), k, index.metric)
+    all_of = asked.withColumn("bound", F.lit(float("inf")))
+    first = _ranked(_read_lists(all_of, index, nearest, k, query_block, point_block), k, index.metric)
     if exact:
-        kth = F.when(F.count("*") == k, F.max(F.sqrt(F.greatest(2 - 2 * F.col("score"), F.lit(0.0))) if index.metric == "cosine" else F.col("score")))
-        bounds = first.groupBy("query").agg(kth.alias("bound"))
+        # What was found is both the bound of what follows and a part of the result: written, it is made once.
+        path = scratch(asked.sparkSession, "found")
+        first.write.parquet(path)
+        first = asked.sparkSession.read.schema(first.schema).parquet(path)
+        cost = F.col("score") if index.metric == "euclid" else -F.col("score")
+        bounds = first.groupBy("query").agg(F.when(F.count("*") == k, F.max(cost)).alias("bound"))
         wide = asked.join(bounds, "query", "left").fillna({"bound": float("inf")})
-        more = _read_lists(_asked(wide, index, open_still), index, k, query_block, point_block)
+        more = _read_lists(wide, index, open_still, k, query_block, point_block)
         first = _ranked(first.drop("rank").unionByName(more), k, index.metric)
     return first.withColumnRenamed("key", index.key)
 

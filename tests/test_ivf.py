@@ -1,10 +1,12 @@
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import ivf as m
-from ledgerloom.operators.vectors import search_all
+from ledgerloom.operators.vectors import scores, search_all
 from ledgerloom.plans import catalogue
 
 
@@ -69,6 +71,54 @@ def test_tasks_hold_few_distances_and_pairs(spark, embeddings, tmp_path, monkeyp
     assert rows(exact, "vec_id") == rows(search_all(embeddings, asked, 10, metric, "embedding", "vec_id"), "vec_id")
 
 
+@pytest.mark.parametrize("metric", ["Cosine", "Euclid"])
+def test_a_query_gives_k_rows_for_many_lists_together(spark, embeddings, tmp_path, monkeypatch, metric):
+    """And after the first lists, only rows within the bound: those that it takes to put others out."""
+    ranked, found = m._ranked, []
+    monkeypatch.setattr(m, "_ranked", lambda rows, k, name: found.append(rows.count()) or ranked(rows, k, name))
+    index = m.build(embeddings, str(tmp_path), "embedding", "vec_id", metric)
+    asked = embeddings.where("vec_id % 50 = 0")
+    m.search(index, asked, 10, probes=15, exact=True, vector="embedding")
+    assert found[0] == 10 * asked.count() and found[0] <= found[1] < 1.6 * found[0]
+
+
+@pytest.mark.parametrize("metric", ["Cosine", "Euclid"])
+def test_lists_of_a_shelf_one_by_one(metric):
+    """Copies in several lists, queries that name some of the lists, bounds, and lists so small that all are cut to k together."""
+    made = np.random.default_rng(2)
+    points, of = made.integers(-2, 3, (900, 3)).astype(float) + 0.5, made.integers(0, 300, 900)
+    named = [sorted(set(made.integers(0, 300, 1 + 20 * i % 200).tolist())) for i in range(30)]
+    sign = 1 if metric == "Euclid" else -1
+    cost = sign * np.round(scores(metric, points[:30], points), 9)
+    bound = np.where(np.arange(30) % 2, np.inf, np.median(cost, axis=1))
+    keys = made.permutation(900)
+    left = pa.table({"query": np.arange(30), "vector": list(points[:30]), "bound": bound, "lists": pa.array(named, pa.list_(pa.int32()))})
+    right = pa.table({"key": keys, "vector": list(points), "list": pa.array(of, pa.int32())})
+    got = m._nearest_in_lists(left, right, 4, metric)
+    want = []
+    for q in range(30):
+        may = [i for i in np.lexsort((keys, cost[q])) if of[i] in named[q] and cost[q, i] <= bound[q]]
+        want += [(q, keys[i], sign * cost[q, i]) for i in may[:4]]
+    assert list(zip(*(got[c].to_pylist() for c in ("query", "key", "score")), strict=True)) == want
+    assert m._nearest_in_lists(left[:0], right, 4, metric).num_rows == m._nearest_in_lists(left, right[:0], 4, metric).num_rows == 0
+
+
+def test_shelves():
+    assert m._shelves(np.array([3, 0, 2, 1, 9, 0, 5]), 5).tolist() == [0, 0, 0, 1, 2, 2, 3]
+
+
+def test_centroids_are_fitted_in_little_memory(monkeypatch):
+    """All distances of the sample take 40 MB."""
+    monkeypatch.setattr(m, "CELLS", 1 << 16)
+    x = np.random.default_rng(3).normal(size=(5000, 4))
+    tracemalloc.start()
+    try:
+        assert m.fit_centroids(x, 1000, rounds=1).shape == (1000, 4)
+        assert tracemalloc.get_traced_memory()[1] < 10e6
+    finally:
+        tracemalloc.stop()
+
+
 def test_edges(spark, tmp_path):
     with pytest.raises(ValueError, match="search_all"):
         m.build(spark.range(1).select("id", F.array(F.lit(1.0)).alias("vector")), str(tmp_path / "d"), metric="Dot")
