@@ -18,6 +18,8 @@ The stage for documents (:func:`keep_one`) links by the same blocks first, check
 each link on the shingle sets, and finds what 64 bits cannot show by blocks of
 the sets themselves (:func:`similar`). Copies count once, keys are counted with
 map-side partial counts before they are joined, and sets are sent by parts of a group, not by pairs.
+Keys are dealt with in turns, each of a part of them, so few of them lie on the disks at once; and texts are sent to a
+join only where bits of their hash say that the join may want them: those of near-duplicates, as a rule.
 
 Nulls and edge cases: a null or blank text has fingerprint zero, which links
 like any other; a null ``doc_id`` takes part in linking but is never the
@@ -29,6 +31,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -37,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import connected_components, discard, id_and_text, materialize, release, row_key, ship, table
+from ledgerloom.llm.common import connected_components, discard, id_and_text, materialize, maybe_among, row_key, ship, table
 
 ship(__name__)
 
@@ -82,13 +85,13 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     return id_and_text(docs).mapInArrow(run, "doc_id long, fp long")
 
 
-def _block_keys(fp: Column, blocks: int, distance: int) -> tuple[Column, list[int]]:
-    """An array of keys, one for each choice of blocks that must agree; the blocks' bit masks."""
+def _block_keys(fp: Column, blocks: int, distance: int, turn: int = 0, turns: int = 1) -> tuple[Column, list[int]]:
+    """An array of keys, one for each choice of blocks that must agree, every ``turns``-th of them; the blocks' bit masks."""
     edges = [64 * i // blocks for i in range(blocks + 1)]
     masks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:], strict=False)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keys = []
-    for chosen in combinations(range(blocks), blocks - distance):
+    for chosen in list(combinations(range(blocks), blocks - distance))[turn::turns]:
         mask = sum(masks[i] for i in chosen)
         mask = mask - (1 << 64) if mask >> 63 else mask
         which = sum(1 << i for i in chosen)
@@ -104,13 +107,14 @@ def blocks_for(fingerprints: int, distance: int = 4) -> int:
     return blocks
 
 
-def links(fps: DataFrame, distance: int = 4, blocks: int = 7, dense: int = 256) -> DataFrame:
+def links(fps: DataFrame, distance: int = 4, blocks: int = 7, dense: int = 256, turn: int = 0, turns: int = 1) -> DataFrame:
     """Edges ``(a, b)`` between distinct fingerprints at most ``distance`` bits apart.
 
     Outside dense keys every such pair is an edge; inside them the edges connect
-    the same components (see the module's text).
+    the same components (see the module's text). With ``turns``, only what every
+    ``turns``-th choice of blocks finds: the edges of all turns are the whole.
     """
-    keys, masks = _block_keys(F.col("fp"), blocks, distance)
+    keys, masks = _block_keys(F.col("fp"), blocks, distance, turn, turns)
     keyed = fps.select("fp", F.explode(keys).alias("k")).select("fp", "k.chosen", "k.part")
     shared = keyed.groupBy("chosen", "part").agg(F.count("*").alias("n")).where("n > 1")
     keyed = keyed.join(shared, ["chosen", "part"])
@@ -245,14 +249,16 @@ def _common_codes(docs: DataFrame, words: int, one_of: int = 16, most: int = 100
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """``(node, codes)``: the shingle sets of nodes, read from the text of a row that has the set."""
+    """``(node, codes)``: the shingle sets of nodes, read from the text of a row that has the set. Other texts are not sent."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             codes = [shingle_codes(t.as_py(), words).view(np.int64) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.list_(pa.int64()))], names=["node", "codes"])
 
-    texts = docs.select(*row_key(), "text").join(nodes.select("node", "key1", "key2"), ["key1", "key2"]).dropDuplicates(["node"])
+    wanted = maybe_among(nodes.select("key1"))
+    texts = docs.select(*row_key(), "text").where(wanted(F.col("key1")))
+    texts = texts.join(nodes.select("node", "key1", "key2"), ["key1", "key2"]).dropDuplicates(["node"])
     return texts.select("node", "text").mapInArrow(read, "node long, codes array<long>")
 
 
@@ -384,22 +390,29 @@ def _joined(roots: DataFrame | None, more: DataFrame) -> DataFrame:
     return materialize(connected_components(more), "roots")
 
 
-def _met(nodes: DataFrame) -> DataFrame:
-    """``(group, node, n, place)``: nodes that hold one key and are of sizes near each other, where two sets may reach 0.8.
+def turns_for(keys: int, together: int = 4 << 20, most: int = 8) -> int:
+    """In how many turns so many keys are dealt with: about ``together`` at once, or an eighth where they are very many."""
+    return min(most, max(1, -(-keys // together)))
+
+
+def _met(nodes: DataFrame) -> list[DataFrame]:
+    """Tables ``(group, node, n, place)``, none of which shares a group: nodes that hold one key and are of sizes near each other, where two sets may reach 0.8.
 
     Two sets at 0.8 are in one class of sizes or in neighbouring ones, so each key is held in a node's own class and
     in the next; and the smaller of two sets has their first shared key within its first ninth.
     """
+    turns = turns_for(nodes.agg(F.sum(F.size("keys"))).first()[0] or 0)
     size_class = F.floor(F.log(F.col("n")) / F.lit(math.log(1.25))).cast("int")
-    keyed = nodes.where("n > 0").select("node", "n", F.posexplode("keys").alias("place", "key"))
-    shared = materialize(keyed.groupBy("key").count().where("count > 1").select("key"), "shared")
-    release(nodes.sparkSession)
-    keyed = materialize(keyed.join(shared, "key"), "keyed")
-    discard(shared)
-    both = keyed.withColumn("class", F.explode(F.array(size_class, size_class + 1))).select(F.xxhash64("key", "class").alias("group"), "node", "n", "place")
-    shared = both.groupBy("group").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.min(F.expr("9 * place - n")).alias("first"))
-    out = materialize(both.join(shared.where("low <> high and first <= 0").select("group"), "group"), "met")
-    discard(keyed)
+    out = []
+    for turn in range(turns):
+        keyed = nodes.where("n > 0").select("node", "n", F.posexplode("keys").alias("place", "key"))
+        keyed = keyed.where(F.pmod("key", F.lit(turns)) == turn)
+        shared = keyed.groupBy("key").count().where("count > 1").select("key")
+        keyed = materialize(keyed.join(shared, "key"), "keyed")
+        both = keyed.withColumn("class", F.explode(F.array(size_class, size_class + 1))).select(F.xxhash64("key", "class").alias("group"), "node", "n", "place")
+        shared = both.groupBy("group").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.min(F.expr("9 * place - n")).alias("first"))
+        out.append(materialize(both.join(shared.where("low <> high and first <= 0").select("group"), "group"), "met"))
+        discard(keyed)
     return out
 
 
@@ -408,12 +421,12 @@ def _reach(x: str, y: str) -> Column:
     return 9 * F.least(F.col(f"{x}n") - F.col(f"{x}place"), F.col(f"{y}n") - F.col(f"{y}place")) >= 4 * (F.col(f"{x}n") + F.col(f"{y}n"))
 
 
-def _apart(met: DataFrame, roots: DataFrame) -> DataFrame:
-    """``met`` with ``root``, the ``hub`` and the ``size`` of the group, but only groups whose nodes are not all in one component."""
-    rooted = materialize(met.join(roots, "node", "left").select("group", "node", "n", "place", F.coalesce("root", "node").alias("root")), "rooted")
+def _apart(met: list[DataFrame], roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``met`` with ``root``, the ``hub`` and the ``size`` of the group, but only groups whose nodes are not all in one component; the table that it reads."""
+    rooted = materialize(reduce(DataFrame.unionByName, met).join(roots, "node", "left").select("group", "node", "n", "place", F.coalesce("root", "node").alias("root")), "rooted")
     hub = F.min(F.struct("node", "n", "place", "root")).alias("hub")
     mixed = rooted.groupBy("group").agg(hub, F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
-    return rooted.join(mixed.where("low <> high").select("group", "hub", "size"), "group")
+    return rooted.join(mixed.where("low <> high").select("group", "hub", "size"), "group"), rooted
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -448,26 +461,39 @@ def similar(docs: DataFrame, words: int = 5, dense: int = 16) -> DataFrame:
     read = docs.select("doc_id", *row_key(), "text").mapInArrow(run, schema)
     slices = materialize(read.select("doc_id", "key1", "key2", F.xxhash64("set1", "set2").alias("node"), "fp", "n", "sketch", "keys"), "slices")
     marked = materialize(slices.select("doc_id", "key1", "key2", "node"), "marked")
-    nodes = materialize(slices.drop("doc_id").dropDuplicates(["node"]), "nodes")  # any row that has the set: the rest depends on the set alone
+    repeated = maybe_among(marked.groupBy("node").count().where("count > 1").select("node"))(F.col("node"))
+    rows = slices.drop("doc_id")
+    nodes = materialize(rows.where(~repeated).unionByName(rows.where(repeated).dropDuplicates(["node"])), "nodes")  # any row that has the set: the rest depends on the set alone
     discard(slices)
     met = _met(nodes)
-    names = nodes.select("node", "n", "key1", "key2", "sketch")
+    earlier, nodes = nodes, materialize(nodes.drop("keys"), "nodes")
+    discard(earlier)
+    names = nodes.drop("fp")
 
     by_fp = nodes.groupBy("fp").agg(F.min("node").alias("y"))
     classes = materialize(by_fp, "classes")
-    far = links(classes.select("fp"), blocks=blocks_for(classes.count()))
+    count = classes.count()
+    blocks = blocks_for(count)
+    turns = turns_for(count * math.comb(blocks, 4))
+    found = [materialize(links(classes.select("fp"), blocks=blocks, turn=turn, turns=turns), "links") for turn in range(turns)]
+    far = reduce(DataFrame.unionByName, found)
     far = far.join(classes.select(F.col("fp").alias("a"), F.col("y").alias("x")), "a").join(classes.withColumnRenamed("fp", "b"), "b").select("x", "y")
     same = nodes.join(classes, "fp").where("node <> y").select(F.col("node").alias("x"), "y")
     pairs = materialize(_ordered(far.unionByName(same)), "pairs")
+    discard(classes, *found)
     roots = _joined(None, _alike(pairs, docs, names, words))
 
     can = (F.col("root") != F.col("hub.root")) & _reach("", "hub.")
-    pairs = materialize(_ordered(_apart(met, roots).where(can).select(F.col("node").alias("x"), F.col("hub.node").alias("y"))), "pairs")
+    apart, rooted = _apart(met, roots)
+    discard(pairs, free=False)
+    pairs = materialize(_ordered(apart.where(can).select(F.col("node").alias("x"), F.col("hub.node").alias("y"))), "pairs")
+    discard(rooted)
     roots = _joined(roots, _alike(pairs, docs, names, words))
 
-    groups = _apart(met, roots).where("size > 2").select("group", "node", "n", "place", "root", "size")  # of two, both have met
+    apart, rooted = _apart(met, roots)
+    groups = apart.where("size > 2").select("group", "node", "n", "place", "root", "size")  # of two, both have met
     groups = materialize(groups, "groups")
-    discard(met)
+    discard(rooted, *met)
     x, y = (groups.where(F.col("size") <= dense).alias(n) for n in ("x", "y"))
     more = x.join(y, (F.col("x.group") == F.col("y.group")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _reach("x.", "y."))
     more = _ordered(more.select(F.col("x.node").alias("x"), F.col("y.node").alias("y")))
@@ -488,12 +514,15 @@ def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
     It is the row with the smallest doc_id, nulls last, and then the smallest hash of
     id and text, so two texts of one doc_id that are not alike both stay. Rows that repeat id and text count once.
     """
-    marked = similar(docs, words)
+    marked = materialize(similar(docs, words), "components")
     one = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key1", "key2")).alias("one")
-    keepers = marked.groupBy("root").agg(one).select("one.key1", "one.key2")
+    keepers = materialize(marked.groupBy("root").agg(one, F.count("*").alias("size")), "keepers")
+    # A row that is alone in its component stays where it is: only the others are sent to the rows that stay.
+    several = maybe_among(marked.join(keepers.where("size > 1").select("root"), "root", "left_semi").select("key1"))(F.col("key1"))
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    kept = rows.select("row", *row_key()).join(keepers, ["key1", "key2"], "left_semi")
-    return kept.dropDuplicates(["key1", "key2"]).select("row.*")
+    rows = rows.select("row", *row_key())
+    kept = rows.where(several).join(keepers.select("one.key1", "one.key2"), ["key1", "key2"], "left_semi").dropDuplicates(["key1", "key2"])
+    return rows.where(~several).unionByName(kept).select("row.*")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import simhash_dedup as m
-from ledgerloom.llm.common import connected_components
+from ledgerloom.llm.common import connected_components, maybe_among
 
 
 def plain_fingerprint(text, n=4):
@@ -206,3 +206,61 @@ def test_sketches_rule_out_no_alike_pair_and_most_others():
     assert kept < 0.02 * apart
     assert m.sketch(np.zeros(300, np.uint64)) == b"" and m.could_be_alike(b"", m.sketch(one))
     assert m.could_be_alike(m.sketch(one[:0]), m.sketch(one[:0]))
+
+
+def shuffled(spark):
+    """Bytes of shuffle files that the session's stages have written so far."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    none, jvm = sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util
+    stages = sc._jsc.sc().statusStore().stageList(jvm.ArrayList(), False, False, none, jvm.ArrayList())
+    return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (stages.apply(i) for i in range(stages.size()))}
+
+
+def test_texts_without_near_copies_are_not_sent(spark, tmp_path):
+    rng = random.Random(4)
+    new = lambda n: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=100)) for _ in range(n)]
+    texts = [new(120) for _ in range(300)]
+    texts += [texts[0][:-1], texts[1][:-2], texts[2]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    docs, limit = spark.read.parquet(f"{tmp_path}/docs"), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where tables are large
+    try:
+        before = shuffled(spark)
+        m.keep_one(docs).write.parquet(f"{tmp_path}/kept")
+        sent = sum(n for k, n in shuffled(spark).items() if k not in before)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert sorted(r["doc_id"] for r in spark.read.parquet(f"{tmp_path}/kept").select("doc_id").collect()) == list(range(300))
+    assert sent < sum(len(t) for _, t in rows) / 2
+
+
+def test_turns_give_what_one_turn_gives(spark, monkeypatch):
+    rng = random.Random(9)
+    fps = {rng.getrandbits(63) for _ in range(60)}
+    fps |= {f ^ (1 << a) ^ (1 << b) for f in list(fps)[:30] for a, b in [rng.sample(range(63), 2)]}
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    whole = {tuple(r) for r in m.links(df).collect()}
+    turns = [[tuple(r) for r in m.links(df, turn=i, turns=3).collect()] for i in range(3)]
+    assert len(whole) >= 30 and sorted(whole) == sorted(e for t in turns for e in t)
+
+    nodes = spark.createDataFrame([(i, 25, [rng.randrange(60) for _ in range(6)]) for i in range(80)], "node long, n int, keys array<long>")
+    once = sorted(map(tuple, m._met(nodes)[0].collect()))
+    monkeypatch.setattr(m, "turns_for", lambda keys: 3)
+    tables = m._met(nodes)
+    assert len(tables) == 3 and once == sorted(tuple(r) for t in tables for r in t.collect())
+
+
+def test_turns_are_few():
+    assert [m.turns_for(n) for n in (0, 1, 4 << 20, (4 << 20) + 1, 1 << 40)] == [1, 1, 1, 2, 8]
+
+
+@pytest.mark.parametrize("bits", [10, 25])
+def test_maybe_among_denies_none_that_is_there(spark, bits):
+    keys = spark.range(3000).select(F.xxhash64("id").alias("k"))
+    test = maybe_among(keys, bits)
+    assert keys.where(test(F.col("k"))).count() == 3000
+    others = spark.range(3000, 6000).select(F.xxhash64("id").alias("k"))
+    assert bits == 10 or others.where(test(F.col("k"))).count() < 200
+    assert keys.where(maybe_among(keys.limit(0), bits)(F.col("k"))).count() == 0
