@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import connected_components, discard, id_and_text, materialize, maybe_among, row_key, ship, table
+from ledgerloom.llm.common import connected_components, discard, id_and_text, materialize, maybe_among, release, row_key, ship, table
 
 ship(__name__)
 
@@ -262,6 +262,30 @@ def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     return texts.select("node", "text").mapInArrow(read, "node long, codes array<long>")
 
 
+def _check_in_turns(met: DataFrame, needed: DataFrame, sets: DataFrame, nodes: DataFrame, held: int, check, least: int = 64 << 20) -> DataFrame:
+    """Edges ``(a, b)`` that ``check`` finds at each place (``at``) of ``met``, given the sets of the nodes ``needed`` there.
+
+    A set is sent to many places, ``held`` bytes in all. So places are dealt with in turns, each of which sends a
+    quarter of what the sets of all ``nodes`` have or ``least`` bytes, whichever is more.
+    """
+    turns = 1
+    if held > least:
+        every = 8 * (nodes.agg(F.sum("n")).first()[0] or 0)
+        turns = -(-held // max(least, every // 4))
+    kept = materialize(sets, "sets") if turns > 1 else sets
+    out = []
+    for turn in range(turns):
+        now = F.pmod("at", F.lit(turns)) == turn
+        sent = needed.where(now).join(kept, "node")
+        found = met.where(now).groupBy("at").cogroup(sent.groupBy("at")).applyInArrow(check, "a long, b long")
+        out.append(materialize(found, "alike"))
+        if turns > 1:
+            release(met.sparkSession)
+    if turns > 1:
+        discard(kept)
+    return reduce(DataFrame.unionByName, out)
+
+
 def _alike(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, together: int = 128, most: int = 8 << 20) -> DataFrame:
     """Those of ``pairs`` (nodes a, b) whose shingle sets have a Jaccard similarity of 0.8 or more, by the sets themselves.
 
@@ -285,8 +309,7 @@ def _alike(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, toge
     places = max(1, -(-8 * held // most), -(-cells.count() // 200_000))
     at = F.pmod(F.col("cell"), F.lit(places)).alias("at")
 
-    sets = _sets(docs, homes, words)
-    sent = needed.select(at, "node").distinct().join(sets, "node")
+    sent = needed.select(at, "node").distinct()
 
     def check(key: tuple, met: pa.Table, sets: pa.Table) -> pa.Table:
         codes = {node: c.values.to_numpy().view(np.uint64) for node, c in zip(sets.column("node").to_pylist(), sets.column("codes"), strict=True)}
@@ -299,8 +322,7 @@ def _alike(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, toge
             good.append(9 * shared >= 4 * (len(one) + len(two)))
         return met.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    checked = cells.select(at, "a", "b").groupBy("at").cogroup(sent.groupBy("at")).applyInArrow(check, "a long, b long")
-    out = materialize(checked, "alike")
+    out = _check_in_turns(cells.select(at, "a", "b"), sent, _sets(docs, homes, words), nodes, 8 * held, check)
     discard(pairs, homes, cells)
     return out
 
@@ -343,7 +365,7 @@ def _alike_within(groups: DataFrame, docs: DataFrame, nodes: DataFrame, words: i
 
     No pairs are made as rows. A node's home is the least node of its groups; the nodes of a home are cut
     into parts of about ``most`` bytes of sets or ``together`` nodes, whichever is less. Two parts that meet in a group are sent to one place and compared
-    there, which gives at most one edge a node. So a large group's sets are sent once for each of its parts.
+    there, which gives at most one edge a node. So a large group's sets are sent once for each of its parts, in turns.
     """
     hubs = groups.groupBy("group").agg(F.min("node").alias("hub"))
     homes = groups.join(hubs, "group").groupBy("node").agg(F.min("hub").alias("home"), F.any_value("n").alias("n"), F.any_value("root").alias("root"))
@@ -355,9 +377,10 @@ def _alike_within(groups: DataFrame, docs: DataFrame, nodes: DataFrame, words: i
     cells = materialize(met.select("one", "two").distinct(), "cells")
     needed = cells.select(F.xxhash64("one", "two").alias("cell"), F.explode(F.array_distinct(F.array("one", "two"))).alias("part"))
     needed = needed.join(homes.select("part", "node", "n"), "part")
-    places = max(1, -(-8 * (needed.agg(F.sum("n")).first()[0] or 0) // (2 * most)))
+    held = 8 * (needed.agg(F.sum("n")).first()[0] or 0)
+    places = max(1, -(-held // (2 * most)))
     sent = needed.select(F.pmod("cell", F.lit(places)).alias("at"), "node", "part").distinct()
-    sent = sent.join(_sets(docs, homes, words), "node").join(homes.select("node", "root"), "node")
+    sent = sent.join(homes.select("node", "root"), "node")
 
     def check(key: tuple, met: pa.Table, sets: pa.Table) -> pa.Table:
         members: dict[int, list[int]] = {}
@@ -377,8 +400,7 @@ def _alike_within(groups: DataFrame, docs: DataFrame, nodes: DataFrame, words: i
         return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
 
     at = F.pmod(F.xxhash64("one", "two"), F.lit(places)).alias("at")
-    found = cells.select(at, "one", "two").groupBy("at").cogroup(sent.groupBy("at")).applyInArrow(check, "a long, b long")
-    out = materialize(found, "alike")
+    out = _check_in_turns(cells.select(at, "one", "two"), sent, _sets(docs, homes, words), nodes, held, check)
     discard(homes, cells)
     return out
 

@@ -252,6 +252,33 @@ def test_turns_give_what_one_turn_gives(spark, monkeypatch):
     assert len(tables) == 3 and once == sorted(tuple(r) for t in tables for r in t.collect())
 
 
+def test_sets_are_sent_in_turns(spark, monkeypatch):
+    """Each turn has the sets of its own places only, and all turns together check all of them."""
+    sizes, kept = [], m.materialize
+
+    def spy(df, name):
+        out = kept(df, name)
+        sizes.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(m, "materialize", spy)
+    met = spark.createDataFrame([(at, at, at + 1) for at in range(40)], "at long, a long, b long")
+    needed = spark.createDataFrame([(at, node) for at in range(40) for node in (at, at + 1)], "at long, node long")
+    nodes = spark.range(41).select(F.col("id").alias("node"), F.lit(10).alias("n"))
+    sets = nodes.select("node", F.array(F.col("node")).alias("codes"))
+
+    def check(key, met, sets):
+        names = set(sets.column("node").to_pylist())
+        assert names == {x for n in ("a", "b") for x in met.column(n).to_pylist()}
+        return met.select(["a", "b"])
+
+    whole = m._check_in_turns(met, needed, sets, nodes, 80 * 80, check)
+    assert sizes == [("alike", 40)]
+    turns = m._check_in_turns(met, needed, sets, nodes, 80 * 80, check, least=800)  # a quarter of all sets is 820 bytes
+    assert [s for s in sizes if s[0] == "alike"] == [("alike", 40)] + [("alike", 5)] * 8
+    assert sorted(map(tuple, turns.collect())) == sorted(map(tuple, whole.collect())) == [(i, i + 1) for i in range(40)]
+
+
 def test_turns_are_few():
     assert [m.turns_for(n) for n in (0, 1, 4 << 20, (4 << 20) + 1, 1 << 40)] == [1, 1, 1, 2, 8]
 
