@@ -18,7 +18,8 @@ The stage for documents (:func:`keep_one`) links by the same blocks first, check
 each link on the shingle sets, and finds what 64 bits cannot show by blocks of
 the sets themselves (:func:`similar`). Copies count once, keys are counted with
 map-side partial counts before they are joined, and sets are sent by parts of a group, not by pairs.
-Keys are dealt with in turns, each of a part of them, so few of them lie on the disks at once; and texts are sent to a
+Keys are dealt with in turns, each of a part of them, so few of them lie on the disks at once. Nearly all keys stand
+once: they are found in sorted arrays (:func:`counted`) and left out before any row is made of them. Texts are sent to a
 join only where bits of their hash say that the join may want them: those of near-duplicates, as a rule.
 
 Nulls and edge cases: a null or blank text has fingerprint zero, which links
@@ -30,7 +31,7 @@ component; other columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import combinations
 
@@ -40,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import connected_components, discard, id_and_text, materialize, maybe_among, release, row_key, ship, table
+from ledgerloom.llm.common import bit_map, connected_components, discard, id_and_text, in_bit_map, materialize, maybe_among, release, row_key, ship, table
 
 ship(__name__)
 
@@ -85,18 +86,73 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     return id_and_text(docs).mapInArrow(run, "doc_id long, fp long")
 
 
-def _block_keys(fp: Column, blocks: int, distance: int, turn: int = 0, turns: int = 1) -> tuple[Column, list[int]]:
-    """An array of keys, one for each choice of blocks that must agree, every ``turns``-th of them; the blocks' bit masks."""
+def _choices(blocks: int, distance: int, turn: int = 0, turns: int = 1) -> tuple[list[tuple[int, int]], list[int]]:
+    """Each choice of blocks that must agree, every ``turns``-th of them, as bits of the blocks and a bit mask; the blocks' bit masks."""
     edges = [64 * i // blocks for i in range(blocks + 1)]
     masks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:], strict=False)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keys = []
-    for chosen in list(combinations(range(blocks), blocks - distance))[turn::turns]:
-        mask = sum(masks[i] for i in chosen)
-        mask = mask - (1 << 64) if mask >> 63 else mask
-        which = sum(1 << i for i in chosen)
-        keys.append(F.struct(F.lit(which).alias("chosen"), fp.bitwiseAND(F.lit(mask)).alias("part")))
-    return F.array(*keys), signed
+    chosen = list(combinations(range(blocks), blocks - distance))[turn::turns]
+    return [(sum(1 << i for i in c), sum(signed[i] for i in c)) for c in chosen], signed
+
+
+def counted(rows: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], parts: int, least: int = 2, most: int | None = 2, together: int = 1 << 20) -> DataFrame:
+    """``(key, count)``: what stands ``least`` times or more among all that ``hashes`` (well mixed, 64 bits) takes from the batches of ``rows``.
+
+    Hashes are sent in sorted arrays, one for each of ``parts`` ranges of values, so none is a row before it is found to repeat.
+    From ``together`` of them one task sends the same hash at most ``most`` times, and counts are no more exact than that.
+    """
+    edges = np.array([i * (1 << 64) // parts for i in range(1, parts)], np.uint64)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed() -> pa.RecordBatch:
+            codes = np.sort(np.concatenate(held))
+            if most:
+                codes = codes[np.concatenate((np.ones(most, bool), codes[most:] != codes[:-most]))[: len(codes)]]
+            pieces = [(i, c.tobytes()) for i, c in enumerate(np.split(codes, np.searchsorted(codes, edges))) if len(c)]
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in pieces], pa.int32()), pa.array([x[1] for x in pieces], pa.binary())], names=["part", "codes"])
+
+        held: list[np.ndarray] = []
+        for batch in batches:
+            held.append(hashes(batch))
+            if sum(map(len, held)) >= together:
+                yield packed()
+                held = []
+        if held:
+            yield packed()
+
+    def count(key: tuple, sent: pa.Table) -> pa.Table:
+        codes = np.sort(np.concatenate([np.frombuffer(c.as_buffer(), np.uint64) for c in sent.column("codes")]))
+        at = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
+        n = np.diff(np.append(at, len(codes)))
+        return pa.table({"key": pa.array(codes[at][n >= least].view(np.int64)), "count": pa.array(n[n >= least].astype(np.int64))})
+
+    return rows.mapInArrow(send, "part int, codes binary").groupBy("part").applyInArrow(count, "key long, count long")
+
+
+def _repeated(rows: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], keys: int) -> np.ndarray:
+    """The :func:`bit_map` of all hashes that repeat, of about ``keys`` in all."""
+    return bit_map(counted(rows, hashes, min(4096, max(1, keys >> 18))).select("key"))
+
+
+def _sifted(fps: DataFrame, choices: list[tuple[int, int]]) -> DataFrame:
+    """``(fp, chosen, part)``: the keys of fingerprints without nearly all that only one fingerprint has."""
+
+    def hashes(batch: pa.RecordBatch) -> np.ndarray:
+        fp = batch.column(0).to_numpy()
+        return np.concatenate([_mixed((fp & mask).view(np.uint64), which << 8) for which, mask in choices])
+
+    packed = _repeated(fps, hashes, fps.count() * len(choices))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = batch.column(0).to_numpy()
+            good = in_bit_map(packed, hashes(batch).view(np.int64)).reshape(len(choices), -1)
+            for (which, mask), some in zip(choices, good, strict=True):
+                some = fp[some]
+                if len(some):
+                    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.full(len(some), which, np.int32)), pa.array(some & mask)], names=["fp", "chosen", "part"])
+
+    return materialize(fps.mapInArrow(keep, "fp long, chosen int, part long"), "sifted")
 
 
 def blocks_for(fingerprints: int, distance: int = 4) -> int:
@@ -107,15 +163,20 @@ def blocks_for(fingerprints: int, distance: int = 4) -> int:
     return blocks
 
 
-def links(fps: DataFrame, distance: int = 4, blocks: int = 7, dense: int = 256, turn: int = 0, turns: int = 1) -> DataFrame:
+def links(fps: DataFrame, distance: int = 4, blocks: int = 7, dense: int = 256, turn: int = 0, turns: int = 1, sift: bool = False) -> DataFrame:
     """Edges ``(a, b)`` between distinct fingerprints at most ``distance`` bits apart.
 
     Outside dense keys every such pair is an edge; inside them the edges connect
     the same components (see the module's text). With ``turns``, only what every
-    ``turns``-th choice of blocks finds: the edges of all turns are the whole.
+    ``turns``-th choice of blocks finds: the edges of all turns are the whole. With
+    ``sift``, keys of one fingerprint are left out before they are rows.
     """
-    keys, masks = _block_keys(F.col("fp"), blocks, distance, turn, turns)
-    keyed = fps.select("fp", F.explode(keys).alias("k")).select("fp", "k.chosen", "k.part")
+    choices, masks = _choices(blocks, distance, turn, turns)
+    if sift:
+        keyed = _sifted(fps.select("fp"), choices)
+    else:
+        keys = F.array(*[F.struct(F.lit(which).alias("chosen"), F.col("fp").bitwiseAND(F.lit(mask)).alias("part")) for which, mask in choices])
+        keyed = fps.select("fp", F.explode(keys).alias("k")).select("fp", "k.chosen", "k.part")
     shared = keyed.groupBy("chosen", "part").agg(F.count("*").alias("n")).where("n > 1")
     keyed = keyed.join(shared, ["chosen", "part"])
     sparse = keyed.where(F.col("n") <= dense).select("chosen", "part", "fp")
@@ -172,9 +233,40 @@ def _mixed(codes: np.ndarray, seed: int) -> np.ndarray:
     return x
 
 
+_BLANK = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8).astype(np.int64)
+_LETTER = _mixed(np.arange(64 * 256, dtype=np.uint64), 8)  # of a byte at a place in its word: the first 64 places
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """64-bit hashes of a text's words in ASCII lower case: sums of what each byte at its place in the word is mixed to."""
+    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    at = np.flatnonzero(~_BLANK[raw])
+    if not len(at):
+        return np.zeros(0, np.uint64)
+    starts = np.flatnonzero(np.concatenate(([True], np.diff(at) > 1)))
+    sizes = np.diff(np.append(starts, len(at)))
+    letters = _LOWER[raw[at]] + 256 * (np.arange(len(at)) - np.repeat(starts, sizes))
+    if sizes.max() <= 64:
+        mixed = _LETTER[letters]
+    else:
+        mixed = _mixed(letters.astype(np.uint64), 8)
+    return np.add.reduceat(mixed, starts)
+
+
 def shingle_codes(text: str | None, words: int = 5) -> np.ndarray:
-    """The 64-bit hashes of a text's distinct word shingles, sorted."""
-    return np.unique(shingle_hashes(text, words))
+    """64-bit hashes of a text's distinct word shingles, sorted; a text of fewer words is one shingle, a blank one none."""
+    hashes = word_hashes(text)
+    if not len(hashes):
+        return hashes
+    width = min(words, len(hashes))
+    n = len(hashes) - width + 1
+    codes = np.full(n, width, np.uint64)
+    for i in range(width):
+        codes = codes * np.uint64(0xD1342543DE82EF95) + hashes[i : i + n]
+    codes = _mixed(codes, 6)
+    codes.sort()
+    return codes[np.concatenate(([True], codes[1:] != codes[:-1]))]
 
 
 def slice_keys(text: str | None, words: int = 5, common: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[int, int, list[int]]:
@@ -192,11 +284,12 @@ def _keys_of(codes: np.ndarray, common: tuple[np.ndarray, np.ndarray] | None) ->
     n = len(codes)
     if not n:
         return 0, 0, [0]
-    rank = np.zeros(n, np.int64)
+    place = _mixed(codes, 1) >> np.uint64(16)
     if common is not None and len(common[0]):
         at = np.minimum(np.searchsorted(common[0], codes), len(common[0]) - 1)
-        rank = np.where(common[0][at] == codes, common[1][at], 0)
-    order = np.lexsort((_mixed(codes, 1), rank))[: n - (4 * n + 4) // 5 + 1]
+        found = np.flatnonzero(common[0][at] == codes)
+        place[found] |= np.minimum(common[1][at[found]], (1 << 16) - 1).astype(np.uint64) << np.uint64(48)
+    order = np.argsort(place, kind="stable")[: n - (4 * n + 4) // 5 + 1]  # codes are sorted, so ties have one order in all texts too
     one, two = (int(np.add.reduce(_mixed(codes, seed)).view(np.int64)) for seed in (2, 4))
     return one, two, codes[order].view(np.int64).tolist()
 
@@ -236,14 +329,12 @@ def _could_be_alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 def _common_codes(docs: DataFrame, words: int, one_of: int = 16, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the commonest shingles in every ``one_of``-th text by content, and their counts. They only order keys: any order finds all pairs."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_codes(text.as_py(), words).view(np.int64))], names=["code"])
+    def hashes(batch: pa.RecordBatch) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.uint64), *(shingle_codes(text.as_py(), words) for text in batch.column(0))])
 
     some = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(one_of)) == 0)
-    got = some.mapInArrow(run, "code long").groupBy("code").count().where("count > 2").orderBy(F.desc("count"), "code").limit(most).collect()
-    codes, counts = np.array([r[0] for r in got], np.int64).view(np.uint64), np.array([r[1] for r in got], np.int64)
+    got = counted(some, hashes, parts=128, least=3, most=None).orderBy(F.desc("count"), "key").limit(most).toArrow()
+    codes, counts = got.column("key").to_numpy().view(np.uint64), got.column("count").to_numpy()
     order = np.argsort(codes)
     return codes[order], counts[order]
 
@@ -417,20 +508,43 @@ def turns_for(keys: int, together: int = 4 << 20, most: int = 8) -> int:
     return min(most, max(1, -(-keys // together)))
 
 
+def _shared_keys(nodes: DataFrame, total: int, turn: int, turns: int) -> DataFrame:
+    """``(node, n, place, key)``: the keys of a turn that two nodes hold, and a few more; ``total`` is the number of all."""
+
+    def hashes(batch: pa.RecordBatch) -> np.ndarray:
+        got = _mixed(batch.column(2).flatten().to_numpy().view(np.uint64), 7)
+        return got[got % np.uint64(turns) == turn] if turns > 1 else got
+
+    packed = _repeated(nodes, hashes, total // turns)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(2).flatten().to_numpy()
+            sizes = np.diff(batch.column(2).offsets.to_numpy())
+            mixed = _mixed(keys.view(np.uint64), 7)
+            good = in_bit_map(packed, mixed.view(np.int64))
+            if turns > 1:
+                good &= mixed % np.uint64(turns) == turn
+            row = np.repeat(np.arange(len(sizes)), sizes)[good]
+            place = np.flatnonzero(good) - (np.cumsum(sizes) - sizes)[row]
+            columns = [batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(place.astype(np.int32)), pa.array(keys[good])]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "place", "key"])
+
+    return nodes.mapInArrow(keep, "node long, n int, place int, key long")
+
+
 def _met(nodes: DataFrame) -> list[DataFrame]:
     """Tables ``(group, node, n, place)``, none of which shares a group: nodes that hold one key and are of sizes near each other, where two sets may reach 0.8.
 
     Two sets at 0.8 are in one class of sizes or in neighbouring ones, so each key is held in a node's own class and
     in the next; and the smaller of two sets has their first shared key within its first ninth.
     """
-    turns = turns_for(nodes.agg(F.sum(F.size("keys"))).first()[0] or 0)
+    total = nodes.agg(F.sum(F.size("keys"))).first()[0] or 0
+    turns = turns_for(total // 4)  # a hash alone is a quarter of a row
     size_class = F.floor(F.log(F.col("n")) / F.lit(math.log(1.25))).cast("int")
     out = []
     for turn in range(turns):
-        keyed = nodes.where("n > 0").select("node", "n", F.posexplode("keys").alias("place", "key"))
-        keyed = keyed.where(F.pmod("key", F.lit(turns)) == turn)
-        shared = keyed.groupBy("key").count().where("count > 1").select("key")
-        keyed = materialize(keyed.join(shared, "key"), "keyed")
+        keyed = materialize(_shared_keys(nodes.where("n > 0").select("node", "n", "keys"), total, turn, turns), "keyed")
         both = keyed.withColumn("class", F.explode(F.array(size_class, size_class + 1))).select(F.xxhash64("key", "class").alias("group"), "node", "n", "place")
         shared = both.groupBy("group").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.min(F.expr("9 * place - n")).alias("first"))
         out.append(materialize(both.join(shared.where("low <> high and first <= 0").select("group"), "group"), "met"))
@@ -496,8 +610,8 @@ def similar(docs: DataFrame, words: int = 5, dense: int = 16) -> DataFrame:
     classes = materialize(by_fp, "classes")
     count = classes.count()
     blocks = blocks_for(count)
-    turns = turns_for(count * math.comb(blocks, 4))
-    found = [materialize(links(classes.select("fp"), blocks=blocks, turn=turn, turns=turns), "links") for turn in range(turns)]
+    turns = turns_for(count * math.comb(blocks, 4) // 4)
+    found = [materialize(links(classes.select("fp"), blocks=blocks, turn=turn, turns=turns, sift=True), "links") for turn in range(turns)]
     far = reduce(DataFrame.unionByName, found)
     far = far.join(classes.select(F.col("fp").alias("a"), F.col("y").alias("x")), "a").join(classes.withColumnRenamed("fp", "b"), "b").select("x", "y")
     same = nodes.join(classes, "fp").where("node <> y").select(F.col("node").alias("x"), "y")

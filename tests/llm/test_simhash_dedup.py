@@ -291,3 +291,58 @@ def test_maybe_among_denies_none_that_is_there(spark, bits):
     others = spark.range(3000, 6000).select(F.xxhash64("id").alias("k"))
     assert bits == 10 or others.where(test(F.col("k"))).count() < 200
     assert keys.where(maybe_among(keys.limit(0), bits)(F.col("k"))).count() == 0
+
+
+def test_codes_are_of_the_shingles_and_of_nothing_else():
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choices("abÀ", k=rng.randint(1, 3))) for _ in range(rng.randint(1, 40))) for _ in range(200)]
+    texts += [None, "", " \t", "A b", "a\vB\fc\x1cd\re  f", "x" * 64 + " " + "x" * 65, "x" * 200 + " y", "a b a b a", "b a b a b"]
+    seen = {}
+    for text in texts:
+        w = (text or "").encode().lower().split()
+        want = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+        got = m.shingle_codes(text)
+        assert len(got) == len(want) and (np.diff(got.astype(object)) > 0).all()
+        seen.setdefault(frozenset(want), set()).add(got.tobytes())
+    assert all(len(x) == 1 for x in seen.values()) and len({next(iter(x)) for x in seen.values()}) == len(seen)
+
+
+@pytest.mark.parametrize(("parts", "most"), [(1, 2), (7, 2), (7, None)])
+def test_counted_against_counts(spark, parts, most):
+    rng = random.Random(3)
+    values = [rng.getrandbits(64) - (1 << 63) for _ in range(500)]
+    rows = spark.createDataFrame([(v,) for i, v in enumerate(values) for _ in range(i % 4)], "v long").repartition(3)
+    got = {r["key"]: r["count"] for r in m.counted(rows, lambda b: b.column(0).to_numpy().view(np.uint64), parts, 3 if most is None else 2, most, together=50).collect()}
+    want = {v: i % 4 for i, v in enumerate(values) if i % 4 >= (3 if most is None else 2)}
+    assert got == want if most is None else got.keys() == want.keys()
+
+
+def test_keys_that_stand_once_are_no_rows(spark):
+    def records():
+        sc = spark.sparkContext
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        none, jvm = sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util
+        stages = sc._jsc.sc().statusStore().stageList(jvm.ArrayList(), False, False, none, jvm.ArrayList())
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (stages.apply(i) for i in range(stages.size()))}
+
+    rng = random.Random(8)
+    nodes = spark.createDataFrame([(i, 250, [i // 2] + [rng.getrandbits(62) for _ in range(49)]) for i in range(400)], "node long, n int, keys array<long>")
+    fps = spark.createDataFrame([(rng.getrandbits(63),) for _ in range(600)], "fp long")
+    before = records()
+    met = m._met(nodes)[0].collect()
+    near = m.links(fps, sift=True).collect()
+    sent = sum(n for k, n in records().items() if k not in before)
+    assert len(met) == 800 and sorted({r["node"] for r in met}) == list(range(400)) and {r["place"] for r in met} == {0}
+    assert near == m.links(fps).collect() == []
+    assert sent < (400 * 50 + 600 * 35) / 4
+
+
+@pytest.mark.parametrize("dense", [2, 256])
+def test_links_are_the_same_sifted(spark, dense):
+    rng = random.Random(9)
+    fps = {rng.getrandbits(64) - (1 << 63) for _ in range(60)}
+    fps |= {f ^ (1 << a) ^ (1 << b) for f in list(fps)[:30] for a, b in [rng.sample(range(63), 2)]}
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    whole = sorted(map(tuple, m.links(df, dense=dense).collect()))
+    assert len(whole) >= 30
+    assert whole == sorted(map(tuple, m.links(df, dense=dense, sift=True).collect()))
